@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from chronofold.llm import decontaminate, exact_dedup, mixing, url_filter
+from chronofold.llm import decontaminate, exact_dedup, language_id, mixing, quality_fm, toxicity_kn, url_filter
 
 
 def queries():
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_quality_classifier": quality_fm.op2_quality_classifier,
         "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
+        "op6_toxicity": toxicity_kn.op6_toxicity,
         "op7_mixing_sources": mixing.op7_mixing_sources,
+        "op8_language_id": language_id.op8_language_id,
         "op10_url_filters": url_filter.op10_url_filters,
     }
 
