@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronofold.llm import decontaminate, exact_dedup, language_id, mixing, quality_fm, toxicity_kn, url_filter
+from chronofold.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, quality_fm, toxicity_kn, url_filter
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op6_toxicity": toxicity_kn.op6_toxicity,
         "op7_mixing_sources": mixing.op7_mixing_sources,
         "op8_language_id": language_id.op8_language_id,
+        "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_url_filters": url_filter.op10_url_filters,
     }
 
