@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from chronofold.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, quality_fm, toxicity_kn, url_filter
+from chronofold.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, quality_fm, toxicity_kn, url_filter, warc_revisit
 
 
 def queries():
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_quality_classifier": quality_fm.op2_quality_classifier,
+        "op3_warc_revisit": warc_revisit.op3_warc_revisit,
         "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
         "op6_toxicity": toxicity_kn.op6_toxicity,
         "op7_mixing_sources": mixing.op7_mixing_sources,
@@ -21,6 +22,7 @@ def queries():
 def oracle_sql():
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
+        "op3_warc_revisit": warc_revisit.ORACLE,
         "op4_benchmark_decontamination": decontaminate.ORACLE,
         "op7_mixing_sources": mixing.ORACLE,
     }
