@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from chronofold.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, quality_fm, toxicity_kn, url_filter, warc_revisit
+from chronofold.llm import (
+    decontaminate,
+    exact_dedup,
+    jaccard_join,
+    language_id,
+    mixing,
+    quality_fm,
+    substring_dedup,
+    toxicity_kn,
+    url_filter,
+    warc_revisit,
+)
 
 
 def queries():
@@ -11,6 +22,7 @@ def queries():
         "op2_quality_classifier": quality_fm.op2_quality_classifier,
         "op3_warc_revisit": warc_revisit.op3_warc_revisit,
         "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
+        "op5_suffix_array_dedup": substring_dedup.op5_suffix_array_dedup,
         "op6_toxicity": toxicity_kn.op6_toxicity,
         "op7_mixing_sources": mixing.op7_mixing_sources,
         "op8_language_id": language_id.op8_language_id,
