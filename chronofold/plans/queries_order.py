@@ -1 +1,363 @@
-"""Queries."""
+"""Windows, positions, state over time and set operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from chronofold.operators import ordering as O
+from chronofold.plans.queries_views import BOOK, VIS, at, book, receipted
+from chronofold.plans.registry import query
+from chronofold.plans.standins import bind
+
+BOUNDS = ", b AS (SELECT *, CAST(sum(char_len) OVER (PARTITION BY book_id ORDER BY revealed_at ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM chapters) "
+
+
+def bounded(spark, sf):
+    return O.bounds(bind(spark, sf, "chapters"), F.col("char_len"))
+
+
+@query("win_bounds", BOUNDS + "SELECT chapter_key, e - char_len AS start_at, e AS end_at FROM b")
+def win_bounds(spark, sf):
+    return bounded(spark, sf).select("chapter_key", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
+
+
+@query("win_char_ranges", """SELECT chapter_key, CAST(sum(greatest(1, char_len % 7)) OVER (PARTITION BY book_id ORDER BY revealed_at ROWS UNBOUNDED PRECEDING) AS BIGINT) AS end_at FROM chapters""")
+def win_char_ranges(spark, sf):
+    rows = O.bounds(bind(spark, sf, "chapters"), F.greatest(F.lit(1), F.col("char_len") % 7))
+    return rows.select("chapter_key", F.col("end").alias("end_at"))
+
+
+@query("win_bookmark", BOUNDS + "SELECT book_id, count(*) FILTER (WHERE e <= 20000) AS bookmark FROM b GROUP BY 1")
+def win_bookmark(spark, sf):
+    return O.completed(bounded(spark, sf), F.lit(20_000))
+
+
+@query("win_high_water", "SELECT event_id, max(k) OVER (PARTITION BY book_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS high FROM reports")
+def win_high_water(spark, sf):
+    w = Window.partitionBy("book_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return bind(spark, sf, "reports").select("event_id", F.max("k").over(w).alias("high"))
+
+
+@query("win_current_chapter", BOUNDS + """, p AS (SELECT book_id, 100 * count(*) AS pos, count(*) AS n FROM chapters GROUP BY 1)
+SELECT p.book_id, coalesce(CAST(b.revealed_at AS BIGINT), n + 1) AS chapter FROM p LEFT JOIN b ON b.book_id = p.book_id AND b.e - b.char_len <= pos AND pos < b.e""")
+def win_current_chapter(spark, sf):
+    b = bounded(spark, sf)
+    here = F.col("pos").between(F.col("start"), F.col("end") - 1)
+    p = b.groupBy("book_id").agg((F.count(F.lit(1)) * 100).alias("pos"), F.count(F.lit(1)).alias("n"))
+    rows = b.join(p, "book_id")
+    return rows.groupBy("book_id").agg(F.coalesce(F.max(F.when(here, F.col("revealed_at").cast("long"))), F.first("n") + 1).alias("chapter"))
+
+
+@query("win_progress", BOUNDS + "SELECT chapter_key, CAST(CASE WHEN 30000 >= e THEN 10000 WHEN 30000 <= e - char_len THEN 0 ELSE ((30000 - (e - char_len)) * 10000) // char_len END AS BIGINT) AS per_10000 FROM b")
+def win_progress(spark, sf):
+    done = F.when(F.lit(30_000) >= F.col("end"), F.lit(10_000)).when(F.lit(30_000) <= F.col("start"), F.lit(0))
+    part = F.expr("(30000 - start) * 10000 div char_len")
+    return bounded(spark, sf).select("chapter_key", done.otherwise(part).cast("long").alias("per_10000"))
+
+
+@query("agg_frontier", """, j AS (SELECT c.book_id, c.revealed_at, r.chapter_key IS NOT DISTINCT FROM c.chapter_key AND r.content_hash IS NOT DISTINCT FROM c.content_hash AS ok
+ FROM chapters c LEFT JOIN receipts r ON r.book_id = c.book_id AND r.ordinal = c.revealed_at),
+f AS (SELECT book_id, min(revealed_at) FILTER (WHERE NOT ok) AS gap, max(revealed_at) AS last FROM j GROUP BY 1)
+SELECT book_id, coalesce(gap - 1, last) AS frontier FROM f""")
+def agg_frontier(spark, sf):
+    return O.frontier(bind(spark, sf, "chapters"), bind(spark, sf, "receipts"))
+
+
+@query("win_sample_rows", """, r AS (SELECT chapter_key, book_id, row_number() OVER w AS n, count(*) OVER (PARTITION BY book_id) AS c FROM chapters WINDOW w AS (PARTITION BY book_id ORDER BY revealed_at)),
+k AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY n) AS m FROM r WHERE n = 1 OR n = c OR n % CAST(ceil(c / 4.0) AS INT) = 0)
+SELECT chapter_key, n FROM k WHERE m <= 6""")
+def win_sample_rows(spark, sf):
+    w = Window.partitionBy("book_id").orderBy("revealed_at")
+    r = bind(spark, sf, "chapters").withColumn("n", F.row_number().over(w).cast("long")).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("book_id")))
+    kept = r.where((F.col("n") == 1) | (F.col("n") == F.col("c")) | (F.col("n") % F.ceil(F.col("c") / 4) == 0))
+    return kept.withColumn("m", F.row_number().over(Window.partitionBy("book_id").orderBy("n"))).where("m <= 6").select("chapter_key", "n")
+
+
+@query("win_excerpts", "SELECT doc_id, CASE WHEN length(text) <= 900 THEN text ELSE substring(text, 1, 300) || substring(text, length(text) // 2 - 149, 300) || right(text, 300) END AS excerpt FROM documents")
+def win_excerpts(spark, sf):
+    middle = F.expr("substring(text, cast(length(text) div 2 as int) - 149, 300)")
+    cut = F.concat(F.substring("text", 1, 300), middle, F.expr("right(text, 300)"))
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.when(F.length("text") <= 900, F.col("text")).otherwise(cut).alias("excerpt"))
+
+
+@query("win_passages", r""", n AS (SELECT doc_id, trim(regexp_replace(text, '[ \n\t\r]+', ' ', 'g')) AS t FROM documents),
+c AS (SELECT doc_id, t, CAST(ceil(length(t) / 1500.0) AS INT) AS k FROM n WHERE t <> ''),
+i AS (SELECT doc_id, t, k, unnest(CASE WHEN k <= 6 THEN range(0, k) ELSE list_distinct([CAST(round_even(x * (k - 1) / 5.0, 0) AS BIGINT) FOR x IN range(0, 6)]) END) AS i FROM c)
+SELECT doc_id, i AS at, substring(t, CAST(i * 1500 + 1 AS INT), 1500) AS passage FROM i""")
+def win_passages(spark, sf):
+    """At most six evenly spaced passages of 1,500 characters of the white-space-normalised text."""
+    t = F.trim(F.regexp_replace("text", r"[ \n\t\r]+", " "))
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", t.alias("t")).where("t <> ''")
+    k = F.ceil(F.length("t") / 1500)
+    even = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda x: F.bround(x * (k - 1) / 5.0, 0).cast("long")))
+    rows = rows.withColumn("i", F.explode(F.when(k <= 6, F.sequence(F.lit(0).cast("long"), k - 1)).otherwise(even)))
+    return rows.select("doc_id", F.col("i").alias("at"), F.expr("substring(t, cast(i * 1500 + 1 as int), 1500)").alias("passage"))
+
+
+FIRST = r""", w AS (SELECT DISTINCT revealed_at, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) AS tok FROM chapters WHERE book_id = 'src0'),
+f AS (SELECT tok, min(revealed_at) AS first_at FROM w GROUP BY 1)
+"""
+
+
+def first_seen(spark, sf):
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)))).alias("tok")
+    rows = bind(spark, sf, "chapters").where(F.col("book_id") == BOOK).select("revealed_at", words)
+    return rows.groupBy("tok").agg(F.min("revealed_at").alias("first_at"))
+
+
+@query("win_floor_cum", FIRST + "SELECT first_at, count(*) AS new_tokens, CAST(sum(count(*)) OVER (ORDER BY first_at) AS BIGINT) AS known FROM f GROUP BY 1")
+def win_floor_cum(spark, sf):
+    per = first_seen(spark, sf).groupBy("first_at").agg(F.count(F.lit(1)).alias("new_tokens"))
+    return per.withColumn("known", F.sum("new_tokens").over(Window.orderBy("first_at")))  # one row per chapter
+
+
+@query("agg_grounding_rate", FIRST + """, s AS (SELECT chapter_key, revealed_at, unnest(regexp_extract_all(lower(title), '[\\p{L}\\p{M}\\p{N}]+')) AS tok FROM chapters WHERE book_id = 'src0')
+SELECT chapter_key, count(*) AS n, count(*) FILTER (WHERE first_at <= s.revealed_at) AS grounded FROM s LEFT JOIN f ON f.tok = s.tok GROUP BY 1""".replace("\\\\", "\\"))
+@query("gate_reveal_correct", FIRST + """, s AS (SELECT chapter_key, revealed_at, unnest(regexp_extract_all(lower(title), '[\\p{L}\\p{M}\\p{N}]+')) AS tok FROM chapters WHERE book_id = 'src0')
+SELECT chapter_key, count(*) AS n, count(*) FILTER (WHERE first_at <= s.revealed_at) AS grounded FROM s LEFT JOIN f ON f.tok = s.tok GROUP BY 1""".replace("\\\\", "\\"))
+def agg_grounding_rate(spark, sf):
+    tok = F.explode(F.regexp_extract_all(F.lower("title"), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))).alias("tok")
+    s = bind(spark, sf, "chapters").where(F.col("book_id") == BOOK).select("chapter_key", "revealed_at", tok)
+    rows = s.join(first_seen(spark, sf), "tok", "left")
+    return rows.groupBy("chapter_key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("first_at") <= F.col("revealed_at")).alias("grounded"))
+
+
+@query("win_event_order", "SELECT event_id, row_number() OVER (PARTITION BY revealed_at ORDER BY event_id) AS order_idx FROM events_")
+def win_event_order(spark, sf):
+    events = bind(spark, sf, "events_").groupBy("revealed_at").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
+    return events.select(F.posexplode("ids").alias("p", "event_id")).select("event_id", (F.col("p") + 1).cast("long").alias("order_idx"))
+
+
+@query("win_divider_fold", """, g AS (SELECT *, coalesce(sum(CASE WHEN char_len < 300 THEN 0 ELSE 1 END) OVER (PARTITION BY book_id ORDER BY revealed_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gid FROM chapters)
+SELECT book_id, CAST(gid AS BIGINT) AS group_id, string_agg(chapter_key, ' · ' ORDER BY revealed_at) AS label, CAST(sum(char_len) AS BIGINT) AS char_len FROM g GROUP BY 1, 2""")
+def win_divider_fold(spark, sf):
+    rows = O.fold_dividers(bind(spark, sf, "chapters"), F.col("char_len") < 300, "book_id", "revealed_at")
+    keys = F.transform(F.array_sort(F.collect_list(F.struct("revealed_at", "chapter_key"))), lambda x: x["chapter_key"])
+    return rows.groupBy("book_id", "group_id").agg(F.array_join(keys, " · ").alias("label"), F.sum("char_len").alias("char_len"))
+
+
+@query("win_body_window", """, m AS (SELECT *, min(CASE WHEN char_len >= 1000 THEN revealed_at END) OVER (PARTITION BY book_id) AS lo, max(CASE WHEN char_len >= 1000 THEN revealed_at END) OVER (PARTITION BY book_id) AS hi FROM chapters)
+SELECT chapter_key, CASE WHEN lo IS NULL OR revealed_at < lo THEN 'front' WHEN revealed_at > hi THEN 'back' ELSE 'body' END AS part FROM m""")
+def win_body_window(spark, sf):
+    body = F.when(F.col("char_len") >= 1000, F.col("revealed_at"))
+    w = Window.partitionBy("book_id")
+    rows = bind(spark, sf, "chapters").withColumn("lo", F.min(body).over(w)).withColumn("hi", F.max(body).over(w))
+    part = F.when(F.col("lo").isNull() | (F.col("revealed_at") < F.col("lo")), "front").when(F.col("revealed_at") > F.col("hi"), "back").otherwise("body")
+    return rows.select("chapter_key", part.alias("part"))
+
+
+@query("win_dedupe_first", "SELECT min(page_id) AS page_id, regexp_replace(url, '[?#].*$', '') AS href FROM pages GROUP BY 2")
+def win_dedupe_first(spark, sf):
+    href = F.regexp_replace("url", "[?#].*$", "")
+    rows = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", href.alias("href"))
+    return O.latest(rows, ["href"], F.asc("page_id"))
+
+
+@query("win_anchor_bucket", "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS anchor FROM conversations")
+def win_anchor_bucket(spark, sf):
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    anchor = F.last(F.when(F.col("role") == "user", F.col("turn")), True).over(w)
+    return spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", anchor.alias("anchor"))
+
+
+@query("win_storythread_label", VIS + """SELECT least(src_entity, dst_entity) AS a, greatest(src_entity, dst_entity) AS b, lower(label) AS label_key, min(revealed_at) AS first_at FROM vr GROUP BY 1, 2, 3""")
+@query("agg_register", VIS + """SELECT least(src_entity, dst_entity) AS a, greatest(src_entity, dst_entity) AS b, lower(label) AS label_key, min(revealed_at) AS first_at FROM vr GROUP BY 1, 2, 3""")
+def win_storythread_label(spark, sf):
+    rows = at(spark, sf).relationships()
+    return rows.groupBy(F.least("src_entity", "dst_entity").alias("a"), F.greatest("src_entity", "dst_entity").alias("b"), F.lower("label").alias("label_key")).agg(F.min("revealed_at").alias("first_at"))
+
+
+@query("agg_connections", VIS + """, x AS (SELECT dst_entity AS other, rel_type, min(revealed_at) AS m FROM vr WHERE src_entity IN (SELECT entity_id FROM ve WHERE type = 'character') GROUP BY 1, 2)
+SELECT other, count(*) AS statements, min(m) AS first_at, max(m) AS last_at FROM x GROUP BY 1""")
+def agg_connections(spark, sf):
+    rows = at(spark, sf).relationships().groupBy(F.col("dst_entity").alias("other"), "rel_type").agg(F.min("revealed_at").alias("m"))
+    return rows.groupBy("other").agg(F.count(F.lit(1)).alias("statements"), F.min("m").alias("first_at"), F.max("m").alias("last_at"))
+
+
+@query("agg_degree", VIS + """, d AS (SELECT src_entity AS e, dst_entity AS o FROM vr UNION SELECT dst_entity, src_entity FROM vr),
+c AS (SELECT e, count(DISTINCT o) AS degree FROM d GROUP BY 1) SELECT c.e AS entity_id, degree FROM c JOIN ve ON ve.entity_id = c.e ORDER BY degree DESC, revealed_at, c.e LIMIT 1""")
+def agg_degree(spark, sf):
+    v = at(spark, sf)
+    r = v.relationships()
+    both = r.select(F.col("src_entity").alias("entity_id"), F.col("dst_entity").alias("o")).unionByName(r.select(F.col("dst_entity").alias("entity_id"), F.col("src_entity").alias("o")))
+    degree = both.groupBy("entity_id").agg(F.count_distinct("o").alias("degree"))
+    return degree.join(v.entities(), "entity_id").orderBy(F.desc("degree"), "revealed_at", "entity_id").limit(1).select("entity_id", "degree")
+
+
+@query("date_gap", "SELECT event_id, coalesce(epoch(ts) - epoch(lag(ts) OVER (PARTITION BY book_id ORDER BY ts, event_id)) > 14400, false) AS welcome_back FROM reports")
+def date_gap(spark, sf):
+    before = F.lag("ts").over(Window.partitionBy("book_id").orderBy("ts", "event_id"))
+    gap = F.timestamp_diff("MICROSECOND", before, F.col("ts")) > 4 * 3600 * 1_000_000
+    return bind(spark, sf, "reports").select("event_id", F.coalesce(gap, F.lit(False)).alias("welcome_back"))
+
+
+@query("date_ttl", "SELECT event_id FROM reports WHERE ts > TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 60 SECOND AND ts <= TIMESTAMP '2024-01-20 12:00:00'")
+def date_ttl(spark, sf):
+    now = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    ts = F.col("ts")
+    return bind(spark, sf, "reports").where((ts > now - F.expr("interval 60 seconds")) & (ts <= F.lit("2024-01-20 12:00:00").cast("timestamp"))).select("event_id")
+
+
+@query("st_high_water", "SELECT book_id, max(k) AS bookmark FROM reports GROUP BY 1")
+@query("st_progress_max", "SELECT book_id, max(k) AS bookmark FROM reports GROUP BY 1")
+def st_high_water(spark, sf):
+    """The batch twin of ``chronofold.streaming.position.high_water``."""
+    return bind(spark, sf, "reports").groupBy("book_id").agg(F.max("k").alias("bookmark"))
+
+
+@query("st_reset_epoch", """, e AS (SELECT *, sum(CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM reports)
+SELECT book_id, CAST(epoch AS BIGINT) AS epoch, coalesce(max(k) FILTER (WHERE kind <> 'purchase'), 0) AS bookmark FROM e GROUP BY 1, 2""")
+def st_reset_epoch(spark, sf):
+    w = Window.partitionBy("book_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    reset = F.col("kind") == "purchase"
+    rows = bind(spark, sf, "reports").withColumn("epoch", F.sum(reset.cast("int")).over(w))
+    return rows.groupBy("book_id", "epoch").agg(F.coalesce(F.max(F.when(~reset, F.col("k"))), F.lit(0)).alias("bookmark"))
+
+
+@query("st_debounce", """, n AS (SELECT *, lead(ts) OVER (PARTITION BY book_id ORDER BY ts, event_id) AS nxt FROM reports)
+SELECT event_id FROM n WHERE nxt IS NULL OR epoch(nxt) - epoch(ts) > 600""")
+def st_debounce(spark, sf):
+    return O.debounce(bind(spark, sf, "reports"), "book_id", "ts", 600, "event_id").select("event_id")
+
+
+@query("st_outbox", """, u AS (SELECT *, row_number() OVER (PARTITION BY book_id, kind ORDER BY ts DESC, event_id DESC) AS n FROM reports),
+o AS (SELECT event_id, row_number() OVER (PARTITION BY book_id ORDER BY CASE WHEN kind = 'view' THEN 0 ELSE 1 END, ts, event_id) AS place FROM u WHERE n = 1 AND k % 10 NOT IN (4, 9))
+SELECT event_id, place FROM o WHERE place <= 1000""")
+def st_outbox(spark, sf):
+    """Upsert by id, then positions first, refused ones dropped, at most 1,000 an owner (the queue's own bound)."""
+    kept = O.latest(bind(spark, sf, "reports"), ["book_id", "kind"], F.desc("ts"), F.desc("event_id")).where(~(F.col("k") % 10).isin(4, 9))
+    place = F.row_number().over(Window.partitionBy("book_id").orderBy(F.when(F.col("kind") == "view", 0).otherwise(1), "ts", "event_id"))
+    return kept.select("event_id", place.alias("place")).where("place <= 1000")
+
+
+@query("st_lease", "SELECT event_id, CASE WHEN usd > 80 THEN 'cancelled' WHEN k % 5 >= 3 THEN 'failed' ELSE 'queued' END AS state FROM reports WHERE ts < TIMESTAMP '2024-01-15 00:00:00'")
+def st_lease(spark, sf):
+    state = F.when(F.col("usd") > 80, "cancelled").when(F.col("k") % 5 >= 3, "failed").otherwise("queued")
+    return bind(spark, sf, "reports").where(F.col("ts") < F.lit("2024-01-15 00:00:00").cast("timestamp")).select("event_id", state.alias("state"))
+
+
+@query("set_marks_union", "SELECT event_id, 'h' AS kind, usd AS amount, CAST(NULL AS BIGINT) AS k FROM reports WHERE kind = 'view' UNION ALL SELECT event_id, 'a', NULL, k FROM reports WHERE kind = 'click' UNION ALL SELECT event_id, 'b', NULL, NULL FROM reports WHERE kind = 'purchase'")
+def set_marks_union(spark, sf):
+    r = bind(spark, sf, "reports")
+    h = r.where("kind = 'view'").select("event_id", F.lit("h").alias("kind"), F.col("usd").alias("amount"))
+    a = r.where("kind = 'click'").select("event_id", F.lit("a").alias("kind"), "k")
+    b = r.where("kind = 'purchase'").select("event_id", F.lit("b").alias("kind"))
+    return h.unionByName(a, True).unionByName(b, True).orderBy("event_id")
+
+
+@query("set_visible_future", FIRST + "SELECT tok, first_at <= 24 AS seen FROM f WHERE first_at <= 24 OR tok NOT IN ('a', 'the')")
+def set_visible_future(spark, sf):
+    f = first_seen(spark, sf)
+    allowed = spark.createDataFrame([("a",), ("the",)], "tok string")
+    future = f.where("first_at > 24").join(allowed, "tok", "left_anti").select("tok", F.lit(False).alias("seen"))
+    return f.where("first_at <= 24").select("tok", F.lit(True).alias("seen")).unionByName(future)
+
+
+@query("set_subset", r"SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(lower(substring(text, 1, 100)), '[a-z]+')), lambda x: NOT list_contains(regexp_extract_all(lower(substring(text, 101)), '[a-z]+'), x))) = 0 AS inside FROM documents")
+def set_subset(spark, sf):
+    w = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
+    rest = F.expr("substring(text, 101)")
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", (F.size(F.array_except(w(F.substring("text", 1, 100)), w(rest))) == 0).alias("inside"))
+
+
+@query("set_overlap", VIS + """SELECT DISTINCT a.entity_id AS a, b.entity_id AS b FROM va a JOIN va b ON a.surface = b.surface AND a.entity_id < b.entity_id""")
+def set_overlap(spark, sf):
+    a = at(spark, sf).aliases().select("surface", F.col("entity_id").alias("a")).distinct()
+    b = a.withColumnRenamed("a", "b")
+    return a.join(b, "surface").where("a < b").select("a", "b").distinct()
+
+
+@query("set_verify_equal", """, x AS (SELECT event_id, k FROM reports), y AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN k + 1 ELSE k END AS k FROM reports)
+SELECT event_id, k, 'lost' AS what FROM (SELECT * FROM x EXCEPT ALL SELECT * FROM y) UNION ALL SELECT event_id, k, 'new' FROM (SELECT * FROM y EXCEPT ALL SELECT * FROM x)""")
+@query("idx_vec_sync", """, x AS (SELECT event_id, k FROM reports), y AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN k + 1 ELSE k END AS k FROM reports)
+SELECT event_id, k, 'lost' AS what FROM (SELECT * FROM x EXCEPT ALL SELECT * FROM y) UNION ALL SELECT event_id, k, 'new' FROM (SELECT * FROM y EXCEPT ALL SELECT * FROM x)""")
+def set_verify_equal(spark, sf):
+    """Both directions of the multiset difference; equal snapshots give no row."""
+    x = bind(spark, sf, "reports").select("event_id", "k")
+    y = x.withColumn("k", F.when(F.col("event_id") % 50 == 0, F.col("k") + 1).otherwise(F.col("k")))
+    return x.exceptAll(y).withColumn("what", F.lit("lost")).unionByName(y.exceptAll(x).withColumn("what", F.lit("new")))
+
+
+@query("set_dedupe_marks", """, p AS (SELECT event_id % 400 AS mark_id, ts, event_id, kind, k, row_number() OVER (PARTITION BY event_id % 400 ORDER BY ts DESC, event_id DESC) AS n FROM reports)
+SELECT mark_id, k FROM p WHERE n = 1 AND kind <> 'purchase'""")
+def set_dedupe_marks(spark, sf):
+    """Pending mutations folded by mark: the last one wins, a delete removes."""
+    rows = bind(spark, sf, "reports").withColumn("mark_id", F.col("event_id") % 400)
+    return O.latest(rows, ["mark_id"], F.desc("ts"), F.desc("event_id")).where("kind <> 'purchase'").select("mark_id", "k")
+
+
+@query("gate_read_text", VIS + """SELECT string_agg(substring(c.text, 1, 40), ' ' ORDER BY c.revealed_at, c.chapter_key) AS read_text FROM vc c""")
+def gate_read_text(spark, sf):
+    rows = book(spark, sf).chapters()
+    parts = F.array_sort(F.collect_list(F.struct("revealed_at", "chapter_key", F.substring("text", 1, 40).alias("t"))))
+    return rows.agg(F.array_join(F.transform(parts, lambda x: x["t"]), " ").alias("read_text"))
+
+
+@query("agg_atom_hash", "SELECT book_id, substring(sha256(string_agg(CAST(revealed_at AS VARCHAR) || ':' || chapter_key || ':' || CAST(char_len AS VARCHAR), '|' ORDER BY revealed_at)), 1, 16) AS hash FROM chapters GROUP BY 1")
+def agg_atom_hash(spark, sf):
+    part = F.concat_ws(":", F.col("revealed_at").cast("string"), "chapter_key", F.col("char_len").cast("string"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("revealed_at", part.alias("p")))), lambda x: x["p"])
+    return bind(spark, sf, "chapters").groupBy("book_id").agg(F.substring(F.sha2(F.array_join(parts, "|"), 256), 1, 16).alias("hash"))
+
+
+@query("agg_snapshot", VIS + """, parts AS (SELECT 'entities:' || entity_id || ':None:' AS p FROM ve WHERE type = 'faction'
+ UNION ALL SELECT 'edges:' || CAST(edge_id AS VARCHAR) || ':' || coalesce(CAST(invalid_at AS VARCHAR), 'None') || ':' FROM vr
+ UNION ALL SELECT 'events:' || CAST(event_id AS VARCHAR) || ':None:' || CAST(order_idx AS VARCHAR) FROM vt
+ UNION ALL SELECT 'event_participants:' || CAST(p.event_id AS VARCHAR) || '-' || p.entity_id FROM vp p WHERE p.event_id IN (SELECT event_id FROM vt) AND p.entity_id IN (SELECT entity_id FROM ve))
+SELECT substring(sha256(string_agg(p, '|' ORDER BY p)), 1, 16) AS snapshot FROM parts""")
+def agg_snapshot(spark, sf):
+    """A hash of all that is visible; equal facts give equal hashes, whatever the order they came in."""
+    v = at(spark, sf)
+    s = lambda c: F.col(c).cast("string")
+    parts = v.entities("faction").select(F.concat(F.lit("entities:"), "entity_id", F.lit(":None:")).alias("p"))
+    parts = parts.unionByName(v.relationships().select(F.concat(F.lit("edges:"), s("edge_id"), F.lit(":"), F.coalesce(s("invalid_at"), F.lit("None")), F.lit(":")).alias("p")))
+    parts = parts.unionByName(v.timeline().select(F.concat(F.lit("events:"), s("event_id"), F.lit(":None:"), s("order_idx")).alias("p")))
+    parts = parts.unionByName(v.participants().select(F.concat(F.lit("event_participants:"), s("event_id"), F.lit("-"), "entity_id").alias("p")))
+    return parts.agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list("p")), "|"), 256), 1, 16).alias("snapshot"))
+
+
+@query("agg_merge_extractions", "SELECT conv_id, string_agg(trim(text), ' ' ORDER BY turn) FILTER (WHERE trim(text) <> '') AS summary, count(*) AS parts FROM conversations GROUP BY 1")
+def agg_merge_extractions(spark, sf):
+    parts = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.trim("text").alias("t")))), lambda x: x["t"]), lambda t: t != "")
+    out = spark.read.parquet(f"{sf}/conversations.parquet").groupBy("conv_id").agg(F.array_join(parts, " ").alias("summary"), F.count(F.lit(1)).alias("parts"))
+    return out.withColumn("summary", F.when(F.col("summary") != "", F.col("summary")))
+
+
+@query("agg_file_counts", "SELECT chapter_key, count(*) OVER (PARTITION BY book_id, content_language) AS anchors, greatest(1, char_len // count(*) OVER (PARTITION BY book_id, content_language)) AS share FROM chapters")
+def agg_file_counts(spark, sf):
+    n = F.count(F.lit(1)).over(Window.partitionBy("book_id", "content_language"))
+    return bind(spark, sf, "chapters").withColumn("anchors", n).select("chapter_key", "anchors", F.greatest(F.lit(1), F.expr("char_len div anchors")).alias("share"))
+
+
+@query("agg_archive_check", """, x AS (SELECT revealed_at, invalid_at, retracted_at FROM entities), y AS (SELECT revealed_at, invalid_at, retracted_at FROM entities WHERE entity_id <> 'c1')
+SELECT (SELECT count(*) FROM x) AS planned, (SELECT count(*) FROM y) AS found, (SELECT count(*) FROM (SELECT * FROM x EXCEPT ALL SELECT * FROM y)) AS lost""")
+def agg_archive_check(spark, sf):
+    x = bind(spark, sf, "entities")
+    y = x.where("entity_id <> 'c1'").select("revealed_at", "invalid_at", "retracted_at")
+    x = x.select("revealed_at", "invalid_at", "retracted_at")
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return n(x, "planned").join(n(y, "found")).join(n(x.exceptAll(y), "lost"))
+
+
+@query("agg_receipts", VIS + ", rc AS (SELECT c.chapter_key, c.book_id, c.revealed_at FROM chapters c JOIN receipts r ON r.book_id = c.book_id AND r.chapter_key = c.chapter_key AND r.ordinal = c.revealed_at AND r.content_hash = c.content_hash WHERE c.retracted_at IS NULL) SELECT book_id, count(*) AS receipts FROM rc WHERE revealed_at <= 24 GROUP BY 1")
+def agg_receipts(spark, sf):
+    return receipted(spark, sf).where("revealed_at <= 24").groupBy("book_id").agg(F.count(F.lit(1)).alias("receipts"))
+
+
+@query("agg_max_chapter", "SELECT book_id, coalesce(max(revealed_at) FILTER (WHERE retracted_at IS NULL), 0) AS last FROM chapters GROUP BY 1")
+def agg_max_chapter(spark, sf):
+    live = F.when(F.col("retracted_at").isNull(), F.col("revealed_at"))
+    return bind(spark, sf, "chapters").groupBy("book_id").agg(F.coalesce(F.max(live), F.lit(0)).alias("last"))
+
+
+@query("agg_resolution_quality", """, o AS (SELECT d.doc_id, l.quality AS gold, CASE WHEN length(d.text) % 3 = 0 THEN 1 ELSE l.toxic END AS pred FROM documents d JOIN labels l USING (doc_id) WHERE doc_id < 200)
+SELECT count(*) FILTER (WHERE a.gold = b.gold AND a.pred = b.pred) AS tp, count(*) FILTER (WHERE a.gold <> b.gold AND a.pred = b.pred) AS fp, count(*) FILTER (WHERE a.gold = b.gold AND a.pred <> b.pred) AS fn
+FROM o a JOIN o b ON a.doc_id < b.doc_id""")
+def agg_resolution_quality(spark, sf):
+    """Pairwise counts from cluster sizes alone: pairs within gold, within predicted and within both."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("doc_id < 200")
+    rows = d.select(F.col("quality").alias("gold"), F.when(F.length("text") % 3 == 0, 1).otherwise(F.col("toxic")).alias("pred"))
+    pairs = lambda *k: rows.groupBy(*k).count().agg(F.coalesce(F.sum(F.expr("count * (count - 1) div 2")), F.lit(0)))
+    both, gold, pred = pairs("gold", "pred").toDF("tp"), pairs("gold").toDF("g"), pairs("pred").toDF("p")
+    return both.join(gold).join(pred).select("tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("g") - F.col("tp")).alias("fn"))

@@ -1 +1,310 @@
-"""Queries."""
+"""Text functions over documents, pages and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from chronofold.functions import text as X
+from chronofold.plans.registry import query
+from chronofold.plans.standins import bind
+
+W = r"regexp_extract_all({0}, '[\p{{L}}\p{{M}}\p{{N}}]+')"
+STOP = "(" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + ")"
+
+
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+def pages(spark, sf):
+    return spark.read.parquet(f"{sf}/pages.parquet")
+
+
+def joined(tokens):
+    return F.array_join(tokens, " ")
+
+
+@query("str_normalize", r"SELECT doc_id, md5(trim(regexp_replace(lower(text), '[ \n\t\r]+', ' ', 'g'))) AS h FROM documents")
+def str_normalize(spark, sf):
+    return docs(spark, sf).select("doc_id", F.md5(X.normalise_fast(F.col("text"))).alias("h"))
+
+
+@query("str_normalize_nfc")
+def str_normalize_nfc(spark, sf):
+    """NFC and case folding, which SQL cannot express."""
+    return docs(spark, sf).select("doc_id", F.md5(X.normalise("text")).alias("h"))
+
+
+@query("str_words", "SELECT doc_id, len(" + W.format("text") + ") AS n, md5(array_to_string(" + W.format("text") + ", ' ')) AS h FROM documents")
+def str_words(spark, sf):
+    w = X.words(F.col("text"))
+    return docs(spark, sf).select("doc_id", F.size(w).cast("long").alias("n"), F.md5(joined(w)).alias("h"))
+
+
+@query("str_word_tokens", "SELECT doc_id, md5(array_to_string(list_filter(" + W.format("lower(text)") + r", lambda w: regexp_matches(w, '\p{L}') AND length(w) >= 2), ' ')) AS h FROM documents")
+def str_word_tokens(spark, sf):
+    return docs(spark, sf).select("doc_id", F.md5(joined(X.word_tokens(F.col("text"), 2))).alias("h"))
+
+
+@query("str_is_proper", "SELECT doc_id, len(list_filter(" + W.format("text") + r", lambda w: regexp_matches(w, '^\p{Lu}'))) AS n FROM documents")
+def str_is_proper(spark, sf):
+    return docs(spark, sf).select("doc_id", F.size(F.filter(X.words(F.col("text")), lambda w: w.rlike(r"^\p{Lu}"))).cast("long").alias("n"))
+
+
+@query("str_proper_words", r"SELECT doc_id, len(regexp_extract_all(text, '\p{Lu}[\p{L}\p{M}\p{N}]*(?:[-''’][\p{L}\p{M}\p{N}]+)*')) AS n FROM documents")
+def str_proper_words(spark, sf):
+    """Capitalised words with the lower-case parts of their compounds."""
+    found = F.regexp_extract_all("text", F.lit(r"\p{Lu}[\p{L}\p{M}\p{N}]*(?:[-'’][\p{L}\p{M}\p{N}]+)*"), F.lit(0))
+    return docs(spark, sf).select("doc_id", F.size(found).cast("long").alias("n"))
+
+
+@query("str_clean", r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS h FROM documents")
+def str_clean(spark, sf):
+    return docs(spark, sf).select("doc_id", F.md5(X.clean(F.col("text"))).alias("h"))
+
+
+@query("str_content_hash", "SELECT doc_id, substring(sha256(text), 1, 16) AS h FROM documents")
+def str_content_hash(spark, sf):
+    return docs(spark, sf).select("doc_id", X.content_hash(F.col("text")).alias("h"))
+
+
+@query("str_metadata", r"SELECT doc_id, nullif(left(trim(regexp_replace(text, '\s+', ' ', 'g')), 512), '') AS m FROM documents")
+def str_metadata(spark, sf):
+    return docs(spark, sf).select("doc_id", X.metadata(F.col("text")).alias("m"))
+
+
+@query("str_split_bytes", "SELECT doc_id, text AS whole FROM documents")
+def str_split_bytes(spark, sf):
+    """Pieces of at most 700 bytes, put together again."""
+    rows = docs(spark, sf).select("doc_id", X.split_bytes_udf("text", F.lit(700)).alias("p"))
+    fits = F.forall("p", lambda x: F.octet_length(x) <= 700)
+    return rows.where(fits).select("doc_id", F.array_join("p", "").alias("whole"))
+
+
+@query("str_sentences", r"SELECT doc_id, len(list_filter(regexp_extract_all(regexp_replace(text, '\b(Mr|Mrs|Ms|Dr|St|Mme|Mlle|Prof|Rev|Fr|Sr|Jr|Capt|Gen|Col|Lt)\.', '\1', 'g'), '[^.!?…\n]+[.!?…]*'), lambda s: trim(s) <> '')) AS n FROM documents WHERE NOT regexp_matches(text, '\bNo\.\s*\d|[A-ZÀ-Ý]\.\s+[A-ZÀ-Ý]')")
+def str_sentences(spark, sf):
+    """Against SQL on texts without the two lookahead cases, which its regular expressions lack."""
+    rows = docs(spark, sf).where(~F.col("text").rlike(r"\bNo\.\s*\d|[A-ZÀ-Ý]\.\s+[A-ZÀ-Ý]"))
+    return rows.select("doc_id", F.size(X.sentences(F.col("text"))).cast("long").alias("n"))
+
+
+@query("str_clauses", r"SELECT item_id, len(list_filter(string_split_regex(text, '[;:,()—]| – |\b(?:and|but|while|whereas|yet)\b'), lambda c: trim(c) <> '')) AS n FROM benchmark")
+def str_clauses(spark, sf):
+    return spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", F.size(X.clauses(F.col("text"))).cast("long").alias("n"))
+
+
+FOLD = "CASE WHEN w LIKE '%ing' AND length(w) >= 6 THEN left(w, length(w) - 3) WHEN w LIKE '%ed' AND length(w) >= 5 THEN left(w, length(w) - 2) WHEN w LIKE '%es' AND length(w) >= 5 THEN left(w, length(w) - 2) WHEN w LIKE '%ly' AND length(w) >= 5 THEN left(w, length(w) - 2) WHEN w LIKE '%s' AND length(w) >= 4 THEN left(w, length(w) - 1) ELSE w END"
+CONTENT = ", t AS (SELECT item_id, unnest(" + W.format("lower(text)") + r") AS w FROM benchmark), c AS (SELECT DISTINCT item_id, " + FOLD + r" AS f FROM t WHERE length(w) >= 2 AND regexp_matches(w, '\p{L}') AND w NOT IN " + STOP + ") "
+
+
+@query("str_fold", "SELECT item_id, md5(string_agg(f, ' ' ORDER BY w)) AS h FROM (SELECT item_id, w, " + FOLD + " AS f FROM (SELECT DISTINCT item_id, unnest(" + W.format("lower(text)") + ") AS w FROM benchmark) u) v GROUP BY 1")
+def str_fold(spark, sf):
+    w = F.array_sort(F.array_distinct(X.words(F.lower("text"))))
+    return spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", F.md5(joined(F.transform(w, X.fold))).alias("h"))
+
+
+@query("str_content_words", CONTENT + "SELECT item_id, string_agg(f, ' ' ORDER BY f) AS words FROM c GROUP BY 1")
+def str_content_words(spark, sf):
+    return spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", joined(F.array_sort(X.content_words(F.col("text")))).alias("words"))
+
+
+STEMS = "(" + "|".join(s for s in X.EVENT_STEMS if len(s) >= 4) + ")"
+SHORT = ", ".join(f"'{s}'" for s in X.EVENT_STEMS if len(s) < 4)
+
+
+@query("str_event_stem", ", t AS (SELECT doc_id, unnest(" + W.format("lower(text)") + f") AS w FROM documents) SELECT doc_id, bool_or(regexp_matches(w, '^{STEMS}') OR w IN ({SHORT})) AS hit FROM t GROUP BY 1")
+def str_event_stem(spark, sf):
+    rows = docs(spark, sf).select("doc_id", X.words(F.lower("text")).alias("w")).where(F.size("w") > 0)
+    return rows.select("doc_id", X.has_event_stem(F.col("w")).alias("hit"))
+
+
+PAST = ", ".join(f"'{s}'" for s in X.IRREGULAR_PAST)
+
+
+@query("str_past_tense", ", t AS (SELECT doc_id, unnest(" + W.format("lower(text)") + f") AS w FROM documents) SELECT doc_id, count(*) AS n FROM t WHERE length(w) >= 4 AND w NOT IN {STOP} AND (w LIKE '%ed' OR w IN ({PAST})) GROUP BY 1")
+def str_past_tense(spark, sf):
+    n = F.size(X.past_tense(X.words(F.lower("text")))).cast("long")
+    return docs(spark, sf).select("doc_id", n.alias("n")).where("n > 0")
+
+
+@query("str_prolepsis", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '" + X.PROLEPSIS + "'))), '|') AS hits FROM documents")
+def str_prolepsis(spark, sf):
+    return docs(spark, sf).select("doc_id", F.array_join(X.prolepsis(F.col("text")), "|").alias("hits"))
+
+
+@query("str_foreshadow", "SELECT doc_id, regexp_matches(lower(text), '" + X.FORESHADOW + "') AS hit FROM documents")
+def str_foreshadow(spark, sf):
+    return docs(spark, sf).select("doc_id", X.foreshadows(F.col("text")).alias("hit"))
+
+
+NAMES = "(VALUES ('Father Zossima'), ('Mother''s'), ('the General''s'), ('Mitya''s'), ('Elder Brown'), ('An Old Man'), ('Ivan Karamazov')) n(form)"
+
+
+def names(spark):
+    forms = ["Father Zossima", "Mother's", "the General's", "Mitya's", "Elder Brown", "An Old Man", "Ivan Karamazov"]
+    return spark.createDataFrame([(f,) for f in forms], "form string")
+
+
+ROLES = ", ".join(f"'{w}'" for w in sorted({*X.ROLE_NOUNS, *X.PRONOUNS}))
+
+
+@query("str_depossess", f"SELECT form, regexp_replace(lower(form), '(''s|’s|''|’)$', '') AS bare FROM {NAMES}")
+def str_depossess(spark, sf):
+    return names(spark).select("form", X.depossess(F.lower("form")).alias("bare"))
+
+
+@query("str_proper_tokens", f"SELECT form, array_to_string(list_filter([regexp_replace(t, '(''s|’s|''|’)$', '') FOR t IN string_split(lower(form), ' ')], lambda t: length(t) >= 2 AND t NOT IN ({ROLES})), ' ') AS tokens FROM {NAMES}")
+def str_proper_tokens(spark, sf):
+    return names(spark).select("form", joined(X.proper_tokens(F.col("form"))).alias("tokens"))
+
+
+@query("str_norm_key", f"SELECT form, array_to_string([regexp_replace(t, '(''s|’s|''|’)$', '') FOR t IN string_split(lower(form), ' ')], ' ') AS k FROM {NAMES}")
+def str_norm_key(spark, sf):
+    return names(spark).select("form", X.name_key(F.col("form")).alias("k"))
+
+
+HON = ", ".join(f"'{w}'" for w in X.NAME_HONORIFICS)
+
+
+@query("str_honorific", f"SELECT form, CASE WHEN len(t) = 2 AND t[1] IN ({HON}) AND t[2] NOT IN ({ROLES}) THEN t[2] END AS k FROM (SELECT form, [regexp_replace(x, '(''s|’s|''|’)$', '') FOR x IN string_split(lower(form), ' ')] AS t FROM {NAMES}) u")
+def str_honorific(spark, sf):
+    return names(spark).select("form", X.honorific_key(F.col("form")).alias("k"))
+
+
+@query("str_label_key", r"SELECT DISTINCT o_orderpriority AS label, trim(regexp_replace(regexp_replace(lower(o_orderpriority || ' Relation'), '\b(relationship|relation|tie)s?\b', ' ', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')) AS k FROM orders")
+def str_label_key(spark, sf):
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderpriority").alias("label")).distinct()
+    return rows.select("label", X.label_key(F.concat("label", F.lit(" Relation"))).alias("k"))
+
+
+@query("str_wrap_names")
+def str_wrap_names(spark, sf):
+    """Names marked at Unicode word boundaries, the longest first; SQL here has no lookbehind."""
+    listed = ["the hein", "thein", "the"]
+    pattern = r"(?<![\p{L}\p{N}])(" + "|".join(sorted(listed, key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
+    return docs(spark, sf).select("doc_id", F.regexp_count(F.lower("text"), F.lit(pattern)).alias("n"))
+
+
+@query("str_href_norm", r"SELECT page_id, url_decode(regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+:/', ''), '[?#].*$', ''), '^(\./|/)+', '')) AS href FROM pages")
+def str_href_norm(spark, sf):
+    return pages(spark, sf).select("page_id", X.href_norm(F.regexp_replace("url", "^[a-z]+:/", "")).alias("href"))
+
+
+@query("flt_language", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'und' ELSE lower(lang) || '-x' || CAST(doc_id % 10 AS VARCHAR) END AS tag FROM documents")
+def flt_language(spark, sf):
+    raw = F.when(F.col("doc_id") % 7 == 0, F.lit("not a tag!")).otherwise(F.concat(F.upper("lang"), F.lit("_x"), (F.col("doc_id") % 10).cast("string")))
+    return docs(spark, sf).select("doc_id", X.language_tag(raw).alias("tag"))
+
+
+@query("flt_book_id", "SELECT doc_id, regexp_matches('bk' || source || CASE WHEN doc_id % 3 = 0 THEN '-' ELSE '' END, '^bk[a-z0-9]{1,64}$') AS ok FROM documents")
+def flt_book_id(spark, sf):
+    raw = F.concat(F.lit("bk"), "source", F.when(F.col("doc_id") % 3 == 0, "-").otherwise(""))
+    return docs(spark, sf).select("doc_id", X.book_id_ok(raw).alias("ok"))
+
+
+SEG = r", p AS (SELECT page_id, url, html, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_replace(html, '<[^>]*>', ' ', 'g') AS body FROM pages) "
+
+
+def segments(spark, sf):
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    return pages(spark, sf).select("page_id", "url", "html", title.alias("title"), F.regexp_replace("html", "<[^>]*>", " ").alias("body"))
+
+
+@query("seg_classify", SEG + f"SELECT page_id, CASE WHEN regexp_matches(left(body, 4000), '{X.START}') THEN 'front' WHEN regexp_matches(title, '{X.CAST}') THEN 'front' WHEN regexp_matches(body, '{X.LICENCE}') THEN CASE WHEN regexp_matches(title, '{X.CHAPTER}') THEN 'body' ELSE 'back' END WHEN regexp_matches(url, '{X.FRONT_NAME}') THEN 'front' WHEN regexp_matches(title, '{X.CHAPTER}') THEN 'body' WHEN regexp_matches(title, '{X.FRONT_LABEL}') THEN 'front' WHEN regexp_matches(title, '{X.BACK_LABEL}') THEN 'back' ELSE 'body' END AS part FROM p")
+def seg_classify(spark, sf):
+    return segments(spark, sf).select("page_id", X.classify(F.col("url"), F.col("body"), F.col("title")).alias("part"))
+
+
+@query("seg_divider", SEG + f"SELECT page_id, len(string_split_regex(trim(body), '\\s+')) < 200 AND regexp_matches(title, '{X.DIVIDER}') AS divider FROM p")
+def seg_divider(spark, sf):
+    n = F.size(F.split(F.trim("body"), r"\s+"))
+    return segments(spark, sf).select("page_id", X.is_divider(n, F.col("title")).alias("divider"))
+
+
+@query("seg_mode", "SELECT source, CASE WHEN count(*) > greatest(1, count(DISTINCT lang)) * 1.3 THEN 'anchor-driven' ELSE 'file-driven' END AS mode FROM documents GROUP BY 1")
+def seg_mode(spark, sf):
+    anchored = F.count(F.lit(1)) > F.greatest(F.lit(1), F.count_distinct("lang")) * 1.3
+    return docs(spark, sf).groupBy("source").agg(F.when(anchored, "anchor-driven").otherwise("file-driven").alias("mode"))
+
+
+@query("seg_linear", "SELECT page_id FROM pages WHERE page_id % 4 <> 0 OR page_id IN (SELECT doc_id FROM labels)")
+def seg_linear(spark, sf):
+    rows = pages(spark, sf).select("page_id")
+    toc = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("page_id"))
+    return rows.where("page_id % 4 <> 0").unionByName(rows.where("page_id % 4 = 0").join(toc, "page_id", "left_semi"))
+
+
+@query("seg_flags", SEG + ", f AS (SELECT page_id % 10 AS book, CASE WHEN title = '' THEN 'coverage gap' WHEN length(body) < 400 THEN 'ambiguous front' END AS flag FROM p) SELECT book, string_agg(DISTINCT flag, '|' ORDER BY flag) AS flags, bool_or(coalesce(flag = 'coverage gap', false)) AS gating FROM f GROUP BY 1")
+def seg_flags(spark, sf):
+    flag = F.when(F.col("title") == "", "coverage gap").when(F.length("body") < 400, "ambiguous front")
+    rows = segments(spark, sf).select((F.col("page_id") % 10).alias("book"), flag.alias("flag"))
+    got = F.array_join(F.sort_array(F.collect_set("flag")), "|")
+    return rows.groupBy("book").agg(F.nullif(got, F.lit("")).alias("flags"), F.bool_or(F.coalesce(F.col("flag") == "coverage gap", F.lit(False))).alias("gating"))
+
+
+@query("math_offset", "SELECT event_id, CAST(CASE WHEN k > 98 THEN NULL WHEN k % 10 = 0 THEN 1000 * k ELSE floor(1000 * k + (least(greatest(event_id % 12, 1), k % 10) - 1) * 1000 / (k % 10)) END AS BIGINT) AS pos FROM reports")
+def math_offset(spark, sf):
+    page = F.least(F.greatest(F.col("event_id") % 12, F.lit(1)), F.col("k") % 10)
+    inside = F.floor(1000 * F.col("k") + (page - 1) * 1000 / (F.col("k") % 10))
+    pos = F.when(F.col("k") > 98, F.lit(None)).when(F.col("k") % 10 == 0, 1000 * F.col("k")).otherwise(inside)
+    return bind(spark, sf, "reports").select("event_id", pos.cast("long").alias("pos"))
+
+
+@query("math_usd", "SELECT event_id, CAST(round(1e9 * CASE kind WHEN 'view' THEN k * 0.15e-6 + 7 * 0.60e-6 WHEN 'click' THEN k * 2.5e-6 + 7 * 10e-6 WHEN 'purchase' THEN k * 0.02e-6 ELSE 0 END) AS BIGINT) AS nano_usd FROM reports")
+def math_usd(spark, sf):
+    """Prices by the first listed model name that the identity holds; unknown models cost nothing."""
+    model = F.when(F.col("kind") == "view", "gpt-4o-mini").when(F.col("kind") == "click", "x/gpt-4o").when(F.col("kind") == "purchase", "text-embedding-3-small").otherwise("other")
+    # Dollars per input and output token.
+    prices = (("gpt-4o-mini", 0.15e-6, 0.60e-6), ("gpt-4o", 2.50e-6, 10.0e-6), ("text-embedding-3-small", 0.02e-6, 0.0))
+    usd = F.lit(0.0)
+    for name, i, o in reversed(prices):
+        usd = F.when(F.contains(model, F.lit(name)), F.col("k") * i + 7 * o).otherwise(usd)
+    return bind(spark, sf, "reports").select("event_id", F.round(usd * 1e9).cast("long").alias("nano_usd"))
+
+
+@query("math_token_estimate", "SELECT doc_id, CAST(strlen(text) + strlen(source) + 64 AS BIGINT) AS tokens FROM documents")
+def math_token_estimate(spark, sf):
+    return docs(spark, sf).select("doc_id", (F.octet_length("text") + F.octet_length("source") + 64).cast("long").alias("tokens"))
+
+
+@query("json_state", "SELECT state_id, json_extract_string(status_json, '$.status') AS status, CAST(json_extract_string(status_json, '$.rank') AS BIGINT) AS rank FROM states")
+def json_state(spark, sf):
+    s = F.from_json("status_json", "status string, rank bigint")
+    return bind(spark, sf, "states").select("state_id", s["status"].alias("status"), s["rank"].alias("rank"))
+
+
+@query("json_canonical", "SELECT state_id, '{\"rank\":' || json_extract_string(status_json, '$.rank') || ',\"status\":\"' || json_extract_string(status_json, '$.status') || '\"}' AS j FROM states")
+def json_canonical(spark, sf):
+    """Keys sorted, separators compact."""
+    s = F.from_json("status_json", "rank bigint, status string")
+    return bind(spark, sf, "states").select("state_id", F.to_json(s).alias("j"))
+
+
+@query("arr_roundrobin_index", "SELECT doc_id, array_to_string([CAST(round_even(x * (n_chars - 1) / 5.0, 0) AS BIGINT) FOR x IN range(0, 6)], ',') AS at FROM documents")
+def arr_roundrobin_index(spark, sf):
+    at = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda x: F.bround(x * (F.col("n_chars") - 1) / 5.0, 0).cast("long").cast("string"))
+    return docs(spark, sf).select("doc_id", F.array_join(at, ",").alias("at"))
+
+
+@query("uuid_stable")
+def uuid_stable(spark, sf):
+    """UUIDv5 of owner, kind and value: SHA-1 of name space and name, with version and variant set."""
+    space = "6ba7b8109dad11d180b400c04fd430c8"
+    h = F.sha1(F.concat(F.unhex(F.lit(space)), F.encode(F.concat_ws(":", "source", F.lit("doc"), F.col("doc_id").cast("string")), "utf-8")))
+    nibble = F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4
+    variant = F.element_at(F.array(*[F.lit(c) for c in "89ab"]), nibble + 1)
+    return docs(spark, sf).select("doc_id", F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12)).alias("id"))
+
+
+@query("src_html_text", r"SELECT page_id, length(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS n, regexp_extract(html, '(?is)<h[1-3][^>]*>(.*?)</h[1-3]>', 1) AS heading FROM pages")
+def src_html_text(spark, sf):
+    body = F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
+    body = F.regexp_replace(F.regexp_replace(body, "<[^>]*>", " "), r"\s+", " ")
+    return pages(spark, sf).select("page_id", F.length(body).cast("long").alias("n"), F.regexp_extract("html", r"(?is)<h[1-3][^>]*>(.*?)</h[1-3]>", 1).alias("heading"))
+
+
+@query("src_epubtype", r"SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '<(body|section|article)\b', 1))), ' ') AS types FROM pages WHERE NOT contains(html, 'epub:type')")
+def src_epubtype(spark, sf):
+    """Typed elements (no page of the tables has a type attribute, so the elements)."""
+    found = F.regexp_extract_all("html", F.lit(r"<(body|section|article)\b"), F.lit(1))
+    return pages(spark, sf).where(~F.contains("html", F.lit("epub:type"))).select("page_id", joined(F.array_sort(F.array_distinct(found))).alias("types"))

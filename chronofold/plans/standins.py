@@ -24,7 +24,7 @@ SELECT 's' || CAST(s_suppkey AS STRING), s_name, 'faction', CAST(1 + (s_suppkey
        CASE WHEN s_suppkey % 17 = 0 THEN {RETRACTED} END
 FROM {{supplier}}""",
     "edges": f"""
-SELECT CAST((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey % 100000 AS BIGINT) AS edge_id, 'c' || CAST(o_custkey AS STRING) AS src_entity,
+SELECT CAST(((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey % 100000) * 1000 + l_suppkey % 1000 AS BIGINT) AS edge_id, 'c' || CAST(o_custkey AS STRING) AS src_entity,
        's' || CAST(l_suppkey AS STRING) AS dst_entity, o_orderpriority AS rel_type, l_linestatus AS label,
        CAST((extract(year FROM o_orderdate) - 1995) * 12 + extract(month FROM o_orderdate) AS INT) AS revealed_at,
        CASE WHEN l_returnflag = 'R' THEN CAST((extract(year FROM o_orderdate) - 1995) * 12 + extract(month FROM o_orderdate) + 6 AS INT) END AS invalid_at,
