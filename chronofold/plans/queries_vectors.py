@@ -1 +1,164 @@
-"""Queries."""
+"""Vector search, full-text search and the lexical embedding."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from chronofold.operators import vectors as V
+from chronofold.operators.view import visible
+from chronofold.plans.queries_views import BOOK, book
+from chronofold.plans.registry import query
+from chronofold.plans.standins import bind
+
+BM = 5
+DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST({0}[i] AS DOUBLE) * CAST({1}[i] AS DOUBLE)))"
+COS = ", q AS (SELECT vec AS qv FROM chunks WHERE chunk_id = 7), e AS (SELECT * FROM chunks WHERE revealed_at <= 5 AND retracted_at IS NULL), s AS (SELECT e.*, " + DOT.format("vec", "qv") + " / (sqrt(" + DOT.format("vec", "vec") + ") * sqrt(" + DOT.format("qv", "qv") + ")) AS score FROM e, q) "
+
+
+def wanted(spark, sf) -> list[float]:
+    return [float(x) for x in bind(spark, sf, "chunks").where("chunk_id = 7").first()["vec"]]
+
+
+def live(spark, sf):
+    return visible(bind(spark, sf, "chunks"), BM)
+
+
+TOP = "SELECT chunk_id, CAST(round(score * 1000000) AS BIGINT) AS micro FROM s ORDER BY score DESC, chapter_key DESC LIMIT {0}"
+
+
+def _micro(rows):
+    return rows.select("chunk_id", F.round(F.col("score") * 1_000_000).cast("long").alias("micro"))
+
+
+@query("topk_cosine", COS + TOP.format(10))
+@query("topk_vec0", COS + TOP.format(10))
+@query("topk_search_view", COS + TOP.format(10))
+def topk_cosine(spark, sf):
+    return _micro(V.search(live(spark, sf), wanted(spark, sf), 10))
+
+
+@query("topk_canary", COS + TOP.format(1))
+def topk_canary(spark, sf):
+    """The nearest rows of all are not revealed yet; the answer must be the nearest visible one."""
+    return _micro(V.search(live(spark, sf), wanted(spark, sf), 1))
+
+
+@query("topk_funnel", COS + "SELECT chunk_id, CAST(round(score * 1000000) AS BIGINT) AS micro FROM s WHERE model = 'model-1' AND dimension = 64 AND revealed_at IN (SELECT revealed_at FROM chapters WHERE book_id = 'src0' AND retracted_at IS NULL AND revealed_at <= 5) ORDER BY score DESC, chapter_key DESC LIMIT 8")
+def topk_funnel(spark, sf):
+    chapters = book(spark, sf, BM).chapters().select("revealed_at")
+    rows = live(spark, sf).where("model = 'model-1' and dimension = 64").join(chapters, "revealed_at", "left_semi")
+    return _micro(V.search(rows, wanted(spark, sf), 8))
+
+
+@query("topk_pgvector", ", q AS (SELECT vec AS qv FROM chunks WHERE chunk_id = 7), e AS (SELECT * FROM chunks WHERE revealed_at <= 5 AND retracted_at IS NULL), s AS (SELECT chunk_id, 1 - " + DOT.format("vec", "qv") + " / (sqrt(" + DOT.format("vec", "vec") + ") * sqrt(" + DOT.format("qv", "qv") + ")) AS c, sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(CAST(vec[i] AS DOUBLE) - CAST(qv[i] AS DOUBLE), 2)))) AS l, -" + DOT.format("vec", "qv") + " AS p FROM e, q) SELECT 'cosine' AS metric, * FROM (SELECT chunk_id FROM s ORDER BY c, chunk_id LIMIT 5) UNION ALL SELECT 'l2', * FROM (SELECT chunk_id FROM s ORDER BY l, chunk_id LIMIT 5) UNION ALL SELECT 'inner_product', * FROM (SELECT chunk_id FROM s ORDER BY p, chunk_id LIMIT 5)")
+def topk_pgvector(spark, sf):
+    q = F.array(*[F.lit(x) for x in wanted(spark, sf)])
+    out = None
+    for metric in ("cosine", "l2", "inner_product"):
+        rows = live(spark, sf).withColumn("d", V.distance(metric, F.col("vec"), q)).orderBy("d", "chunk_id").limit(max(0, min(5, 100)))
+        rows = rows.select(F.lit(metric).alias("metric"), "chunk_id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("topk_ask_sources", ", n AS (SELECT doc_id, trim(regexp_replace(substring(text, 1, 400), '\\s+', ' ', 'g')) AS t, row_number() OVER (PARTITION BY trim(regexp_replace(substring(text, 1, 400), '\\s+', ' ', 'g')) ORDER BY doc_id) AS d FROM documents WHERE doc_id < 60) SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id, left(t, 200) AS t FROM n WHERE d = 1 AND t <> '' ORDER BY doc_id LIMIT 6")
+def topk_ask_sources(spark, sf):
+    """The first six distinct, non-blank passages of a ranked list, numbered anew."""
+    t = F.trim(F.regexp_replace(F.substring("text", 1, 400), r"\s+", " "))
+    rows = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60").select("doc_id", t.alias("t")).where("t <> ''")
+    first = rows.groupBy("t").agg(F.min("doc_id").alias("doc_id")).orderBy("doc_id").limit(6)
+    return first.select(F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("n"), "doc_id", F.left("t", F.lit(200)).alias("t"))
+
+
+def term_scores(spark, sf, must: list[str], any_of: list[str], none: list[str]):
+    """Web-style search over word arrays: all of ``must``, one of ``any_of`` if given, none of ``none``; the
+    order is hits per word, then the identifier."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", w.alias("w"))
+    for m in must:
+        rows = rows.where(F.array_contains("w", m))
+    if any_of:
+        rows = rows.where(F.arrays_overlap("w", F.array(*[F.lit(a) for a in any_of])))
+    for n in none:
+        rows = rows.where(~F.array_contains("w", n))
+    terms = F.array(*[F.lit(x) for x in must + any_of])
+    hits = F.size(F.filter("w", lambda x: F.array_contains(terms, x)))
+    return rows.withColumn("hits", hits.cast("long")).withColumn("n", F.size("w").cast("long"))
+
+
+FTS = r", w AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents), f AS (SELECT doc_id, len(list_filter(w, lambda x: x IN ('the', 'tion', 'heing'))) AS hits, len(w) AS n FROM w WHERE list_contains(w, 'the') AND (list_contains(w, 'tion') OR list_contains(w, 'heing')) AND NOT list_contains(w, 'der')) "
+
+
+@query("topk_fts", FTS + "SELECT doc_id, hits FROM f ORDER BY hits * 1000000 // n DESC, doc_id LIMIT 20")
+@query("str_websearch", FTS + "SELECT doc_id, hits FROM f ORDER BY hits * 1000000 // n DESC, doc_id LIMIT 20")
+@query("str_rank_cd", FTS + "SELECT doc_id, hits FROM f ORDER BY hits * 1000000 // n DESC, doc_id LIMIT 20")
+def topk_fts(spark, sf):
+    rows = term_scores(spark, sf, ["the"], ["tion", "heing"], ["der"])
+    return rows.orderBy(F.desc(F.expr("hits * 1000000 div n")), "doc_id").limit(20).select("doc_id", "hits")
+
+
+@query("topk_fts_ask", FTS + ", t AS (SELECT f.doc_id, w, list_position(w, 'tion') AS p FROM f JOIN w ON w.doc_id = f.doc_id ORDER BY hits * 1000000 // n DESC, f.doc_id LIMIT 12) SELECT doc_id, array_to_string(w[greatest(p - 6, 1) : p + 6], ' ') AS headline FROM t WHERE p IS NOT NULL")
+@query("str_headline", FTS + ", t AS (SELECT f.doc_id, w, list_position(w, 'tion') AS p FROM f JOIN w ON w.doc_id = f.doc_id ORDER BY hits * 1000000 // n DESC, f.doc_id LIMIT 12) SELECT doc_id, array_to_string(w[greatest(p - 6, 1) : p + 6], ' ') AS headline FROM t WHERE p IS NOT NULL")
+def topk_fts_ask(spark, sf):
+    """The best twelve with the words around the first hit."""
+    rows = term_scores(spark, sf, ["the"], ["tion", "heing"], ["der"]).orderBy(F.desc(F.expr("hits * 1000000 div n")), "doc_id").limit(12)
+    rows = rows.withColumn("p", F.array_position("w", "tion").cast("int")).where("p > 0")
+    start = F.greatest(F.col("p") - 6, F.lit(1))
+    return rows.select("doc_id", F.array_join(F.slice("w", start, F.col("p") + 6 - start + 1), " ").alias("headline"))
+
+
+@query("topk_embed_match")
+def topk_embed_match(spark, sf):
+    """Blocks of queries against all vectors: a match needs 0.82 and a margin of 0.05."""
+    c = spark.read.parquet(f"{sf}/embeddings.parquet")
+    asked = c.where("vec_id % 100 = 0").select(F.col("vec_id").alias("mention"), F.col("embedding").alias("qv"))
+    pairs = c.join(F.broadcast(asked), F.col("vec_id") != F.col("mention"))  # a stated query set against all rows
+    scored = pairs.select("mention", F.col("vec_id").alias("candidate"), V.cosine(F.col("embedding"), F.col("qv")).alias("score")).where("score is not null")
+    return V.best_match(scored, "mention").select("mention", "candidate")
+
+
+@query("math_cosine", ", a AS (SELECT chunk_id, vec FROM chunks), p AS (SELECT x.chunk_id, x.vec AS v, y.vec AS w FROM a x JOIN a y ON y.chunk_id = x.chunk_id + 1) SELECT chunk_id, CAST(round(1000000 * " + DOT.format("v", "w") + " / (sqrt(" + DOT.format("v", "v") + ") * sqrt(" + DOT.format("w", "w") + "))) AS BIGINT) AS micro FROM p")
+def math_cosine(spark, sf):
+    a = bind(spark, sf, "chunks").select("chunk_id", "vec")
+    b = a.select((F.col("chunk_id") - 1).alias("chunk_id"), F.col("vec").alias("w"))
+    return a.join(b, "chunk_id").select("chunk_id", F.round(V.cosine(F.col("vec"), F.col("w")) * 1_000_000).cast("long").alias("micro"))
+
+
+@query("math_canary", ", a AS (SELECT chunk_id, vec FROM chunks), p AS (SELECT x.chunk_id, x.vec AS v, y.vec AS w FROM a x LEFT JOIN a y ON y.chunk_id = x.chunk_id - x.chunk_id % 2) SELECT chunk_id, CASE WHEN " + DOT.format("v", "w") + " / (sqrt(" + DOT.format("v", "v") + ") * sqrt(" + DOT.format("w", "w") + ")) >= 0.999 THEN 'same' ELSE 're-embed' END AS space FROM p")
+def math_canary(spark, sf):
+    """The embedding space is unchanged only while a canary's cosine stays at 0.999 or more."""
+    a = bind(spark, sf, "chunks").select("chunk_id", "vec", (F.col("chunk_id") - F.col("chunk_id") % 2).alias("canary"))
+    b = a.select(F.col("chunk_id").alias("canary"), F.col("vec").alias("w"))
+    same = V.cosine(F.col("vec"), F.col("w")) >= 0.999
+    return a.join(b, "canary", "left").select("chunk_id", F.when(same, "same").otherwise("re-embed").alias("space"))
+
+
+LEX = r", c AS (SELECT item_id, regexp_replace(lower(text), '[^\p{L}\p{N}]', ' ', 'g') AS t FROM benchmark), g AS (SELECT item_id, unnest(list_concat(list_filter(string_split_regex(t, '\s+'), lambda w: w <> ''), [substring(t, CAST(i AS INT), 3) FOR i IN range(1, length(t) - 1)])) AS g FROM c), h AS (SELECT item_id, CAST(('0x' || right(md5(g), 2)) AS INT) AS bucket, count(*) AS n FROM g GROUP BY 1, 2) "
+
+
+@query("src_lexical_embed", LEX + "SELECT item_id, bucket, CAST(round(1000000 * n / sqrt(sum(n * n) OVER (PARTITION BY item_id))) AS BIGINT) AS micro FROM h")
+def src_lexical_embed(spark, sf):
+    """A 256-bucket embedding: words and character trigrams by their MD5's low byte, scaled to unit length."""
+    t = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]", " ")
+    rows = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", t.alias("t"))
+    tokens = F.filter(F.split("t", r"\s+"), lambda w: w != "")
+    grams = F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substring("t", i, F.lit(3)))
+    each = rows.select("item_id", F.explode(F.concat(tokens, grams)).alias("g"))
+    counts = each.groupBy("item_id", F.conv(F.right(F.md5("g"), F.lit(2)), 16, 10).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    size = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("item_id")))
+    return counts.select("item_id", "bucket", F.round(1_000_000 * F.col("n") / size).cast("long").alias("micro"))
+
+
+EVAL = COS.replace("revealed_at <= 5 AND ", "")
+
+
+@query("eval_rag", EVAL + ", b AS (SELECT unnest(range(0, 11)) AS bm), r AS (SELECT bm, chunk_id, revealed_at, row_number() OVER (PARTITION BY bm ORDER BY score DESC, chapter_key DESC) AS n FROM b JOIN s ON s.revealed_at <= bm) SELECT bm, count(*) AS hits, count(*) FILTER (WHERE revealed_at > bm) AS leaks FROM r WHERE n <= 6 GROUP BY 1")
+def eval_rag(spark, sf):
+    """Every bookmark at once: the six best visible chunks, and how many of them leak (none)."""
+    q = F.array(*[F.lit(x) for x in wanted(spark, sf)])
+    s = visible(bind(spark, sf, "chunks"), F.lit(10)).withColumn("score", V.cosine(F.col("vec"), q))
+    at = s.withColumn("bm", F.explode(F.sequence(F.col("revealed_at"), F.lit(10)))).where("revealed_at <= bm")
+    n = F.row_number().over(Window.partitionBy("bm").orderBy(F.desc("score"), F.desc("chapter_key")))
+    top = at.withColumn("n", n).where("n <= 6")
+    return top.groupBy(F.col("bm").cast("long").alias("bm")).agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.col("revealed_at") > F.col("bm")).alias("leaks"))
