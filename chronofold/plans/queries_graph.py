@@ -1 +1,223 @@
-"""Queries."""
+"""Identity resolution, corrections, bitemporal changes and paths."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from chronofold.functions import text as X
+from chronofold.operators import facts as K
+from chronofold.plans.queries_views import VALID, VIS, at
+from chronofold.plans.registry import query
+from chronofold.plans.standins import bind
+
+MENTIONS = [
+    (1, "character", "Customer#000000001", True), (2, "character", "CUSTOMER#000000002", False), (3, "character", "NATION_1", False),
+    (4, "character", "the elder", False), (5, "faction", "Supplier#000000003", True), (6, "character", "Father Zossima", False),
+    (7, "character", "Nobody Known", False), (8, "character", "customer#000000008's", False),
+]
+
+
+@query("er_resolve_one")
+def er_resolve_one(spark, sf):
+    mentions = spark.createDataFrame(MENTIONS, "mention_id int, type string, form string, linked boolean")
+    e = bind(spark, sf, "entities")
+    canon = e.select("entity_id", "type", F.col("canonical_name").alias("form"), F.lit(True).alias("canonical"))
+    alias = bind(spark, sf, "aliases").join(e.select("entity_id", "type"), "entity_id").select("entity_id", "type", F.col("surface").alias("form"), F.lit(False).alias("canonical"))
+    return K.resolve(mentions, canon.unionByName(alias))
+
+
+@query("er_exact_layer", """, m AS (SELECT * FROM (VALUES (1, 'character', 'customer#000000001'), (2, 'character', 'customer#000000002'), (5, 'faction', 'supplier#000000003'), (7, 'character', 'nobody known')) v(mention_id, type, form)),
+h AS (SELECT mention_id, count(DISTINCT entity_id) AS n, min(entity_id) AS entity_id FROM m JOIN entities e ON e.type = m.type AND lower(canonical_name) = form GROUP BY 1)
+SELECT m.mention_id, CASE WHEN n = 1 THEN entity_id END AS entity_id FROM m LEFT JOIN h ON h.mention_id = m.mention_id""")
+def er_exact_layer(spark, sf):
+    """The exact layer alone, which SQL can follow."""
+    rows = [(1, "character", "customer#000000001", False), (2, "character", "customer#000000002", False), (5, "faction", "supplier#000000003", False), (7, "character", "nobody known", False)]
+    mentions = spark.createDataFrame(rows, "mention_id int, type string, form string, linked boolean")
+    canon = bind(spark, sf, "entities").select("entity_id", "type", F.col("canonical_name").alias("form"), F.lit(True).alias("canonical"))
+    return K.resolve(mentions, canon).select("mention_id", "entity_id")
+
+
+@query("er_resolve_chapter")
+def er_resolve_chapter(spark, sf):
+    """In order, with a growing roster: sequential inside a book, parallel over books."""
+
+    def grow(pdf):
+        roster, out = {}, []
+        for row in pdf.sort_values(["turn"]).itertuples():
+            words = (row.text or "").lower().split()
+            form = words[0] if words else ""
+            out.append((row.conv_id, row.turn, form, roster.get(form, -1)))
+            roster.setdefault(form, len(roster))
+        return type(pdf)(out, columns=["conv_id", "turn", "form", "known_as"])
+
+    c = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "text")
+    return c.groupBy("conv_id").applyInPandas(grow, "conv_id long, turn long, form string, known_as long")
+
+
+@query("er_coalesce_honorific", """, n AS (SELECT * FROM (VALUES ('e1', 'Father Zossima'), ('e2', 'Zossima'), ('e3', 'Brother Karamazov'), ('e4', 'Karamazov'), ('e5', 'Karamazov'), ('e6', 'Doctor Zossima')) v(id, name)),
+s AS (SELECT lower(name) AS k, min(id) AS id FROM n WHERE NOT contains(name, ' ') GROUP BY 1 HAVING count(*) = 1)
+SELECT n.id AS old_id, s.id AS new_id FROM n JOIN s ON s.k = lower(split_part(name, ' ', 2)) WHERE lower(split_part(name, ' ', 1)) IN ('father', 'elder', 'abbot', 'brother', 'mother', 'sister')""")
+def er_coalesce_honorific(spark, sf):
+    """A title and a name fold into the only bearer of that single name."""
+    n = spark.createDataFrame([("e1", "Father Zossima"), ("e2", "Zossima"), ("e3", "Brother Karamazov"), ("e4", "Karamazov"), ("e5", "Karamazov"), ("e6", "Doctor Zossima")], "id string, name string")
+    t = n.withColumn("t", F.split(F.lower("name"), r"\s+"))
+    single = t.where("size(t) = 1").groupBy(F.get("t", F.lit(0)).alias("k")).agg(F.min("id").alias("new_id"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    titled = t.where((F.size("t") == 2) & F.rtrim(F.get("t", F.lit(0)), F.lit(".")).isin(*X.FOLD_HONORIFICS)).select(F.col("id").alias("old_id"), F.get("t", F.lit(1)).alias("k"))
+    return titled.join(single, "k").select("old_id", "new_id")
+
+
+@query("gr_shortest_path", VIS + """, u AS (SELECT src_entity AS a, dst_entity AS b FROM vr UNION SELECT dst_entity, src_entity FROM vr),
+s AS (SELECT min(src_entity) AS node FROM vr), h1 AS (SELECT DISTINCT b AS node FROM u JOIN s ON a = s.node), h2 AS (SELECT DISTINCT b AS node FROM u JOIN h1 ON a = h1.node),
+h3 AS (SELECT DISTINCT b AS node FROM u JOIN h2 ON a = h2.node), al AS (SELECT node, 0 AS hops FROM s UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2 UNION ALL SELECT node, 3 FROM h3)
+SELECT node, min(hops) AS hops FROM al GROUP BY 1""")
+def gr_shortest_path(spark, sf):
+    r = at(spark, sf).relationships().select(F.col("src_entity").alias("a"), F.col("dst_entity").alias("b"))
+    start = r.agg(F.min("a").alias("m")).first()["m"]
+    return K.shortest_paths(r, start or "", 3)
+
+
+REMAP = [("c1", "n1", "One"), ("c2", "n1", "One"), ("c4", "n4", "Four")]
+COR = f""", m AS (SELECT * FROM (VALUES ('c1', 'n1', 'One'), ('c2', 'n1', 'One'), ('c4', 'n4', 'Four')) v(old_id, new_id, new_name)),
+le AS (SELECT e.*, m.new_id, m.new_name FROM entities e JOIN m ON m.old_id = e.entity_id WHERE retracted_at IS NULL AND revealed_at < 40 AND (invalid_at IS NULL OR invalid_at > 40)),
+ce AS (SELECT entity_id, canonical_name, revealed_at, CASE WHEN entity_id IN (SELECT entity_id FROM le) THEN 40 ELSE invalid_at END AS invalid_at FROM entities WHERE entity_id IN ('c1', 'c2', 'c3', 'c4', 'c5')
+ UNION ALL SELECT new_id, min(new_name), 40, NULL FROM le GROUP BY 1),
+te AS (SELECT e.edge_id, coalesce(a.new_id, src_entity) AS src_entity, coalesce(b.new_id, dst_entity) AS dst_entity, rel_type, label, invalid_at FROM edges e LEFT JOIN m a ON a.old_id = src_entity LEFT JOIN m b ON b.old_id = dst_entity
+ WHERE (a.old_id IS NOT NULL OR b.old_id IS NOT NULL) AND retracted_at IS NULL AND revealed_at < 40 AND (invalid_at IS NULL OR invalid_at > 40)),
+me AS (SELECT src_entity, dst_entity, rel_type, label, invalid_at, -min(edge_id) AS edge_id FROM te WHERE src_entity <> dst_entity GROUP BY 1, 2, 3, 4, 5) """
+
+
+def corrected(spark, sf):
+    remap = spark.createDataFrame(REMAP, "old_id string, new_id string, new_name string")
+    return K.end_and_copy(bind(spark, sf, "entities"), bind(spark, sf, "edges"), remap, 40)
+
+
+@query("cor_replace", COR + "SELECT entity_id, canonical_name, revealed_at, invalid_at FROM ce")
+@query("cor_split", COR + "SELECT entity_id, canonical_name, revealed_at, invalid_at FROM ce")
+@query("dml_replace_hosted", COR + "SELECT entity_id, canonical_name, revealed_at, invalid_at FROM ce")
+def cor_replace(spark, sf):
+    e = corrected(spark, sf)[0]
+    return e.where(F.col("entity_id").isin("c1", "c2", "c3", "c4", "c5", "n1", "n4")).select("entity_id", "canonical_name", "revealed_at", "invalid_at")
+
+
+@query("cor_merge", COR + "SELECT edge_id, src_entity, dst_entity, rel_type, label FROM me")
+def cor_merge(spark, sf):
+    return corrected(spark, sf)[1].where("edge_id < 0").select("edge_id", "src_entity", "dst_entity", "rel_type", "label")
+
+
+@query("cor_history", """, m AS (SELECT * FROM (VALUES (1, 'c1'), (1, 'c2'), (2, 'c3'), (2, 'c999999999')) v(cid, id))
+SELECT cid, string_agg(coalesce(canonical_name, 'unknown'), ', ' ORDER BY id) AS names FROM m LEFT JOIN entities e ON e.entity_id = m.id GROUP BY 1""")
+def cor_history(spark, sf):
+    c = spark.createDataFrame([(1, ["c1", "c2"]), (2, ["c3", "c999999999"])], "cid int, ids array<string>").select("cid", F.explode("ids").alias("entity_id"))
+    named = c.join(bind(spark, sf, "entities").select("entity_id", "canonical_name"), "entity_id", "left")
+    names = F.transform(F.array_sort(F.collect_list(F.struct("entity_id", F.coalesce("canonical_name", F.lit("unknown")).alias("n")))), lambda x: x["n"])
+    return named.groupBy("cid").agg(F.array_join(names, ", ").alias("names"))
+
+
+CHANGES = """, ch AS (SELECT state_id AS fact_id, 'assert' AS op, revealed_at AS "at", state_id AS recorded_at FROM states UNION ALL SELECT state_id, 'end', invalid_at, state_id + 1 FROM states WHERE invalid_at IS NOT NULL
+ UNION ALL SELECT state_id, 'retract', NULL, state_id + 2 FROM states WHERE retracted_at IS NOT NULL) """
+
+
+def changes(spark, sf):
+    s = bind(spark, sf, "states")
+    row = lambda df, op, at, add: df.select(F.col("state_id").alias("fact_id"), F.lit(op).alias("op"), at.cast("int").alias("at"), (F.col("state_id") + add).alias("recorded_at"))
+    return row(s, "assert", F.col("revealed_at"), 0).unionByName(row(s.where("invalid_at is not null"), "end", F.col("invalid_at"), 1)).unionByName(row(s.where("retracted_at is not null"), "retract", F.lit(None), 2))
+
+
+FOLD = CHANGES + 'SELECT fact_id, min("at") FILTER (WHERE op = \'assert\') AS revealed_at, min("at") FILTER (WHERE op = \'end\') AS invalid_at, min(recorded_at) FILTER (WHERE op = \'retract\') AS retracted_at FROM ch GROUP BY 1'
+
+
+@query("bt_end", FOLD)
+@query("bt_retract", FOLD)
+def bt_end(spark, sf):
+    return K.fold_changes(changes(spark, sf))
+
+
+SUPER = "SELECT state_id, entity_id, revealed_at, invalid_at FROM states WHERE invalid_at IS NULL OR invalid_at > revealed_at"
+
+
+@query("bt_supersede_state", SUPER.replace("FROM states", "FROM (SELECT o_orderkey AS state_id, 'c' || CAST(o_custkey AS VARCHAR) AS entity_id, r AS revealed_at, lead(r) OVER (PARTITION BY o_custkey ORDER BY r, o_orderkey) AS invalid_at FROM (SELECT *, CAST((extract(year FROM o_orderdate) - 1995) * 12 + extract(month FROM o_orderdate) AS INT) AS r FROM orders) z) y"))
+def bt_supersede_state(spark, sf):
+    s = bind(spark, sf, "states").select("state_id", "entity_id", "revealed_at")
+    return K.supersede(s, "entity_id", "revealed_at", "state_id")
+
+
+@query("bt_supersede_edge", ", z AS (SELECT edge_id, src_entity, dst_entity, revealed_at, lead(revealed_at) OVER (PARTITION BY src_entity || dst_entity ORDER BY revealed_at, edge_id) AS nxt FROM edges) SELECT edge_id, revealed_at, nxt AS invalid_at FROM z WHERE nxt IS NULL OR nxt > revealed_at")
+def bt_supersede_edge(spark, sf):
+    e = bind(spark, sf, "edges").select("edge_id", F.concat("src_entity", "dst_entity").alias("pair"), "revealed_at")
+    return K.supersede(e, "pair", "revealed_at", "edge_id").select("edge_id", "revealed_at", "invalid_at")
+
+
+@query("bt_reextract", "SELECT chapter_key, max(summary_id) AS summary_id FROM summaries WHERE retracted_at IS NULL GROUP BY 1")
+@query("bt_upsert_chapter", "SELECT chapter_key, max(summary_id) AS summary_id FROM summaries WHERE retracted_at IS NULL GROUP BY 1")
+def bt_reextract(spark, sf):
+    """Tombstone and append: the latest live row of a key is the one read."""
+    return bind(spark, sf, "summaries").where("retracted_at is null").groupBy("chapter_key").agg(F.max("summary_id").alias("summary_id"))
+
+
+@query("bt_append_once", """SELECT c.chapter_key, CASE WHEN r.chapter_key IS NULL THEN 'append' WHEN r.content_hash = c.content_hash THEN 'no-op' ELSE 'changed' END AS outcome
+ FROM chapters c LEFT JOIN receipts r ON r.book_id = c.book_id AND r.chapter_key = c.chapter_key""")
+@query("job_commit", """SELECT c.chapter_key, CASE WHEN r.chapter_key IS NULL THEN 'append' WHEN r.content_hash = c.content_hash THEN 'no-op' ELSE 'changed' END AS outcome
+ FROM chapters c LEFT JOIN receipts r ON r.book_id = c.book_id AND r.chapter_key = c.chapter_key""")
+def bt_append_once(spark, sf):
+    """A chapter is written once; the same content again is nothing, other content is an error."""
+    r = bind(spark, sf, "receipts").select("book_id", "chapter_key", F.col("content_hash").alias("r_hash"))
+    rows = bind(spark, sf, "chapters").join(r, ["book_id", "chapter_key"], "left")
+    outcome = F.when(F.col("r_hash").isNull(), "append").when(F.col("r_hash") == F.col("content_hash"), "no-op").otherwise("changed")
+    return rows.select("chapter_key", outcome.alias("outcome"))
+
+
+EXTRACT = ", x AS (SELECT conv_id, turn, role, text FROM conversations) "
+
+
+@query("ing_write_chapter", EXTRACT + """SELECT 'event' AS fact, conv_id, turn + 1 AS order_idx, left(text, 30) AS body FROM x UNION ALL SELECT 'entity', conv_id, min(turn) + 1, role FROM x GROUP BY conv_id, role
+ UNION ALL SELECT 'state', conv_id, max(turn) + 1, arg_max(left(text, 20), turn) FROM x GROUP BY conv_id, role""")
+def ing_write_chapter(spark, sf):
+    """An extraction as fact rows: events in order, entities once, the last mentioned state wins."""
+    c = spark.read.parquet(f"{sf}/conversations.parquet")
+    row = lambda fact, df: df.select(F.lit(fact).alias("fact"), "conv_id", "order_idx", "body")
+    events = row("event", c.select("conv_id", (F.col("turn") + 1).alias("order_idx"), F.left("text", F.lit(30)).alias("body")))
+    people = c.groupBy("conv_id", "role").agg((F.min("turn") + 1).alias("first_at"), (F.max("turn") + 1).alias("last_at"), F.max_by(F.left("text", F.lit(20)), "turn").alias("state"))
+    entities = row("entity", people.withColumnsRenamed({"first_at": "order_idx", "role": "body"}))
+    return events.unionByName(entities).unionByName(row("state", people.withColumnsRenamed({"last_at": "order_idx", "state": "body"})))
+
+
+UNION = ", ids AS (SELECT doc_id AS id, doc_id % 40 AS g FROM documents WHERE doc_id < 400) SELECT id, min(id) OVER (PARTITION BY g) AS root FROM ids"
+
+
+@query("set_unioncat", UNION)
+def set_unioncat(spark, sf):
+    """Union-find over chained names (n with n + 40) by rounds of pointer doubling to the least neighbour."""
+    ids = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 400").select(F.col("doc_id").alias("id"))
+    label = ids.select("id", F.greatest(F.col("id") - 40, F.col("id") % 40).alias("root"))
+    for _ in range(5):  # a chain of 10 settles in 4 doublings
+        step = label.select(F.col("id").alias("root"), F.col("root").alias("next"))
+        label = label.join(step, "root", "left").select("id", F.least("root", F.coalesce("next", "root")).alias("root"))
+    return label
+
+
+STRUCT = f""", b AS (SELECT CAST(unnest(range(0, 81, 8)) AS INT) AS bm), v AS (SELECT bm, entity_id FROM b JOIN entities e ON e.revealed_at <= bm AND e.retracted_at IS NULL AND (e.invalid_at IS NULL OR e.invalid_at > bm)),
+r AS (SELECT b.bm, e.revealed_at FROM b JOIN edges e ON e.revealed_at <= b.bm AND e.retracted_at IS NULL AND (e.invalid_at IS NULL OR e.invalid_at > b.bm) JOIN v s ON s.bm = b.bm AND s.entity_id = e.src_entity JOIN v d ON d.bm = b.bm AND d.entity_id = e.dst_entity)
+SELECT bm, count(*) AS reads, count(*) FILTER (WHERE revealed_at > bm) AS leaks FROM r GROUP BY 1"""
+
+
+def at_all(df, bookmarks):
+    """Each row at every bookmark of the list at which it is visible."""
+    marks = F.filter(F.array(*[F.lit(b) for b in bookmarks]), lambda b: (b >= F.col("revealed_at")) & (F.col("invalid_at").isNull() | (F.col("invalid_at") > b)))
+    return df.where("retracted_at is null").withColumn("bm", F.explode(marks))
+
+
+@query("eval_structured", STRUCT)
+def eval_structured(spark, sf):
+    """All bookmarks in one job: closed reads and leaks among them (none)."""
+    marks = list(range(0, 81, 8))
+    v = at_all(bind(spark, sf, "entities"), marks).select("bm", "entity_id")
+    e = at_all(bind(spark, sf, "edges"), marks)
+    e = e.join(v.withColumnRenamed("entity_id", "src_entity"), ["bm", "src_entity"], "left_semi").join(v.withColumnRenamed("entity_id", "dst_entity"), ["bm", "dst_entity"], "left_semi")
+    return e.groupBy("bm").agg(F.count(F.lit(1)).alias("reads"), F.count_if(F.col("revealed_at") > F.col("bm")).alias("leaks"))
+
+
+@query("eval_drop_a_filter", f"SELECT count(*) AS leaks FROM aliases WHERE revealed_at <= 24 AND retracted_at IS NULL AND entity_id NOT IN (SELECT entity_id FROM entities WHERE {VALID})")
+def eval_drop_a_filter(spark, sf):
+    """Without the closure the same read leaks: aliases of entities that are not visible."""
+    v = at(spark, sf)
+    return v.rows("aliases").join(v.entities().select("entity_id"), "entity_id", "left_anti").agg(F.count(F.lit(1)).alias("leaks"))
