@@ -1 +1,90 @@
-"""Queries."""
+"""Grounding and leak checks over documents, conversations and the benchmark."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from chronofold.functions import text as X
+from chronofold.operators import gates as G
+from chronofold.plans.queries_text import CONTENT, FOLD, STOP, W
+from chronofold.plans.registry import query
+
+
+def items(spark, sf):
+    return spark.read.parquet(f"{sf}/benchmark.parquet")
+
+
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+def fact_words(spark, sf):
+    rows = docs(spark, sf).where("doc_id % 20 = 0")
+    return rows.select(F.explode(X.content_words(F.col("text"))).alias("word")).distinct()
+
+
+FACTS = ", k AS (SELECT DISTINCT " + FOLD + " AS word FROM (SELECT unnest(" + W.format("lower(text)") + r") AS w FROM documents WHERE doc_id % 20 = 0) z WHERE length(w) >= 2 AND regexp_matches(w, '\p{L}') AND w NOT IN " + STOP + ") "
+
+
+@query("gate_coverage", CONTENT + FACTS + "SELECT item_id, count(*) AS n, count(k.word) AS hits FROM c LEFT JOIN k ON k.word = f GROUP BY 1")
+def gate_coverage(spark, sf):
+    """How many of a passage's content words the known texts have."""
+    w = items(spark, sf).select("item_id", F.explode(X.content_words(F.col("text"))).alias("word"))
+    rows = w.join(fact_words(spark, sf).withColumn("known", F.lit(1)), "word", "left")
+    return rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("hits"))
+
+
+
+
+@query("gate_ground")
+def gate_ground(spark, sf):
+    recaps = items(spark, sf).select(F.col("item_id").alias("recap_id"), "text")
+    names = spark.createDataFrame([("the",)], "word string")
+    return G.ground(recaps, fact_words(spark, sf), names)
+
+
+@query("gate_score_recap", ", t AS (SELECT DISTINCT item_id, unnest(" + W.format("lower(text)") + ") AS w FROM benchmark), k AS (SELECT DISTINCT unnest(" + W.format("lower(text)") + r") AS w FROM documents WHERE doc_id % 20 = 0) SELECT item_id, count(*) AS future FROM t WHERE length(w) >= 2 AND regexp_matches(w, '\p{L}') AND w NOT IN (SELECT w FROM k) GROUP BY 1")
+def gate_score_recap(spark, sf):
+    """Words of a recap that nothing read so far has."""
+    known = docs(spark, sf).where("doc_id % 20 = 0").select(F.explode(X.words(F.lower("text"))).alias("word")).distinct()
+    found = G.future_words(items(spark, sf).select(F.col("item_id").alias("id"), "text"), known)
+    return found.groupBy(F.col("id").alias("item_id")).agg(F.count(F.lit(1)).alias("future"))
+
+
+@query("gate_binding")
+def gate_binding(spark, sf):
+    claims = spark.createDataFrame([(1, "Ivan was seen when he died."), (2, "Maria at last married him."), (3, "Nobody knows.")], "id int, text string")
+    facts = spark.createDataFrame([("Later Maria quietly married.",)], "text string")
+    return G.unsupported(claims, facts).select("id", "signature")
+
+
+@query("gate_assert", "SELECT 0 AS hard")
+def gate_assert(spark, sf):
+    """A text that is its own facts passes; the check raises otherwise."""
+    one = items(spark, sf).limit(1).select(F.col("item_id").alias("recap_id"), "text")
+    facts = one.select(F.explode(X.content_words(F.col("text"))).alias("word"))
+    verdicts = G.ground(one, facts, spark.createDataFrame([], "word string"))
+    G.assert_clean(verdicts)
+    return verdicts.agg(F.count_if(F.col("verdict") == "hard").cast("int").alias("hard"))
+
+
+@query("gate_read_proper", r"SELECT doc_id, len(regexp_extract_all(text, '[\p{Ll},;]\s+(\p{Lu}[\p{L}]+)')) AS n FROM documents")
+def gate_read_proper(spark, sf):
+    """Capitalised words in mid clause."""
+    found = F.regexp_extract_all("text", F.lit(r"[\p{Ll},;]\s+(\p{Lu}[\p{L}]+)"), F.lit(1))
+    return docs(spark, sf).select("doc_id", F.size(found).cast("long").alias("n"))
+
+
+@query("ask_validate")
+def ask_validate(spark, sf):
+    sources = items(spark, sf).select(F.col("item_id").cast("int").alias("source_id"), "text")
+    claims = items(spark, sf).where("item_id < 20").select(F.col("item_id").cast("int").alias("claim_id"), "text", F.array((F.col("item_id") % 21).cast("int")).alias("cited"))
+    return G.citations(claims, sources)
+
+
+@query("gate_labels", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2")
+def gate_labels(spark, sf):
+    """Review labels as a confusion table."""
+    return spark.read.parquet(f"{sf}/labels.parquet").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
+
+

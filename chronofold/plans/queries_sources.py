@@ -1 +1,138 @@
-"""Queries."""
+"""Sources and sinks: books, manifests, exports and backups."""
+
+from __future__ import annotations
+
+import tempfile
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from chronofold.plans.registry import query
+from chronofold.plans.standins import bind
+from chronofold.sources import archive as A
+from chronofold.sources import epub as E
+
+BOOKS = ", b AS (SELECT 'book' || CAST(conv_id % 20 AS VARCHAR) AS path, text, row_number() OVER (PARTITION BY conv_id % 20 ORDER BY conv_id, turn) AS position FROM conversations) "
+
+
+def books(spark, sf):
+    """Conversations bound as EPUB files, a chapter a turn."""
+
+    def bind_one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["conv_id", "turn"])
+        docs = [(f"c{i}.xhtml", f"Chapter {i + 1}", f"Chapter {i + 1}", t) for i, t in enumerate(pdf["text"])]
+        return pd.DataFrame({"path": [f"book{pdf['conv_id'].iloc[0] % 20}"], "content": [E.write(docs)]})
+
+    c = spark.read.parquet(f"{sf}/conversations.parquet").withColumn("book", F.col("conv_id") % 20)
+    return c.groupBy("book").applyInPandas(bind_one, "path string, content binary")
+
+
+@query("src_epub", BOOKS + "SELECT path, position, length(regexp_replace(text, '\\s', '', 'g')) AS letters FROM b")
+def src_epub(spark, sf):
+    """A round trip: what was bound is read again, chapter by chapter."""
+    rows = E.read(books(spark, sf)).where("error is null")
+    body = F.regexp_replace("text", r"^Chapter \d+", "")
+    return rows.select("path", F.col("position").cast("long").alias("position"), F.length(F.regexp_replace(body, r"\s", "")).cast("long").alias("letters"))
+
+
+@query("src_opf", BOOKS + "SELECT path, 'Book' AS title, 'en' AS language, count(*) AS spine FROM b GROUP BY 1")
+def src_opf(spark, sf):
+    return E.read(books(spark, sf)).groupBy("path", "title", "language").agg(F.count(F.lit(1)).alias("spine"))
+
+
+@query("src_toc", BOOKS + "SELECT path, 'OPS/c' || CAST(position - 1 AS VARCHAR) || '.xhtml' AS href, 'Chapter ' || CAST(position AS VARCHAR) AS label FROM b")
+def src_toc(spark, sf):
+    return E.read(books(spark, sf)).select("path", "href", "label")
+
+
+@query("src_drm_check", "SELECT 'bad' AS path, 'unsafe name' AS error UNION ALL SELECT 'cut', 'File is not a zip file'")
+def src_drm_check(spark, sf):
+    """Broken and unsafe books become error rows."""
+    import io
+    import zipfile
+
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("../evil", "x")
+    files = spark.createDataFrame([("bad", bytearray(buffer.getvalue())), ("cut", bytearray(b"PK no zip"))], "path string, content binary")
+    return E.read(files).select("path", "error")
+
+
+HASH = "SELECT book_id, substring(sha256(string_agg(CAST(revealed_at AS VARCHAR) || ':' || chapter_key || ':' || CAST(char_len AS VARCHAR), '|' ORDER BY revealed_at)), 1, 16) AS hash FROM chapters GROUP BY 1"
+
+
+@query("snk_manifest", HASH)
+def snk_manifest(spark, sf):
+    return A.manifest(bind(spark, sf, "chapters")).select("book_id", "hash")
+
+
+@query("src_manifest", "SELECT book_id, true AS ok, revealed_at, chapter_key, char_len FROM chapters")
+def src_manifest(spark, sf):
+    return A.read_manifest(A.manifest(bind(spark, sf, "chapters")))
+
+
+@query("snk_portable", "SELECT c_custkey, '{\"c_custkey\":' || CAST(c_custkey AS VARCHAR) || ',\"c_name\":\"' || c_name || '\"}' AS row FROM customer")
+def snk_portable(spark, sf):
+    return A.export_rows(spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_name"), "c_custkey")
+
+
+@query("src_portable", "SELECT c_custkey, c_name FROM customer")
+@query("src_recordset", "SELECT c_custkey, c_name FROM customer")
+def src_portable(spark, sf):
+    return A.import_rows(snk_portable(spark, sf), "c_custkey bigint, c_name string")
+
+
+@query("snk_marks_export", "SELECT book_id, count(*) AS marks FROM reports WHERE kind = 'view' GROUP BY 1")
+def snk_marks_export(spark, sf):
+    """Marks as one versioned JSON document a book, read back for their number."""
+    m = bind(spark, sf, "reports").where("kind = 'view'")
+    doc = m.groupBy("book_id").agg(F.to_json(F.struct(F.lit(1).alias("version"), F.array_sort(F.collect_list(F.struct("event_id", "k"))).alias("marks"))).alias("doc"))
+    return doc.select("book_id", F.json_array_length(F.get_json_object("doc", "$.marks")).cast("long").alias("marks"))
+
+
+@query("snk_backup", "SELECT count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer")
+@query("snk_restore", "SELECT count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer")
+def snk_backup(spark, sf):
+    """Backup, inventory check and restore."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronofold-")
+    path = A.fresh_path(root)
+    inventory = A.backup(spark.read.parquet(f"{sf}/customer.parquet"), path)
+    return A.restore(spark, path, inventory).agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"))
+
+
+@query("st_stream_high_water")
+def st_stream_high_water(spark, sf):
+    """The stream's last state of each book; ``st_reset_epoch`` is its batch twin."""
+    import uuid
+
+    from chronofold.streaming import position as P
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronofold-")
+    name = f"high_water_{uuid.uuid4().hex}"
+    out = P.run_once(P.high_water(P.reports(spark, sf)), f"{root.rstrip('/')}/{name}", name)
+    return out.groupBy("book_id").agg(F.max(F.struct("epoch", "bookmark")).alias("s")).select("book_id", "s.epoch", "s.bookmark")
+
+
+@query("st_rate_window")
+def st_rate_window(spark, sf):
+    import uuid
+
+    from chronofold.streaming import position as P
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronofold-")
+    name = f"rate_{uuid.uuid4().hex}"
+    out = P.run_once(P.request_windows(P.reports(spark, sf), 86_400, 3), f"{root.rstrip('/')}/{name}", name, "append")
+    return out.select("event_id", "allowed")
+
+
+@query("st_windowed_counts", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def st_windowed_counts(spark, sf):
+    """Tumbling windows in event time, complete output (an extension)."""
+    import uuid
+
+    from chronofold.streaming import position as P
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronofold-")
+    name = f"windows_{uuid.uuid4().hex}"
+    out = P.run_once(P.windowed_counts(P.reports(spark, sf)), f"{root.rstrip('/')}/{name}", name, "complete")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
