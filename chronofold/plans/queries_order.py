@@ -361,3 +361,45 @@ def agg_resolution_quality(spark, sf):
     pairs = lambda *k: rows.groupBy(*k).count().agg(F.coalesce(F.sum(F.expr("count * (count - 1) div 2")), F.lit(0)))
     both, gold, pred = pairs("gold", "pred").toDF("tp"), pairs("gold").toDF("g"), pairs("pred").toDF("p")
     return both.join(gold).join(pred).select("tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("g") - F.col("tp")).alias("fn"))
+
+
+@query("vis_guard", "SELECT * FROM (VALUES ('2.0', true), ('None', true), ('True', true), ('''3''', true), ('4', false)) v(bookmark, refused)")
+def vis_guard(spark, sf):
+    """What is no int is refused before a plan exists."""
+    from chronofold.operators.view import strict_bookmark
+
+    def refused(value) -> bool:
+        try:
+            strict_bookmark(value)
+        except ValueError:
+            return True
+        return False
+
+    return spark.createDataFrame([(repr(v), refused(v)) for v in (2.0, None, True, "3", 4)], "bookmark string, refused boolean")
+
+
+@query("math_normalize", "SELECT chunk_id, CAST(round(1000000 * CAST(vec[1] AS DOUBLE) / sqrt(list_sum(list_transform(vec, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))) AS BIGINT) AS micro FROM chunks")
+def math_normalize(spark, sf):
+    from chronofold.operators.vectors import norm
+
+    c = bind(spark, sf, "chunks")
+    return c.select("chunk_id", F.round(1_000_000 * F.get("vec", F.lit(0)).cast("double") / norm(F.col("vec"))).cast("long").alias("micro"))
+
+
+@query("date_now")
+def date_now(spark, sf):
+    return spark.range(1).select((F.current_timestamp() > F.lit("2024-01-01").cast("timestamp")).alias("after_2024"))
+
+
+@query("st_worker_loop", "SELECT book_id, max(k) AS target FROM reports WHERE kind <> 'error' GROUP BY 1")
+def st_worker_loop(spark, sf):
+    """The batch twin of ``streaming.position.ingest``: one target a book, which only rises."""
+    return bind(spark, sf, "reports").where("kind <> 'error'").groupBy("book_id").agg(F.max("k").alias("target"))
+
+
+@query("st_lru_ttl", ", r AS (SELECT book_id, kind, max(ts) AS used FROM reports GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY used DESC, kind) AS n FROM r) SELECT book_id, kind FROM n WHERE n <= 3")
+def st_lru_ttl(spark, sf):
+    """Results kept by key: the three used last of each book."""
+    used = bind(spark, sf, "reports").groupBy("book_id", "kind").agg(F.max("ts").alias("used"))
+    n = F.row_number().over(Window.partitionBy("book_id").orderBy(F.desc("used"), "kind"))
+    return used.withColumn("n", n).where("n <= 3").select("book_id", "kind")
