@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 # A word of the decontamination contract: no ASCII control, punctuation, space or capital.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# The same set of characters as Java's matcher finds it fastest; with capitals, to count words in any case.
+JVM_WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
+JVM_WORD_ANY_CASE = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FOLDS = 5
 
@@ -54,10 +57,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def words(text: Column) -> Column:
     """The contract's words of a text, A-Z lower-cased; a null text has none."""
     return F.regexp_extract_all(
-        F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()), F.lit(WORD), F.lit(0)
+        F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()), F.lit(JVM_WORD), F.lit(0)
     )
 
 
+def n_words(text: Column) -> Column:
+    """How many words a text has."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(JVM_WORD_ANY_CASE)).cast("long")
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the identifier's text, modulo five; fold 0 is never learnt from."""
     return F.crc32(doc_id.cast("string")) % FOLDS

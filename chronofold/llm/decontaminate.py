@@ -3,16 +3,18 @@
 Every item gives its windows of ``n`` consecutive words (an item of fewer words is one
 window). The distinct windows, hashed, are the set that the scan probes: each document's
 windows are hashed and looked up, so the corpus is neither shuffled nor sorted. What
-hits is verified word by word against the document itself, and verified windows mark
-the words, the documents and the items.
+hits is verified word by word in the same pass, and verified windows mark the words, the
+documents and the items.
 
-The set is broadcast only while it has at most ``BROADCAST_WINDOWS`` windows; beyond
-that the same join is left to Spark as a shuffled join, which splits skewed keys.
+The set is broadcast only while its windows' words and items take at most
+``BROADCAST_CHARS`` characters; beyond that the same join is left to Spark as a shuffled
+join, which splits skewed keys. The same goes for the documents that were hit: their
+totals, a few numbers each, are broadcast up to ``BROADCAST_DOCS`` of them.
 
 Defined results: a null or wordless document has no words and no hits; wordless items
-have no window; repeated items hit together; a repeated document row (same identifier)
-keeps its own row; an empty benchmark leaves every document clean; further columns of
-the inputs are ignored.
+have no window; repeated items hit together; a repeated document row (same identifier
+and text) keeps its own row; an empty benchmark leaves every document clean; further
+columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -20,20 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import settled, table, words
+from chronofold.llm.common import n_words, settled, table, words
 
 N = 10
-BROADCAST_WINDOWS = 2_000_000
-BROADCAST_HITS = 200_000
-CAND = "array<struct<pos:int,len:int,ngram:array<string>,items:array<string>>>"
-
-
-def _grams(tokens: Column, n: int) -> Column:
-    """Hash of each window of n words; empty when there are fewer words."""
-    return F.when(
-        F.size(tokens) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.xxhash64(F.slice(tokens, i, n))),
-    )
+BROADCAST_CHARS = 64 << 20
+BROADCAST_DOCS = 200_000
+SPANS = "array<struct<pos:int,len:int>>"
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
@@ -54,26 +48,31 @@ def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     )
 
 
-def candidates(docs: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
-    """Per document with a probable hit: ``_id, _hash, cand``; ``cand`` has position, length, the
-    window's words and its items. ``docs`` has ``_id, _hash, text``."""
-    tokens = docs.select("_id", "_hash", words(docs["text"]).alias("w"))
+def verified_hits(docs: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
+    """``_id, _hash, pos, len, items`` of every occurrence of a window. ``docs`` has ``_id, _hash, text``."""
     lengths = [r["len"] for r in windows.select("len").distinct().orderBy("len").collect()]  # at most n values
-    found = None
-    for k in lengths:
-        side = windows.where(F.col("len") == k).select("len", F.col("gram").alias("b_gram"), "ngram", "items")
-        one = tokens.select("_id", "_hash", F.posexplode(_grams(F.col("w"), k)).alias("pos", "gram"))
-        one = one.join(F.broadcast(side) if small else side, F.col("gram") == F.col("b_gram"))
-        found = one if found is None else found.unionByName(one)
-    # A document's own windows only; a set, so that repeated rows of a document add nothing.
-    return found.groupBy("_id", "_hash").agg(F.collect_set(F.struct("pos", "len", "ngram", "items")).alias("cand"))
+    each = docs.select("_id", "_hash", words(docs["text"]).alias("w")).where(F.size("w") >= lengths[0])
+    each = each.select("*", F.explode(F.sequence(F.lit(1), F.size("w") - (lengths[0] - 1))).alias("pos"))
+    if len(lengths) == 1:
+        each = each.withColumn("k", F.lit(lengths[0]))
+    else:
+        each = each.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("k"))
+        each = each.where(F.col("pos") + F.col("k") - 1 <= F.size("w"))
+    mine = F.slice("w", F.col("pos"), F.col("k"))
+    if small:
+        side = F.broadcast(windows)
+    else:  # what is shuffled is the window, not the document
+        each, side = each.select("_id", "_hash", "pos", "k", mine.alias("mine")), windows
+        mine = F.col("mine")
+    each = each.join(side, (F.xxhash64(mine) == F.col("gram")) & (F.col("k") == F.col("len")) & (mine == F.col("ngram")))
+    return each.select("_id", "_hash", "pos", "len", "items")
 
 
 def _covered(hits: Column) -> Column:
     """Number of words inside the union of the spans."""
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     return F.aggregate(
-        F.array_sort(hits),
+        hits,
         start,
         lambda a, h: F.struct(
             F.greatest(a["end"], h["pos"] + h["len"]).alias("end"),
@@ -83,48 +82,57 @@ def _covered(hits: Column) -> Column:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, carry: bool = False) -> DataFrame:
-    """One row per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``, and the
-    verified ``spans`` (word position and length). ``carry`` adds the input row as ``row``."""
+def hit_documents(docs: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
+    """``h_id, h_hash, n_hit, n_items, items_sha256, spans`` of the documents with a hit."""
+    hits = verified_hits(docs, windows, small).groupBy("_id", "_hash")
+    # A document's own windows only; sets, so that repeated rows of a document add nothing.
+    found = hits.agg(
+        F.array_sort(F.collect_set(F.struct(F.col("pos").alias("pos"), F.col("len").alias("len")))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    )
+    return found.select(
+        F.col("_id").alias("h_id"),
+        F.col("_hash").alias("h_hash"),
+        _covered(F.col("spans")).alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        F.transform("spans", lambda c: F.struct((c["pos"] - 1).alias("pos"), c["len"].alias("len"))).alias("spans"),
+    )
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, *, carry: bool = False, spans: bool = False) -> DataFrame:
+    """One row per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``. ``spans`` adds
+    the verified spans (word position from 0, and length), ``carry`` the input row as ``row``."""
     windows = settled(benchmark_windows(benchmark, n))
-    count = windows.count()
+    chars = windows.agg(F.sum(F.length(F.array_join("ngram", " ")) + F.length(F.array_join("items", " "))).alias("n")).first()["n"]
     rows = docs.select(
         docs["doc_id"].alias("_id"),
         F.xxhash64(docs["text"]).alias("_hash"),
         docs["text"].cast("string").alias("text"),
         *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []),
     )
-    if count:
-        cand = settled(candidates(rows, windows, count <= BROADCAST_WINDOWS)).withColumnsRenamed(
-            {"_id": "c_id", "_hash": "c_hash"}
-        )
-        few = (cand.agg(F.coalesce(F.sum(F.size("cand")), F.lit(0)).alias("n")).first()["n"]) <= BROADCAST_HITS
+    extra = ["spans"] if spans else []
+    if chars is not None:
+        found = settled(hit_documents(rows, windows, chars <= BROADCAST_CHARS))
+        found = found.select("h_id", "h_hash", "n_hit", "n_items", "items_sha256", *extra)
+        # Spans are as many as a document's words, so they are never broadcast.
+        few = not spans and found.count() <= BROADCAST_DOCS
         rows = rows.join(
-            F.broadcast(cand) if few else cand,
-            rows["_id"].eqNullSafe(cand["c_id"]) & (rows["_hash"] == cand["c_hash"]),
+            F.broadcast(found) if few else found,
+            rows["_id"].eqNullSafe(found["h_id"]) & (rows["_hash"] == found["h_hash"]),
             "left",
         )
     else:
-        rows = rows.withColumn("cand", F.lit(None).cast(CAND))
-    rows = rows.withColumn("w", words(F.col("text"))).withColumn(
-        "spans",
-        F.array_sort(
-            F.filter(
-                F.coalesce("cand", F.array().cast(CAND)),
-                lambda c: F.slice(F.col("w"), c["pos"] + 1, c["len"]) == c["ngram"],
-            )
-        ),
-    )
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda c: c["items"]))))
-    rows = rows.select("*", items.alias("items"), _covered(F.col("spans")).alias("n_hit"))
+        for name, kind in (("n_hit", "long"), ("n_items", "long"), ("items_sha256", "string"), ("spans", SPANS)):
+            rows = rows.withColumn(name, F.lit(None).cast(kind))
     return rows.select(
         F.col("_id").alias("doc_id"),
-        F.size("w").cast("long").alias("n_words"),
-        "n_hit",
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
-        F.transform("spans", lambda c: F.struct(c["pos"].alias("pos"), c["len"].alias("len"))).alias("spans"),
+        n_words(F.col("text")).alias("n_words"),
+        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
+        *([F.coalesce("spans", F.array().cast(SPANS)).alias("spans")] if spans else []),
         *(["row"] if carry else []),
     )
 
@@ -137,7 +145,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N) -> Data
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """``doc_id, text``: contaminated documents keep the words outside the verified spans, joined by a
     space; clean ones keep their text as it was (null as empty)."""
-    rows = decontaminate(docs, benchmark, n, carry=True).withColumn("w", words(F.col("row.text")))
+    rows = decontaminate(docs, benchmark, n, carry=True, spans=True).withColumn("w", words(F.col("row.text")))
     left = F.filter(
         F.transform(F.col("w"), lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
         lambda x: ~F.exists("spans", lambda c: (x["i"] >= c["pos"]) & (x["i"] < c["pos"] + c["len"])),
@@ -147,8 +155,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.drop("spans")
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 ORACLE = r"""
