@@ -181,18 +181,23 @@ def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Frames of whole groups from a stream sorted by ``keys``."""
-    rest = None
+def grouped(batches: Iterator[pd.DataFrame], keys: list[str], least: int = 1) -> Iterator[pd.DataFrame]:
+    """Frames of whole groups, of about ``least`` rows or more, from a stream sorted by ``keys``."""
+    rest, held, rows = None, [], 0
     for pdf in batches:
-        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        held.append(pdf)
+        rows += len(pdf)
+        if rows < least:
+            continue
+        pdf = pd.concat(([] if rest is None else [rest]) + held, ignore_index=True)
+        held, rows = [], 0
         last = pdf[keys].iloc[-1]
         open_ = np.logical_and.reduce([pdf[k].to_numpy() == last[k] for k in keys])
         rest = pdf[open_]
         if not open_.all():
             yield pdf[~open_]
-    if rest is not None and len(rest):
-        yield rest
+    if held or rest is not None:
+        yield pd.concat(([] if rest is None else [rest]) + held, ignore_index=True)
 
 
 def starts_of(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from chronofold.llm.common import settled, shuffle_partitions, stored, table
 from chronofold.llm.jaccard_join import grouped
-from chronofold.llm.lyndon import suffix_arrays
+from chronofold.llm.lyndon import _ragged, suffix_arrays
 
 LENGTH = 200
 GRAM = 64
@@ -48,8 +48,8 @@ OFFSETS = LENGTH - GRAM + 1  # an anchor lies 0 .. OFFSETS - 1 bytes behind a wi
 PARTS = 8
 STEP = -(-OFFSETS // PARTS)
 MOST = 64
-SYMBOLS = 400_000
-AT_ONCE = 8_192
+SYMBOLS = 1_000_000
+AT_ONCE = 32_768
 FILTER_BITS = 1 << 27
 HOT_PER_PARTITION = 16
 HOT_LEAST = 4_096
@@ -58,6 +58,7 @@ BLOCK_BYTES = 1 << 20
 LEFT = OFFSETS - 1
 WIDTH = LEFT + LENGTH
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3), np.uint64(0xBF58476D1CE4E5B9))
+INVERSE = np.uint64(pow(int(MIX[1]), -1, 1 << 64))
 
 
 def _slide(f, a: np.ndarray, width: int) -> np.ndarray:
@@ -143,10 +144,36 @@ class Contexts:
         return np.maximum(a, LENGTH - self.ra[who]) <= np.minimum(b - 1, self.la[who])
 
 
-def contexts_at(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    padded = np.concatenate([np.zeros(LEFT, np.uint8), raw, np.zeros(LENGTH, np.uint8)])
-    rows = padded[at[:, None] + np.arange(WIDTH)[None, :]]
-    return rows, np.minimum(at, LEFT), np.minimum(len(raw) - at, LENGTH)
+class Places:
+    """Anchors at ``at`` in a text: rows of bytes around them, and hashes of the bytes from one distance of
+    the anchor up to another, cut off where the text ends."""
+
+    def __init__(self, raw: np.ndarray, at: np.ndarray):
+        self.at, self.n = at, len(raw)
+        self.la, self.ra = np.minimum(at, LEFT), np.minimum(len(raw) - at, LENGTH)
+        padded = np.concatenate([np.zeros(LEFT, np.uint8), raw, np.zeros(LENGTH, np.uint8)])
+        self.rows = padded[at[:, None] + np.arange(WIDTH)[None, :]]
+        power = np.full(len(raw) + 1, MIX[1])
+        back = np.full(len(raw) + 1, INVERSE)
+        power[0] = back[0] = np.uint64(1)
+        self.back = np.cumprod(back)
+        self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * np.cumprod(power)[:-1])])
+
+    def hash(self, start: int, end: int) -> np.ndarray:
+        s, e = np.maximum(self.at + start, 0), np.minimum(self.at + end, self.n)
+        h = (self.prefix[e] - self.prefix[s]) * self.back[s]
+        h ^= h >> np.uint64(29)
+        return h * MIX[2]
+
+    def core(self, a: int, b: int) -> np.ndarray:
+        return self.hash(-a, LENGTH - b + 1)
+
+    def span(self, a: int, b: int) -> np.ndarray:
+        lack = np.minimum(self.la, b - 1).astype(np.uint64) * np.uint64(1_009) + np.minimum(self.ra, LENGTH - a).astype(np.uint64)
+        return self.hash(-(b - 1), LENGTH - a) * MIX[1] + lack * MIX[0]
+
+    def has(self, a: int, b: int) -> np.ndarray:
+        return np.maximum(a, LENGTH - self.ra) <= np.minimum(b - 1, self.la)
 
 
 def _changes(*keys: np.ndarray) -> np.ndarray:
@@ -167,7 +194,7 @@ def repeated(c: Contexts, group: np.ndarray, n: np.ndarray, tasks: list[tuple[np
         np.minimum.at(low, who[ok], np.broadcast_to(a, ok.shape)[ok])
         np.maximum.at(high, who[ok], np.broadcast_to(b, ok.shape)[ok])
 
-    sets: dict[tuple[int, int, int], list] = {}
+    sets: dict[tuple[int, int], list] = {}  # by width of the range and number of contexts
     while tasks:
         who, a, b = tasks.pop()
         who = who[c.has(who, a, b)]
@@ -179,52 +206,53 @@ def repeated(c: Contexts, group: np.ndarray, n: np.ndarray, tasks: list[tuple[np
         new_core = _changes(group[members], core)
         new = new_core | _changes(span)
         head = np.flatnonzero(new)  # one context for all that agree in the range
-        places = np.add.reduceat(n[members], head)
+        known = np.add.reduceat(n[members], head) > 1
         size = np.diff(np.r_[head, len(members)])
-        twice = np.repeat(places > 1, size)
-        mark(members[twice], a, b)
+        mark(members[np.repeat(known, size)], a, b)
         start = np.flatnonzero(new_core[head])
         count = np.diff(np.r_[start, len(head)])
-        large = np.repeat(count > MOST, count)
+        sort = (count > 1) & ~np.logical_and.reduceat(known, start)  # where all is known, nothing is left to find
+        large = np.repeat(sort & (count > MOST), count)
         if large.any():
             rest = members[np.repeat(large, size)]
             middle = (a + b) // 2
             tasks += [(rest, a, middle), (rest, middle, b)]
-        for k in np.unique(count[(count > 1) & (count <= MOST)]):
-            first = start[count == k]
-            heads = first[:, None] + np.arange(k)[None, :]
-            sets.setdefault((a, b, int(k)), []).append((members[head[heads]], head[heads], size[heads], members))
-    for (a, b, k), parts in sets.items():
-        for heads, at, size, members in parts:
-            lanes = max(1, SYMBOLS // (2 * (b - a) * k))
-            for i in range(0, len(heads), lanes):
-                hit_low, hit_high = agreeing(c, heads[i : i + lanes], a, b)
-                some = hit_high >= 0
-                # What holds for a context holds for all that agree with it in the range.
-                reach = size[i : i + lanes][some]
-                begin = at[i : i + lanes][some]
-                who = members[np.repeat(begin + reach - np.cumsum(reach), reach) + np.arange(reach.sum())] if len(reach) else members[:0]
-                np.minimum.at(low, who, np.repeat(hit_low[some], reach))
-                np.maximum.at(high, who, np.repeat(hit_high[some], reach))
+        for k in np.unique(count[sort & (count <= MOST)]):
+            heads = start[sort & (count == k)][:, None] + np.arange(k)[None, :]
+            sets.setdefault((b - a, int(k)), []).append((members[head[heads]], np.full(len(heads), a), head[heads], size[heads], members))
+    for (w, k), parts in sets.items():
+        heads, at = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+        lanes = max(1, SYMBOLS // (2 * w * k))
+        hits = [agreeing(c, heads[i : i + lanes], at[i : i + lanes], w) for i in range(0, len(heads), lanes)]
+        hit_low, hit_high = (np.concatenate([h[i] for h in hits]) for i in (0, 1))
+        done = 0
+        for _, _, begin, reach, members in parts:
+            of = slice(done, done + len(begin))
+            done += len(begin)
+            some = hit_high[of] >= 0
+            # What holds for a context holds for all that agree with it in the range.
+            who = members[_ragged(begin[some], begin[some] + reach[some])]
+            np.minimum.at(low, who, np.repeat(hit_low[of][some], reach[some]))
+            np.maximum.at(high, who, np.repeat(hit_high[of][some], reach[some]))
     return low, high
 
 
-def agreeing(c: Contexts, heads: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+def agreeing(c: Contexts, heads: np.ndarray, a: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
     """For sets of contexts with a common core (sets x contexts): the least and greatest offset of the
-    windows that another context of the set has too."""
+    windows that another context of the set has too. A set's offsets are ``a .. a + w - 1``."""
     lanes, k = heads.shape
-    w = b - a
-    who = heads.ravel()
+    who, b = heads.ravel(), np.repeat(a, k) + w
     core, byte = MOST + 2, MOST + 3
     sep = np.tile(np.arange(1, k + 1), lanes)
     text = np.zeros((lanes * k, 2 * w), np.int64)
     j = np.arange(w - 1)
-    left, right = LEFT - (b - 1) + j, LEFT + LENGTH - b + 1 + j
     here = j[None, :] >= (b - 1 - c.la[who])[:, None]
-    text[:, : w - 1] = np.where(here, c.rows[who][:, left].astype(np.int64) + byte, sep[:, None])
+    left = c.rows[who[:, None], (LEFT - (b - 1))[:, None] + j]
+    text[:, : w - 1] = np.where(here, left.astype(np.int64) + byte, sep[:, None])
     text[:, w - 1] = core
-    here = (LENGTH - b + 1 + j)[None, :] < c.ra[who][:, None]
-    text[:, w : 2 * w - 1] = np.where(here, c.rows[who][:, right].astype(np.int64) + byte, sep[:, None])
+    here = (LENGTH - b + 1)[:, None] + j < c.ra[who][:, None]
+    right = c.rows[who[:, None], (LEFT + LENGTH - b + 1)[:, None] + j]
+    text[:, w : 2 * w - 1] = np.where(here, right.astype(np.int64) + byte, sep[:, None])
     text[:, 2 * w - 1] = sep
     text = np.concatenate([np.zeros((lanes, 1), np.int64), text.reshape(lanes, -1)], 1)
     order = suffix_arrays(text)
@@ -242,7 +270,8 @@ def agreeing(c: Contexts, heads: np.ndarray, a: int, b: int) -> tuple[np.ndarray
     hit[:, :-1] |= same[:, 1:]
     lane, at = np.nonzero(hit)
     pos = order[lane, at] - 1
-    member, offset = lane * k + pos // (2 * w), b - 1 - pos % (2 * w)
+    member = lane * k + pos // (2 * w)
+    offset = b[member] - 1 - pos % (2 * w)
     inside = (offset <= c.la[who[member]]) & (LENGTH - offset <= c.ra[who[member]])
     low, high = np.full(lanes * k, LENGTH), np.full(lanes * k, -1)
     np.minimum.at(low, member[inside], offset[inside])
@@ -254,6 +283,10 @@ def _key(docs: DataFrame):
     return F.xxhash64(docs["text"], docs["doc_id"])
 
 
+# Columns of ``occurrences``.
+PLACE = {"g": "long", "ch": "long", "key": "long", "pos": "int", "la": "int", "ra": "int", "part": "int", "n": "long", "ctx": "binary"}
+
+
 def anchor_counts(docs: DataFrame) -> DataFrame:
     """``h, n`` for hashes of anchors that occur more than once."""
 
@@ -278,8 +311,9 @@ def bitmap(counts: DataFrame) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """``g, part, ch, key, pos, la, ra, ctx``: the places of anchors that may repeat; ``ctx`` is null where
-    the task has sent the same context before."""
+    """``g, ch, key, pos, la, ra, part, n, ctx``: the places of anchors that may repeat. ``ch`` names a context
+    of group ``g``. A task sends a context (``ctx``, with ``n`` = 1) once; its further places there are counted
+    in rows without a place."""
     spark = docs.sparkSession
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
     most = HOT_PER_PARTITION * shuffle_partitions(spark)  # no more hashes than that can pass
@@ -288,96 +322,92 @@ def occurrences(docs: DataFrame, counts: DataFrame) -> DataFrame:
 
     def place(batches):
         bits, hottest = shared.value
-        sent: set = set()
+        held: list[pd.DataFrame] = []
+        more: dict[tuple[int, int], int] = {}  # further places of the contexts that were sent
         for pdf in batches:
-            for i in range(0, len(pdf), 256):
-                frame = _placed(pdf.iloc[i : i + 256], bits, hottest, sent)
-                if frame is not None:
-                    yield frame
-            if len(sent) > 400_000:
-                sent.clear()
+            for key, text in zip(pdf["key"], pdf["text"]):
+                raw = _bytes(text)
+                h, at = anchors(raw)
+                bit = _bit(h)
+                some = (bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
+                h, at = h[some > 0], at[some > 0]
+                for c in range(0, len(raw) if len(at) else 0, BLOCK_BYTES):
+                    own = (at >= c) & (at < c + BLOCK_BYTES)
+                    first = max(0, c - LEFT)
+                    if own.any():
+                        p = Places(raw[first : c + BLOCK_BYTES + LENGTH], at[own] - first)
+                        held.append(_placed(p, h[own], hottest, key, first, more))
+                if sum(map(len, held)) > 8_192:
+                    yield pd.concat(held, ignore_index=True)
+                    held.clear()
+            if len(more) > 400_000:
+                yield counted(more)
+                more.clear()
+        if held:
+            yield pd.concat(held, ignore_index=True)
+        yield counted(more)
+
+    def counted(more: dict) -> pd.DataFrame:
+        again = [(g, ch, n) for (g, ch), n in more.items() if n]
+        out = pd.DataFrame(again, columns=["g", "ch", "n"]).astype(np.int64)
+        return out.assign(key=pd.NA, pos=pd.NA, la=pd.NA, ra=pd.NA, part=pd.NA, ctx=None)[list(PLACE)]
 
     rows = docs.select(_key(docs).alias("key"), docs["text"])
-    return rows.mapInPandas(place, "g long, part int, ch long, key long, pos int, la int, ra int, ctx binary")
-
-
-def _placed(pdf: pd.DataFrame, bits: np.ndarray, hottest: np.ndarray, sent: set) -> pd.DataFrame | None:
-    got = []
-    for key, text in zip(pdf["key"], pdf["text"]):
-        raw = _bytes(text)
-        h, at = anchors(raw)
-        bit = _bit(h)
-        some = (bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-        some = np.flatnonzero(some)
-        if len(some):
-            got.append((h[some], at[some], np.full(len(some), key), *contexts_at(raw, at[some])))
-    if not got:
-        return None
-    h, at, key, rows, la, ra = (np.concatenate([g[i] for g in got]) for i in range(6))
-    c, out = Contexts(rows, la, ra), []
+    return rows.mapInPandas(place, ", ".join(f"{k} {v}" for k, v in PLACE.items()))
+
+
+def _placed(p: Places, h: np.ndarray, hottest: np.ndarray, key: int, first: int, more: dict) -> pd.DataFrame:
     is_hot = np.isin(h, hottest)
     every = np.flatnonzero(~is_hot)
-    out.append((every, h[every], np.full(len(every), -1, np.int32), c.span(every, 0, OFFSETS)))
-    for r, (a, b) in enumerate(ranges()):
-        who = np.flatnonzero(is_hot)
-        who = who[c.has(who, a, b)]
-        g = (h[who] + np.uint64(r + 1)) * MIX[0] ^ c.core(who, a, b)
-        out.append((who, g, np.full(len(who), r, np.int32), c.span(who, a, b)))
+    out = [(every, h[every], np.full(len(every), -1), p.span(0, OFFSETS)[every])]
+    if is_hot.any():
+        for r, (a, b) in enumerate(ranges()):
+            who = np.flatnonzero(is_hot & p.has(a, b))
+            out.append((who, (h[who] + np.uint64(r + 1)) * MIX[0] ^ p.core(a, b)[who], np.full(len(who), r), p.span(a, b)[who]))
     who, g, part, ch = (np.concatenate([o[i] for o in out]) for i in range(4))
-    ctx = []
-    for i, pair in zip(who, zip(g.tolist(), ch.tolist())):
-        if pair in sent:
+    g, ch = g.view(np.int64), (ch ^ (g * MIX[2])).view(np.int64)
+    ctx, n = [], []
+    for i, pair in zip(who.tolist(), zip(g.tolist(), ch.tolist())):
+        if pair in more:
+            more[pair] += 1
             ctx.append(None)
+            n.append(0)
         else:
-            sent.add(pair)
-            ctx.append(rows[i].tobytes())
+            more[pair] = 0
+            ctx.append(p.rows[i].tobytes())
+            n.append(1)
     return pd.DataFrame(
         {
-            "g": g.view(np.int64), "part": part, "ch": ch.view(np.int64), "key": key[who], "pos": at[who].astype(np.int32),
-            "la": la[who].astype(np.int32), "ra": ra[who].astype(np.int32), "ctx": pd.Series(ctx, dtype=object),
+            "g": g, "ch": ch, "key": key, "pos": p.at[who] + first, "la": p.la[who], "ra": p.ra[who], "part": part,
+            "n": n, "ctx": pd.Series(ctx, dtype=object),
         }
     )
 
 
 def runs(places: DataFrame) -> DataFrame:
-    """``g, ch, low, high``: per context the offsets of its first and last repeated window."""
-    counts = places.groupBy("g", "ch").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.select("g", "ch", "n", F.lit(None).cast("int").alias("part"), F.lit(None).cast("int").alias("la"), F.lit(None).cast("int").alias("ra"), F.lit(None).cast("binary").alias("ctx"))
-    texts = places.where("ctx is not null").select("g", "ch", F.lit(0).cast("long").alias("n"), "part", "la", "ra", "ctx")
+    """``ch, low, high``: per context the offsets of its first and last repeated window."""
 
     def sort(batches):
-        for pdf in grouped(batches, ["g"]):
-            total = pdf.groupby(["g", "ch"], sort=False)["n"].sum()
-            one = pdf[pdf["ctx"].notna()].drop_duplicates(["g", "ch"])
-            if not len(one):
+        for pdf in grouped(batches, ["g"], AT_ONCE):
+            total = pdf.groupby("ch", sort=False)["n"].sum()
+            one = pdf[pdf["ctx"].notna()].drop_duplicates("ch")
+            n = total.loc[one["ch"]].to_numpy(np.int64)
+            group = pd.factorize(one["g"])[0]
+            held = np.flatnonzero(np.bincount(group, n)[group] > 1)  # an anchor that occurs once repeats nothing
+            if not len(held):
                 continue
-            n = total.loc[pd.MultiIndex.from_frame(one[["g", "ch"]])].to_numpy()
+            one, n, group = one.iloc[held], n[held], group[held]
             rows = np.frombuffer(b"".join(one["ctx"]), np.uint8).reshape(len(one), WIDTH)
-            part = one["part"].to_numpy(np.int64)
-            group = pd.factorize(one["g"])[0]
-            low, high = np.full(len(one), LENGTH), np.full(len(one), -1)
-            held = np.bincount(group, n)[group] > 1  # an anchor that occurs once repeats nothing
-            edges = np.r_[np.flatnonzero(_changes(group)), len(one)]
-            lo = 0
-            for hi in edges[1:]:  # whole groups, some thousand contexts at a time
-                if hi - lo < AT_ONCE and hi < len(one):
-                    continue
-                who = np.arange(lo, hi)
-                who, lo = who[held[lo:hi]], hi
-                if not len(who):
-                    continue
-                c = Contexts(rows[who], one["la"].to_numpy(np.int64)[who], one["ra"].to_numpy(np.int64)[who])
-                tasks = []
-                for r, (a, b) in enumerate(ranges()):
-                    mine = np.flatnonzero((part[who] == -1) | (part[who] == r))
-                    if len(mine):
-                        tasks.append((mine, a, b))
-                low[who], high[who] = repeated(c, group[who], n[who], tasks)
+            c = Contexts(rows, one["la"].to_numpy(np.int64), one["ra"].to_numpy(np.int64))
+            part, tasks = one["part"].to_numpy(np.int64), []
+            for r, (a, b) in enumerate(ranges()):
+                tasks.append((np.flatnonzero((part == -1) | (part == r)), a, b))
+            low, high = repeated(c, group, n, tasks)
             hit = high >= 0
-            yield pd.DataFrame({"g": one["g"].to_numpy()[hit], "ch": one["ch"].to_numpy()[hit], "low": low[hit].astype(np.int32), "high": high[hit].astype(np.int32)})
+            yield pd.DataFrame({"ch": one["ch"].to_numpy()[hit], "low": low[hit].astype(np.int32), "high": high[hit].astype(np.int32)})
 
-    dealt = texts.unionByName(rows).repartition("g").sortWithinPartitions("g")
-    return dealt.mapInPandas(sort, "g long, ch long, low int, high int")
+    dealt = places.where("n > 0").select("g", "ch", "n", "part", "la", "ra", "ctx").repartition("g").sortWithinPartitions("g")
+    return dealt.mapInPandas(sort, "ch long, low int, high int")
 
 
 def _cut(text: str | None, spans) -> tuple[int, int, int, bytes]:
@@ -404,8 +434,8 @@ def remove_repeats(docs: DataFrame, *, text: bool = False) -> DataFrame:
     the remaining bytes)."""
     docs = docs.select(docs["doc_id"], docs["text"].cast("string").alias("text"))
     places = stored(occurrences(docs, settled(anchor_counts(docs))))
-    found = runs(places).withColumnsRenamed({"g": "r_g", "ch": "r_ch"})
-    hits = places.select("g", "ch", "key", "pos").join(found, (F.col("g") == F.col("r_g")) & (F.col("ch") == F.col("r_ch")))
+    found = runs(places).withColumnRenamed("ch", "r_ch")
+    hits = places.where("key is not null").select("ch", "key", "pos").join(found, F.col("ch") == F.col("r_ch"))
     spans = settled(
         hits.groupBy("key").agg(F.collect_set(F.struct((F.col("pos") - F.col("high")).alias("s"), (F.col("pos") - F.col("low") + LENGTH).alias("e"))).alias("spans"))
     ).withColumnRenamed("key", "s_key")  # bounded by a document's own anchors
