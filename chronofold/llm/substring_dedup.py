@@ -53,7 +53,7 @@ AT_ONCE = 32_768
 FILTER_BITS = 1 << 27
 HOT_PER_PARTITION = 16
 HOT_LEAST = 4_096
-BROADCAST_TEXTS = 500_000
+SPANS = "array<struct<s:int,e:int>>"
 BLOCK_BYTES = 1 << 20
 LEFT = OFFSETS - 1
 WIDTH = LEFT + LENGTH
@@ -300,10 +300,16 @@ def anchor_counts(docs: DataFrame) -> DataFrame:
     return counted.where("n > 1")
 
 
-def bitmap(counts: DataFrame) -> np.ndarray:
-    """One bit per hash, FILTER_BITS in all, whatever the number of hashes."""
+def bitmap(hashes: DataFrame) -> DataFrame:
+    """``bucket, bits``: one bit per ``h``, FILTER_BITS in all, whatever the number of hashes."""
     bit = F.pmod(F.shiftrightunsigned("h", 20), F.lit(FILTER_BITS))
-    parts = counts.groupBy(F.floor(bit / 32_768).alias("bucket")).agg(F.expr(f"bitmap_construct_agg(pmod(pmod(shiftrightunsigned(h, 20), {FILTER_BITS}), 32768))").alias("bits"))
+    return hashes.groupBy(F.floor(bit / 32_768).alias("bucket")).agg(
+        F.expr(f"bitmap_construct_agg(pmod(pmod(shiftrightunsigned(h, 20), {FILTER_BITS}), 32768))").alias("bits")
+    )
+
+
+def gathered(parts: DataFrame) -> np.ndarray:
+    """The bitmap in one piece of a fixed size."""
     out = np.zeros((FILTER_BITS // 32_768, 4_096), np.uint8)
     for r in parts.toPandas().itertuples():
         out[r.bucket] = np.frombuffer(r.bits, np.uint8)
@@ -312,17 +318,18 @@ def bitmap(counts: DataFrame) -> np.ndarray:
 
 def occurrences(docs: DataFrame, counts: DataFrame) -> DataFrame:
     """``g, ch, key, pos, la, ra, part, n, ctx``: the places of anchors that may repeat. ``ch`` names a context
-    of group ``g``. A task sends a context (``ctx``, with ``n`` = 1) once; its further places there are counted
+    of group ``g``. A task sends a context (``ctx``, the bytes before and
+    behind the anchor, with ``n`` = 1) once; its further places there are counted
     in rows without a place."""
     spark = docs.sparkSession
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
     most = HOT_PER_PARTITION * shuffle_partitions(spark)  # no more hashes than that can pass
     hot = [r["h"] for r in counts.where(F.col("n") >= max(HOT_LEAST, total / most)).select("h").collect()]
-    shared = spark.sparkContext.broadcast((bitmap(counts), np.sort(np.array(hot, np.int64).view(np.uint64))))
+    shared = spark.sparkContext.broadcast((gathered(bitmap(counts)), np.sort(np.array(hot, np.int64).view(np.uint64))))
 
     def place(batches):
         bits, hottest = shared.value
-        held: list[pd.DataFrame] = []
+        held, rows = [], 0
         more: dict[tuple[int, int], int] = {}  # further places of the contexts that were sent
         for pdf in batches:
             for key, text in zip(pdf["key"], pdf["text"]):
@@ -337,16 +344,21 @@ def occurrences(docs: DataFrame, counts: DataFrame) -> DataFrame:
                     if own.any():
                         p = Places(raw[first : c + BLOCK_BYTES + LENGTH], at[own] - first)
                         held.append(_placed(p, h[own], hottest, key, first, more))
-                if sum(map(len, held)) > 8_192:
-                    yield pd.concat(held, ignore_index=True)
-                    held.clear()
+                        rows += len(held[-1][0])
+                if rows > 8_192:
+                    yield framed(held)
+                    held, rows = [], 0
             if len(more) > 400_000:
                 yield counted(more)
                 more.clear()
         if held:
-            yield pd.concat(held, ignore_index=True)
+            yield framed(held)
         yield counted(more)
 
+    def framed(held: list[tuple]) -> pd.DataFrame:
+        columns = {k: np.concatenate([x[i] for x in held]) for i, k in enumerate(list(PLACE)[:-1])}
+        return pd.DataFrame(columns | {"ctx": pd.Series([c for x in held for c in x[-1]], dtype=object)})
+
     def counted(more: dict) -> pd.DataFrame:
         again = [(g, ch, n) for (g, ch), n in more.items() if n]
         out = pd.DataFrame(again, columns=["g", "ch", "n"]).astype(np.int64)
@@ -356,7 +368,8 @@ def occurrences(docs: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.mapInPandas(place, ", ".join(f"{k} {v}" for k, v in PLACE.items()))
 
 
-def _placed(p: Places, h: np.ndarray, hottest: np.ndarray, key: int, first: int, more: dict) -> pd.DataFrame:
+def _placed(p: Places, h: np.ndarray, hottest: np.ndarray, key: int, first: int, more: dict) -> tuple:
+    """The columns of ``occurrences`` for some anchors of a text."""
     is_hot = np.isin(h, hottest)
     every = np.flatnonzero(~is_hot)
     out = [(every, h[every], np.full(len(every), -1), p.span(0, OFFSETS)[every])]
@@ -366,7 +379,7 @@ def _placed(p: Places, h: np.ndarray, hottest: np.ndarray, key: int, first: int,
             out.append((who, (h[who] + np.uint64(r + 1)) * MIX[0] ^ p.core(a, b)[who], np.full(len(who), r), p.span(a, b)[who]))
     who, g, part, ch = (np.concatenate([o[i] for o in out]) for i in range(4))
     g, ch = g.view(np.int64), (ch ^ (g * MIX[2])).view(np.int64)
-    ctx, n = [], []
+    ctx, n, sides = [], [], np.concatenate([p.rows[:, :LEFT], p.rows[:, LEFT + GRAM :]], 1)
     for i, pair in zip(who.tolist(), zip(g.tolist(), ch.tolist())):
         if pair in more:
             more[pair] += 1
@@ -374,14 +387,9 @@ def _placed(p: Places, h: np.ndarray, hottest: np.ndarray, key: int, first: int,
             n.append(0)
         else:
             more[pair] = 0
-            ctx.append(p.rows[i].tobytes())
+            ctx.append(sides[i].tobytes())
             n.append(1)
-    return pd.DataFrame(
-        {
-            "g": g, "ch": ch, "key": key, "pos": p.at[who] + first, "la": p.la[who], "ra": p.ra[who], "part": part,
-            "n": n, "ctx": pd.Series(ctx, dtype=object),
-        }
-    )
+    return g, ch, np.full(len(g), key), p.at[who] + first, p.la[who], p.ra[who], part, np.array(n, np.int64), ctx
 
 
 def runs(places: DataFrame) -> DataFrame:
@@ -397,7 +405,9 @@ def runs(places: DataFrame) -> DataFrame:
             if not len(held):
                 continue
             one, n, group = one.iloc[held], n[held], group[held]
-            rows = np.frombuffer(b"".join(one["ctx"]), np.uint8).reshape(len(one), WIDTH)
+            rows = np.zeros((len(one), WIDTH), np.uint8)  # the anchor's own bytes are the same in all the group
+            sides = np.frombuffer(b"".join(one["ctx"]), np.uint8).reshape(len(one), WIDTH - GRAM)
+            rows[:, :LEFT], rows[:, LEFT + GRAM :] = sides[:, :LEFT], sides[:, LEFT:]
             c = Contexts(rows, one["la"].to_numpy(np.int64), one["ra"].to_numpy(np.int64))
             part, tasks = one["part"].to_numpy(np.int64), []
             for r, (a, b) in enumerate(ranges()):
@@ -438,9 +448,16 @@ def remove_repeats(docs: DataFrame, *, text: bool = False) -> DataFrame:
     hits = places.where("key is not null").select("ch", "key", "pos").join(found, F.col("ch") == F.col("r_ch"))
     spans = settled(
         hits.groupBy("key").agg(F.collect_set(F.struct((F.col("pos") - F.col("high")).alias("s"), (F.col("pos") - F.col("low") + LENGTH).alias("e"))).alias("spans"))
-    ).withColumnRenamed("key", "s_key")  # bounded by a document's own anchors
-    few = spans.count() <= BROADCAST_TEXTS and (spans.agg(F.sum(F.size("spans")).alias("n")).first()["n"] or 0) <= 4 * BROADCAST_TEXTS
-    rows = docs.withColumn("_key", _key(docs)).join(F.broadcast(spans) if few else spans, F.col("_key") == F.col("s_key"), "left")
+    )  # bounded by a document's own anchors
+    # A document whose bit is not set has no span, and its text stays where it is. The bitmap's size is fixed.
+    bits = settled(bitmap(spans.select(F.col("key").alias("h"))))
+    at = F.pmod(F.shiftrightunsigned("_key", 20), F.lit(FILTER_BITS))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.pmod(at, F.lit(32_768)) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(at, F.lit(8)))), F.lit(2)) == 1, F.lit(False))
+    rows = docs.withColumn("_key", _key(docs)).withColumn("_bucket", F.floor(at / 32_768))
+    rows = rows.join(F.broadcast(bits), F.col("_bucket") == F.col("bucket"), "left").withColumn("_maybe", is_set).drop("bits", "bucket", "_bucket")
+    hit = rows.where("_maybe").join(spans.withColumnRenamed("key", "s_key"), F.col("_key") == F.col("s_key"), "left")
+    rows = hit.select("doc_id", "text", "spans").unionByName(rows.where("not _maybe").select("doc_id", "text", F.lit(None).cast(SPANS).alias("spans")))
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if text else ""))
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
