@@ -5,31 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import settled
+from chronofold.llm.common import settled, shuffle_partitions
+
+HUB_LEAST = 1_000
+HUBS_PER_PARTITION = 4
 
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _star(pairs: DataFrame) -> DataFrame:
-    """Links every ``b`` of an ``a`` to the least of that neighbourhood. The minimum is pre-aggregated, and
-    a hub's rows are split by the skew join."""
-    least = pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return pairs.join(least, "a")
+def _star(pairs: DataFrame, edges: int) -> DataFrame:
+    """Links every ``b`` of an ``a`` to the least of that neighbourhood. The minimum is pre-aggregated. A hub's
+    rows never gather: hubs, of which there are HUBS_PER_PARTITION x partitions at most, are broadcast."""
+    least = pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+    if edges < HUB_LEAST:
+        return pairs.join(least.drop("n"), "a")
+    # Pairs hold each edge twice at most, so no more hubs than that can pass.
+    fair = max(HUB_LEAST, 2 * edges // (HUBS_PER_PARTITION * shuffle_partitions(pairs.sparkSession)))
+    hubs = least.where(F.col("n") >= fair).drop("n")
+    others = pairs.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(least.where(F.col("n") < fair).drop("n"), "a")
+    return pairs.join(F.broadcast(hubs), "a").unionByName(others)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node, component`` (the component's least node) of every node of ``edges`` (``a``, ``b``)."""
     e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     e = settled(e.distinct())
-    seen = None
+    seen, size = None, e.count()
     for _ in range(most_rounds):
-        large = _star(_both(e)).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _star(_both(e), size).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         # Small star: what is below a node, and the node itself, hangs on the least of them.
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        with_least = _star(down)
+        with_least = _star(down, size)
         small = with_least.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             with_least.select("a", F.col("m").alias("b"))
         )
@@ -37,7 +46,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
-        seen = now
+        seen, size = now, max(size, now[0])
     else:
         raise RuntimeError("components have not settled")
     roots = e.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))

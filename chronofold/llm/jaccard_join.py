@@ -337,7 +337,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The document with the least identifier of every class, with the columns it had; rows without an
     identifier stay."""
     linked = jaccard_join(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(linked, docs["doc_id"] == F.col("_gone"), "left_anti")
+    rows = docs.select(docs["doc_id"].alias("_id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return rows.join(linked, F.col("_id") == F.col("_gone"), "left_anti").select("row.*")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
