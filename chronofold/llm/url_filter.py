@@ -159,13 +159,14 @@ def calibrate(scored: DataFrame) -> float:
     a, r = sum(x["a"] for x in hist), sum(x["r"] for x in hist)
     if not a or not r:
         return 0.0
-    lost, caught, best = 0, 0, []
+    # Between two occupied bins every threshold errs alike; the middle of the gap is taken.
+    lost, caught, best, below = 0, 0, [], hist[0]["bin"]
     for x in hist:
-        best.append((lost / a + (r - caught) / r, abs(x["bin"]), x["bin"]))
-        lost, caught = lost + x["a"], caught + x["r"]
-    best.append((1.0, abs(hist[-1]["bin"] + 1), hist[-1]["bin"] + 1))
+        best.append((lost / a + (r - caught) / r, (below + x["bin"]) / 2))
+        lost, caught, below = lost + x["a"], caught + x["r"], x["bin"] + 1
+    best.append((1.0, float(below)))
     least = min(b[0] for b in best)
-    level = [b[2] for b in best if b[0] == least]
+    level = [b[1] for b in best if b[0] == least]
     return level[len(level) // 2] * BIN_WIDTH
 
 
