@@ -21,7 +21,7 @@ def norm(a: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Null where a norm is zero or a value is not finite: such rows are no candidates."""
     n = norm(a) * norm(b)
-    c = dot(a, b) / n
+    c = F.try_divide(dot(a, b), n)
     return F.when((n > 0) & ~F.isnan(c) & (F.abs(c) < float("inf")), c)
 
 
