@@ -6,8 +6,8 @@ is removed. Texts are cut into UTF-8 bytes; matches never cross documents.
 1. Anchors. Each window of LENGTH bytes names the ``GRAM``-byte strings in it with the
    least hash. Equal windows name equal anchors at equal offsets, so a window can only
    repeat if its anchor's hash does. Hashes are counted over all documents; those counted
-   more than once set a bit each in a bitmap of fixed size (``FILTER_BITS``), the only
-   thing that is broadcast. A false bit costs time, not correctness.
+   more than once set a bit each in a bitmap of fixed size (``FILTER_BITS``), which is
+   broadcast. A false bit costs time, not correctness.
 2. Contexts. At each anchor that passes, the bytes that windows around it can reach are
    sent to the anchor's group; equal contexts of a task are sent once, with all their
    places. The hottest hashes (a fixed number at most) are first split by what their
@@ -20,7 +20,8 @@ is removed. Texts are cut into UTF-8 bytes; matches never cross documents.
    set of more than ``MOST`` strings is halved by offset, down to single windows, whose
    core is all of them, so the work stays in proportion to the input.
 4. The repeated windows around an anchor all hold it, so they cover one run of bytes; a
-   document's runs are merged and cut out.
+   document's runs are merged and cut out. A second bitmap of that size tells which texts
+   may have runs; only those are shuffled to them.
 
 Defined results: a null text is empty, an empty one has nothing to remove; text that is
 shorter than LENGTH bytes stays; of repeated rows each is removed (each is elsewhere for
