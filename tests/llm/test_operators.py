@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -250,3 +251,25 @@ def test_pipeline(spark, sf):
     assert set(ids) <= known
     kept = spark.createDataFrame([(r.doc_id, r.text) for r in got], "doc_id long, text string")
     assert decontaminate.decontaminate(kept, table(spark, sf, "benchmark")).where("contaminated").count() == 0
+
+
+def toxicity_of(spark, texts, toxic):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, t in enumerate(toxic)], "doc_id long, toxic int")
+    return [r.score for r in toxicity_kn.toxicity_scores(docs, labels).orderBy("doc_id").collect()]
+
+
+def test_toxicity_keeps_rare_beginnings(spark):
+    # The expression makes up under 1/200,000 of all document-word counts.
+    r = random.Random(4)
+    common = ["".join(r.choice("aeioulnrst") for _ in range(4)) for _ in range(900)]
+    texts = [" ".join(r.sample(common, 600)) for _ in range(900)]
+    toxic = [0] * 900
+    for i in range(900, 910):  # one of those that counts are made from has it
+        rare = i == next(x for x in range(900, 910) if zlib.crc32(str(x).encode()) % 5 > 1)
+        texts.append(("zqxjkv " if rare else "") + " ".join(common[:5]))
+        toxic.append(1)
+    seen = "zqxjkv " + " ".join(common[:5])
+    texts += [seen, seen.replace("zqxjkv", "wqxjkv")]  # never seen
+    got = toxicity_of(spark, texts, toxic)
+    assert got[-2] > got[-1]
