@@ -273,3 +273,13 @@ def test_toxicity_keeps_rare_beginnings(spark):
     texts += [seen, seen.replace("zqxjkv", "wqxjkv")]  # never seen
     got = toxicity_of(spark, texts, toxic)
     assert got[-2] > got[-1]
+
+
+def test_toxicity_reads_whole_runs(spark):
+    r = random.Random(5)
+    start = lambda: "".join(r.choice("abcdefghij") for _ in range(25))
+    texts = [start() + "zqxjkv" + start() if i % 2 else start() + start() for i in range(200)]
+    toxic = [i % 2 for i in range(200)]
+    s = start()
+    got = toxicity_of(spark, texts + [s + "zqxjkv" + s, s + "badfec" + s], toxic)
+    assert got[-2] > 0.5 > got[-1]
