@@ -2,13 +2,13 @@
 
 Rules name a host (with its subdomains) and a path start; the longest that fits decides.
 The URLs that rules decide are the accepted and the rejected examples. From each class a
-smoothed variable-order Markov model of characters is counted: a context of up to
-``ORDER`` characters is kept only where it makes up at least one ``MAX_CONTEXTS``-th of
-all contexts of its length, so each order has at most ``MAX_CONTEXTS`` contexts and
-``MAX_CONTEXTS`` x alphabet grams, whatever the input's size, and may be broadcast.
+smoothed variable-order Markov model of characters is counted, over all contexts of up to
+``ORDER`` characters, in partitioned tables that grow with the input.
 P(c | context) mixes the context's counts with the next shorter context's estimate,
 which weighs as much as ``PRIOR`` observations. A URL's score is the difference of its
-log-likelihoods under the two models over its length. The threshold is calibrated on
+log-likelihoods under the two models over its length. Each distinct pair of character and
+context is scored once, and URLs get the scores by a join; pairs that make up at least a
+``HOT_GRAMS``-th of all positions are broadcast for it in place of being shuffled. The threshold is calibrated on
 labelled URLs that the models were not counted on: the score with the least balanced
 error in a histogram of fixed width.
 
@@ -35,7 +35,9 @@ RULES = (
     ("com", "/de/", "block"),
 )
 ORDER = 5
-MAX_CONTEXTS = 20_000
+BROADCAST_ORDER = 2
+HOT_GRAMS = 20_000
+UNIT = 1_000_000_000
 PRIOR = 4.0
 BINS = 4_000
 BIN_WIDTH = 0.005
@@ -84,42 +86,38 @@ def _positions(urls: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def train(labelled: DataFrame) -> list[DataFrame]:
-    """Per order a bounded table ``x, c, pa, pr``: smoothed probabilities under the accepted and the
+    """Per order a table ``x, c, pa, pr``: smoothed probabilities under the accepted and the
     rejected model; the row with a null ``c`` has the factors that a character unseen there multiplies
-    the shorter context's estimate with. ``labelled``: ``_url, ok``."""
+    the shorter context's estimate with. ``labelled``: ``_url, ok, rows``."""
     # Equal URL positions are summed before they are shuffled.
-    wide = _positions(labelled, ["ok"])
-    counts = [
-        wide.where(F.col(f"x{k}").isNotNull())
-        .groupBy(F.col(f"x{k}").alias("x"), "c")
-        .agg(F.sum(F.col("ok").cast("double")).alias("na"), F.sum((~F.col("ok")).cast("double")).alias("nr"))
-        for k in range(ORDER + 1)
-    ]
+    wide = _positions(labelled, ["ok", "rows"])
     tables: list[DataFrame] = []
-    for k, each in enumerate(counts):
-        each = settled(each)
-        contexts = each.groupBy("x").agg(F.sum("na").alias("ta"), F.sum("nr").alias("tr"))
-        total = contexts.agg(F.sum(F.col("ta") + F.col("tr")).alias("n")).first()["n"] or 0
-        kept = contexts.where((F.col("ta") + F.col("tr")) * MAX_CONTEXTS >= total)
-        grams = each.join(F.broadcast(kept), "x")
+    for k in range(ORDER + 1):
+        grams = (
+            wide.where(F.col(f"x{k}").isNotNull())
+            .groupBy(F.col(f"x{k}").alias("x"), "c")
+            .agg(*[F.sum(F.when(F.col("ok") == ok, F.col("rows")).otherwise(0)).cast("double").alias(n) for ok, n in ((True, "na"), (False, "nr"))])
+        )
+        # A context has at most one row per character of the alphabet.
+        same = Window.partitionBy("x")
+        each = settled(grams.select("*", F.sum("na").over(same).alias("ta"), F.sum("nr").over(same).alias("tr")))
         if k == 0:
-            shorter = lambda df: df.withColumn("qa", F.lit(1.0 / 97)).withColumn("qr", F.lit(1.0 / 97))
+            mixed = each.withColumn("qa", F.lit(1.0 / 97)).withColumn("qr", F.lit(1.0 / 97))
         else:
-            below = tables[k - 1]
-            seen = below.where(F.col("c").isNotNull()).select(
+            # A context's suffix occurs at least as often, at a place of every shorter order too.
+            seen = tables[k - 1].where(F.col("c").isNotNull()).select(
                 F.col("x").alias("y"), F.col("c").alias("d"), F.col("pa").alias("qa"), F.col("pr").alias("qr")
             )
-            # A kept context's suffix occurs at least as often, at a place of every shorter order too.
-            shorter = lambda df, seen=seen: df.withColumn("_y", F.expr("substring(x, 2, length(x))")).join(
-                F.broadcast(seen), (F.col("_y") == F.col("y")) & (F.col("c") == F.col("d")), "left"
+            mixed = each.withColumn("_y", F.expr("substring(x, 2, length(x))")).join(
+                F.broadcast(seen) if k - 1 <= BROADCAST_ORDER else seen, (F.col("_y") == F.col("y")) & (F.col("c") == F.col("d")), "left"
             )
-        mixed = shorter(grams).select(
+        mixed = mixed.select(
             "x",
             "c",
             ((F.col("na") + PRIOR * F.coalesce("qa", F.lit(1.0 / 97))) / (F.col("ta") + PRIOR)).alias("pa"),
             ((F.col("nr") + PRIOR * F.coalesce("qr", F.lit(1.0 / 97))) / (F.col("tr") + PRIOR)).alias("pr"),
         )
-        unseen = kept.select(
+        unseen = each.select("x", "ta", "tr").distinct().select(
             "x",
             F.lit(None).cast("string").alias("c"),
             (PRIOR / (F.col("ta") + PRIOR)).alias("pa"),
@@ -129,29 +127,41 @@ def train(labelled: DataFrame) -> list[DataFrame]:
     return tables
 
 
-def score(urls: DataFrame, tables: list[DataFrame], keep: list[str]) -> DataFrame:
-    """``keep`` (which identify a URL) and ``score``, the log-likelihood ratio per character."""
-    each = _positions(urls, keep)
+def score(urls: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """``_uid`` and ``score``, the log-likelihood ratio per character. ``urls``: ``_uid, _url``."""
+    longest = F.coalesce(*[F.col(f"x{k}") for k in range(ORDER, -1, -1)])
+    at = _positions(urls, ["_uid"]).select("_uid", "c", longest.alias("x"))
+    each = at.groupBy("x", "c").agg(F.count(F.lit(1)).alias("n"))
     ratio: Column = F.lit(0.0)
     for k, model in enumerate(tables):
         gram = model.where(F.col("c").isNotNull()).select(
             F.col("x").alias(f"gx{k}"), F.col("c").alias(f"gc{k}"), (F.log("pa") - F.log("pr")).alias(f"g{k}")
         )
         back = model.where(F.col("c").isNull()).select(F.col("x").alias(f"bx{k}"), (F.log("pa") - F.log("pr")).alias(f"b{k}"))
-        each = each.join(
-            F.broadcast(gram), (F.col(f"x{k}") == F.col(f"gx{k}")) & (F.col("c") == F.col(f"gc{k}")), "left"
-        ).join(F.broadcast(back), F.col(f"x{k}") == F.col(f"bx{k}"), "left")
-        # Seen here: this order's estimate. Else the shorter one's, times this context's factor if it is kept.
+        if k <= BROADCAST_ORDER:  # the alphabet bounds these
+            gram, back = F.broadcast(gram), F.broadcast(back)
+        here = F.when(F.length("x") >= k, F.expr(f"substring(x, length(x) - {k} + 1, {k})"))
+        each = each.withColumn(f"x{k}", here)
+        each = each.join(gram, (F.col(f"x{k}") == F.col(f"gx{k}")) & (F.col("c") == F.col(f"gc{k}")), "left")
+        each = each.join(back, F.col(f"x{k}") == F.col(f"bx{k}"), "left")
+        # Seen here: this order's estimate. Else the shorter one's, times this context's factor if it occurs.
         ratio = F.coalesce(F.col(f"g{k}"), ratio + F.coalesce(F.col(f"b{k}"), F.lit(0.0)))
-    return each.groupBy(*keep).agg(F.avg(ratio).alias("score"))
+    pairs = settled(each.select("x", "c", "n", F.round(ratio * UNIT).cast("long").alias("r")))
+    total = pairs.agg(F.sum("n").alias("n")).first()["n"] or 0
+    often = F.col("n") * HOT_GRAMS >= total
+    hot = at.join(F.broadcast(pairs.where(often)), ["x", "c"])
+    rest = at.join(F.broadcast(pairs.where(often).select("x", "c")), ["x", "c"], "left_anti").join(pairs.where(~often), ["x", "c"])
+    # Whole numbers of 1 / UNIT, so the order of the sums does not matter.
+    sums = hot.select("_uid", "r").unionByName(rest.select("_uid", "r")).groupBy("_uid")
+    return sums.agg((F.sum("r") / F.count(F.lit(1)) / UNIT).alias("score"))
 
 
 def calibrate(scored: DataFrame) -> float:
-    """The threshold with the least balanced error among the bins' lower ends. ``scored``: ``score, ok``."""
+    """The threshold with the least balanced error among the bins' lower ends. ``scored``: ``score, ok, rows``."""
     bin_ = F.least(F.greatest(F.floor(F.col("score") / BIN_WIDTH), F.lit(-BINS // 2)), F.lit(BINS // 2 - 1))
     hist = (
         scored.groupBy(bin_.alias("bin"))
-        .agg(F.sum(F.col("ok").cast("long")).alias("a"), F.sum((~F.col("ok")).cast("long")).alias("r"))
+        .agg(*[F.sum(F.when(F.col("ok") == ok, F.col("rows")).otherwise(0)).alias(n) for ok, n in ((True, "a"), (False, "r"))])
         .orderBy("bin")
         .limit(BINS)
         .collect()
@@ -176,16 +186,18 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     # Equal URLs are scored once: their characters' rows then never gather under one hot key.
     urls = settled(
         ruled.groupBy(_clean(F.col("url")).alias("_url"), "ruling").agg(F.count(F.lit(1)).alias("rows"))
+        .withColumn("_uid", F.monotonically_increasing_id())
     )
-    labelled = urls.where(F.col("ruling").isNotNull()).select("_url", (F.col("ruling") == "allow").alias("ok"))
+    labelled = urls.where(F.col("ruling").isNotNull()).select("_uid", "_url", "rows", (F.col("ruling") == "allow").alias("ok"))
     classes = labelled.agg(F.bool_or("ok").alias("a"), F.bool_or(~F.col("ok")).alias("r")).first()
     plain = F.coalesce("ruling", F.lit("allow"))
     if not (classes["a"] and classes["r"]):
         return ruled.select("page_id", "host", "path", "rule", plain.alias("verdict"), F.lit(0.0).alias("score"))
     fold = F.crc32("_url") % 5
     tables = train(labelled.where(fold != 0))
-    level = calibrate(score(labelled.where(fold == 0), tables, ["_url", "ok"]))
-    scores = settled(score(urls.where(F.col("ruling").isNull()).select("_url"), tables, ["_url"]))
+    scored = settled(score(urls.where(F.col("ruling").isNull() | (fold == 0)).select("_uid", "_url"), tables))
+    level = calibrate(labelled.join(scored, "_uid"))
+    scores = urls.where(F.col("ruling").isNull()).join(scored, "_uid").select("_url", "score")
     out = ruled.withColumn("_key", F.when(F.col("ruling").isNull(), _clean(F.col("url")))).join(
         scores.select(F.col("_url").alias("_key"), "score"), "_key", "left"
     )

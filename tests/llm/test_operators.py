@@ -1,6 +1,7 @@
 """The dealt operators on small fixtures: brute force, null and empty input, clashing columns, held-out accuracy."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -283,3 +284,41 @@ def test_toxicity_reads_whole_runs(spark):
     s = start()
     got = toxicity_of(spark, texts + [s + "zqxjkv" + s, s + "badfec" + s], toxic)
     assert got[-2] > 0.5 > got[-1]
+
+
+def test_url_model_counts_rows_and_every_context(spark):
+    seen = [("aab", True, 5), ("aac", False, 1), ("ab", True, 1)]
+    tables = url_filter.train(spark.createDataFrame(seen, "_url string, ok boolean, rows long"))
+    counts = {}
+    for url, ok, rows in seen:
+        s = url_filter.START + url
+        for i in range(1, len(s)):
+            for k in range(min(i, url_filter.ORDER) + 1):
+                n = counts.setdefault(s[i - k : i], {}).setdefault(s[i], [0, 0])
+                n[not ok] += rows
+
+    def p(x, c, side):
+        back = p(x[1:], c, side) if x else 1 / 97
+        here = counts.get(x, {})
+        n = sum(v[side] for v in here.values())
+        return (here.get(c, [0, 0])[side] + url_filter.PRIOR * back) / (n + url_filter.PRIOR)
+
+    for r in [r for t in tables for r in t.where("c is not null").collect()]:
+        assert (r.pa, r.pr) == pytest.approx((p(r.x, r.c, 0), p(r.x, r.c, 1)))
+    urls = ["aab", "aac", "zab", "aa", "bbbbbbbaab"]
+    got = {r._uid: r.score for r in url_filter.score(spark.createDataFrame(list(enumerate(urls)), "_uid long, _url string"), tables).collect()}
+    for i, url in enumerate(urls):
+        s = url_filter.START + url
+        each = [math.log(p(s[max(0, j - 5) : j], s[j], 0) / p(s[max(0, j - 5) : j], s[j], 1)) for j in range(1, len(s))]
+        assert got[i] == pytest.approx(sum(each) / len(each), abs=1e-6)
+    # 30,000 contexts of one length, each of them once: under a 20,000th.
+    r = random.Random(3)
+    many = [("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40)), i % 2 == 0, 1) for i in range(1000)]
+    last = url_filter.train(spark.createDataFrame(many, "_url string, ok boolean, rows long"))[url_filter.ORDER]
+    assert last.where("c is null").count() == len({(url_filter.START + u)[i - 5 : i] for u, _, _ in many for i in range(5, 41)})
+
+
+def test_url_threshold_counts_rows(spark):
+    scored = [(0.1, True, 1), (0.3, False, 1), (0.5, True, 9), (-0.5, False, 1), (0.0, True, 1)]
+    level = url_filter.calibrate(spark.createDataFrame(scored, "score double, ok boolean, rows long"))
+    assert 0.3 < level <= 0.5
