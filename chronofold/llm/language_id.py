@@ -10,9 +10,9 @@ chosen by a hash of the identifier and never from the held-out fold. The words'
 and each round's expected counts, are gathered by Spark; the probabilities (vocabulary
 x languages) are broadcast.
 
-The vocabulary file is a parameter; only the driver reads it. Words are cut after
-``LONGEST`` letters, each part scored on its own, so memory is bounded for any text. A
-letter outside the vocabulary is a piece of its own, equally rare in every language.
+The vocabulary file is a parameter; only the driver reads it. Words are read in
+windows of ``LONGEST`` letters that carry the sums at the last ``LONGEST_PIECE`` ends, so
+pieces over a window's end count and memory is bounded for any text. A letter outside the vocabulary is a piece of its own, equally rare in every language.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is
 every text where no language is known; ties go to the first language by name; the score
@@ -117,12 +117,17 @@ class Lattice:
         return size, found
 
 
-def forward(size: np.ndarray, found: dict, p: np.ndarray) -> np.ndarray:
-    """Sums over the segmentations of each word's beginnings: word x end x language."""
+def forward(size: np.ndarray, found: dict, p: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """Sums over the segmentations of each word's beginnings: word x end x language. ``before`` has the sums
+    of the first ends, of the letters that the words share with their windows before."""
     width = int(size.max())
     a = np.zeros((len(size), width + 1, p.shape[1]))
     a[:, 0] = 1.0
-    for j in range(1, width + 1):
+    known = 1
+    if before is not None:
+        known = before.shape[1]
+        a[:, :known] = before
+    for j in range(known, width + 1):
         for k, at in found.items():
             if k <= j:
                 ids = at[:, j - k]
@@ -132,54 +137,80 @@ def forward(size: np.ndarray, found: dict, p: np.ndarray) -> np.ndarray:
     return a
 
 
-def parts(word: str) -> list[str]:
-    """The word with its mark, cut after LONGEST letters."""
-    w = MARK + word
-    return [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
+def window(w: str, g: int) -> str:
+    """The ``g``-th LONGEST letters of a marked word, after the letters that pieces over the cut begin in."""
+    return w[max(0, g * LONGEST - LONGEST_PIECE) : (g + 1) * LONGEST]
 
 
 def log_likelihoods(words: list[str], lattice: Lattice, p: np.ndarray, block: int = 8_192) -> np.ndarray:
-    """Word x language."""
+    """Word x language. Long words are summed in windows, each with the last sums of the one before."""
     out = np.zeros((len(words), p.shape[1]))
     # Words of about the same length share a block, so that little of it is padding.
-    cut = [(len(x), i, x) for i, w in enumerate(words) for x in parts(w)]
-    cut.sort(key=lambda x: x[0])
-    for b in range(0, len(cut), block):
-        some = cut[b : b + block]
-        size, found = lattice.edges([x[2] for x in some])
-        a = forward(size, found, p)
-        np.add.at(out, [x[1] for x in some], np.log(a[np.arange(len(some)), size]))
+    order = sorted(((len(w), i, MARK + w) for i, w in enumerate(words)), key=lambda x: x[0])
+    for b in range(0, len(order), block):
+        some, g, before = order[b : b + block], 0, None
+        while some:
+            size, found = lattice.edges([window(x[2], g) for x in some])
+            a = forward(size, found, p, before)
+            end = a[np.arange(len(some)), size]
+            out[[x[1] for x in some]] += np.log(end)
+            g += 1
+            more = [n for n, x in enumerate(some) if len(x[2]) > g * LONGEST]
+            if more:
+                last = int(size[more[0]])
+                first = last - min(LONGEST_PIECE, g * LONGEST)
+                before = a[more, first : last + 1] / end[more][:, None]
+            some = [some[n] for n in more]
     return out
 
 
 def expected(words: list[str], weight: np.ndarray, lang: np.ndarray, lattice: Lattice, p: np.ndarray, block: int = 4_096):
     """Expected piece counts, piece x language, of weighted words of given languages."""
     total = np.zeros_like(p)
-    order = sorted((len(x), i, x) for i, w in enumerate(words) for x in parts(w))
+    order = sorted((len(w), i, MARK + w) for i, w in enumerate(words))
     for b in range(0, len(order), block):
-        some = order[b : b + block]
-        who = np.array([x[1] for x in some])
-        size, found = lattice.edges([x[2] for x in some])
-        l, rows, width = lang[who], np.arange(len(some)), int(size.max())
-        a = np.zeros((len(some), width + 1))
-        z = np.zeros((len(some), width + 1))
-        a[:, 0] = 1.0
-        z[rows, size] = 1.0
-        for j in range(1, width + 1):
-            for k, at in found.items():
-                if k <= j:
-                    a[:, j] += a[:, j - k] * p[at[:, j - k], l]
-        for j in range(width - 1, -1, -1):
+        some, g, before, steps = order[b : b + block], 0, None, []
+        while some:
+            who = np.array([x[1] for x in some])
+            size, found = lattice.edges([window(x[2], g) for x in some])
+            l, rows, width = lang[who], np.arange(len(some)), int(size.max())
+            known = 0 if before is None else before.shape[1] - 1  # letters of the window before
+            a = np.zeros((len(some), width + 1))
+            a[:, 0] = 1.0
+            if before is not None:
+                a[:, : known + 1] = before
+            for j in range(known + 1, width + 1):
+                for k, at in found.items():
+                    if k <= j:
+                        a[:, j] += a[:, j - k] * p[at[:, j - k], l]
+            end = np.maximum(a[rows, size], 1e-300)
+            g += 1
+            more = np.array([n for n, x in enumerate(some) if len(x[2]) > g * LONGEST], np.int64)
+            steps.append((who, size, found, known, a, end, more))
+            if len(more):
+                last = int(size[more[0]])
+                first = last - min(LONGEST_PIECE, g * LONGEST)
+                before = a[more, first : last + 1] / end[more][:, None]
+            some = [some[n] for n in more]
+        after = None
+        for who, size, found, known, a, end, more in reversed(steps):
+            l, rows, width = lang[who], np.arange(len(who)), int(size.max())
+            z = np.zeros((len(who), width + 1))
+            z[rows, size] = 1 / end
+            if after is not None:  # what follows a cut, of the words that go on
+                last = int(size[more[0]])
+                z[more, last - after.shape[1] + 1 : last + 1] = after / end[more][:, None]
+            for j in range(width - 1, -1, -1):
+                for k, at in found.items():
+                    if known < j + k <= width:
+                        z[:, j] += z[:, j + k] * p[at[:, j], l]
             for k, at in found.items():
-                if j + k <= width:
-                    z[:, j] += z[:, j + k] * p[at[:, j], l]
-        share = weight[who] / np.maximum(a[rows, size], 1e-300)
-        for k, at in found.items():
-            for j in range(width - k + 1):
-                ids = at[:, j]
-                e = np.flatnonzero(ids < lattice.n)
-                if len(e):
-                    np.add.at(total, (ids[e], l[e]), (a[e, j] * p[ids[e], l[e]] * z[e, j + k] * share[e]))
+                for j in range(max(0, known - k + 1), width - k + 1):
+                    ids = at[:, j]
+                    e = np.flatnonzero(ids < lattice.n)
+                    if len(e):
+                        np.add.at(total, (ids[e], l[e]), (a[e, j] * p[ids[e], l[e]] * z[e, j + k] * weight[who][e]))
+            after = z[:, : known + 1]
     return total
 
 

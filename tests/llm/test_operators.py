@@ -322,3 +322,31 @@ def test_url_threshold_counts_rows(spark):
     scored = [(0.1, True, 1), (0.3, False, 1), (0.5, True, 9), (-0.5, False, 1), (0.0, True, 1)]
     level = url_filter.calibrate(spark.createDataFrame(scored, "score double, ok boolean, rows long"))
     assert 0.3 < level <= 0.5
+
+
+def test_forward_sums_segmentations_over_window_ends(spark):
+    import numpy as np
+
+    pieces = ["a", "b", "ab", "ba", "aba", language_id.MARK, language_id.MARK + "a"]
+    lattice = language_id.Lattice(pieces)
+    p = language_id.probabilities(np.random.default_rng(1).random((len(pieces), 2)))
+    words = ["ab" * 45 + "a", "ba" * 11 + "b", "b" * 24, "ab" * 12, "aab" * 17]
+
+    def total(word, q):
+        w = language_id.MARK + word
+        a = [np.ones(2)]
+        for j in range(1, len(w) + 1):
+            a.append(sum((a[j - len(x)] * q[i] for i, x in enumerate(pieces) if w[:j].endswith(x)), np.zeros(2)))
+        return np.log(a[-1])
+
+    assert np.allclose(language_id.log_likelihoods(words, lattice, p), [total(w, p) for w in words])
+    # Expected counts are p times the derivative of the log-likelihood.
+    weight, lang = np.array([1.0, 2.0, 1.0, 3.0, 1.0]), np.array([0, 1, 1, 0, 1])
+    got = language_id.expected(words, weight, lang, lattice, p)
+    for i in range(len(pieces)):
+        up, down = p.copy(), p.copy()
+        up[i] *= 1 + 1e-5
+        down[i] *= 1 - 1e-5
+        slope = [(total(w, up) - total(w, down)) / 2e-5 for w in words]
+        for c in (0, 1):
+            assert np.isclose(got[i, c], sum(x * s[c] for x, s, l in zip(weight, slope, lang) if l == c), rtol=1e-4, atol=1e-6)
