@@ -3,13 +3,15 @@
 A document's features are its distinct words hashed to ``WORD_BUCKETS`` (weights fall
 with the number of words, so that they sum to one in square), and one feature for the
 bin of each structure statistic (case, punctuation, digits, line and word repetition,
-...) and of the metadata (length). The score is the logistic of a bias, linear weights
+...) and of the metadata that is no label: the length. The score is the logistic of a bias, linear weights
 and all pairwise interactions through ``RANK`` factors, computed in time linear in the
 features by the identity  sum_{i<j} <v_i,v_j> x_i x_j = (|sum v_i x_i|^2 - sum |v_i x_i|^2) / 2.
 
-The machine is fitted on at most about ``MAX_TRAIN`` labelled documents (chosen by a
-hash of the identifier, never from the held-out fold) with mini-batch Adagrad, and has a
-fixed number of weights, which are broadcast. Every whole text is scored.
+The machine is fitted on at most about ``MAX_TRAIN`` labelled documents, and at most about
+``MAX_TRAIN_BYTES`` of their features (chosen by a hash of the identifier, never from the
+held-out fold), with mini-batch Adagrad. The features are made by the executors and stored;
+the driver gets them as packed bytes. The machine has a fixed number of weights, which are
+broadcast. Every whole text is scored.
 
 Defined results: a null text counts as empty and is scored by its statistics alone;
 repeated rows get equal scores; where no label is known, or only one value, every
@@ -28,13 +30,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import held_out, table
+from chronofold.llm.common import held_out, stored, table
 from chronofold.llm.scoring import labelled
 
 WORD_BUCKETS = 1 << 14
 BINS = 16
 RANK = 8
 MAX_TRAIN = 12_000
+MAX_TRAIN_BYTES = 48_000_000
 EPOCHS = 8
 BATCH = 128
 THRESHOLD = 0.3
@@ -118,20 +121,32 @@ def fit(at: list, x: list, y: np.ndarray, *, epochs: int = EPOCHS, rank: int = R
     return bias, w, v
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", most: int = MAX_TRAIN) -> tuple | float:
-    """The fitted machine, or a constant where the labels hold fewer than two values."""
+def packed_features(rows: DataFrame) -> DataFrame:
+    """``doc_id, label, at, x`` of rows (``doc_id, text, label``): feature numbers and values as packed bytes."""
 
     def featurise(batches):
         for pdf in batches:
-            rows = [features(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "at": [r[0] for r in rows], "x": [r[1] for r in rows]})
+            made = [features(t) for t in pdf["text"]]
+            yield pd.DataFrame(
+                {"doc_id": pdf["doc_id"], "label": pdf["label"], "at": [a.tobytes() for a, _ in made], "x": [x.tobytes() for _, x in made]}
+            )
+
+    return rows.mapInPandas(featurise, "doc_id long, label int, at binary, x binary")
 
-    rows = labelled(docs, labels, label, most).mapInPandas(featurise, "doc_id long, label int, at array<int>, x array<float>")
-    got = rows.toPandas().sort_values(["doc_id", "label"], kind="stable")  # about `most` rows
-    y = (got["label"].to_numpy(dtype=np.float64) > 0).astype(np.float64)
+
+def train(
+    docs: DataFrame, labels: DataFrame, *, label: str = "quality", most: int = MAX_TRAIN, most_bytes: int = MAX_TRAIN_BYTES
+) -> tuple | float:
+    """The fitted machine, or a constant where the labels hold fewer than two values."""
+    rows = stored(packed_features(labelled(docs, labels, label, most)))
+    size = rows.agg(F.sum(F.length("at") + F.length("x")).alias("n")).first()["n"] or 0
+    if size > most_bytes:  # long texts: a smaller share, again by the identifier's hash
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("bytes")), F.lit(1 << 30)) < int(most_bytes / size * (1 << 30)))
+    got = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["label"], r["at"], r["x"]))  # about `most_bytes` at most
+    y = np.array([r["label"] > 0 for r in got], np.float64)
     if len(y) == 0 or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.5
-    return fit(got["at"].tolist(), got["x"].tolist(), y)
+    return fit([np.frombuffer(r["at"], np.int32) for r in got], [np.frombuffer(r["x"], np.float32) for r in got], y)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, carry: bool = False, **options) -> DataFrame:
