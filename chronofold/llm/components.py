@@ -1,7 +1,11 @@
-"""Connected components of an edge table, by alternating large-star and small-star rounds."""
+"""Connected components of an edge table, by hash-to-min rounds with one shuffle of the edges each."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,43 +15,67 @@ HUB_LEAST = 1_000
 HUBS_PER_PARTITION = 4
 
 
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+def roots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Per node of a graph of nodes 0, 1, ... the least node that edges ``a[i], b[i]`` connect it to."""
+    root = np.arange(int(max(a.max(), b.max())) + 1)
+    while True:
+        before = root.copy()
+        low = np.minimum(before[a], before[b])
+        np.minimum.at(root, before[a], low)
+        np.minimum.at(root, before[b], low)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == before).all():
+            return root
+
+
+def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Hangs all that the task's edges connect on its least node; ``new`` marks edges that were not there."""
+    held = [pdf[["a", "b", "m"]].to_numpy(np.int64) for pdf in batches if len(pdf)]
+    if not held:
+        return
+    e = np.concatenate(held)
+    e = np.concatenate([e[:, :2], e[:, [0, 2]]])
+    nodes, at = np.unique(e, return_inverse=True)
+    at = at.reshape(e.shape)
+    root = roots(at[:, 0], at[:, 1])
+    x = np.flatnonzero(root != np.arange(len(root)))
+    known = np.unique(at.max(1) * len(nodes) + at.min(1))
+    yield pd.DataFrame({"a": nodes[x], "b": nodes[root[x]], "new": ~np.isin(x * len(nodes) + root[x], known)})
 
 
-def _star(pairs: DataFrame, edges: int) -> DataFrame:
-    """Links every ``b`` of an ``a`` to the least of that neighbourhood. The minimum is pre-aggregated. A hub's
-    rows never gather: hubs, of which there are HUBS_PER_PARTITION x partitions at most, are broadcast."""
-    least = pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
-    if edges < HUB_LEAST:
-        return pairs.join(least.drop("n"), "a")
-    # Pairs hold each edge twice at most, so no more hubs than that can pass.
-    fair = max(HUB_LEAST, 2 * edges // (HUBS_PER_PARTITION * shuffle_partitions(pairs.sparkSession)))
-    hubs = least.where(F.col("n") >= fair).drop("n")
-    others = pairs.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(least.where(F.col("n") < fair).drop("n"), "a")
-    return pairs.join(F.broadcast(hubs), "a").unionByName(others)
+def _pairs(edges: DataFrame, size: int) -> DataFrame:
+    """Both directions of the edges with their dealing key ``a, salt``. A hub's rows are dealt by a salt; each
+    part also gets the hub's least neighbour ``m``, so that parts of a hub hang on the same node. Edges stand
+    in the table twice at most, so hubs are HUBS_PER_PARTITION x partitions at most and are broadcast."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    if size < HUB_LEAST:
+        return both.select("a", "b", F.col("a").alias("m"), F.lit(0).alias("salt"))
+    parts = shuffle_partitions(edges.sparkSession)
+    fair = max(HUB_LEAST, 2 * size // (HUBS_PER_PARTITION * parts))
+    degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("least"))
+    hubs = degree.where(F.col("n") >= fair).select(F.col("a").alias("hub"), F.ceil(F.col("n") * 2 / fair).alias("parts"), "least")
+    dealt = both.join(F.broadcast(hubs), F.col("a") == F.col("hub"), "left")
+    salt = F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64("b"), F.col("parts"))).otherwise(0).cast("int")
+    return dealt.select("a", "b", F.coalesce("least", "a").alias("m"), salt.alias("salt"))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """``node, component`` (the component's least node) of every node of ``edges`` (``a``, ``b``)."""
-    e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    e = settled(e.distinct())
-    seen, size = None, e.count()
+    """``node, component`` (the component's least node) of every node of ``edges`` (``a``, ``b``).
+
+    In each round a node's edges meet in one task, which hangs everything that its edges connect on the least
+    node it sees; the rounds end when no task makes a new edge, which is when every node hangs on its root.
+    """
+    e = settled(edges.where(F.col("a") != F.col("b")).select("a", "b"))
     for _ in range(most_rounds):
-        large = _star(_both(e), size).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        # Small star: what is below a node, and the node itself, hangs on the least of them.
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        with_least = _star(down, size)
-        small = with_least.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            with_least.select("a", F.col("m").alias("b"))
-        )
-        e = settled(small.where("a <> b").distinct())
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
+        size = e.count()
+        if not size:
+            break
+        dealt = _pairs(e, size).repartition("a", "salt").drop("salt")
+        e = settled(dealt.mapInPandas(_contract, "a long, b long, new boolean"))
+        if not e.where("new").limit(1).count():
             break
-        seen, size = now, max(size, now[0])
     else:
         raise RuntimeError("components have not settled")
-    roots = e.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    both = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return both.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

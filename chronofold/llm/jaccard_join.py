@@ -9,23 +9,32 @@ linked. Equal texts form a class, of which the one with the least identifier tak
    similarity after m matches of n has a beta posterior; a pair is dropped as soon as the
    posterior probability of 0.8 or more falls below ``TOLERANCE``. What stays is emitted
    as a spanning forest of each band's group, never as all its pairs: a group is searched
-   breadth-first, a text is compared only with those that no edge has reached yet.
-3. The forests' components are the candidate groups. In each, every pair is verified
-   exactly on whole shingle sets (intersections of all pairs at once by a matrix product
-   over the shingles that some but not all of a block share). Only each text's number of
-   links and a spanning forest leave the task; the components of these forests are the
-   classes.
-
-Groups larger than ``BLOCK`` are split into blocks and every pair of blocks is a group of
-its own, so that no task holds an unbounded group; nothing is capped or dropped.
+   breadth-first, a text is compared only with those that no edge has reached yet. A band's
+   group of more than ``BLOCK`` texts is dealt into blocks, each searched by itself and
+   tied to the band's least text: what that joins too much, step 3 takes apart again.
+3. The forests' components are the candidate groups, and each text of one is shuffled
+   once. A group of at most ``BLOCK`` texts is verified in one task, every pair exactly on
+   whole shingle sets (intersections of all pairs at once by a matrix product over the
+   shingles that some but not all share). Of a larger group each text is compared with the
+   group's centre and only its difference from the centre goes on. Jaccard distance is a
+   metric: two texts whose distances to the centre add up to 0.2 at most are linked, two
+   whose distances differ by more are not. Such pairs of distance levels are counted, not
+   compared; the other pairs are verified exactly, by pairs of blocks of differences.
+   Only each text's number of links and a spanning forest leave a task; the components of
+   these forests are the classes.
+
+So a hot group of close copies costs time in proportion to its size. A large group of
+texts further than 0.1 from their centre is compared pair by pair (as exact numbers of
+links ask for), from differences instead of texts. Nothing is capped or dropped. Texts are
+told apart by SHA-256, shingles by 64-bit hashes.
 
 Words are the contract's words (see ``common.WORD``), A-Z lower-cased. Defined results: a
 text of fewer than five words, but not none, has one shingle of them all; a text without
 words has none and no link, nor has a null text (equal ones still share a class); a row
-without an identifier has no class; rows that share an identifier are one document, whose
-links are those of its text with the least SHA-256; ties do not arise, classes being named
-by their least identifier; an empty table gives an empty result; further columns are
-ignored.
+without an identifier is linked by its text like any other, and a class of only such rows
+has a null name; different texts under one identifier are linked each by itself; ties do
+not arise, classes being named by their least identifier; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +46,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm.common import UPPER, WORD, settled, stored, table
@@ -50,6 +59,8 @@ ROWS = 5
 STEP = 16
 TOLERANCE = 1e-5
 BLOCK = 1_000
+DIFFERENCES = 2_000
+LEVELS = 100
 BROADCAST_DOCS = 500_000
 CACHED_WORDS = 300_000
 SEED = np.random.default_rng(20240601)
@@ -133,39 +144,62 @@ def forest(ids: np.ndarray, sigs: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def exact_links(sets: list[np.ndarray], first: int | None = None):
-    """Boolean matrix of pairs that reach the threshold; with ``first``, only pairs between the first so many
-    sets and the others."""
-    num, den = THRESHOLD
+def intersections(sets: list[np.ndarray], first: int | None = None) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets; with ``first``, of the first so many with the others."""
     size = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
     who = np.repeat(np.arange(len(sets)), size)
     order = np.argsort(flat, kind="stable")
     flat, who = flat[order], who[order]
-    start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+    start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
     count = np.diff(np.r_[start, len(flat)])
     common = int((count == len(sets)).sum())
     use = (count > 1) & (count < len(sets))
     column = np.repeat(np.where(use, np.cumsum(use) - 1, -1), count)
     got = column >= 0
     column, who = column[got], who[got]
-    inter = np.full((len(sets), len(sets)), float(common), np.float32)
+    cut = len(sets) if first is None else first
+    inter = np.full((cut, len(sets) if first is None else len(sets) - cut), float(common), np.float32)
     width = 4_096
     cuts = np.searchsorted(column, np.arange(0, int(use.sum()) + width, width))
     for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
         if a < b:
             m = np.zeros((len(sets), width), np.float32)
             m[who[a:b], column[a:b] - i * width] = 1.0
-            inter += m @ m.T
-    inter = np.rint(inter).astype(np.int64)
-    linked = inter * (num + den) >= num * (size[:, None] + size[None, :])
-    np.fill_diagonal(linked, False)
+            inter += m @ m.T if first is None else m[:cut] @ m[cut:].T
+    return np.rint(inter).astype(np.int64)
+
+
+def square(linked: np.ndarray, first: int | None) -> np.ndarray:
+    """A symmetric matrix of links, none of a text with itself; with ``first``, from the block of the cross pairs."""
     if first is not None:
-        linked[:first, :first] = False
-        linked[first:, first:] = False
+        n = sum(linked.shape)
+        whole = np.zeros((n, n), bool)
+        whole[:first, first:] = linked
+        whole[first:, :first] = linked.T
+        return whole
+    np.fill_diagonal(linked, False)
     return linked
 
 
+def exact_links(sets: list[np.ndarray]) -> np.ndarray:
+    """Boolean matrix of pairs that reach the threshold."""
+    num, den = THRESHOLD
+    size = np.array([len(s) for s in sets], np.int64)
+    return square(intersections(sets) * (num + den) >= num * (size[:, None] + size[None, :]), None)
+
+
+def difference_links(size: np.ndarray, sets: list[np.ndarray], first: int | None = None) -> np.ndarray:
+    """The same from the texts' numbers of shingles and their differences from one centre: the difference of
+    two texts is the difference of these."""
+    num, den = THRESHOLD
+    d = np.array([len(s) for s in sets], np.int64)
+    a, b = (slice(None), slice(None)) if first is None else (slice(first), slice(first, None))
+    both = size[a, None] + size[None, b]
+    apart = d[a, None] + d[None, b] - 2 * intersections(sets, first)
+    return square((both - apart) * (num + den) >= 2 * num * both, first)
+
+
 def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
     left, edges = np.ones(len(linked), bool), []
     for root in range(len(linked)):
@@ -209,19 +243,14 @@ def starts_of(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
     return np.r_[np.flatnonzero(change), len(pdf)]
 
 
-def _blocks(df: DataFrame, size: str, ident: str, with_own: bool) -> DataFrame:
-    """Adds ``bi, bj``, the pair of blocks; a row of a group of n blocks appears n times or n - 1 times."""
-    n = F.ceil(F.col(size) / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64(ident), n.cast("long")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), n - 1)).alias("_o")
-    out = df.withColumn("_b", own).withColumn("_n", n).select("*", other)
-    if not with_own:  # a pair of blocks covers what is inside each; a lone block pairs with itself
-        out = out.where((F.col("_o") != F.col("_b")) | (F.col("_n") == 1))
-    return out.withColumn("bi", F.least("_b", "_o")).withColumn("bj", F.greatest("_b", "_o")).drop("_o", "_n")
+def _block(size: str, ident: str, most: int) -> tuple[Column, Column]:
+    """Number of blocks of a group of so many, and the block of a row."""
+    n = F.ceil(F.col(size) / most).cast("int")
+    return n, F.pmod(F.xxhash64(ident), n.cast("long")).cast("int")
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per class of equal texts: ``rep, sha, sig, bands`` (null ``sig`` without words)."""
+    """Per class of equal texts: ``sha, rep`` (least identifier), ``copies, sig, bands`` (null ``sig`` without words)."""
 
     def sign(batches):
         shingle = Shingler()
@@ -239,11 +268,12 @@ def signatures(docs: DataFrame) -> DataFrame:
             rows = [made[s] for s in pdf["sha"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "sha": pdf["sha"], "sig": [r[0] for r in rows], "bands": [r[1] for r in rows]})
 
-    keyed = docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), _sha(docs).alias("sha"), docs["text"])
+    keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _sha(docs).alias("sha"), docs["text"])
     signed = keyed.mapInPandas(sign, "doc_id long, sha string, sig binary, bands array<long>")
     # Equal texts have equal values, so any one's do; copies are merged before the shuffle.
-    classes = signed.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    return classes
+    return signed.groupBy("sha").agg(
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands")
+    )
 
 
 def _sha(docs: DataFrame):
@@ -252,15 +282,18 @@ def _sha(docs: DataFrame):
 
 def candidate_edges(reps: DataFrame) -> DataFrame:
     """``a, b``: spanning edges of what the Bayesian comparison leaves of each band's group."""
-    bands = reps.where(F.col("sig").isNotNull()).select("rep", F.explode("bands").alias("band"))
-    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bands = reps.where(F.col("sig").isNotNull()).select("node", F.explode("bands").alias("band"))
+    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
     member = bands.join(sizes, "band")
-    rows = _blocks(member, "n", "rep", with_own=False).join(reps.select("rep", "sig"), "rep")
-    keys = ["band", "bi", "bj"]
+    n, own = _block("n", "node", BLOCK)
+    tie = F.when(n > 1, F.col("least")).otherwise(-1)
+    rows = member.select("band", own.alias("block"), tie.alias("tie"), "node").join(reps.select("node", "sig"), "node")
+    keys = ["band", "block"]
 
     def search(batches):
         for pdf in grouped(batches, keys):
-            ids = pdf["rep"].to_numpy()
+            ids = pdf["node"].to_numpy()
+            tie = pdf["tie"].to_numpy()
             sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), HASHES)
             at = starts_of(pdf, keys)
             size = np.diff(at)
@@ -269,76 +302,163 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
             edges = list(zip(ids[ok], ids[ok + 1]))
             for s, n in zip(at[:-1][size > 2], size[size > 2]):
                 edges += forest(ids[s : s + n], sigs[s : s + n])
+            edges += [(ids[s], int(tie[s])) for s in at[:-1] if tie[s] >= 0]
             if edges:
                 e = np.array(edges, np.int64)
-                yield pd.DataFrame({"a": e.min(1), "b": e.max(1)})
+                yield pd.DataFrame({"a": e.min(1), "b": e.max(1)}).drop_duplicates()
+
+    dealt = rows.select(*keys, "tie", "node", "sig").repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInPandas(search, "a long, b long")
+
 
-    dealt = rows.select(*keys, "rep", "sig").repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInPandas(search, "a long, b long").distinct()
+def _forest_rows(ids: np.ndarray, linked: np.ndarray):
+    """Columns ``a, b, links``: numbers of links (null ``b``), and spanning edges."""
+    n = linked.sum(1)
+    some = np.flatnonzero(n)
+    edges = spanning(linked)
+    a = ids[some].tolist() + [ids[u] for u, _ in edges]
+    return a, [None] * len(some) + [ids[v] for _, v in edges], n[some].tolist() + [0] * len(edges)
+
+
+LINKS = "a long, b long, links long"
 
 
 def verified(docs: DataFrame, reps: DataFrame, groups: DataFrame) -> DataFrame:
     """``a, b, links``: rows with a null ``b`` have numbers of exact links of ``a``; the others are spanning
     edges. ``groups``: ``node, component``."""
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    placed = _blocks(groups.join(sizes, "component"), "n", "node", with_own=True)
-    placed = settled(placed.join(reps.select(F.col("rep").alias("node"), F.col("sha").alias("r_sha")), "node"))
+    n, own = _block("n", "node", BLOCK)
+    # The centre, a component's least node, goes to each of its blocks.
+    place = F.when((F.col("node") == F.col("component")) & (n > 1), F.sequence(F.lit(0), n - 1)).otherwise(F.array(own))
+    placed = groups.join(sizes, "component").select("node", "component", n.alias("n_blocks"), own.alias("own"), F.explode(place).alias("block"))
+    placed = settled(placed.join(reps.select("node", "rep", F.col("sha").alias("r_sha")), "node"))
     few = placed.count() <= BROADCAST_DOCS
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _sha(docs).alias("sha"), docs["text"])
     rows = texts.join(
         F.broadcast(placed) if few else placed,
-        (F.col("doc_id") == F.col("node")) & (F.col("sha") == F.col("r_sha")),
+        (F.col("sha") == F.col("r_sha")) & F.col("doc_id").eqNullSafe(F.col("rep")),
     )
-    keys = ["component", "bi", "bj"]
+    keys = ["component", "block"]
 
     def verify(batches):
         shingle = Shingler()
         for whole in grouped(batches, keys):
             at = starts_of(whole, keys)
-            out_a, out_b, out_n = [], [], []
+            a, b, links, far = [], [], [], []
             for s, e in zip(at[:-1], at[1:]):
                 pdf = whole.iloc[s:e].drop_duplicates("node")
-                pdf = pdf.sort_values("_b", kind="stable")
-                ids = pdf["node"].to_numpy()
-                cross = pdf["bi"].iloc[0] != pdf["bj"].iloc[0]
-                linked = exact_links([shingle(t) for t in pdf["text"]], int((pdf["_b"] == pdf["bi"]).sum()) if cross else None)
-                n = linked.sum(1)
-                some = np.flatnonzero(n)
-                edges = spanning(linked)
-                out_a += ids[some].tolist() + [ids[u] for u, _ in edges]
-                out_b += [None] * len(some) + [ids[v] for _, v in edges]
-                out_n += n[some].tolist() + [0] * len(edges)
-            yield pd.DataFrame({"a": pd.array(out_a, "Int64"), "b": pd.array(out_b, "Int64"), "links": np.array(out_n, np.int64)})
-
-    dealt = rows.select(*keys, "_b", "node", "text").repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInPandas(verify, "a long, b long, links long")
+                ids, group = pdf["node"].to_numpy(), int(pdf["component"].iloc[0])
+                sets = [shingle(t) for t in pdf["text"]]
+                if pdf["n_blocks"].iloc[0] == 1:
+                    for column, values in zip((a, b, links), _forest_rows(ids, exact_links(sets))):
+                        column += values
+                    continue
+                centre = sets[int(np.flatnonzero(ids == group)[0])]
+                for i in np.flatnonzero(pdf["own"].to_numpy() == pdf["block"].to_numpy()):
+                    d = np.setxor1d(sets[i], centre, assume_unique=True)
+                    union = (len(sets[i]) + len(centre) + len(d)) // 2
+                    far.append((ids[i], group, len(sets[i]), (LEVELS * len(d) + union - 1) // union, d.tobytes()))
+            if a:
+                yield pd.DataFrame({"a": pd.array(a, "Int64"), "b": pd.array(b, "Int64"), "links": np.array(links, np.int64)}).assign(
+                    component=pd.NA, size=pd.NA, level=pd.NA, diff=None
+                )
+            if far:
+                out = pd.DataFrame(far, columns=["a", "component", "size", "level", "diff"])
+                yield out.assign(b=pd.NA, links=0)[["a", "b", "links", "component", "size", "level", "diff"]]
+
+    dealt = rows.select(*keys, "n_blocks", "own", "node", "text").repartition(*keys).sortWithinPartitions(*keys)
+    out = stored(dealt.mapInPandas(verify, LINKS + ", component long, size long, level int, diff binary"))
+    small = out.where(F.col("diff").isNull()).select("a", "b", "links")
+    members = out.where(F.col("diff").isNotNull()).select("component", F.col("a").alias("node"), "size", "level", "diff")
+    return small.unionByName(_large_groups(members)) if members.limit(1).count() else small
+
+
+def _large_groups(members: DataFrame) -> DataFrame:
+    """``a, b, links`` of groups of many blocks, from differences (``component, node, size, level, diff``)."""
+    num, den = THRESHOLD
+    near = LEVELS * (den - num) // den
+    levels = settled(members.groupBy("component", "level").agg(F.count(F.lit(1)).alias("n")))
+    other = levels.select("component", F.col("level").alias("l2"), F.col("n").alias("n2"))
+    # A level is an upper bound of the distance to the centre that is less than one level too high.
+    sure = F.col("level") + F.col("l2") <= near
+    open_ = ~sure & (F.abs(F.col("level") - F.col("l2")) <= near)
+    blocks = F.ceil(F.col("n2") / DIFFERENCES).cast("int")
+    plan = levels.join(other, "component").groupBy("component", "level", "n").agg(
+        F.sum(F.when(sure, F.col("n2") - (F.col("level") == F.col("l2")).cast("int")).otherwise(0)).alias("sure"),
+        F.collect_list(F.when(open_, F.struct("l2", blocks.alias("blocks")))).alias("open"),
+    )
+    rows = members.join(plan, ["component", "level"])
+    certain = rows.where("sure > 0").select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), F.col("sure").alias("links"))
+    centre = members.where((F.col("level") <= near) & (F.col("node") != F.col("component"))).select(
+        F.col("node").alias("a"), F.col("component").alias("b"), F.lit(0).cast("long").alias("links")
+    )
+    _, own = _block("n", "node", DIFFERENCES)
+    each = F.flatten(F.transform("open", lambda o: F.transform(F.sequence(F.lit(0), o["blocks"] - 1), lambda i: F.struct(o["l2"].alias("level"), i.alias("block")))))
+    me = F.struct(F.col("level").alias("level"), own.alias("block"))
+    pairs = rows.select("component", "node", "size", "diff", me.alias("me"), F.explode(each).alias("it"))
+    pairs = pairs.select(
+        "component", F.least("me", "it").alias("lo"), F.greatest("me", "it").alias("hi"), (F.col("me") > F.col("it")).alias("side"), "node", "size", "diff"
+    ).select("component", F.col("lo.level").alias("la"), F.col("lo.block").alias("ba"), F.col("hi.level").alias("lb"), F.col("hi.block").alias("bb"), "side", "node", "size", "diff")
+    keys = ["component", "la", "ba", "lb", "bb"]
+
+    def compare(batches):
+        for whole in grouped(batches, keys):
+            at = starts_of(whole, keys)
+            for s, e in zip(at[:-1], at[1:]):
+                pdf = whole.iloc[s:e].sort_values("side", kind="stable")
+                key = pdf[keys].iloc[0]
+                own = key["la"] == key["lb"] and key["ba"] == key["bb"]
+                sets = [np.frombuffer(d, np.uint64) for d in pdf["diff"]]
+                first = None if own else int((~pdf["side"]).sum())
+                if first in (0, len(pdf)):
+                    continue
+                linked = difference_links(pdf["size"].to_numpy(np.int64), sets, first)
+                a, b, links = _forest_rows(pdf["node"].to_numpy(), linked)
+                yield pd.DataFrame({"a": pd.array(a, "Int64"), "b": pd.array(b, "Int64"), "links": np.array(links, np.int64)})
+
+    dealt = pairs.repartition(*keys).sortWithinPartitions(*keys)
+    return certain.unionByName(centre).unionByName(dealt.mapInPandas(compare, LINKS))
+
+
+def classes_of_texts(docs: DataFrame) -> DataFrame:
+    """Per different text: ``sha, rep, copies, root`` (a number of its class), ``class_id`` and ``n_links``."""
+    reps = stored(signatures(docs).withColumn("node", F.monotonically_increasing_id()))
+    checked = settled(verified(docs, reps, components(candidate_edges(reps))))
+    classes = components(checked.where("b is not null").select("a", "b"))
+    counts = checked.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
+    linked = counts.join(classes, F.col("a") == F.col("node")).select("node", "component", "links")
+    linked = settled(linked.join(reps.select("node", "rep"), "node"))
+    names = linked.groupBy("component").agg(F.min("rep").alias("name"))
+    linked = linked.join(names, "component").select("node", "component", "links", "name")
+    return reps.select("sha", "rep", "copies", "node").join(linked, "node", "left").select(
+        "sha", "rep", "copies", F.coalesce("component", "node").alias("root"),
+        F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("name")).alias("class_id"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+    )
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, rep_id`` (least identifier of the equal texts), ``class_id`` (least
     identifier of all that links connect) and ``n_links`` (other texts at 0.8 or more)."""
-    reps = stored(signatures(docs))
-    checked = settled(verified(docs, reps, components(candidate_edges(reps))))
-    classes = components(checked.where("b is not null").select("a", "b"))
-    counts = checked.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
-    by_text = (
-        reps.select("sha", "rep")
-        .join(classes, F.col("rep") == F.col("node"), "left")
-        .join(counts, F.col("rep") == F.col("a"), "left")
-        .select("sha", "rep", F.coalesce("component", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
-    )
-    rows = docs.select(docs["doc_id"], F.when(docs["doc_id"].isNotNull(), _sha(docs)).alias("sha"))
-    return rows.join(by_text, "sha", "left").select(
-        "doc_id", F.col("rep").alias("rep_id"), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    by_text = classes_of_texts(docs).select("sha", F.col("rep").alias("rep_id"), "class_id", "n_links")
+    rows = docs.select(docs["doc_id"], _sha(docs).alias("sha"))
+    return rows.join(by_text, "sha", "left").select("doc_id", "rep_id", "class_id", "n_links")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the least identifier of every class, with the columns it had; rows without an
-    identifier stay."""
-    linked = jaccard_join(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    rows = docs.select(docs["doc_id"].alias("_id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    return rows.join(linked, F.col("_id") == F.col("_gone"), "left_anti").select("row.*")
+    """The document with the least identifier of every class (of several texts with it, the one with the least
+    SHA-256; a null identifier comes last), with the columns it had. Rows that repeat it in identifier and
+    text stay with it."""
+    texts = classes_of_texts(docs)
+    classes = texts.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("rep").isNull(), "rep", "sha")).alias("kept"))
+    # Texts that occur once and have no link need no decision.
+    known = texts.join(classes, "root").where("n > 1 or copies > 1").select("sha", F.when(F.col("sha") == F.col("kept.sha"), F.struct("rep")).alias("keep"))
+    known = stored(known)
+    few = known.count() <= BROADCAST_DOCS
+    rows = docs.select(_sha(docs).alias("_sha"), docs["doc_id"].cast("long").alias("_id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    found = rows.join(F.broadcast(known) if few else known, F.col("_sha") == F.col("sha"), "left")
+    stays = F.col("sha").isNull() | (F.col("keep").isNotNull() & F.col("_id").eqNullSafe(F.col("keep.rep")))
+    return found.where(stays).select("row.*")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,40 +91,74 @@ def test_decontamination_equals_brute_force(spark, rows, docs):
     assert tuple(none) == (0, len(rows)) and decontaminate.decontaminate(docs.limit(0), bench).collect() == []
 
 
-def test_jaccard_join_equals_brute_force(spark, rows, docs):
+@pytest.mark.parametrize("block,differences", [(jaccard_join.BLOCK, jaccard_join.DIFFERENCES), (4, 3)])  # and in many blocks
+def test_jaccard_join_equals_brute_force(spark, rows, docs, monkeypatch, block, differences):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "DIFFERENCES", differences)
+    # Rows without an identifier, and with one that another text has, are linked by their texts.
+    more = [(None, rows[1][1] + " once more"), (1, " ".join(rows[2][1].split()[:-1])), (None, None)]
+    docs = docs.unionByName(spark.createDataFrame([(i, t, "en", "s", 0, "x", "y", "z", 1, 2, 3, 4, True) for i, t in more], CLASH))
     texts = {}
-    for i, t in rows:
-        if i is not None:
-            texts.setdefault(t or "", []).append(i)
+    for i, t in rows + more:
+        texts.setdefault(t or "", []).append(i)
     sets = {}
-    for t, ids in texts.items():
+    for t in texts:
         w = tokens(t)
         k = min(5, len(w))
-        sets[min(ids)] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else set()
+        sets[t] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else set()
     links = {a: {b for b in sets if b != a and sets[a] and len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b])} for a in sets}
-    got = {(r.doc_id, r.rep_id): r for r in jaccard_join.jaccard_join(docs).collect()}
+    least = lambda ids: min((i for i in ids if i is not None), default=None)
+    want, classes = [], set()
     for t, ids in texts.items():
-        reached, todo = {min(ids)}, [min(ids)]
+        reached, todo = {t}, [t]
         while todo:
             new = links[todo.pop()] - reached
             reached |= new
             todo += new
-        for i in ids:
-            r = got[i, min(ids)]
-            assert (r.class_id, r.n_links) == (min(reached), len(links[min(ids)]))
-    assert got[None, None].class_id is None
+        name = least([i for x in reached for i in texts[x]])
+        classes.add(frozenset(reached))
+        want += [(i, least(ids), name, len(links[t])) for i in ids]
+    got = jaccard_join.jaccard_join(docs)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     kept = jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns
-    classes = {r.class_id for r in got.values()}
-    assert {r.doc_id for r in kept.collect()} == classes
-    assert jaccard_join.jaccard_join(docs.limit(0)).collect() == []
+    rank = lambda t: (least(texts[t]) is None, least(texts[t]) or 0, hashlib.sha256(t.encode()).digest())
+    stay = {min(c, key=rank) for c in classes}
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect() if r.doc_id is not None) == sorted(
+        (i, t) for t in stay for i in texts[t] if i is not None and i == least(texts[t])
+    )
+    assert jaccard_join.jaccard_join(docs.limit(0)).collect() == [] and jaccard_join.one_of_each(docs.limit(0)).collect() == []
+
+
+def test_jaccard_levels_of_a_large_group(spark, monkeypatch):
+    # Close copies of one text: most pairs are decided by their distances to the centre.
+    monkeypatch.setattr(jaccard_join, "BLOCK", 10)
+    monkeypatch.setattr(jaccard_join, "DIFFERENCES", 7)
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base)]
+    for i in range(80):
+        w = list(base)
+        for _ in range(r.randint(1, 12)):
+            w[r.randrange(400)] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(396)} for t in texts]
+    want = {i: sum(len(a & b) * 5 >= 4 * len(a | b) for b in sets) - 1 for i, a in enumerate(sets)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = jaccard_join.jaccard_join(docs).collect()
+    assert {x.doc_id: x.n_links for x in got} == want and 0 < sum(n < 80 for n in want.values())
+    assert {x.class_id for x in got if want[x.doc_id]} == {0}
 
 
 def test_components_with_hubs(spark, monkeypatch):
     monkeypatch.setattr(C, "HUB_LEAST", 20)
     edges = [(1000 + i, 5) for i in range(80)] + [(i, i + 1) for i in range(2000, 2030)] + [(1003, 2010)] + [(9, 8)]
+    edges += [(4000 + i, 3900) for i in range(90)] + [(3900, 3950), (3950, 3960), (3, 3970), (3970, 3960)]  # a hub that is not least
     got = {r.node: r.component for r in C.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {n: 8 if n < 10 and n != 5 else 5 for e in edges for n in e}
+    assert got == {n: 8 if n in (8, 9) else 3 if n == 3 or n >= 3900 else 5 for e in edges for n in e}
+    path = spark.createDataFrame([(i, i + d) for i in range(300) for d in (1, 2)], "a long, b long")
+    assert {r.component for r in C.components(path).collect()} == {0}
+    assert C.components(path.limit(0)).collect() == []
 
 
 def test_mixing_reaches_targets(spark):
