@@ -384,3 +384,49 @@ def test_forward_sums_segmentations_over_window_ends(spark):
         slope = [(total(w, up) - total(w, down)) / 2e-5 for w in words]
         for c in (0, 1):
             assert np.isclose(got[i, c], sum(x * s[c] for x, s, l in zip(weight, slope, lang) if l == c), rtol=1e-4, atol=1e-6)
+
+
+def test_toxicity_model_by_hand(spark):
+    """The pair model against probabilities written out from the counts."""
+    data = [("a b a b c d", 0), ("a b c c c e", 0), ("a b x y a b x y x y", 1), ("p q p q p q p q", 1), ("x b b", 1), (None, 1), ("?!", 0)]
+    pairs = toxicity_kn.pair_counts(spark.createDataFrame(data, "text string, label int"))
+    n, u = ({}, {}), ({}, {})
+    for text, c in data:
+        words = (text or "").replace("?!", "").split()
+        for v, w in zip([toxicity_kn.START] + words, words):
+            n[c][v, w] = n[c].get((v, w), 0) + 1
+            u[c][w] = u[c].get(w, 0) + 1
+    assert {(r.v, r.w): (r.n0, r.n1) for r in pairs.collect()} == {k: (n[0].get(k, 0), n[1].get(k, 0)) for k in n[0].keys() | n[1].keys()}
+
+    def discount(c):
+        one, two = (sum(x == k for x in c.values()) for k in (1, 2))
+        return one / (one + 2 * two) if one and two else 0.75
+
+    follow = {w: len({v for c in n for v, x in c if x == w}) for w in u[0].keys() | u[1].keys()}
+
+    def p(c, v, w):
+        d = discount(u[c])
+        shared = (follow[w] + 1 / (len(follow) + 1)) / (sum(follow.values()) + 1)
+        one = (max(u[c].get(w, 0) - d, 0) + d * len(u[c]) * shared) / sum(u[c].values())
+        after = {x: k for (y, x), k in n[c].items() if y == v}
+        if not v or not after:
+            return one
+        d = discount(n[c])
+        return (max(after.get(w, 0) - d, 0) + d * len(after) * one) / sum(after.values())
+
+    want = {("", w): math.log(p(1, "", w) / p(0, "", w)) for w in u[1]}
+    want |= {k: math.log(p(1, *k) / p(0, *k)) for k, x in n[1].items() if n[0].get(k) or x >= toxicity_kn.ALONE}
+    got = {(r.v, r.w): r.r / toxicity_kn.UNIT for r in toxicity_kn.ratios(pairs).collect()}
+    assert got == pytest.approx(want, abs=1e-8) and ("p", "q") in got and ("x", "b") not in got
+
+
+def test_toxicity_is_the_same_however_much_is_broadcast(spark, monkeypatch):
+    r = random.Random(8)
+    words = ["".join(r.choice("aeinrst") for _ in range(3)) for _ in range(60)] + ["日本", "z" * 50]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 40))) + (" awful thing" if i % 3 == 0 and i % 4 else "") for i in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, toxic int")
+    whole = {x.doc_id: x.score for x in toxicity_kn.toxicity_scores(docs, labels).collect()}
+    monkeypatch.setattr(toxicity_kn, "HOT", 15)
+    assert {x.doc_id: x.score for x in toxicity_kn.toxicity_scores(docs, labels).collect()} == whole
+    assert {x.row.doc_id: x.score for x in toxicity_kn.toxicity_scores(docs, labels, carry=True).collect()} == whole
