@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chronofold.llm.common import settled, shuffle_partitions
 
-HUB_LEAST = 1_000
+HUB_LEAST = 200
 HUBS_PER_PARTITION = 4
 
 

@@ -8,7 +8,8 @@ P(c | context) mixes the context's counts with the next shorter context's estima
 which weighs as much as ``PRIOR`` observations. A URL's score is the difference of its
 log-likelihoods under the two models over its length. Each distinct pair of character and
 context is scored once, and URLs get the scores by a join; pairs that make up at least a
-``HOT_GRAMS``-th of all positions are broadcast for it in place of being shuffled. The threshold is calibrated on
+``HOT_GRAMS``-th of all positions, and model tables of at most ``BROADCAST_ROWS`` rows, are broadcast for it
+in place of being shuffled. URLs are read in pieces, so that a very long one takes time in proportion to its length. The threshold is calibrated on
 labelled URLs that the models were not counted on: the score with the least balanced
 error in a histogram of fixed width.
 
@@ -35,15 +36,15 @@ RULES = (
     ("com", "/de/", "block"),
 )
 ORDER = 5
-BROADCAST_ORDER = 2
+PIECE = 512
+BROADCAST_ROWS = 200_000
 HOT_GRAMS = 20_000
 UNIT = 1_000_000_000
 PRIOR = 4.0
-BINS = 4_000
 BIN_WIDTH = 0.005
 START = "\u0002"
-# Characters outside printable ASCII count as one, so the alphabet has 97 members with START.
-OTHER = "\u0003"
+# What both models give a character that they never saw.
+BASE = 1.0 / 97
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -71,51 +72,60 @@ def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
     return out.withColumn("rule", pick(lambda h, p, v: h + p)).withColumn("ruling", pick(lambda h, p, v: v))
 
 
-def _clean(url: Column) -> Column:
-    return F.regexp_replace(F.coalesce(url, F.lit("")), r"[^\x20-\x7E]", OTHER)
+def _text(url: Column) -> Column:
+    return F.translate(F.coalesce(url, F.lit("")), START, "\ufffd")
+
+
+def _pieces(urls: DataFrame, keep: list[str]) -> DataFrame:
+    """A row per ``PIECE`` characters of a URL: ``_s``, the characters with the up to ORDER ones before them
+    (for the first piece START), and ``_from``, the first position that is its own. So a character's row never
+    carries a whole URL, and work is in proportion to a URL's length."""
+    parts = urls.select(*keep, F.regexp_extract_all(F.col("_url"), F.lit("(?s).{1,%d}" % PIECE), F.lit(0)).alias("_parts"))
+    before = lambda i: F.when(i == 0, F.lit(START)).otherwise(F.right(F.get("_parts", i - 1), F.lit(ORDER)))
+    each = parts.select(*keep, F.explode(F.transform("_parts", lambda p, i: F.struct(F.concat(before(i), p).alias("s"), i.alias("i")))).alias("p"))
+    return each.select(*keep, F.col("p.s").alias("_s"), F.when(F.col("p.i") == 0, 2).otherwise(ORDER + 1).alias("_from"))
 
 
 def _positions(urls: DataFrame, keep: list[str]) -> DataFrame:
-    """A row per character: the character ``c`` and its contexts ``x0 .. xORDER`` (a context that would
-    start before the first START is null)."""
-    padded = urls.select(*keep, F.concat(F.lit(START), "_url").alias("_s"))
-    each = padded.select(*keep, "_s", F.explode(F.sequence(F.lit(2), F.length("_s"))).alias("i"))
-    each = each.where(F.col("i") <= F.length("_s"))
-    piece = lambda k: F.when(F.col("i") > k, F.expr(f"substring(_s, i - {k}, {k})"))
-    return each.select(*keep, F.expr("substring(_s, i, 1)").alias("c"), *[piece(k).alias(f"x{k}") for k in range(ORDER + 1)])
+    """A row per character: the character ``c`` and its longest context ``x``, of up to ORDER characters."""
+    each = _pieces(urls, keep).select(*keep, "_s", F.explode(F.sequence("_from", F.length("_s"))).alias("i"))
+    x = F.expr(f"substring(_s, greatest(i - {ORDER}, 1), least({ORDER}, i - 1))")
+    return each.select(*keep, F.expr("substring(_s, i, 1)").alias("c"), x.alias("x"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A checkpointed table, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def train(labelled: DataFrame) -> list[DataFrame]:
     """Per order a table ``x, c, pa, pr``: smoothed probabilities under the accepted and the
     rejected model; the row with a null ``c`` has the factors that a character unseen there multiplies
     the shorter context's estimate with. ``labelled``: ``_url, ok, rows``."""
-    # Equal URL positions are summed before they are shuffled.
-    wide = _positions(labelled, ["ok", "rows"])
+    # Characters are counted once, after their longest contexts; shorter contexts' counts are sums of these.
+    counted = [F.sum(F.when(F.col("ok") == ok, F.col("rows")).otherwise(0)).cast("double").alias(n) for ok, n in ((True, "na"), (False, "nr"))]
+    longest = settled(_positions(labelled, ["ok", "rows"]).groupBy("x", "c").agg(*counted))
     tables: list[DataFrame] = []
     for k in range(ORDER + 1):
-        grams = (
-            wide.where(F.col(f"x{k}").isNotNull())
-            .groupBy(F.col(f"x{k}").alias("x"), "c")
-            .agg(*[F.sum(F.when(F.col("ok") == ok, F.col("rows")).otherwise(0)).cast("double").alias(n) for ok, n in ((True, "na"), (False, "nr"))])
-        )
-        # A context has at most one row per character of the alphabet.
+        grams = longest.where(F.length("x") >= k).groupBy(F.right("x", F.lit(k)).alias("x"), "c").agg(F.sum("na").alias("na"), F.sum("nr").alias("nr"))
+        # A context has at most one row per character.
         same = Window.partitionBy("x")
         each = settled(grams.select("*", F.sum("na").over(same).alias("ta"), F.sum("nr").over(same).alias("tr")))
         if k == 0:
-            mixed = each.withColumn("qa", F.lit(1.0 / 97)).withColumn("qr", F.lit(1.0 / 97))
+            mixed = each.withColumn("qa", F.lit(BASE)).withColumn("qr", F.lit(BASE))
         else:
             # A context's suffix occurs at least as often, at a place of every shorter order too.
             seen = tables[k - 1].where(F.col("c").isNotNull()).select(
                 F.col("x").alias("y"), F.col("c").alias("d"), F.col("pa").alias("qa"), F.col("pr").alias("qr")
             )
             mixed = each.withColumn("_y", F.expr("substring(x, 2, length(x))")).join(
-                F.broadcast(seen) if k - 1 <= BROADCAST_ORDER else seen, (F.col("_y") == F.col("y")) & (F.col("c") == F.col("d")), "left"
+                _small(seen), (F.col("_y") == F.col("y")) & (F.col("c") == F.col("d")), "left"
             )
         mixed = mixed.select(
             "x",
             "c",
-            ((F.col("na") + PRIOR * F.coalesce("qa", F.lit(1.0 / 97))) / (F.col("ta") + PRIOR)).alias("pa"),
-            ((F.col("nr") + PRIOR * F.coalesce("qr", F.lit(1.0 / 97))) / (F.col("tr") + PRIOR)).alias("pr"),
+            ((F.col("na") + PRIOR * F.coalesce("qa", F.lit(BASE))) / (F.col("ta") + PRIOR)).alias("pa"),
+            ((F.col("nr") + PRIOR * F.coalesce("qr", F.lit(BASE))) / (F.col("tr") + PRIOR)).alias("pr"),
         )
         unseen = each.select("x", "ta", "tr").distinct().select(
             "x",
@@ -129,19 +139,14 @@ def train(labelled: DataFrame) -> list[DataFrame]:
 
 def score(urls: DataFrame, tables: list[DataFrame]) -> DataFrame:
     """``_uid`` and ``score``, the log-likelihood ratio per character. ``urls``: ``_uid, _url``."""
-    longest = F.coalesce(*[F.col(f"x{k}") for k in range(ORDER, -1, -1)])
-    at = _positions(urls, ["_uid"]).select("_uid", "c", longest.alias("x"))
+    at = _positions(urls, ["_uid"])
     each = at.groupBy("x", "c").agg(F.count(F.lit(1)).alias("n"))
     ratio: Column = F.lit(0.0)
     for k, model in enumerate(tables):
-        gram = model.where(F.col("c").isNotNull()).select(
-            F.col("x").alias(f"gx{k}"), F.col("c").alias(f"gc{k}"), (F.log("pa") - F.log("pr")).alias(f"g{k}")
-        )
-        back = model.where(F.col("c").isNull()).select(F.col("x").alias(f"bx{k}"), (F.log("pa") - F.log("pr")).alias(f"b{k}"))
-        if k <= BROADCAST_ORDER:  # the alphabet bounds these
-            gram, back = F.broadcast(gram), F.broadcast(back)
-        here = F.when(F.length("x") >= k, F.expr(f"substring(x, length(x) - {k} + 1, {k})"))
-        each = each.withColumn(f"x{k}", here)
+        log = (F.log("pa") - F.log("pr")).alias(f"g{k}")
+        gram = _small(model.where(F.col("c").isNotNull()).select(F.col("x").alias(f"gx{k}"), F.col("c").alias(f"gc{k}"), log))
+        back = _small(model.where(F.col("c").isNull()).select(F.col("x").alias(f"bx{k}"), log.alias(f"b{k}")))
+        each = each.withColumn(f"x{k}", F.when(F.length("x") >= k, F.right("x", F.lit(k))))
         each = each.join(gram, (F.col(f"x{k}") == F.col(f"gx{k}")) & (F.col("c") == F.col(f"gc{k}")), "left")
         each = each.join(back, F.col(f"x{k}") == F.col(f"bx{k}"), "left")
         # Seen here: this order's estimate. Else the shorter one's, times this context's factor if it occurs.
@@ -158,12 +163,11 @@ def score(urls: DataFrame, tables: list[DataFrame]) -> DataFrame:
 
 def calibrate(scored: DataFrame) -> float:
     """The threshold with the least balanced error among the bins' lower ends. ``scored``: ``score, ok, rows``."""
-    bin_ = F.least(F.greatest(F.floor(F.col("score") / BIN_WIDTH), F.lit(-BINS // 2)), F.lit(BINS // 2 - 1))
+    # Smoothing bounds a score by some hundreds, and so the number of bins.
     hist = (
-        scored.groupBy(bin_.alias("bin"))
+        scored.groupBy(F.floor(F.col("score") / BIN_WIDTH).alias("bin"))
         .agg(*[F.sum(F.when(F.col("ok") == ok, F.col("rows")).otherwise(0)).alias(n) for ok, n in ((True, "a"), (False, "r"))])
         .orderBy("bin")
-        .limit(BINS)
         .collect()
     )
     a, r = sum(x["a"] for x in hist), sum(x["r"] for x in hist)
@@ -185,7 +189,7 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     ruled = with_rules(pages.select("page_id", "url"), rules)
     # Equal URLs are scored once: their characters' rows then never gather under one hot key.
     urls = settled(
-        ruled.groupBy(_clean(F.col("url")).alias("_url"), "ruling").agg(F.count(F.lit(1)).alias("rows"))
+        ruled.groupBy(_text(F.col("url")).alias("_url"), "ruling").agg(F.count(F.lit(1)).alias("rows"))
         .withColumn("_uid", F.monotonically_increasing_id())
     )
     labelled = urls.where(F.col("ruling").isNotNull()).select("_uid", "_url", "rows", (F.col("ruling") == "allow").alias("ok"))
@@ -198,7 +202,7 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     scored = settled(score(urls.where(F.col("ruling").isNull() | (fold == 0)).select("_uid", "_url"), tables))
     level = calibrate(labelled.join(scored, "_uid"))
     scores = urls.where(F.col("ruling").isNull()).join(scored, "_uid").select("_url", "score")
-    out = ruled.withColumn("_key", F.when(F.col("ruling").isNull(), _clean(F.col("url")))).join(
+    out = ruled.withColumn("_key", F.when(F.col("ruling").isNull(), _text(F.col("url")))).join(
         scores.select(F.col("_url").alias("_key"), "score"), "_key", "left"
     )
     by_model = F.when(F.coalesce("score", F.lit(0.0)) >= level, "allow").otherwise("block")

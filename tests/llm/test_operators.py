@@ -430,3 +430,21 @@ def test_toxicity_is_the_same_however_much_is_broadcast(spark, monkeypatch):
     monkeypatch.setattr(toxicity_kn, "HOT", 15)
     assert {x.doc_id: x.score for x in toxicity_kn.toxicity_scores(docs, labels).collect()} == whole
     assert {x.row.doc_id: x.score for x in toxicity_kn.toxicity_scores(docs, labels, carry=True).collect()} == whole
+
+
+def test_url_pieces_and_long_urls(spark, monkeypatch):
+    urls = [(1, "http://a.org/" + "x" * 1000 + "/ü日b"), (2, "ab"), (3, ""), (4, "q" * 512), (5, "q" * 513)]
+    at = url_filter._positions(spark.createDataFrame(urls, "_uid long, _url string"), ["_uid"]).collect()
+    want = []
+    for i, u in urls:
+        s = url_filter.START + u
+        want += [(i, s[j], s[max(0, j - url_filter.ORDER) : j]) for j in range(1, len(s))]
+    assert sorted(map(tuple, at)) == sorted(want)
+    # A URL of a million characters, repeated rows, and URLs that differ outside ASCII only.
+    good, bad = "http://www.net/ü/good/read", "http://www.net/日/bad/buy"
+    pages = [(i, f"http://h{i}.org/ü/good/read{i}", "") for i in range(40)] + [(100 + i, f"http://h{i}.com/de/日/bad/buy{i}", "") for i in range(40)]
+    pages += [(200, "http://long.net/" + "good/" * 200_000, ""), (201, good, ""), (201, good, ""), (202, bad, ""), (203, "http://www.net/ü", ""), (204, "http://www.net/日", "")]
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", 50)
+    got = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert len(got[200].path) == 1_000_001 and got[200].verdict == "allow"
+    assert (got[201].verdict, got[202].verdict) == ("allow", "block") and got[203].score > got[204].score
