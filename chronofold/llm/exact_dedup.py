@@ -8,8 +8,9 @@ become neighbours, and the window operator compares neighbouring keys in full.
 A text that holds a large share of all rows would make one range too large. Such hot
 texts are found with one pre-aggregated count of 64-bit hashes; at most
 ``HOT_PER_PARTITION`` x partitions can pass the threshold, so the list has a fixed
-bound and is broadcast. Their rows get a salt that is part of the range key, and the
-salted groups' totals are merged from a pre-aggregated sum over the hot texts alone.
+bound and is broadcast. Their rows get a salt, dealt out row by row, that is part of the
+range key, and the salted groups' totals are merged from a pre-aggregated sum over the hot
+texts alone.
 
 Defined results: a null text counts as empty; equal empty texts are one group; of
 repeated rows (same identifier, same text) one is kept; a null identifier loses
@@ -44,34 +45,43 @@ def exact_dedup(
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256`` (and ``row``)."""
     spark = docs.sparkSession
     body = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    # A carried row travels without its text where that is the compared one anyway.
+    once = carry and normalise is None and dict(docs.dtypes)[text_col] == "string"
+    rest = [c for c in docs.columns if not (once and c == text_col)]
     rows = docs.select(
         docs[id_col].alias("_id"),
         (normalise(body) if normalise else body).alias("_text"),
-        *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []),
+        docs[text_col].isNull().alias("_null"),
+        F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("_nr"),
+        *([F.struct(F.lit(1).alias("_one"), *[docs[c] for c in rest]).alias("_rest")] if carry else []),
     ).withColumn("_hash", F.xxhash64("_text"))
 
-    best = F.max if keep == "largest" else F.min
+    largest = keep == "largest"
+    best = F.max if largest else F.min
+    # Null identifiers lose; of equal identifiers in several salts one salt is named.
+    rank = F.struct((F.col("_id").isNotNull() if largest else F.col("_id").isNull()).alias("k"), F.col("_id").alias("id"), F.col("_nr").alias("nr"))
     hot = _hot(rows, shuffle_partitions(spark))
     totals = (
         rows.join(F.broadcast(hot), "_hash", "left_semi")
         .groupBy(F.col("_hash").alias("_hot_hash"), F.sha2("_text", 256).alias("_hot_sha"))
-        .agg(best("_id").alias("_hot_id"), F.count(F.lit(1)).alias("_hot_size"))
+        .agg(best(rank).alias("_hot_best"), F.count(F.lit(1)).alias("_hot_size"))
     )
 
     keyed = (
         rows.join(F.broadcast(hot.withColumn("_is_hot", F.lit(True))), "_hash", "left")
-        .withColumn("_salt", F.when(F.col("_is_hot"), F.pmod(F.xxhash64("_id"), F.lit(SALTS))).otherwise(-1))
+        .withColumn("_salt", F.when(F.col("_is_hot"), F.col("_nr")).otherwise(-1))
         .withColumn("_prefix", F.substring("_text", 1, PREFIX_CHARS))
-        .drop("_is_hot")
+        .drop("_is_hot", "_nr")
         .repartitionByRange("_prefix", "_hash", "_salt")
     )
     group = Window.partitionBy("_prefix", "_hash", "_salt", "_text")
-    first = F.desc_nulls_last("_id") if keep == "largest" else F.asc_nulls_last("_id")
+    first = F.desc_nulls_last("_id") if largest else F.asc_nulls_last("_id")
+    whole = lambda c: F.when(~F.col("_null"), F.col("_text")) if once and c == text_col else F.col("_rest")[c]
     compared = keyed.select(
         "_id",
         "_hash",
         "_salt",
-        *(["row"] if carry else []),
+        *([F.struct(*[whole(c).alias(c) for c in docs.columns]).alias("row")] if carry else []),
         F.sha2("_text", 256).alias("_sha"),
         F.row_number().over(group.orderBy(first)).alias("_nth"),
         best("_id").over(group).alias("_group_id"),
@@ -83,12 +93,13 @@ def exact_dedup(
         (F.col("_salt") >= 0) & (F.col("_hash") == F.col("_hot_hash")) & (F.col("_sha") == F.col("_hot_sha")),
         "left",
     )
-    keep_id = F.when(F.col("_salt") >= 0, F.col("_hot_id")).otherwise(F.col("_group_id"))
+    is_hot = F.col("_salt") >= 0
+    keep_id = F.when(is_hot, F.col("_hot_best.id")).otherwise(F.col("_group_id"))
     return merged.select(
         F.col("_id").alias("doc_id"),
         keep_id.alias("keep_id"),
         F.coalesce("_hot_size", "_group_size").alias("group_size"),
-        ((F.col("_nth") == 1) & F.col("_id").eqNullSafe(keep_id)).alias("kept"),
+        ((F.col("_nth") == 1) & F.col("_id").eqNullSafe(keep_id) & (~is_hot | (F.col("_salt") == F.col("_hot_best.nr")))).alias("kept"),
         F.col("_sha").alias("text_sha256"),
         *(["row"] if carry else []),
     )

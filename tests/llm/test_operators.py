@@ -448,3 +448,38 @@ def test_url_pieces_and_long_urls(spark, monkeypatch):
     got = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert len(got[200].path) == 1_000_001 and got[200].verdict == "allow"
     assert (got[201].verdict, got[202].verdict) == ("allow", "block") and got[203].score > got[204].score
+
+
+def test_exact_dedup_splits_one_repeated_row(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_LEAST", 8)
+    rows = [(7, "same")] * 300 + [(None, "nameless")] * 200 + [(i, f"t{i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = exact_dedup.exact_dedup(docs, keep="largest").withColumn("p", F.spark_partition_id()).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sum(r.p == p for r in got) for p in {r.p for r in got}) < 300
+    assert sorted(((r.doc_id, r.group_size) for r in got if r.kept), key=str) == sorted([(7, 300), (None, 200)] + [(i, 1) for i in range(50)], key=str)
+    assert all((r.keep_id, r.group_size) == (7, 300) for r in got if r.doc_id == 7 and r.group_size > 1)
+    kept = exact_dedup.drop_exact_copies(docs)
+    assert kept.columns == docs.columns and sorted(kept.collect(), key=str) == sorted([(7, "same"), (None, "nameless")] + rows[500:], key=str)
+    assert exact_dedup.exact_dedup(docs.limit(0)).collect() == [] and exact_dedup.drop_exact_copies(docs.limit(0)).columns == docs.columns
+
+
+def test_revisits_of_a_hot_url_equal_brute_force(spark):
+    r = random.Random(12)
+    rows = []
+    for i in range(400):
+        url = "https://hot.org/x" if i % 3 else r.choice([None, "http://a.org", "http://b.org/y"])
+        time = 50 if 100 <= i < 260 else r.choice([None, *range(100)])  # a burst at one instant
+        rows.append((i, url, time, r.choice(["response", "revisit"]), {"etag": str(i)} if i % 2 else None))
+    rows += rows[150:153] * 2
+    records = spark.createDataFrame([(*x[:4], None if x[3] == "revisit" else x[4]) for x in rows], "record_id long, url string, capture_time long, kind string, headers map<string,string>")
+    key = lambda t: (t is not None, t or 0)
+    canon = {None: None, "http://a.org": "https://a.org", "http://b.org/y": "https://b.org/y", "https://hot.org/x": "https://hot.org/x"}
+    want = []
+    for i, url, t, kind, _ in rows:
+        if kind == "revisit":
+            before = [(key(x[2]), x[0]) for x in rows if x[3] == "response" and url is not None and x[1] == url and key(x[2]) < key(t)]
+            want.append((i, canon[url], max(before)[1] if before else None))
+    got = warc_revisit.resolve_revisits(records.repartition(3)).collect()
+    assert sorted([(x.record_id, x.canonical, x.response_id) for x in got], key=str) == sorted(want, key=str)
