@@ -9,15 +9,17 @@ The resolved record takes the response's body and headers, updated by those head
 the revisit that a 304 may change (``MAY_UPDATE``).
 
 The as-of join is a running last value over each URL's captures. A URL may hold a large
-share of all captures, so its timeline is cut into ``CHUNKS`` pieces at quantiles of all
-capture times: the running value is taken inside each piece, the last full response of
-each piece (one row a piece) is carried over the pieces, and a piece's first revisits
-take what was carried into it. No task ever holds a whole hot URL.
+share of all captures, at many times or at one, so the captures are range-partitioned by
+URL, time and row, with splitters that Spark samples, and each range is a chunk: the
+running value is taken inside each URL's part of a chunk, and the last full response of
+each part (one row a part) is carried over a URL's parts. An instant that spans parts is
+told apart by the last response before it, which is carried too. So no task holds more of
+a hot URL than a chunk. Captures without a URL are no part of this.
 
 Defined results: a null URL has no response and stays unresolved; of captures at the
 same time the one with the least record identifier comes first, and a full response at
-the very time of a revisit is not earlier; a null time comes before every other; of
-repeated rows each is resolved alike; null header maps are empty; an empty table gives
+the very time of a revisit is not earlier (of responses at one time the one with the greatest
+identifier counts); a null time comes before every other; of repeated rows each is resolved alike; null header maps are empty; an empty table gives
 an empty result; further columns are ignored.
 """
 
@@ -26,9 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import UPPER, table
+from chronofold.llm.common import UPPER, stored, table
 
-CHUNKS = 64
 # Fields of a 304 that replace the stored response's.
 MAY_UPDATE = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 TRACKING = r"^(utm_[^=]*|ref|gclid|fbclid)(=|$)"
@@ -63,30 +64,40 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     rows = records.select(
         "record_id", canonical_url(F.col("url")).alias("canonical"), "capture_time", "kind", F.coalesce("headers", empty).alias("headers")
     )
-    cuts = rows.agg(F.percentile_approx("capture_time", [i / CHUNKS for i in range(1, CHUNKS)], 10_000).alias("c")).first()["c"]
-    chunk = F.lit(0)
-    for c in sorted(set(cuts or [])):
-        chunk = chunk + F.when(F.col("capture_time") > F.lit(c), 1).otherwise(0)
-    rows = rows.withColumn("chunk", chunk)
-    # Instants are numbered inside a piece, and the frame ends before the revisit's own instant.
-    timed = rows.withColumn("at", F.dense_rank().over(Window.partitionBy("canonical", "chunk").orderBy(F.col("capture_time").asc_nulls_first())))
-    # The latest full response of each instant; of several, the one with the greatest identifier.
-    inside = Window.partitionBy("canonical", "chunk").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    latest = F.max(F.when(F.col("kind") == "response", F.struct(F.col("at"), F.col("record_id").alias("id"), F.to_json("headers").alias("h"))))
-    near = timed.withColumn("before", latest.over(inside))
-    last = (
-        timed.groupBy("canonical", "chunk")
-        .agg(latest.alias("last"))
-        .withColumn("carried", F.last("last", True).over(Window.partitionBy("canonical").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)))
-        .where(F.col("carried").isNotNull())
-        .select(F.col("canonical").alias("c_url"), F.col("chunk").alias("c_chunk"), "carried")
+    # Captures dealt out by range; what is stored has its chunk for good.
+    dealt = rows.where(F.col("canonical").isNotNull()).withColumn("_row", F.monotonically_increasing_id())
+    dealt = dealt.repartitionByRange("canonical", F.col("capture_time").asc_nulls_first(), "_row")
+    rows_in = stored(dealt.drop("_row").withColumn("chunk", F.spark_partition_id()))
+    # Instants are numbered inside a part, and the frame ends before the revisit's own instant.
+    part = Window.partitionBy("canonical", "chunk")
+    timed = rows_in.withColumn("at", F.dense_rank().over(part.orderBy(F.col("capture_time").asc_nulls_first())))
+    instant = F.struct(F.col("capture_time").isNotNull().alias("k"), F.col("capture_time").alias("t"))
+    response = F.when(F.col("kind") == "response", F.struct(instant.alias("at"), F.col("record_id").alias("id"), F.to_json("headers").alias("h")))
+    timed = timed.withColumn("_r", response)
+    near = timed.withColumn("before", F.max("_r").over(part.orderBy("at").rangeBetween(Window.unboundedPreceding, -1)))
+    # Per part its last response, and the last one of an earlier instant.
+    tops = timed.where(F.col("_r").isNotNull()).groupBy("canonical", "chunk", F.col("_r.at").alias("at")).agg(F.max("_r").alias("r"))
+    last = tops.withColumn("_nth", F.row_number().over(part.orderBy(F.col("at").desc()))).where("_nth <= 2").groupBy("canonical", "chunk").agg(
+        F.max("r").alias("r1"), F.max(F.when(F.col("_nth") == 2, F.col("r"))).alias("r2")
     )
+    parts = rows_in.groupBy("canonical", "chunk").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("canonical").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.join(last, ["canonical", "chunk"], "left").withColumn("c1", F.max("r1").over(earlier))
+    # The last response before the instant of c1: among the parts before, whose instants do not fall.
+    other = F.when(F.col("r1.at") < F.col("c1.at"), F.col("r1"))
+    carried = carried.withColumn("_new", F.when(F.col("c1").isNotNull() & (F.col("r1.at") > F.col("c1.at")), F.col("c1")))
+    carried = carried.withColumn("c2", F.max(F.greatest("_new", "r2", other)).over(earlier))
+    carried = carried.where(F.col("c1").isNotNull()).select(F.col("canonical").alias("c_url"), F.col("chunk").alias("c_chunk"), "c1", "c2")
     revisits = near.where(F.col("kind") == "revisit").join(
-        last, (F.col("canonical") == F.col("c_url")) & (F.col("chunk") == F.col("c_chunk")), "left"
+        carried, (F.col("canonical") == F.col("c_url")) & (F.col("chunk") == F.col("c_chunk")), "left"
     )
-    found = F.coalesce("before", "carried")
-    stored = F.from_json(found["h"], "map<string,string>")
-    out = revisits.select("record_id", "canonical", "capture_time", "headers", found["id"].alias("_id"), stored.alias("_h"))
+    over = F.when(F.col("c1.at") < instant, F.col("c1")).otherwise(F.col("c2"))
+    revisits = revisits.withColumn("found", F.greatest("before", over)).select("record_id", "canonical", "capture_time", "headers", "found")
+    without = rows.where(F.col("canonical").isNull() & (F.col("kind") == "revisit"))
+    revisits = revisits.unionByName(without.select("record_id", "canonical", "capture_time", "headers"), allowMissingColumns=True)
+    found = F.col("found")
+    theirs = F.from_json(found["h"], "map<string,string>")
+    out = revisits.select("record_id", "canonical", "capture_time", "headers", found["id"].alias("_id"), theirs.alias("_h"))
     mine, theirs = F.col("headers"), F.coalesce(F.col("_h"), empty)
     tag = F.try_element_at(mine, F.lit("etag"))
     date = F.try_element_at(mine, F.lit("last-modified"))
