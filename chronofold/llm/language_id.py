@@ -1,6 +1,7 @@
 """Language identification with segmentation-marginalised unigram models.
 
-Each language has probabilities for the pieces of a fixed public vocabulary. The
+Each language has probabilities for the pieces of a fixed public vocabulary, and for the
+letters of learnt texts that the vocabulary lacks, each a piece of its own. The
 probability of a word is the sum over all its segmentations into pieces, by the forward
 algorithm; a text's log-likelihood is the sum over its words (runs of letters,
 lower-cased, with the vocabulary's word-start mark). The piece probabilities are learnt
@@ -11,8 +12,10 @@ and each round's expected counts, are gathered by Spark; the probabilities (voca
 x languages) are broadcast.
 
 The vocabulary file is a parameter; only the driver reads it. Words are read in
-windows of ``LONGEST`` letters that carry the sums at the last ``LONGEST_PIECE`` ends, so
-pieces over a window's end count and memory is bounded for any text. A letter outside the vocabulary is a piece of its own, equally rare in every language.
+windows of ``LONGEST`` letters that carry the sums at the last ends that the longest piece
+reaches back to, so pieces over a window's end count and memory is bounded for any text. A
+letter that neither the vocabulary nor a learnt text has is equally rare in every language.
+Pieces are looked up by hash and compared in full. The model grows with the number of languages.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is
 every text where no language is known; ties go to the first language by name; the score
@@ -36,10 +39,8 @@ from chronofold.llm.scoring import WordVectors, blocks, letter_words
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_TRAIN = 1_500
-MAX_LANGUAGES = 500
 ROUNDS = 2
 LONGEST = 24
-LONGEST_PIECE = 12
 UNSEEN = 1e-7
 FLOOR = 1e-6
 PER_WORDS = 20
@@ -55,7 +56,7 @@ def vocabulary(path: str = VOCABULARY) -> list[str]:
 
     model = SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in pieces if len(p) <= LONGEST_PIECE and p.replace(MARK, "", 1).isalpha())
+    return sorted(p for p in pieces if p.replace(MARK, "", 1).isalpha())
 
 
 def _hash(piece: str) -> np.uint64:
@@ -84,7 +85,12 @@ class Lattice:
                 self.second[s] = i
             else:
                 self.more[int(self.hashes[i])] = i
+        if len(np.unique(self.hashes[:-1])) < self.n:
+            raise ValueError("two pieces of the vocabulary have the same hash")
         self.lengths = sorted({len(p) for p in pieces})
+        self.longest = max(self.lengths, default=1)
+        spelt = "".join(p.ljust(self.longest, "\0") for p in pieces).encode("utf-32-le", "surrogatepass")
+        self.letters = np.frombuffer(spelt, np.uint32).reshape(self.n, self.longest)
 
     def edges(self, words: list[str]):
         """Lengths, and per piece length the piece numbers by word and start (``n`` for no piece; ``n + 1``
@@ -99,7 +105,7 @@ class Lattice:
             for j in range(width):
                 prefix[:, j + 1] = prefix[:, j] * BASE + letters[:, j]
             power = np.uint64(1)
-            for k in range(1, min(width, LONGEST_PIECE) + 1):
+            for k in range(1, min(width, self.longest) + 1):
                 power = power * BASE
                 if k not in self.lengths and k > 1:
                     continue
@@ -110,6 +116,9 @@ class Lattice:
                 for value, i in self.more.items():
                     at[h == np.uint64(value)] = i
                 at[np.arange(width - k + 1)[None, :] + k > size[:, None]] = self.n
+                word, start = np.nonzero(at < self.n)
+                same = (letters[word[:, None], start[:, None] + np.arange(k)] == self.letters[at[word, start], :k]).all(1)
+                at[word[~same], start[~same]] = self.n
                 if k == 1:
                     inside = np.arange(width)[None, :] < size[:, None]
                     at[(at == self.n) & inside] = self.n + 1
@@ -137,9 +146,9 @@ def forward(size: np.ndarray, found: dict, p: np.ndarray, before: np.ndarray | N
     return a
 
 
-def window(w: str, g: int) -> str:
+def window(w: str, g: int, reach: int) -> str:
     """The ``g``-th LONGEST letters of a marked word, after the letters that pieces over the cut begin in."""
-    return w[max(0, g * LONGEST - LONGEST_PIECE) : (g + 1) * LONGEST]
+    return w[max(0, g * LONGEST - reach) : (g + 1) * LONGEST]
 
 
 def log_likelihoods(words: list[str], lattice: Lattice, p: np.ndarray, block: int = 8_192) -> np.ndarray:
@@ -150,7 +159,7 @@ def log_likelihoods(words: list[str], lattice: Lattice, p: np.ndarray, block: in
     for b in range(0, len(order), block):
         some, g, before = order[b : b + block], 0, None
         while some:
-            size, found = lattice.edges([window(x[2], g) for x in some])
+            size, found = lattice.edges([window(x[2], g, lattice.longest) for x in some])
             a = forward(size, found, p, before)
             end = a[np.arange(len(some)), size]
             out[[x[1] for x in some]] += np.log(end)
@@ -158,7 +167,7 @@ def log_likelihoods(words: list[str], lattice: Lattice, p: np.ndarray, block: in
             more = [n for n, x in enumerate(some) if len(x[2]) > g * LONGEST]
             if more:
                 last = int(size[more[0]])
-                first = last - min(LONGEST_PIECE, g * LONGEST)
+                first = last - min(lattice.longest, g * LONGEST)
                 before = a[more, first : last + 1] / end[more][:, None]
             some = [some[n] for n in more]
     return out
@@ -172,7 +181,7 @@ def expected(words: list[str], weight: np.ndarray, lang: np.ndarray, lattice: La
         some, g, before, steps = order[b : b + block], 0, None, []
         while some:
             who = np.array([x[1] for x in some])
-            size, found = lattice.edges([window(x[2], g) for x in some])
+            size, found = lattice.edges([window(x[2], g, lattice.longest) for x in some])
             l, rows, width = lang[who], np.arange(len(some)), int(size.max())
             known = 0 if before is None else before.shape[1] - 1  # letters of the window before
             a = np.zeros((len(some), width + 1))
@@ -189,7 +198,7 @@ def expected(words: list[str], weight: np.ndarray, lang: np.ndarray, lattice: La
             steps.append((who, size, found, known, a, end, more))
             if len(more):
                 last = int(size[more[0]])
-                first = last - min(LONGEST_PIECE, g * LONGEST)
+                first = last - min(lattice.longest, g * LONGEST)
                 before = a[more, first : last + 1] / end[more][:, None]
             some = [some[n] for n in more]
         after = None
@@ -227,9 +236,7 @@ def train(docs: DataFrame, *, path: str = VOCABULARY, most: int = MAX_TRAIN, rou
     """``(languages, pieces, probabilities)``; languages is empty where none is known."""
     spark = docs.sparkSession
     known = docs.where(docs["lang"].isNotNull() & docs["doc_id"].isNotNull() & (fold(docs["doc_id"]) != 0))
-    sizes = known.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = known.groupBy("lang").count().orderBy("lang").collect()  # a row per language
     langs = [r["lang"] for r in sizes]
     pieces = vocabulary(path)
     if not langs:
@@ -248,6 +255,9 @@ def train(docs: DataFrame, *, path: str = VOCABULARY, most: int = MAX_TRAIN, rou
 
     words = chosen.mapInPandas(count, "n int, word string, rows long").groupBy("n", "word").agg(F.sum("rows").alias("rows"))
     words = settled(words)
+    # The letters that the vocabulary lacks; as many as there are letters at most.
+    spelt = words.select(F.explode(F.split("word", "")).alias("c")).distinct().where("c <> ''").collect()
+    pieces += sorted({r["c"] for r in spelt}.difference(pieces))
     # The first round starts from one distribution for all: shorter pieces are likelier.
     start = np.array([10.0 ** -len(x) for x in pieces])
     p = probabilities(np.repeat(start[:, None], len(langs), 1))

@@ -483,3 +483,25 @@ def test_revisits_of_a_hot_url_equal_brute_force(spark):
             want.append((i, canon[url], max(before)[1] if before else None))
     got = warc_revisit.resolve_revisits(records.repartition(3)).collect()
     assert sorted([(x.record_id, x.canonical, x.response_id) for x in got], key=str) == sorted(want, key=str)
+
+
+def test_language_of_scripts_outside_the_vocabulary(spark):
+    one, two = "ᎠᎡᎢᎣᎤᎥ", "ᓀᓁᓂᓃᓄᓅ"  # two scripts that no piece has
+    r = random.Random(6)
+    text = lambda s: " ".join("".join(r.choice(s) for _ in range(r.randint(2, 30))) for _ in range(12))
+    rows = [(i, text(one if i % 2 else two), "x1" if i % 2 else "x2") for i in range(60)]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, lang string")
+    got = language_id.identify(docs).collect()
+    assert len(got) == 63 and all(x.lang_pred == ("x1" if x.doc_id % 2 else "x2") for x in got)
+
+
+def test_pieces_are_compared_in_full(monkeypatch):
+    # A hash under which every string of a length is the same.
+    monkeypatch.setattr(language_id, "_hash", lambda p: language_id.np.uint64(len(p)))
+    lattice = language_id.Lattice(["a", "bc"])
+    monkeypatch.setattr(language_id, "BASE", language_id.np.uint64(0))
+    lattice.hashes[:2] = [ord("a"), ord("c")]  # with this base a hash is the last letter's number
+    lattice.first[:] = 1
+    lattice.second[:] = 0
+    _, found = lattice.edges(["abcxc"])
+    assert found[2][0].tolist() == [2, 1, 2, 2] and found[1][0].tolist() == [0, 3, 3, 3, 3]
