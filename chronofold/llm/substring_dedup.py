@@ -132,6 +132,14 @@ class Contexts:
         h ^= h >> np.uint64(29)
         return h * MIX[2]
 
+    def differ(self, members: np.ndarray, at: np.ndarray, start: int, end: int) -> np.ndarray:
+        """Which ``members`` of those at ``at`` differ from the one before in columns ``start`` up to ``end``."""
+        out = np.zeros(len(members), bool)
+        for i in range(0, len(at), AT_ONCE):
+            some = at[i : i + AT_ONCE]
+            out[some] = (self.rows[members[some], start:end] != self.rows[members[some - 1], start:end]).any(1)
+        return out
+
     def core(self, who: np.ndarray, a: int, b: int) -> np.ndarray:
         return self.hash(who, -a, LENGTH - b + 1)
 
@@ -206,6 +214,9 @@ def repeated(c: Contexts, group: np.ndarray, n: np.ndarray, tasks: list[tuple[np
         members, core, span = who[order], core[order], span[order]
         new_core = _changes(group[members], core)
         new = new_core | _changes(span)
+        # Equal hashes are compared in full: neighbours' spans, and cores where the spans differ.
+        new |= c.differ(members, np.flatnonzero(~new), LEFT - (b - 1), LEFT + LENGTH - a)
+        new_core |= c.differ(members, np.flatnonzero(new & ~new_core), LEFT - a, LEFT + LENGTH - b + 1)
         head = np.flatnonzero(new)  # one context for all that agree in the range
         known = np.add.reduceat(n[members], head) > 1
         size = np.diff(np.r_[head, len(members)])
@@ -281,11 +292,16 @@ def agreeing(c: Contexts, heads: np.ndarray, a: np.ndarray, w: int) -> tuple[np.
 
 
 def _key(docs: DataFrame):
+    """With ``_did`` the identity of a row: equal only for repeated rows, whatever other identifiers hash to."""
     return F.xxhash64(docs["text"], docs["doc_id"])
 
 
+def _did(docs: DataFrame):
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(-1))
+
+
 # Columns of ``occurrences``.
-PLACE = {"g": "long", "ch": "long", "key": "long", "pos": "int", "la": "int", "ra": "int", "part": "int", "n": "long", "ctx": "binary"}
+PLACE = {"g": "long", "ch": "long", "key": "long", "did": "long", "pos": "int", "la": "int", "ra": "int", "part": "int", "n": "long", "ctx": "binary"}
 
 
 def anchor_counts(docs: DataFrame) -> DataFrame:
@@ -333,7 +349,7 @@ def occurrences(docs: DataFrame, counts: DataFrame) -> DataFrame:
         held, rows = [], 0
         more: dict[tuple[int, int], int] = {}  # further places of the contexts that were sent
         for pdf in batches:
-            for key, text in zip(pdf["key"], pdf["text"]):
+            for key, did, text in zip(pdf["key"], pdf["did"], pdf["text"]):
                 raw = _bytes(text)
                 h, at = anchors(raw)
                 bit = _bit(h)
@@ -344,7 +360,7 @@ def occurrences(docs: DataFrame, counts: DataFrame) -> DataFrame:
                     first = max(0, c - LEFT)
                     if own.any():
                         p = Places(raw[first : c + BLOCK_BYTES + LENGTH], at[own] - first)
-                        held.append(_placed(p, h[own], hottest, key, first, more))
+                        held.append(_placed(p, h[own], hottest, key, did, first, more))
                         rows += len(held[-1][0])
                 if rows > 8_192:
                     yield framed(held)
@@ -363,13 +379,13 @@ def occurrences(docs: DataFrame, counts: DataFrame) -> DataFrame:
     def counted(more: dict) -> pd.DataFrame:
         again = [(g, ch, n) for (g, ch), n in more.items() if n]
         out = pd.DataFrame(again, columns=["g", "ch", "n"]).astype(np.int64)
-        return out.assign(key=pd.NA, pos=pd.NA, la=pd.NA, ra=pd.NA, part=pd.NA, ctx=None)[list(PLACE)]
+        return out.assign(key=pd.NA, did=pd.NA, pos=pd.NA, la=pd.NA, ra=pd.NA, part=pd.NA, ctx=None)[list(PLACE)]
 
-    rows = docs.select(_key(docs).alias("key"), docs["text"])
+    rows = docs.select(_key(docs).alias("key"), _did(docs).alias("did"), docs["text"])
     return rows.mapInPandas(place, ", ".join(f"{k} {v}" for k, v in PLACE.items()))
 
 
-def _placed(p: Places, h: np.ndarray, hottest: np.ndarray, key: int, first: int, more: dict) -> tuple:
+def _placed(p: Places, h: np.ndarray, hottest: np.ndarray, key: int, did: int, first: int, more: dict) -> tuple:
     """The columns of ``occurrences`` for some anchors of a text."""
     is_hot = np.isin(h, hottest)
     every = np.flatnonzero(~is_hot)
@@ -390,11 +406,11 @@ def _placed(p: Places, h: np.ndarray, hottest: np.ndarray, key: int, first: int,
             more[pair] = 0
             ctx.append(sides[i].tobytes())
             n.append(1)
-    return g, ch, np.full(len(g), key), p.at[who] + first, p.la[who], p.ra[who], part, np.array(n, np.int64), ctx
+    return g, ch, np.full(len(g), key), np.full(len(g), did), p.at[who] + first, p.la[who], p.ra[who], part, np.array(n, np.int64), ctx
 
 
 def runs(places: DataFrame) -> DataFrame:
-    """``ch, low, high``: per context the offsets of its first and last repeated window."""
+    """``g, ch, low, high``: per context the offsets of its first and last repeated window."""
 
     def sort(batches):
         for pdf in grouped(batches, ["g"], AT_ONCE):
@@ -415,10 +431,10 @@ def runs(places: DataFrame) -> DataFrame:
                 tasks.append((np.flatnonzero((part == -1) | (part == r)), a, b))
             low, high = repeated(c, group, n, tasks)
             hit = high >= 0
-            yield pd.DataFrame({"ch": one["ch"].to_numpy()[hit], "low": low[hit].astype(np.int32), "high": high[hit].astype(np.int32)})
+            yield pd.DataFrame({"g": one["g"].to_numpy()[hit], "ch": one["ch"].to_numpy()[hit], "low": low[hit].astype(np.int32), "high": high[hit].astype(np.int32)})
 
     dealt = places.where("n > 0").select("g", "ch", "n", "part", "la", "ra", "ctx").repartition("g").sortWithinPartitions("g")
-    return dealt.mapInPandas(sort, "ch long, low int, high int")
+    return dealt.mapInPandas(sort, "g long, ch long, low int, high int")
 
 
 def _cut(text: str | None, spans) -> tuple[int, int, int, bytes]:
@@ -445,19 +461,20 @@ def remove_repeats(docs: DataFrame, *, text: bool = False) -> DataFrame:
     the remaining bytes)."""
     docs = docs.select(docs["doc_id"], docs["text"].cast("string").alias("text"))
     places = stored(occurrences(docs, settled(anchor_counts(docs))))
-    found = runs(places).withColumnRenamed("ch", "r_ch")
-    hits = places.where("key is not null").select("ch", "key", "pos").join(found, F.col("ch") == F.col("r_ch"))
+    # A context is named by 128 bits: its group's and its own hash.
+    found = runs(places).select(F.col("g").alias("r_g"), F.col("ch").alias("r_ch"), "low", "high")
+    hits = places.where("key is not null").select("g", "ch", "key", "did", "pos").join(found, (F.col("ch") == F.col("r_ch")) & (F.col("g") == F.col("r_g")))
     spans = settled(
-        hits.groupBy("key").agg(F.collect_set(F.struct((F.col("pos") - F.col("high")).alias("s"), (F.col("pos") - F.col("low") + LENGTH).alias("e"))).alias("spans"))
+        hits.groupBy("key", "did").agg(F.collect_set(F.struct((F.col("pos") - F.col("high")).alias("s"), (F.col("pos") - F.col("low") + LENGTH).alias("e"))).alias("spans"))
     )  # bounded by a document's own anchors
     # A document whose bit is not set has no span, and its text stays where it is. The bitmap's size is fixed.
     bits = settled(bitmap(spans.select(F.col("key").alias("h"))))
     at = F.pmod(F.shiftrightunsigned("_key", 20), F.lit(FILTER_BITS))
     byte = F.conv(F.hex(F.substring("bits", F.floor(F.pmod(at, F.lit(32_768)) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     is_set = F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(at, F.lit(8)))), F.lit(2)) == 1, F.lit(False))
-    rows = docs.withColumn("_key", _key(docs)).withColumn("_bucket", F.floor(at / 32_768))
+    rows = docs.withColumn("_key", _key(docs)).withColumn("_did", _did(docs)).withColumn("_bucket", F.floor(at / 32_768))
     rows = rows.join(F.broadcast(bits), F.col("_bucket") == F.col("bucket"), "left").withColumn("_maybe", is_set).drop("bits", "bucket", "_bucket")
-    hit = rows.where("_maybe").join(spans.withColumnRenamed("key", "s_key"), F.col("_key") == F.col("s_key"), "left")
+    hit = rows.where("_maybe").join(spans.withColumnRenamed("key", "s_key"), (F.col("_key") == F.col("s_key")) & (F.col("_did") == F.col("did")), "left")
     rows = hit.select("doc_id", "text", "spans").unionByName(rows.where("not _maybe").select("doc_id", "text", F.lit(None).cast(SPANS).alias("spans")))
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if text else ""))

@@ -505,3 +505,65 @@ def test_pieces_are_compared_in_full(monkeypatch):
     lattice.second[:] = 0
     _, found = lattice.edges(["abcxc"])
     assert found[2][0].tolist() == [2, 1, 2, 2] and found[1][0].tolist() == [0, 3, 3, 3, 3]
+
+
+def test_pair_sum_identity():
+    import numpy as np
+
+    g = np.random.default_rng(3)
+    w, v = g.normal(size=quality_fm.FEATURES), g.normal(size=(quality_fm.FEATURES, quality_fm.RANK))
+    docs = [quality_fm.features(t) for t in ("One two, two.", None, "a b c d " * 300, "ünï\n日本 x" * 5)]
+    starts = np.cumsum([0] + [len(a) for a, _ in docs])[:-1]
+    z, _ = quality_fm.margin((0.3, w, v), np.concatenate([a for a, _ in docs]), np.concatenate([x for _, x in docs]).astype(float), starts)
+    for got, (a, x) in zip(z, docs):
+        pairs = sum(v[a[i]] @ v[a[j]] * x[i] * x[j] for i in range(len(a)) for j in range(i))
+        assert got == pytest.approx(0.3 + w[a] @ x + pairs)
+
+
+def test_quality_fit_by_bytes_and_odd_labels(spark, docs, monkeypatch):
+    labels = spark.createDataFrame([(i, i % 2 if i % 3 else None, 0) for i in range(60)], LABELS)
+    more = docs.withColumn("score", F.lit("x")).withColumn("held_out", F.lit(1)).withColumn("predicted", F.lit(None).cast("int"))
+    every = quality_fm.quality_scores(more, labels, most_bytes=3_000).collect()  # a share of the labelled features
+    assert len(every) == more.count() and all(0 <= r.score <= 1 for r in every)
+    assert quality_fm.drop_low_quality(more, labels).columns == more.columns
+
+
+def test_pipeline_equals_brute_force(spark, rows, tmp_path):
+    """All stages but the classifier (which keeps all here) against brute force, on null, repeated and clashing rows."""
+    import duckdb
+
+    data = [(i, t, "en", ["a", "b", None][n % 3], 0, "x", 5, "y") for n, (i, t) in enumerate(rows + rows[:2] + [(None, None), (80, " ".join(rows[4][1].split()[3:40]))])]
+    schema = DOCS + ", copies string, taken_words int, row string"
+    folder = str(tmp_path)
+    spark.createDataFrame(data, schema).write.parquet(folder + "/documents.parquet")
+    spark.createDataFrame([], LABELS).write.parquet(folder + "/labels.parquet")
+    bench = [("q1", " ".join(rows[4][1].split()[10:25])), ("q2", "one two three"), ("q3", None)]
+    spark.createDataFrame(bench, "item_id string, text string").write.parquet(folder + "/benchmark.parquet")
+    by_text = {}
+    for x in data:
+        by_text.setdefault(x[1] or "", []).append(x)
+    rank = lambda x: (x[0] is None, x[0] or 0)
+    unique = [min(g, key=rank) for g in by_text.values()]
+    sets = []
+    for x in unique:
+        w = tokens(x[1])
+        k = min(5, len(w))
+        sets.append({tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else set())
+    group = list(range(len(unique)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and len(a & b) * 5 >= 4 * len(a | b):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    sha = lambda x: hashlib.sha256((x[1] or "").encode()).digest()
+    left = [min((x for x, g in zip(unique, group) if g == c), key=lambda x: (*rank(x), sha(x))) for c in set(group)]
+    windows = {tuple(w[j : j + 10]) for _, t in bench if (w := tokens(t)) for j in range(max(1, len(w) - 9))}
+    dirty = lambda w: any(tuple(w[j : j + len(g)]) == g for g in windows for j in range(len(w) - len(g) + 1))
+    left = [x for x in left if not dirty(tokens(x[1]))]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(x[0], x[1], x[3]) for x in left])
+    want = [(i, taken) for i, _, _, _, taken in con.execute(mixing.ORACLE).fetchall() if taken]
+    got = corpus_pipeline.run(spark, folder)
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "row", "taken_words", "copies"]
+    assert sorted(((r.doc_id, r.taken_words) for r in got.collect()), key=str) == sorted(want, key=str) and len(want) > 5

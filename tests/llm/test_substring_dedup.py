@@ -81,3 +81,29 @@ def test_empty_table_and_clashing_columns(spark):
     assert S.remove_repeats(df).collect() == []
     df = spark.createDataFrame([(1, "k" * 300, "a", 1, 2)], SCHEMA + ", key string, g int, pos int")
     assert S.remove_repeats(df, text=True).first()["kept"] == b""
+
+
+def test_hash_collisions_remove_nothing_else(spark, monkeypatch):
+    """With every hash of a context's bytes equal, only what is equal in full is removed."""
+    rows = corpus()[:20]
+    monkeypatch.setattr(S.Contexts, "hash", lambda self, who, start, end: np.zeros(len(who), np.uint64))
+    r = random.Random(3)
+    n, width = 40, S.WIDTH
+    bytes_ = np.array([[r.randrange(97, 100) for _ in range(width)] for _ in range(n)], np.uint8)
+    bytes_[n // 2 :, :] = bytes_[: n // 2, :]  # the second half repeats the first
+    bytes_[n // 2 :: 2, 0] = 1  # some of them but for one byte, far left
+    c = S.Contexts(bytes_, np.full(n, S.LEFT), np.full(n, S.LENGTH))
+    low, high = S.repeated(c, np.zeros(n, np.int64), np.ones(n, np.int64), [(np.arange(n), a, b) for a, b in S.ranges()])
+    for i in range(n):
+        for o in range(S.OFFSETS) if high[i] >= 0 else ():
+            mine = bytes_[i, S.LEFT - o : S.LEFT - o + S.LENGTH]
+            same = sum((bytes_[j, S.LEFT - o : S.LEFT - o + S.LENGTH] == mine).all() for j in range(n))
+            assert same > 1 or not low[i] <= o <= high[i]
+
+
+def test_rows_are_told_apart_by_identifier_and_text(spark, monkeypatch):
+    rows = corpus()
+    monkeypatch.setattr(S, "_key", lambda docs: S.F.lit(7).cast("long") + docs["doc_id"].cast("long") * 0)
+    rows = [x for i, x in enumerate(rows) if x[0] is not None and x[0] not in {y[0] for y in rows[:i]}]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted((tuple(r) for r in S.remove_repeats(df).collect()), key=str) == brute(rows)
