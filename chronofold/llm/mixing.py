@@ -144,10 +144,11 @@ def _thresholds(slim: DataFrame, budgets: DataFrame) -> DataFrame:
 
 def take(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix with their columns, ``taken_words`` and ``copies`` (3 at most; a part of
-    a copy counts as one)."""
+    a copy counts as one). Columns of the input with these two names give way to them."""
     out = mix_sources(docs, carry=True, **options).where(F.col("taken") > 0)
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    return out.select("row.*", F.col("taken").alias("taken_words"), copies.alias("copies"))
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ("taken_words", "copies")]
+    return out.select(*own, F.col("taken").alias("taken_words"), copies.alias("copies"))
 
 
 def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
