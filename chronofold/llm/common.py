@@ -20,13 +20,15 @@ FOLDS = 5
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests on one machine) a folder of our own is set.
+    Only where it is unset and the master is local (tests on one machine) a folder of our own is set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             return str(jdir.get())
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set")
         found = tempfile.mkdtemp(prefix="chronofold-")
         spark.sparkContext.setCheckpointDir(found)
     return found
