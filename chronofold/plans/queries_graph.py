@@ -181,18 +181,14 @@ def ing_write_chapter(spark, sf):
     return events.unionByName(entities).unionByName(row("state", people.withColumnsRenamed({"last_at": "order_idx", "state": "body"})))
 
 
-UNION = ", ids AS (SELECT doc_id AS id, doc_id % 40 AS g FROM documents WHERE doc_id < 400) SELECT id, min(id) OVER (PARTITION BY g) AS root FROM ids"
+# Only nations' names are shared, and an entity has one at most: what shares it is one group.
+UNION = VIS + ", g AS (SELECT entity_id, min(surface) FILTER (WHERE surface LIKE 'NATION%') AS g FROM va GROUP BY 1) SELECT entity_id AS id, CASE WHEN g IS NULL THEN entity_id ELSE min(entity_id) OVER (PARTITION BY g) END AS root FROM g"
 
 
 @query("set_unioncat", UNION)
 def set_unioncat(spark, sf):
-    """Union-find over chained names (n with n + 40) by rounds of pointer doubling to the least neighbour."""
-    ids = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 400").select(F.col("doc_id").alias("id"))
-    label = ids.select("id", F.greatest(F.col("id") - 40, F.col("id") % 40).alias("root"))
-    for _ in range(5):  # a chain of 10 settles in 4 doublings
-        step = label.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        label = label.join(step, "root", "left").select("id", F.least("root", F.coalesce("next", "root")).alias("root"))
-    return label
+    """Entities that visible names connect."""
+    return K.connected(at(spark, sf).aliases().select(F.col("entity_id").alias("id"), F.col("surface").alias("key")))
 
 
 STRUCT = f""", b AS (SELECT CAST(unnest(range(0, 81, 8)) AS INT) AS bm), v AS (SELECT bm, entity_id FROM b JOIN entities e ON e.revealed_at <= bm AND e.retracted_at IS NULL AND (e.invalid_at IS NULL OR e.invalid_at > bm)),

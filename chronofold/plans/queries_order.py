@@ -351,12 +351,12 @@ def agg_max_chapter(spark, sf):
     return bind(spark, sf, "chapters").groupBy("book_id").agg(F.coalesce(F.max(live), F.lit(0)).alias("last"))
 
 
-@query("agg_resolution_quality", """, o AS (SELECT d.doc_id, l.quality AS gold, CASE WHEN length(d.text) % 3 = 0 THEN 1 ELSE l.toxic END AS pred FROM documents d JOIN labels l USING (doc_id) WHERE doc_id < 200)
+@query("agg_resolution_quality", """, o AS (SELECT d.doc_id, l.quality AS gold, CASE WHEN length(d.text) % 3 = 0 THEN 1 ELSE l.toxic END AS pred FROM documents d JOIN labels l USING (doc_id))
 SELECT count(*) FILTER (WHERE a.gold = b.gold AND a.pred = b.pred) AS tp, count(*) FILTER (WHERE a.gold <> b.gold AND a.pred = b.pred) AS fp, count(*) FILTER (WHERE a.gold = b.gold AND a.pred <> b.pred) AS fn
 FROM o a JOIN o b ON a.doc_id < b.doc_id""")
 def agg_resolution_quality(spark, sf):
     """Pairwise counts from cluster sizes alone: pairs within gold, within predicted and within both."""
-    d = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("doc_id < 200")
+    d = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     rows = d.select(F.col("quality").alias("gold"), F.when(F.length("text") % 3 == 0, 1).otherwise(F.col("toxic")).alias("pred"))
     pairs = lambda *k: rows.groupBy(*k).count().agg(F.coalesce(F.sum(F.expr("count * (count - 1) div 2")), F.lit(0)))
     both, gold, pred = pairs("gold", "pred").toDF("tp"), pairs("gold").toDF("g"), pairs("pred").toDF("p")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -11,20 +9,20 @@ from chronofold.plans.registry import query
 from chronofold.plans.standins import bind
 from chronofold.sources import archive as A
 from chronofold.sources import epub as E
+from chronofold.sources.shared import fresh_path
 
-BOOKS = ", b AS (SELECT 'book' || CAST(conv_id % 20 AS VARCHAR) AS path, text, row_number() OVER (PARTITION BY conv_id % 20 ORDER BY conv_id, turn) AS position FROM conversations) "
+BOOKS = ", b AS (SELECT 'book' || CAST(conv_id AS VARCHAR) AS path, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations) "
 
 
 def books(spark, sf):
-    """Conversations bound as EPUB files, a chapter a turn."""
+    """Conversations bound as EPUB files, one each, a chapter a turn; so books stay small and their number grows."""
 
     def bind_one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["conv_id", "turn"])
+        pdf = pdf.sort_values("turn")
         docs = [(f"c{i}.xhtml", f"Chapter {i + 1}", f"Chapter {i + 1}", t) for i, t in enumerate(pdf["text"])]
-        return pd.DataFrame({"path": [f"book{pdf['conv_id'].iloc[0] % 20}"], "content": [E.write(docs)]})
+        return pd.DataFrame({"path": [f"book{pdf['conv_id'].iloc[0]}"], "content": [E.write(docs)]})
 
-    c = spark.read.parquet(f"{sf}/conversations.parquet").withColumn("book", F.col("conv_id") % 20)
-    return c.groupBy("book").applyInPandas(bind_one, "path string, content binary")
+    return spark.read.parquet(f"{sf}/conversations.parquet").groupBy("conv_id").applyInPandas(bind_one, "path string, content binary")
 
 
 @query("src_epub", BOOKS + "SELECT path, position, length(regexp_replace(text, '\\s', '', 'g')) AS letters FROM b")
@@ -94,8 +92,7 @@ def snk_marks_export(spark, sf):
 @query("snk_restore", "SELECT count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer")
 def snk_backup(spark, sf):
     """Backup, inventory check and restore."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronofold-")
-    path = A.fresh_path(root)
+    path = fresh_path(spark, "backup")
     inventory = A.backup(spark.read.parquet(f"{sf}/customer.parquet"), path)
     return A.restore(spark, path, inventory).agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"))
 
@@ -103,36 +100,24 @@ def snk_backup(spark, sf):
 @query("st_stream_high_water")
 def st_stream_high_water(spark, sf):
     """The stream's last state of each book; ``st_reset_epoch`` is its batch twin."""
-    import uuid
-
     from chronofold.streaming import position as P
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronofold-")
-    name = f"high_water_{uuid.uuid4().hex}"
-    out = P.run_once(P.high_water(P.reports(spark, sf)), f"{root.rstrip('/')}/{name}", name)
+    out = P.run_once(P.high_water(P.reports(spark, sf)), fresh_path(spark, "stream"))
     return out.groupBy("book_id").agg(F.max(F.struct("epoch", "bookmark")).alias("s")).select("book_id", "s.epoch", "s.bookmark")
 
 
 @query("st_rate_window")
 def st_rate_window(spark, sf):
-    import uuid
-
     from chronofold.streaming import position as P
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronofold-")
-    name = f"rate_{uuid.uuid4().hex}"
-    out = P.run_once(P.request_windows(P.reports(spark, sf), 86_400, 3), f"{root.rstrip('/')}/{name}", name, "append")
+    out = P.run_once(P.request_windows(P.reports(spark, sf), 86_400, 3), fresh_path(spark, "stream"), "append")
     return out.select("event_id", "allowed")
 
 
 @query("st_windowed_counts", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def st_windowed_counts(spark, sf):
     """Tumbling windows in event time, complete output (an extension)."""
-    import uuid
-
     from chronofold.streaming import position as P
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronofold-")
-    name = f"windows_{uuid.uuid4().hex}"
-    out = P.run_once(P.windowed_counts(P.reports(spark, sf)), f"{root.rstrip('/')}/{name}", name, "complete")
+    out = P.run_once(P.windowed_counts(P.reports(spark, sf)), fresh_path(spark, "stream"), "complete")
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")

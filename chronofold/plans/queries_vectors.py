@@ -62,12 +62,13 @@ def topk_pgvector(spark, sf):
     return out
 
 
-@query("topk_ask_sources", ", n AS (SELECT doc_id, trim(regexp_replace(substring(text, 1, 400), '\\s+', ' ', 'g')) AS t, row_number() OVER (PARTITION BY trim(regexp_replace(substring(text, 1, 400), '\\s+', ' ', 'g')) ORDER BY doc_id) AS d FROM documents WHERE doc_id < 60) SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id, left(t, 200) AS t FROM n WHERE d = 1 AND t <> '' ORDER BY doc_id LIMIT 6")
+@query("topk_ask_sources", ", m AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS t FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS d FROM m) SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id, left(t, 200) AS t FROM n WHERE d = 1 AND t <> '' ORDER BY doc_id LIMIT 6")
 def topk_ask_sources(spark, sf):
     """The first six distinct, non-blank passages of a ranked list, numbered anew."""
-    t = F.trim(F.regexp_replace(F.substring("text", 1, 400), r"\s+", " "))
-    rows = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60").select("doc_id", t.alias("t")).where("t <> ''")
-    first = rows.groupBy("t").agg(F.min("doc_id").alias("doc_id")).orderBy("doc_id").limit(6)
+    t = F.trim(F.regexp_replace("text", r"[ \t\n\r\f]+", " "))
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", t.alias("t")).where("t <> ''")
+    # Only a digest and the first 200 characters are shuffled.
+    first = rows.groupBy(F.sha2("t", 256)).agg(F.min(F.struct("doc_id", F.left("t", F.lit(200)).alias("t"))).alias("f")).select("f.*").orderBy("doc_id").limit(6)
     return first.select(F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("n"), "doc_id", F.left("t", F.lit(200)).alias("t"))
 
 

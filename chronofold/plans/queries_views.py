@@ -297,13 +297,13 @@ def join_section_atom(spark, sf):
     return sole.join(contested, "doc_id", "left_anti").select("page_id", "doc_id")
 
 
-@query("join_toc_map", """, a AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents WHERE doc_id < 300),
+@query("join_toc_map", """, a AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents),
 t AS (SELECT page_id, regexp_extract(url, '/(en|de|fr|es)/', 1) AS lang, row_number() OVER (PARTITION BY regexp_extract(url, '/(en|de|fr|es)/', 1) ORDER BY page_id) AS rn FROM pages),
 m AS (SELECT lang, max(rn) AS last FROM a GROUP BY 1)
 SELECT t.page_id, a.doc_id FROM t JOIN m ON m.lang = t.lang JOIN a ON a.lang = t.lang AND a.rn = least(t.rn, m.last)""")
 def join_toc_map(spark, sf):
     """The n-th repeat of a reference takes the n-th atom; beyond the last, the last."""
-    a = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 300").withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")))
+    a = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")))
     t = spark.read.parquet(f"{sf}/pages.parquet").withColumn("lang", F.regexp_extract("url", "/(en|de|fr|es)/", 1))
     t = t.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("page_id")))
     last = a.groupBy("lang").agg(F.max("rn").alias("last"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,21 +38,28 @@ def import_rows(rows: DataFrame, schema: str) -> DataFrame:
 
 
 def backup(df: DataFrame, path: str) -> DataFrame:
-    """Writes ``df`` under a staging name and returns the inventory ``path, sha256`` of what was written."""
+    """Writes ``df`` under a staging name, publishes it by one rename and returns the inventory ``name,
+    sha256`` of its files. A path that is there already is refused."""
     spark = df.sparkSession
-    df.write.parquet(path)
+    stage = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".staging")
+    final = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(final):
+        raise FileExistsError(path)
+    df.write.mode("overwrite").parquet(stage.toString())
+    if not fs.rename(stage, final):
+        raise OSError(f"could not publish {path}")
+    return _digests(spark, path).toDF("name", "sha256")
+
+
+def _digests(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
-    return files.select("path", F.sha2("content", 256).alias("sha256"))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("found"))
 
 
 def restore(spark: SparkSession, path: str, inventory: DataFrame) -> DataFrame:
     """Reads a backup whose files all match the inventory; raises before anything is published otherwise."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path", F.sha2("content", 256).alias("found"))
-    bad = inventory.join(files, "path", "full").where(~F.col("sha256").eqNullSafe(F.col("found")))
+    bad = inventory.join(_digests(spark, path), "name", "full").where(~F.col("sha256").eqNullSafe(F.col("found")))
     if bad.limit(1).count():
         raise ValueError("the backup does not match its inventory")
     return spark.read.parquet(path)
-
-
-def fresh_path(root: str) -> str:
-    return f"{root.rstrip('/')}/backup-{uuid.uuid4().hex}"

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -26,7 +27,8 @@ def high_water(stream: DataFrame) -> DataFrame:
         epoch, high = state.get if state.exists else (0, 0)
         pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         for kind, k in zip(pdf["event_type"], pdf["k"]):
-            epoch, high = (epoch + 1, 0) if kind == "purchase" else (epoch, max(high, int(k)))
+            # A report without a position tells nothing new.
+            epoch, high = (epoch + 1, 0) if kind == "purchase" else (epoch, high if pd.isna(k) else max(high, int(k)))
         state.update((epoch, high))
         yield pd.DataFrame({"book_id": [key[0]], "epoch": [epoch], "bookmark": [high]})
 
@@ -56,11 +58,22 @@ def windowed_counts(stream: DataFrame, late: str = "1 day", size: str = "1 day",
     return stream.withWatermark("ts", late).groupBy(F.window("ts", size, slide) if slide else F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_once(stream: DataFrame, checkpoint: str, name: str, mode: str = "update") -> DataFrame:
-    """Runs a stream over what is there into a memory table."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, folder: str, mode: str = "update") -> DataFrame:
+    """Runs a stream over what is there into files below ``folder``, a part a batch (column ``batch``), and
+    reads them. A batch that runs again overwrites its own part; of a complete output the last part counts."""
+    out = f"{folder}/out"
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    if not _exists(spark, out):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(out)
+    return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]) if mode == "complete" else rows
 
 
 def ingest(stream: DataFrame, facts: str, receipts: str, checkpoint: str):

@@ -26,6 +26,16 @@ def test_split_is_lossless(text, limit):
     assert "".join(parts) == text and all(len(p.encode()) <= limit for p in parts)
 
 
+def test_null_positions_change_nothing(spark, tmp_path):
+    rows = [(1, 1, 7, "click", 0.0, '{"k": 4}'), (2, 2, 7, "click", 0.0, None), (3, 3, 7, "view", 0.0, "{}"), (4, 4, 8, "view", 0.0, None)]
+    df = spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string, value double, props string")
+    df = df.withColumn("ts", F.timestamp_seconds("t").cast("timestamp_ntz")).drop("t")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = position.reports(spark, str(tmp_path / "in"), "*.parquet")
+    out = position.run_once(position.high_water(stream), str(tmp_path / "c")).groupBy("book_id").agg(F.max("bookmark").alias("b"))
+    assert {r.book_id: r.b for r in out.collect()} == {7: 4, 8: 0}
+
+
 def test_archive_refuses_a_changed_file(spark, tmp_path):
     path = str(tmp_path / "b")
     inventory = archive.backup(spark.range(5), path).cache()
@@ -33,13 +43,16 @@ def test_archive_refuses_a_changed_file(spark, tmp_path):
     assert archive.restore(spark, path, inventory).count() == 5
     with pytest.raises(ValueError):
         archive.restore(spark, path, inventory.withColumn("sha256", F.lit("0")))
+    assert not (tmp_path / "b.staging").exists()
+    with pytest.raises(FileExistsError):
+        archive.backup(spark.range(3), path)
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):
     from chronofold.plans import registry
 
     registry.load()
-    out = position.run_once(position.high_water(position.reports(spark, sf)), str(tmp_path / "c"), "hw_test")
+    out = position.run_once(position.high_water(position.reports(spark, sf)), str(tmp_path / "c"))
     last = {r.book_id: (r.s.epoch, r.s.bookmark) for r in out.groupBy("book_id").agg(F.max(F.struct("epoch", "bookmark")).alias("s")).collect()}
     batch = {}
     for r in registry.QUERIES["st_reset_epoch"](spark, sf).collect():
