@@ -34,13 +34,18 @@ NAME_HONORIFICS = (
     "father elder brother sister abbot priest madame madam mister mr mrs doctor dr captain colonel general".split()
 )
 FOLD_HONORIFICS = "father elder abbot brother mother sister".split()
-# English role nouns and determiners that are no names.
+# Role nouns and determiners that are no names.
 ROLE_NOUNS = """
 mother father brother sister son daughter wife husband child children parent elder superior abbot monk novice priest nun
 servant cousin uncle aunt grandmother grandfather widow widower lady gentleman man woman boy girl old young little general
 captain colonel madame madam mister mr mrs doctor dr narrator author hero heroine family the a an this that his her
 their our my your its one same first second third eldest youngest former late dead deceased crazy poor drunken of and
 to in buffoon landowner benefactor patron teacher student people
+madre padre hermano hermana hijo hija esposa esposo
+mère père frère sœur fils fille mari femme
+mutter vater bruder schwester sohn tochter ehefrau ehemann
+мать отец брат сестра сын дочь жена муж монах священник
+母亲 父亲 哥哥 弟弟 姐姐 妹妹 儿子 女儿 妻子 丈夫
 """.split()
 PRONOUNS = "i us we he she they me him them you it my".split()
 # Fixed patterns: sentence protection, clause joints, forward-looking phrases.

@@ -50,34 +50,6 @@ def end_and_copy(entities: DataFrame, edges: DataFrame, remap: DataFrame, effect
     return closed.unionByName(fresh), ended.unionByName(moved)
 
 
-def resolve(mentions: DataFrame, roster: DataFrame) -> DataFrame:
-    """One pass of layered identity resolution. ``mentions``: ``mention_id, type, form, linked``; ``roster``:
-    ``entity_id, type, form, canonical``. A layer decides where it has exactly one entity; several make a
-    new identity. Layers: asserted link to a canonical name, exact canonical name, title and name, alias."""
-    from chronofold.functions.text import honorific_key, name_key, normalise_fast, proper_tokens
-
-    m = mentions.withColumn("exact", normalise_fast(F.col("form"))).withColumn("key", name_key(F.col("form"))).withColumn("hon", honorific_key(F.col("form")))
-    m = m.withColumn("named", F.size(proper_tokens(F.col("form"))) > 0)
-    r = roster.withColumn("exact", normalise_fast(F.col("form"))).withColumn("key", name_key(F.col("form"))).withColumn("hon", honorific_key(F.col("form")))
-
-    def layer(rank: int, name: str, left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-        pairs = left.select("mention_id", "type", F.col(on).alias("k")).join(right.select("entity_id", "type", F.col(on).alias("k")).distinct(), ["type", "k"])
-        return pairs.groupBy("mention_id").agg(F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id")).select("mention_id", F.lit(rank).alias("rank"), F.lit(name).alias("method"), "n", "entity_id")
-
-    canon, named = r.where("canonical"), m.where("named")
-    bare = r.withColumn("hon", F.coalesce("hon", F.when(~F.contains("key", F.lit(" ")), F.col("key"))))
-    found = (
-        layer(1, "roster-link", named.where("linked"), canon, "exact")
-        .unionByName(layer(2, "exact", named, canon, "exact"))
-        .unionByName(layer(3, "honorific", named.where("hon is not null"), bare, "hon"))
-        .unionByName(layer(4, "alias", named, r, "key"))
-    )
-    first = found.groupBy("mention_id").agg(F.min_by(F.struct("method", "n", "entity_id"), "rank").alias("f"))
-    out = m.select("mention_id").join(first, "mention_id", "left")
-    sure = F.coalesce(F.col("f.n") == 1, F.lit(False))
-    return out.select("mention_id", F.when(sure, F.col("f.entity_id")).alias("entity_id"), F.when(sure, F.col("f.method")).otherwise("new").alias("method"))
-
-
 def connected(names: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``id, root`` (the least id) of what shared names (``id, key``) connect. A round passes the least root of
     each name on to all that bear it (minima are pre-aggregated), and then each root's own root; it is
@@ -88,7 +60,7 @@ def connected(names: DataFrame, most_rounds: int = 60) -> DataFrame:
         of_key = names.join(label, "id").groupBy("key").agg(F.min("root").alias("low"))
         low = names.join(of_key, "key").groupBy("id").agg(F.min("low").alias("low"))
         up = label.select(F.col("id").alias("low"), F.col("root").alias("up"))
-        step = settled(label.join(low, "id").join(up, "low", "left").select("id", F.least("root", "low", "up").alias("root"), (F.least("root", "low", "up") < F.col("root")).alias("new")))
+        step = settled(label.join(low, "id", "left").join(up, "low", "left").select("id", F.least("root", "low", "up").alias("root"), (F.least("root", "low", "up") < F.col("root")).alias("new")))
         label = step.drop("new")
         if not step.where("new").limit(1).count():
             return label

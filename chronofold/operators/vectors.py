@@ -44,8 +44,25 @@ def search(chunks: DataFrame, query: list[float], k: int, *, dimension: int | No
     return rows.withColumn("score", cosine(F.col("vec"), q)).where("score is not null").orderBy(F.desc("score"), F.desc("chapter_key")).limit(k)
 
 
-def best_match(pairs: DataFrame, by: str, threshold: float = 0.82, margin: float = 0.05) -> DataFrame:
-    """Per ``by`` the candidate with the best score, where it is good enough and clear of the second."""
-    w = Window.partitionBy(by).orderBy(F.desc("score"), "candidate")
-    rows = pairs.withColumn("n", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("score").over(w), F.lit(0.0)))
-    return rows.where((F.col("n") == 1) & (F.col("score") >= threshold) & (F.col("score") - F.col("second") >= margin)).drop("n")
+def sure(score: Column, second: Column, threshold: float = 0.82, margin: float = 0.05) -> Column:
+    """Whether a match is good enough and clear of the second best."""
+    return (score >= threshold) & (score - F.coalesce(second, F.lit(0.0)) >= margin)
+
+
+def nearest_of_blocks(rows: DataFrame, asked: DataFrame, block: int = 256) -> DataFrame:
+    """Per query of ``asked`` (``mention, qv``) its nearest row (``candidate, embedding``), ``score`` and
+    ``second``, the next best score; a row is no candidate of itself, ties go to the least candidate.
+
+    The queries are packed in blocks of ``block``; each row meets each block once, and only the two best of a
+    query and a part of the rows (``candidate`` modulo the shuffle partitions) are kept before they are merged."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = asked.withColumn("b", F.floor(F.row_number().over(Window.orderBy("mention")) / block)).groupBy("b").agg(F.collect_list(F.struct("mention", "qv")).alias("qs"))
+    blocks = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("candidate"), F.lit(parts)).cast("int")).join(blocks, "part")
+    each = dealt.select("candidate", "embedding", "part", F.explode("qs").alias("q")).where(F.col("candidate") != F.col("q.mention"))
+    scored = each.select(F.col("q.mention").alias("mention"), "part", "candidate", cosine(F.col("embedding"), F.col("q.qv")).alias("score")).where("score is not null")
+    top = lambda df, keys: df.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "candidate"))).where("n <= 2")
+    best = top(top(scored, ["mention", "part"]).drop("n"), ["mention"])
+    return best.groupBy("mention").agg(
+        F.max(F.when(F.col("n") == 1, F.col("candidate"))).alias("candidate"), F.max(F.when(F.col("n") == 1, F.col("score"))).alias("score"), F.max(F.when(F.col("n") == 2, F.col("score"))).alias("second")
+    )

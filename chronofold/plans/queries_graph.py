@@ -2,56 +2,42 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronofold.functions import text as X
 from chronofold.operators import facts as K
+from chronofold.operators import resolve as R
 from chronofold.plans.queries_views import VALID, VIS, at
 from chronofold.plans.registry import query
 from chronofold.plans.standins import bind
+from chronofold.sources.shared import settled
 
-MENTIONS = [
-    (1, "character", "Customer#000000001", True), (2, "character", "CUSTOMER#000000002", False), (3, "character", "NATION_1", False),
-    (4, "character", "the elder", False), (5, "faction", "Supplier#000000003", True), (6, "character", "Father Zossima", False),
-    (7, "character", "Nobody Known", False), (8, "character", "customer#000000008's", False),
-]
-
-
-@query("er_resolve_one")
+@query("er_resolve_one", """, h AS (SELECT a.alias_id, count(DISTINCT e.entity_id) AS n, min(e.entity_id) AS entity_id FROM aliases a JOIN entities e ON e.type = 'character' AND lower(e.canonical_name) = lower(a.surface) GROUP BY 1)
+SELECT a.alias_id AS mention_id, CASE WHEN n = 1 THEN h.entity_id END AS entity_id, CASE WHEN n = 1 THEN CASE WHEN a.alias_id % 3 = 0 THEN 'roster-link' ELSE 'exact' END ELSE 'new' END AS method, coalesce(n, 0) <> 1 AND (coalesce(n, 0) > 1 OR a.alias_id % 3 = 0) AS warn
+FROM aliases a LEFT JOIN h ON h.alias_id = a.alias_id""")
 def er_resolve_one(spark, sf):
-    mentions = spark.createDataFrame(MENTIONS, "mention_id int, type string, form string, linked boolean")
-    e = bind(spark, sf, "entities")
-    canon = e.select("entity_id", "type", F.col("canonical_name").alias("form"), F.lit(True).alias("canonical"))
-    alias = bind(spark, sf, "aliases").join(e.select("entity_id", "type"), "entity_id").select("entity_id", "type", F.col("surface").alias("form"), F.lit(False).alias("canonical"))
-    return K.resolve(mentions, canon.unionByName(alias))
-
-
-@query("er_exact_layer", """, m AS (SELECT * FROM (VALUES (1, 'character', 'customer#000000001'), (2, 'character', 'customer#000000002'), (5, 'faction', 'supplier#000000003'), (7, 'character', 'nobody known')) v(mention_id, type, form)),
-h AS (SELECT mention_id, count(DISTINCT entity_id) AS n, min(entity_id) AS entity_id FROM m JOIN entities e ON e.type = m.type AND lower(canonical_name) = form GROUP BY 1)
-SELECT m.mention_id, CASE WHEN n = 1 THEN entity_id END AS entity_id FROM m LEFT JOIN h ON h.mention_id = m.mention_id""")
-def er_exact_layer(spark, sf):
-    """The exact layer alone, which SQL can follow."""
-    rows = [(1, "character", "customer#000000001", False), (2, "character", "customer#000000002", False), (5, "faction", "supplier#000000003", False), (7, "character", "nobody known", False)]
-    mentions = spark.createDataFrame(rows, "mention_id int, type string, form string, linked boolean")
-    canon = bind(spark, sf, "entities").select("entity_id", "type", F.col("canonical_name").alias("form"), F.lit(True).alias("canonical"))
-    return K.resolve(mentions, canon).select("mention_id", "entity_id")
+    """All aliases as mentions of characters, every third with a claimed link."""
+    none = F.array().cast("array<string>")
+    mentions = bind(spark, sf, "aliases").select(
+        F.col("alias_id").alias("mention_id"), F.lit("character").alias("type"), F.col("surface").alias("name"), none.alias("aliases"), (F.col("alias_id") % 3 == 0).alias("linked")
+    )
+    roster = bind(spark, sf, "entities").select("entity_id", "type", F.col("canonical_name").alias("name"), none.alias("aliases"))
+    return R.resolve(mentions, roster).select("mention_id", "entity_id", "method", "warn")
 
 
 @query("er_resolve_chapter")
 def er_resolve_chapter(spark, sf):
-    """In order, with a growing roster: sequential inside a book, parallel over books."""
-
-    def grow(pdf):
-        roster, out = {}, []
-        for row in pdf.sort_values(["turn"]).itertuples():
-            words = (row.text or "").lower().split()
-            form = words[0] if words else ""
-            out.append((row.conv_id, row.turn, form, roster.get(form, -1)))
-            roster.setdefault(form, len(roster))
-        return type(pdf)(out, columns=["conv_id", "turn", "form", "known_as"])
-
-    c = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "text")
-    return c.groupBy("conv_id").applyInPandas(grow, "conv_id long, turn long, form string, known_as long")
+    """The first capitalised name of each turn, in order, with a growing roster; all conversations at once."""
+    c = spark.read.parquet(f"{sf}/conversations.parquet")
+    name = F.regexp_extract("text", r"\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?", 0)
+    rows = c.select("conv_id", "turn", name.alias("name"), (F.col("role") == "assistant").alias("linked")).where("name <> ''")
+    step = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    none = F.array().cast("array<string>")
+    mentions = rows.select("conv_id", F.col("turn").alias("mention_id"), F.lit("character").alias("type"), "name", none.alias("aliases"), "linked", step.alias("step"))
+    empty = mentions.select("conv_id", F.lit("").alias("entity_id"), "type", "name", "aliases").limit(0)
+    out = R.resolve_in_order(settled(mentions), empty, book="conv_id", order="step")
+    return out.select("conv_id", F.col("mention_id").alias("turn"), "entity_id", "method", "warn")
 
 
 @query("er_coalesce_honorific", """, n AS (SELECT * FROM (VALUES ('e1', 'Father Zossima'), ('e2', 'Zossima'), ('e3', 'Brother Karamazov'), ('e4', 'Karamazov'), ('e5', 'Karamazov'), ('e6', 'Doctor Zossima')) v(id, name)),

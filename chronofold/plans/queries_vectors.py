@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from chronofold.operators import fulltext as T
 from chronofold.operators import vectors as V
 from chronofold.operators.view import visible
 from chronofold.plans.queries_views import BOOK, book
@@ -72,51 +73,74 @@ def topk_ask_sources(spark, sf):
     return first.select(F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("n"), "doc_id", F.left("t", F.lit(200)).alias("t"))
 
 
-def term_scores(spark, sf, must: list[str], any_of: list[str], none: list[str]):
-    """Web-style search over word arrays: all of ``must``, one of ``any_of`` if given, none of ``none``; the
-    order is hits per word, then the identifier."""
-    w = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
-    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", w.alias("w"))
-    for m in must:
-        rows = rows.where(F.array_contains("w", m))
-    if any_of:
-        rows = rows.where(F.arrays_overlap("w", F.array(*[F.lit(a) for a in any_of])))
-    for n in none:
-        rows = rows.where(~F.array_contains("w", n))
-    terms = F.array(*[F.lit(x) for x in must + any_of])
-    hits = F.size(F.filter("w", lambda x: F.array_contains(terms, x)))
-    return rows.withColumn("hits", hits.cast("long")).withColumn("n", F.size("w").cast("long"))
+def fts_sql(where: str, terms: tuple[str, str]) -> str:
+    """SQL of a search for two words: covers end at hits at which the older of the two last places moves on."""
+    x, y = terms
+    return rf""", w AS (SELECT {where}), h AS (SELECT id, i, w[i] AS x, w FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM w) z WHERE w[i] IN ('{x}', '{y}')),
+l AS (SELECT id, i, row_number() OVER o AS k, max(i) FILTER (WHERE x = '{x}') OVER o AS a, max(i) FILTER (WHERE x = '{y}') OVER o AS b FROM h WINDOW o AS (PARTITION BY id ORDER BY i)),
+s AS (SELECT l.*, least(l.a, l.b) AS st FROM l WHERE l.a IS NOT NULL AND l.b IS NOT NULL), c AS (SELECT *, lag(st) OVER (PARTITION BY id ORDER BY i) AS prev FROM s),
+f AS (SELECT c.id, sum(0.1 / (1 + (c.i - c.st) - (c.k - l.k))) AS score FROM c JOIN l ON l.id = c.id AND l.i = c.st WHERE c.prev IS NULL OR c.st > c.prev GROUP BY 1) """
 
 
-FTS = r", w AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents), f AS (SELECT doc_id, len(list_filter(w, lambda x: x IN ('the', 'tion', 'heing'))) AS hits, len(w) AS n FROM w WHERE list_contains(w, 'the') AND (list_contains(w, 'tion') OR list_contains(w, 'heing')) AND NOT list_contains(w, 'der')) "
+TOKENS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{M}}\p{{N}}]+') AS w"
+DOCS = fts_sql("doc_id AS id, " + TOKENS.format("text") + " FROM documents", ("the", "tion"))
+MICRO = "CAST(round(score * 1000000) AS BIGINT) AS micro"
 
 
-@query("topk_fts", FTS + "SELECT doc_id, hits FROM f ORDER BY hits * 1000000 // n DESC, doc_id LIMIT 20")
-@query("str_websearch", FTS + "SELECT doc_id, hits FROM f ORDER BY hits * 1000000 // n DESC, doc_id LIMIT 20")
-@query("str_rank_cd", FTS + "SELECT doc_id, hits FROM f ORDER BY hits * 1000000 // n DESC, doc_id LIMIT 20")
+@query("str_rank_cd", DOCS + "SELECT id AS doc_id, " + MICRO + " FROM f")
+def str_rank_cd(spark, sf):
+    """Cover density of two wanted words, of every document that has both."""
+    groups = T.parse_web("the tion")
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", T.text_words(F.col("text")).alias("w")).where(T.matches(F.col("w"), groups))
+    return rows.select("doc_id", F.round(T.rank_cover_density(F.col("w"), groups) * 1_000_000).cast("long").alias("micro"))
+
+
+WEB = '"of the" or die -edly'
+
+
+@query("str_websearch", r", w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents) SELECT doc_id FROM w WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' of the ') OR (list_contains(w, 'die') AND NOT list_contains(w, 'edly'))")
+def str_websearch(spark, sf):
+    """A phrase, or a word without another one."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", T.text_words(F.col("text")).alias("w"))
+    return rows.where(T.matches(F.col("w"), T.parse_web(WEB))).select("doc_id")
+
+
+CHAPTERS = fts_sql("doc_id AS id, " + TOKENS.format("text") + " FROM chapters WHERE book_id = 'src0' AND revealed_at <= 5 AND retracted_at IS NULL", ("the", "tion"))
+
+
+@query("topk_fts", CHAPTERS + "SELECT id AS doc_id, " + MICRO + " FROM f ORDER BY score DESC, id LIMIT 8")
 def topk_fts(spark, sf):
-    rows = term_scores(spark, sf, ["the"], ["tion", "heing"], ["der"])
-    return rows.orderBy(F.desc(F.expr("hits * 1000000 div n")), "doc_id").limit(20).select("doc_id", "hits")
+    """Search of one book's completed chapters, up to the bookmark."""
+    found = T.search(book(spark, sf, BM).chapters(), "the tion", key="doc_id", limit=8)
+    return found.select("doc_id", F.round(F.col("score") * 1_000_000).cast("long").alias("micro"))
+
+
+HEAD = """, t AS (SELECT id, w.w, list_filter(range(1, len(w.w) + 1), lambda i: w.w[i] IN ('the', 'tion')) AS h FROM f JOIN w USING (id) ORDER BY score DESC, id LIMIT {0}),
+p AS (SELECT *, list_transform(h, lambda p: len(list_filter(h, lambda q: q >= p AND q < p + 36))) AS n FROM t), g AS (SELECT *, h[list_position(n, list_max(n))] AS s FROM p)
+SELECT id AS doc_id, array_to_string(list_transform(w[s : s + 35], lambda x: CASE WHEN x IN ('the', 'tion') THEN '[' || x || ']' ELSE x END), ' ') AS headline FROM g"""
+
 
+@query("str_headline", DOCS + HEAD.format(20))
+def str_headline(spark, sf):
+    return T.search(spark.read.parquet(f"{sf}/documents.parquet"), "the tion", key="doc_id", limit=20).select("doc_id", "headline")
 
-@query("topk_fts_ask", FTS + ", t AS (SELECT f.doc_id, w, list_position(w, 'tion') AS p FROM f JOIN w ON w.doc_id = f.doc_id ORDER BY hits * 1000000 // n DESC, f.doc_id LIMIT 12) SELECT doc_id, array_to_string(w[greatest(p - 6, 1) : p + 6], ' ') AS headline FROM t WHERE p IS NOT NULL")
-@query("str_headline", FTS + ", t AS (SELECT f.doc_id, w, list_position(w, 'tion') AS p FROM f JOIN w ON w.doc_id = f.doc_id ORDER BY hits * 1000000 // n DESC, f.doc_id LIMIT 12) SELECT doc_id, array_to_string(w[greatest(p - 6, 1) : p + 6], ' ') AS headline FROM t WHERE p IS NOT NULL")
+
+@query("topk_fts_ask", CHAPTERS + HEAD.format(6))
 def topk_fts_ask(spark, sf):
-    """The best twelve with the words around the first hit."""
-    rows = term_scores(spark, sf, ["the"], ["tion", "heing"], ["der"]).orderBy(F.desc(F.expr("hits * 1000000 div n")), "doc_id").limit(12)
-    rows = rows.withColumn("p", F.array_position("w", "tion").cast("int")).where("p > 0")
-    start = F.greatest(F.col("p") - 6, F.lit(1))
-    return rows.select("doc_id", F.array_join(F.slice("w", start, F.col("p") + 6 - start + 1), " ").alias("headline"))
+    """The passages an answer may cite: the best six of the completed chapters, with their headlines."""
+    return T.search(book(spark, sf, BM).chapters(), "the tion", key="doc_id", limit=6).select("doc_id", "headline")
+
+
+EMBED = ", m AS (SELECT vec_id AS mention, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0), p AS (SELECT mention, vec_id, " + DOT.format("embedding", "qv") + " / (sqrt(" + DOT.format("embedding", "embedding") + ") * sqrt(" + DOT.format("qv", "qv") + ")) AS score FROM m JOIN embeddings e ON vec_id <> mention), r AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, vec_id) AS n, lead(score) OVER (PARTITION BY mention ORDER BY score DESC, vec_id) AS second FROM p WHERE isfinite(score)) "
 
 
-@query("topk_embed_match")
+@query("topk_embed_match", EMBED + "SELECT mention, vec_id AS candidate, score >= 0.82 AND score - coalesce(second, 0) >= 0.05 AS sure FROM r WHERE n = 1")
 def topk_embed_match(spark, sf):
-    """Blocks of queries against all vectors: a match needs 0.82 and a margin of 0.05."""
+    """A stated set of queries against all vectors: the nearest, and whether it is near enough (0.82) and clear
+    of the second (0.05)."""
     c = spark.read.parquet(f"{sf}/embeddings.parquet")
     asked = c.where("vec_id % 100 = 0").select(F.col("vec_id").alias("mention"), F.col("embedding").alias("qv"))
-    pairs = c.join(F.broadcast(asked), F.col("vec_id") != F.col("mention"))  # a stated query set against all rows
-    scored = pairs.select("mention", F.col("vec_id").alias("candidate"), V.cosine(F.col("embedding"), F.col("qv")).alias("score")).where("score is not null")
-    return V.best_match(scored, "mention").select("mention", "candidate")
+    return V.nearest_of_blocks(c.select(F.col("vec_id").alias("candidate"), "embedding"), asked).select("mention", "candidate", V.sure(F.col("score"), F.col("second")).alias("sure"))
 
 
 @query("math_cosine", ", a AS (SELECT chunk_id, vec FROM chunks), p AS (SELECT x.chunk_id, x.vec AS v, y.vec AS w FROM a x JOIN a y ON y.chunk_id = x.chunk_id + 1) SELECT chunk_id, CAST(round(1000000 * " + DOT.format("v", "w") + " / (sqrt(" + DOT.format("v", "v") + ") * sqrt(" + DOT.format("w", "w") + "))) AS BIGINT) AS micro FROM p")
