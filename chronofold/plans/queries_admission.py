@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from chronofold.operators import jobs as J
 from chronofold.operators import ledger as L
 from chronofold.plans.registry import query
 from chronofold.plans.standins import bind
@@ -152,10 +153,26 @@ def dml_mark_create(spark, sf):
     return r.join(live, "event_id", "left").select("event_id", outcome.alias("outcome"))
 
 
-@query("dml_admission", "SELECT event_id, CASE WHEN usd > 90 THEN 'size' WHEN k > 80 THEN 'books' WHEN book_id % 7 = 0 THEN 'jobs' ELSE 'admitted' END AS code FROM reports")
+ADMIT = """, held AS (SELECT o_custkey AS owner_id, count(*) FILTER (WHERE o_orderstatus <> 'F') AS books, coalesce(CAST(sum(q) FILTER (WHERE o_orderstatus <> 'F') AS BIGINT), 0) AS bytes, count(*) FILTER (WHERE o_orderstatus = 'P') AS jobs
+ FROM orders LEFT JOIN (SELECT l_orderkey, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT o_orderkey AS request_id, CASE WHEN o_totalprice > 400000 THEN 'upload_size_exceeded' WHEN books >= 4 + o_custkey % 9 THEN 'book_quota_exceeded' WHEN bytes + CAST(o_totalprice / 1000 AS BIGINT) > 900 THEN 'library_storage_exceeded' WHEN jobs >= 1 + o_custkey % 3 THEN 'active_job_limit_exceeded' ELSE 'admitted' END AS code
+FROM orders JOIN held ON owner_id = o_custkey"""
+
+
+@query("dml_admission", ADMIT.replace("o_totalprice > 400000", "CAST(o_totalprice / 1000 AS BIGINT) > 400"))
 def dml_admission(spark, sf):
-    code = L.first_violation((F.col("usd") <= 90, "size"), (F.col("k") <= 80, "books"), (F.col("book_id") % 7 != 0, "jobs"))
-    return reports(spark, sf).select("event_id", code.alias("code"))
+    """Orders as uploads, against the books, bytes and active jobs that their owners hold."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    deleted = F.when(F.col("o_orderstatus") == "F", F.lit("2024-01-01").cast("timestamp")).alias("deleted_at")
+    books = o.select(F.col("o_custkey").alias("owner_id"), "o_orderkey", deleted)
+    size = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").cast("long").alias("byte_size"))
+    jobs = o.select(F.col("o_custkey").alias("owner_id"), F.when(F.col("o_orderstatus") == "P", "running").otherwise("succeeded").alias("state"))
+    key = F.col("c_custkey")
+    limits = spark.read.parquet(f"{sf}/customer.parquet").select(
+        key.alias("owner_id"), F.lit(400).alias("max_upload"), F.lit(900).alias("max_library"), (4 + key % 9).alias("max_books"), (1 + key % 3).alias("max_jobs")
+    )
+    requests = o.select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("owner_id"), F.round(F.col("o_totalprice") / 1000).cast("long").alias("byte_size"))
+    return J.admission(requests, limits, books, books.join(size, "o_orderkey"), jobs)
 
 
 @query("dml_spend_admission", R + ", p AS (SELECT event_id, book_id, sum(micro) OVER (PARTITION BY book_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS projected FROM l) SELECT event_id, book_id % 5 = 0 OR projected <= 1500000000 AS admitted FROM p")
@@ -164,10 +181,44 @@ def dml_spend_admission(spark, sf):
     return L.admitted_in_order(reports(spark, sf), "book_id", ["ts", "event_id"], "micro", ceiling).select("event_id", "admitted")
 
 
-@query("dml_job_fail", "SELECT event_id, CASE WHEN kind = 'purchase' THEN 'cancelled' WHEN k % 2 = 0 AND k % 5 < 3 THEN 'retry' ELSE 'failed' END AS state FROM reports")
+# Reports as jobs: the lease runs k - 50 hours from the report, and is judged at one moment.
+JOBS = """, j AS (SELECT event_id AS job_id, CASE WHEN kind = 'view' THEN 'running' WHEN kind = 'click' THEN 'leased' ELSE 'pending' END AS state, event_id % 5 AS token, k % 5 AS attempt_count, 3 AS max_attempts, usd > 80 AS cancel_requested,
+ ts + to_hours(CAST(k - 50 AS INT)) > TIMESTAMP '2024-01-15 00:00:00' AS held FROM reports) """
+NOW = "2024-01-15 00:00:00"
+
+
+def jobs(spark, sf):
+    state = F.when(F.col("kind") == "view", "running").when(F.col("kind") == "click", "leased").otherwise("pending")
+    until = F.timestamp_add("HOUR", (F.col("k") - 50).cast("int"), F.col("ts").cast("timestamp"))
+    return reports(spark, sf).select(
+        F.col("event_id").alias("job_id"), state.alias("state"), (F.col("event_id") % 5).alias("token"), (F.col("k") % 5).alias("attempt_count"),
+        F.lit(3).alias("max_attempts"), (F.col("usd") > 80).alias("cancel_requested"), until.alias("lease_until"),
+    )
+
+
+@query("dml_job_fail", JOBS + """SELECT job_id, CASE WHEN state = 'pending' OR token = 4 OR attempt_count = 4 OR NOT held THEN 'lost' WHEN cancel_requested THEN 'cancelled' WHEN job_id % 2 = 0 AND attempt_count < 3 THEN 'pending' ELSE 'failed' END AS state FROM j""")
 def dml_job_fail(spark, sf):
-    state = F.when(F.col("kind") == "purchase", "cancelled").when((F.col("k") % 2 == 0) & (F.col("k") % 5 < 3), "retry").otherwise("failed")
-    return reports(spark, sf).select("event_id", state.alias("state"))
+    """Failed attempts: a claim with an old token or attempt, or past its lease, has lost its job."""
+    j = jobs(spark, sf)
+    token = F.when(F.col("token") == 4, -1).otherwise(F.col("token"))
+    attempt = F.when(F.col("attempt_count") == 4, 3).otherwise(F.col("attempt_count"))
+    claims = j.select("job_id", token.alias("claim_token"), attempt.alias("claim_attempt"), (F.col("job_id") % 2 == 0).alias("retryable"), F.lit(30).alias("retry_seconds"))
+    return J.fail(claims, j, F.lit(NOW).cast("timestamp")).select("job_id", "state")
+
+
+@query("st_lease", JOBS + "SELECT job_id, CASE WHEN cancel_requested THEN 'cancelled' WHEN attempt_count < max_attempts THEN 'pending' ELSE 'failed' END AS state FROM j WHERE state <> 'pending' AND NOT held")
+def st_lease(spark, sf):
+    """Leases that have run out."""
+    return J.expire(jobs(spark, sf), F.lit(NOW).cast("timestamp"))
+
+
+@query("job_commit", JOBS + """SELECT job_id, CASE WHEN state = 'pending' OR token = 4 OR NOT held THEN 'lost' WHEN job_id % 3 = 0 THEN 'no-op' ELSE 'append' END AS outcome FROM j""")
+def job_commit(spark, sf):
+    """A chapter's commit by its lease holder only; one that a receipt shows already is nothing."""
+    j = jobs(spark, sf).withColumn("claim_token", F.when(F.col("token") == 4, -1).otherwise(F.col("token"))).withColumn("claim_attempt", F.col("attempt_count"))
+    done = j.where("job_id % 3 = 0").select("job_id", F.lit(True).alias("done"))
+    outcome = F.when(~J.holds_lease(F.lit(NOW).cast("timestamp")), "lost").when(F.col("done"), "no-op").otherwise("append")
+    return j.join(done, "job_id", "left").select("job_id", outcome.alias("outcome"))
 
 
 @query("dml_limits_update", "SELECT event_id, coalesce(CASE WHEN k % 3 = 0 THEN k END, 10) AS max_books, coalesce(CASE WHEN k % 4 = 0 THEN k END, 20) AS max_jobs FROM reports")

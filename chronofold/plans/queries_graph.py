@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronofold.functions import text as X
+from chronofold.operators import corrections as C
 from chronofold.operators import facts as K
 from chronofold.operators import resolve as R
 from chronofold.plans.queries_views import VALID, VIS, at
@@ -78,13 +79,49 @@ def corrected(spark, sf):
 
 
 @query("cor_replace", COR + "SELECT entity_id, canonical_name, revealed_at, invalid_at FROM ce")
-@query("cor_split", COR + "SELECT entity_id, canonical_name, revealed_at, invalid_at FROM ce")
-@query("dml_replace_hosted", COR + "SELECT entity_id, canonical_name, revealed_at, invalid_at FROM ce")
 def cor_replace(spark, sf):
     e = corrected(spark, sf)[0]
     return e.where(F.col("entity_id").isin("c1", "c2", "c3", "c4", "c5", "n1", "n4")).select("entity_id", "canonical_name", "revealed_at", "invalid_at")
 
 
+LIVE = "retracted_at IS NULL AND revealed_at < 60 AND (invalid_at IS NULL OR invalid_at > 60)"
+
+
+@query("cor_split", f""", d AS (SELECT 'alias' AS kind, alias_id AS id, surface AS other FROM aliases WHERE entity_id = 'c2' AND retracted_at IS NULL AND revealed_at < 60
+ UNION ALL SELECT 'edge', edge_id, CASE WHEN src_entity = 'c2' THEN dst_entity ELSE src_entity END FROM edges WHERE (src_entity = 'c2' OR dst_entity = 'c2') AND {LIVE}
+ UNION ALL SELECT DISTINCT 'event', event_id, NULL FROM participants WHERE entity_id = 'c2' AND revealed_at < 60)
+SELECT kind, CAST(id AS VARCHAR) AS id, 'part' || CAST(id % 2 AS VARCHAR) AS owner, other FROM d UNION ALL SELECT 'entity', 'part' || n, 'part' || n, 'Part ' || n FROM (VALUES ('0'), ('1')) v(n)""")
+def cor_split(spark, sf):
+    """One identity into two, everything that hangs on it dealt out by its number."""
+    parts = spark.createDataFrame([("part0", "Part 0", "character"), ("part1", "Part 1", "character")], "part_id string, canonical_name string, type string")
+    aliases, edges, people = bind(spark, sf, "aliases"), bind(spark, sf, "edges"), bind(spark, sf, "participants")
+    dealt = lambda df, key: df.select(F.col(key).alias("id"), F.concat(F.lit("part"), (F.col(key) % 2).cast("string")).alias("part_id")).distinct()
+    mine = edges.where(C.live(60) & ((F.col("src_entity") == "c2") | (F.col("dst_entity") == "c2")))
+    names = aliases.where("entity_id = 'c2' and retracted_at is null and revealed_at < 60")
+    events = people.where("entity_id = 'c2' and revealed_at < 60")
+    return C.split(
+        bind(spark, sf, "entities"), aliases, edges, people, entity_id="c2", at=60, parts=parts,
+        alias_map=dealt(names, "alias_id"), edge_map=dealt(mine, "edge_id"), event_map=dealt(events, "event_id"),
+    )
+
+
+@query("dml_replace_hosted", f""", q AS (SELECT c_custkey AS request_id, 'c' || c_custkey AS entity_id, CASE c_custkey % 4 WHEN 0 THEN ' ' || upper(c_name) WHEN 1 THEN 'Customer#' || lpad(CAST(c_custkey + 1 AS VARCHAR), 9, '0') WHEN 2 THEN '  ' ELSE 'New ' || c_name END AS name FROM customer),
+n AS (SELECT entity_id, type, lower(canonical_name) AS own FROM entities WHERE {LIVE}), r AS (SELECT DISTINCT hero AS entity_id FROM events_)
+SELECT request_id, CASE WHEN trim(name) = '' THEN 'empty' WHEN n.own IS NULL THEN 'not-live' WHEN n.own = lower(trim(name)) THEN 'same-name' WHEN EXISTS (SELECT 1 FROM n x WHERE x.type = n.type AND x.own = lower(trim(name))) THEN 'collision' WHEN r.entity_id IS NULL THEN 'no-receipt' ELSE 'replaced' END AS outcome
+FROM q LEFT JOIN n ON n.entity_id = q.entity_id LEFT JOIN r ON r.entity_id = q.entity_id""")
+def dml_replace_hosted(spark, sf):
+    """Asked-for names against what is live: the same name, another's name, or no committed chapter are refused."""
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    key = F.col("c_custkey")
+    name = (
+        F.when(key % 4 == 0, F.concat(F.lit(" "), F.upper("c_name"))).when(key % 4 == 1, F.concat(F.lit("Customer#"), F.lpad((key + 1).cast("string"), 9, "0")))
+        .when(key % 4 == 2, "  ").otherwise(F.concat(F.lit("New "), "c_name"))
+    )
+    requests = c.select(key.alias("request_id"), F.concat(F.lit("c"), key.cast("string")).alias("entity_id"), name.alias("name"))
+    receipts = bind(spark, sf, "events_").select(F.col("hero").alias("entity_id"))
+    return C.replacement_outcomes(requests, bind(spark, sf, "entities"), receipts, 60)
+
+
 @query("cor_merge", COR + "SELECT edge_id, src_entity, dst_entity, rel_type, label FROM me")
 def cor_merge(spark, sf):
     return corrected(spark, sf)[1].where("edge_id < 0").select("edge_id", "src_entity", "dst_entity", "rel_type", "label")
@@ -142,8 +179,6 @@ def bt_reextract(spark, sf):
 
 @query("bt_append_once", """SELECT c.chapter_key, CASE WHEN r.chapter_key IS NULL THEN 'append' WHEN r.content_hash = c.content_hash THEN 'no-op' ELSE 'changed' END AS outcome
  FROM chapters c LEFT JOIN receipts r ON r.book_id = c.book_id AND r.chapter_key = c.chapter_key""")
-@query("job_commit", """SELECT c.chapter_key, CASE WHEN r.chapter_key IS NULL THEN 'append' WHEN r.content_hash = c.content_hash THEN 'no-op' ELSE 'changed' END AS outcome
- FROM chapters c LEFT JOIN receipts r ON r.book_id = c.book_id AND r.chapter_key = c.chapter_key""")
 def bt_append_once(spark, sf):
     """A chapter is written once; the same content again is nothing, other content is an error."""
     r = bind(spark, sf, "receipts").select("book_id", "chapter_key", F.col("content_hash").alias("r_hash"))

@@ -231,12 +231,6 @@ def st_outbox(spark, sf):
     return kept.select("event_id", place.alias("place")).where("place <= 1000")
 
 
-@query("st_lease", "SELECT event_id, CASE WHEN usd > 80 THEN 'cancelled' WHEN k % 5 >= 3 THEN 'failed' ELSE 'queued' END AS state FROM reports WHERE ts < TIMESTAMP '2024-01-15 00:00:00'")
-def st_lease(spark, sf):
-    state = F.when(F.col("usd") > 80, "cancelled").when(F.col("k") % 5 >= 3, "failed").otherwise("queued")
-    return bind(spark, sf, "reports").where(F.col("ts") < F.lit("2024-01-15 00:00:00").cast("timestamp")).select("event_id", state.alias("state"))
-
-
 @query("set_marks_union", "SELECT event_id, 'h' AS kind, usd AS amount, CAST(NULL AS BIGINT) AS k FROM reports WHERE kind = 'view' UNION ALL SELECT event_id, 'a', NULL, k FROM reports WHERE kind = 'click' UNION ALL SELECT event_id, 'b', NULL, NULL FROM reports WHERE kind = 'purchase'")
 def set_marks_union(spark, sf):
     r = bind(spark, sf, "reports")
