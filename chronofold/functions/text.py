@@ -98,10 +98,14 @@ def clean(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(body, r"\n\s*\n\s*\n+", "\n\n"), r"^\s+|\s+$", "")
 
 
+# Fixed patterns: numbers and initials whose point ends no sentence.
+NUMBER, INITIAL = r"\bNo\.(?=\s*\d)", r"\b([A-ZÀ-Ý])\.(?=\s+[A-ZÀ-Ý])"
+
+
 def sentences(text: Column) -> Column:
     safe = F.regexp_replace(F.coalesce(text, F.lit("")), ABBREVIATION, "$1")
-    safe = F.regexp_replace(safe, r"\bNo\.(?=\s*\d)", "No")
-    safe = F.regexp_replace(safe, r"\b([A-ZÀ-Ý])\.(?=\s+[A-ZÀ-Ý])", "$1")
+    safe = F.regexp_replace(safe, NUMBER, "No")
+    safe = F.regexp_replace(safe, INITIAL, "$1")
     found = F.transform(F.regexp_extract_all(safe, F.lit(SENTENCE), F.lit(0)), F.trim)
     return F.filter(found, lambda s: s != "")
 
@@ -201,9 +205,15 @@ def split_bytes(text: str, limit: int) -> list[str]:
     return [*out, rest] if rest or not out else out
 
 
-@F.udf(T.ArrayType(T.StringType()))
-def split_bytes_udf(text: str, limit: int) -> list[str]:
-    return split_bytes(text or "", limit)
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def split_bytes_udf(texts: pd.Series, limits: pd.Series) -> pd.Series:
+    return pd.Series([split_bytes(t or "", int(n)) for t, n in zip(texts, limits)], dtype=object)
+
+
+def epub_types(markup: Column) -> Column:
+    """The distinct type tokens of a document's elements, lower-cased."""
+    found = F.regexp_extract_all(markup, F.lit(r'(?i)epub:type\s*=\s*"([^"]*)"'), F.lit(1))
+    return F.array_distinct(F.filter(F.split(F.lower(F.array_join(found, " ")), r"\s+"), lambda t: t != ""))
 
 
 # Fixed patterns: what marks a chapter, front matter, back matter and dividers.
@@ -222,6 +232,7 @@ def classify(name: Column, text: Column, label: Column, epub_types: Column | Non
     types = epub_types if epub_types is not None else F.array().cast("array<string>")
     has = lambda *names: F.arrays_overlap(types, F.array(*[F.lit(n) for n in names]))
     chapter = label.rlike(CHAPTER)
+    # Type names of front, back and body matter.
     return (
         F.when(has("frontmatter"), "front")
         .when(has("backmatter"), "back")

@@ -43,17 +43,27 @@ def src_toc(spark, sf):
     return E.read(books(spark, sf)).select("path", "href", "label")
 
 
-@query("src_drm_check", "SELECT 'bad' AS path, 'unsafe name' AS error UNION ALL SELECT 'cut', 'File is not a zip file'")
+DRM = """SELECT DISTINCT 'book' || CAST(conv_id AS VARCHAR) AS path, CASE conv_id % 6 WHEN 2 THEN 'protected' WHEN 3 THEN 'protected' WHEN 4 THEN 'unsafe name' WHEN 5 THEN 'no end record' END AS error FROM conversations"""
+
+
+@query("src_drm_check", DRM)
 def src_drm_check(spark, sf):
-    """Broken and unsafe books become error rows."""
-    import io
-    import zipfile
-
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as z:
-        z.writestr("../evil", "x")
-    files = spark.createDataFrame([("bad", bytearray(buffer.getvalue())), ("cut", bytearray(b"PK no zip"))], "path string, content binary")
-    return E.read(files).select("path", "error")
+    """Each conversation as a book: plain, with an obfuscated font, with an encrypted chapter, with a font that
+    is not there, with an unsafe name, cut off. Refused ones become error rows."""
+    listed = '<encryption><EncryptedData><EncryptionMethod Algorithm="{0}"/><CipherData><CipherReference URI="{1}"/></CipherData></EncryptedData></encryption>'
+
+    def bind_one(pdf: pd.DataFrame) -> pd.DataFrame:
+        conv = int(pdf["conv_id"].iloc[0])
+        font = {"OPS/a.otf": "x", "META-INF/encryption.xml": listed.format(E.FONT_ALGORITHMS[0], "OPS/a.otf")}
+        more = {
+            1: font, 2: {"META-INF/encryption.xml": listed.format("http://www.w3.org/2001/04/xmlenc#aes128-cbc", "OPS/c.xhtml")},
+            3: {"META-INF/Encryption.xml": listed.format(E.FONT_ALGORITHMS[1], "OPS/b.otf")}, 4: {"../evil": "x"},
+        }.get(conv % 6)
+        book = E.write([("c.xhtml", "One", "One", pdf["text"].iloc[0])], more=more)
+        return pd.DataFrame({"path": [f"book{conv}"], "content": [book[:-30] if conv % 6 == 5 else book]})
+
+    books_ = spark.read.parquet(f"{sf}/conversations.parquet").groupBy("conv_id").applyInPandas(bind_one, "path string, content binary")
+    return E.read(books_).select("path", "error")
 
 
 HASH = "SELECT book_id, substring(sha256(string_agg(CAST(revealed_at AS VARCHAR) || ':' || chapter_key || ':' || CAST(char_len AS VARCHAR), '|' ORDER BY revealed_at)), 1, 16) AS hash FROM chapters GROUP BY 1"

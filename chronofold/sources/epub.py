@@ -1,7 +1,8 @@
 """EPUB books as a source: bounded unzipping, package, table of contents and text.
 
-``read`` maps binary files to one row per spine document. Every member is checked before
-it is opened; a book that breaks a bound is an error row, not a failed job.
+``read`` maps binary files to one row per spine document. The directory's size is checked
+before it is parsed, and every member before it is opened; XML with entity declarations is
+refused. A book that breaks a bound, or cannot be read, is an error row, not a failed job.
 """
 
 from __future__ import annotations
@@ -9,7 +10,10 @@ from __future__ import annotations
 import io
 import posixpath
 import re
+import struct
+import unicodedata
 import zipfile
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -22,6 +26,8 @@ MAX_MEMBERS = 4_096
 MAX_MEMBER = 32 << 20
 MAX_TOTAL = 512 << 20
 MAX_RATIO, RATIO_FROM = 200, 1 << 20
+MAX_DIRECTORY = 8 << 20
+MIMETYPE = b"application/epub+zip"
 # The two font obfuscations that are no protection, and what they may cover.
 FONT_ALGORITHMS = ("http://www.idpf.org/2008/embedding", "http://ns.adobe.com/pdf/enc#RC")
 FONT_SUFFIXES = (".ttf", ".otf", ".woff", ".woff2")
@@ -32,33 +38,72 @@ class BookError(ValueError):
     pass
 
 
-def check_members(book: zipfile.ZipFile) -> None:
+def check_directory(content: bytes) -> int:
+    """The number of members that the file's end record names; refuses a directory that is too large, in several
+    parts or not right before the end record."""
+    tail = content[-(22 + 0xFFFF) :]
+    at = tail.rfind(b"PK\5\6")
+    while at >= 0:
+        if at + 22 <= len(tail):
+            disk, first, here, members, size, start, comment = struct.unpack_from("<4H2IH", tail, at + 4)
+            if at + 22 + comment == len(tail):
+                break
+        at = tail.rfind(b"PK\5\6", 0, at)
+    if at < 0:
+        raise BookError("no end record")
+    if disk or first or here != members or members == 0xFFFF or 0xFFFFFFFF in (size, start):
+        raise BookError("several parts or 64-bit records")
+    if members > MAX_MEMBERS or size > MAX_DIRECTORY:
+        raise BookError("too large")
+    if start + size != len(content) - len(tail) + at:
+        raise BookError("ambiguous directory")
+    return members
+
+
+def parse_xml(raw: bytes):
+    if b"<!ENTITY" in raw.replace(b"\0", b"").upper():
+        raise BookError("entity declarations")
+    return ElementTree.fromstring(raw)
+
+
+def check_members(book: zipfile.ZipFile, members: int) -> None:
     infos = book.infolist()
-    if len(infos) > MAX_MEMBERS or sum(i.file_size for i in infos) > MAX_TOTAL:
+    if len(infos) != members:
+        raise BookError("ambiguous directory")
+    if sum(i.file_size for i in infos) > MAX_TOTAL:
         raise BookError("too large")
     seen = set()
     for i in infos:
         name = i.filename
         if name.startswith(("/", "\\")) or ".." in name.split("/") or "\\" in name or "\0" in name:
             raise BookError("unsafe name")
-        if name.casefold() in seen:
+        key = unicodedata.normalize("NFC", name.rstrip("/")).casefold()
+        if key in seen:
             raise BookError("names collide")
-        seen.add(name.casefold())
+        seen.add(key)
+        if i.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+            raise BookError("unsupported compression")
         if i.flag_bits & 1 or (i.external_attr >> 16) & 0o170000 == 0o120000:
             raise BookError("encrypted or linked member")
         if i.file_size > MAX_MEMBER or (i.file_size >= RATIO_FROM and i.file_size > MAX_RATIO * max(1, i.compress_size)):
             raise BookError("member too large")
+    if "mimetype" in book.namelist() and book.read("mimetype") != MIMETYPE:
+        raise BookError("wrong mimetype")
 
 
 def check_protection(book: zipfile.ZipFile) -> None:
-    """Only obfuscated fonts may be listed as encrypted."""
-    if "META-INF/encryption.xml" not in book.namelist():
-        return
-    for data in _elements(ElementTree.fromstring(book.read("META-INF/encryption.xml")), "EncryptedData"):
-        method = [e.get("Algorithm") for e in _elements(data, "EncryptionMethod")]
-        target = [e.get("URI", "") for e in _elements(data, "CipherReference")]
-        if not all(m in FONT_ALGORITHMS for m in method) or not all(t.lower().endswith(FONT_SUFFIXES) for t in target):
-            raise BookError("protected")
+    """Only obfuscated fonts of the book may be listed as encrypted, each by one known algorithm."""
+    names = book.namelist()
+    for listed in (n for n in names if n.casefold() == "meta-inf/encryption.xml"):
+        entries = _elements(parse_xml(book.read(listed)), "EncryptedData")
+        if not entries:
+            raise BookError("malformed encryption list")
+        for data in entries:
+            method = [e.get("Algorithm") for e in _elements(data, "EncryptionMethod")]
+            target = [posixpath.normpath(e.get("URI", "")) for e in _elements(data, "CipherReference")]
+            fonts = target and all(t in names and t.lower().endswith(FONT_SUFFIXES) for t in target)
+            if len(method) != 1 or method[0] not in FONT_ALGORITHMS or not fonts:
+                raise BookError("protected")
 
 
 def _elements(root, name: str):
@@ -98,11 +143,11 @@ def html_text(markup: str) -> tuple[str, str]:
 
 def package(book: zipfile.ZipFile) -> dict:
     """Spine, metadata and contents of the package document."""
-    roots = _elements(ElementTree.fromstring(book.read("META-INF/container.xml")), "rootfile")
+    roots = _elements(parse_xml(book.read("META-INF/container.xml")), "rootfile")
     if not roots:
         raise BookError("no package")
     path = roots[0].get("full-path", "")
-    opf = ElementTree.fromstring(book.read(path))
+    opf = parse_xml(book.read(path))
     base = posixpath.dirname(path)
     full = lambda href: posixpath.normpath(posixpath.join(base, href))
     manifest = {e.get("id"): e for e in _elements(opf, "item")}
@@ -130,7 +175,7 @@ def contents(book: zipfile.ZipFile, manifest: dict, full) -> dict[str, str]:
     for item in manifest.values():
         name = full(item.get("href", ""))
         if item.get("media-type") == "application/x-dtbncx+xml" and name in book.namelist():
-            for point in _elements(ElementTree.fromstring(book.read(name)), "navPoint"):
+            for point in _elements(parse_xml(book.read(name)), "navPoint"):
                 text, src = _elements(point, "text"), _elements(point, "content")
                 if text and src:
                     href = src[0].get("src", "").split("#")[0]
@@ -140,8 +185,9 @@ def contents(book: zipfile.ZipFile, manifest: dict, full) -> dict[str, str]:
 
 def chapters(path: str, content: bytes) -> list[tuple]:
     try:
+        members = check_directory(content)
         with zipfile.ZipFile(io.BytesIO(content)) as book:
-            check_members(book)
+            check_members(book, members)
             check_protection(book)
             p = package(book)
             out = []
@@ -149,7 +195,7 @@ def chapters(path: str, content: bytes) -> list[tuple]:
                 text, heading = html_text(book.read(href).decode("utf-8", "replace"))
                 out.append((path, n + 1, href, heading, text, p["toc"].get(href), p["title"], p["author"], p["language"], None))
             return out
-    except (BookError, zipfile.BadZipFile, KeyError, ElementTree.ParseError, zipfile.LargeZipFile, RuntimeError) as e:
+    except (BookError, zipfile.BadZipFile, KeyError, ElementTree.ParseError, zipfile.LargeZipFile, RuntimeError, ValueError, OSError, EOFError, struct.error, zlib.error) as e:
         return [(path, 0, None, None, None, None, None, None, None, str(e) or type(e).__name__)]
 
 
@@ -165,8 +211,8 @@ def read(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(each, SCHEMA)
 
 
-def write(docs: list[tuple[str, str, str, str]], title: str = "Book", language: str = "en") -> bytes:
-    """A small EPUB 2 of (file name, label, heading, body), for tests and round trips."""
+def write(docs: list[tuple[str, str, str, str]], title: str = "Book", language: str = "en", more: dict[str, str] | None = None) -> bytes:
+    """A small EPUB 2 of (file name, label, heading, body), for tests and round trips; ``more``: further members."""
     buffer = io.BytesIO()
     esc = lambda s: s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
@@ -178,4 +224,6 @@ def write(docs: list[tuple[str, str, str, str]], title: str = "Book", language:
         z.writestr("OPS/t.ncx", f"<ncx><navMap>{points}</navMap></ncx>")
         for name, _, heading, body in docs:
             z.writestr(f"OPS/{name}", f"<html><body><h1>{esc(heading)}</h1><p>{esc(body)}</p></body></html>")
+        for name, body in (more or {}).items():
+            z.writestr(name, body)
     return buffer.getvalue()

@@ -20,6 +20,22 @@ def test_book_round_trip_and_bounds(spark):
     assert got["bomb", 0].error == "member too large" and got["cut", 0].error
 
 
+def test_hostile_books_are_error_rows(spark):
+    good = epub.write([("c.xhtml", "One", "One", "x")])
+    entity = epub.write([("c.xhtml", "One", "One", "x")], more={"META-INF/encryption.xml": '<!DOCTYPE a [<!ENTITY b "c">]><a/>'})
+    many = epub.write([("c.xhtml", "One", "One", "x")], more={f"m{i}": "" for i in range(5000)})
+    wrong = epub.write([("c.xhtml", "One", "One", "x")], more={"mimetype": "text/plain"})
+    same = epub.write([("c.xhtml", "One", "One", "x")], more={"OPS/C.xhtml": "y"})
+    broken = bytearray(good)
+    broken[good.index(b"META-INF/container.xml") + 24] ^= 255  # inside a packed member
+    files = {"entity": entity, "many": many, "wrong": wrong, "same": same, "broken": bytes(broken), "more": good + b"x", "good": good}
+    got = {r.path: r.error for r in epub.read(spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()], "path string, content binary")).collect()}
+    assert got["good"] is None and (got["entity"], got["many"], got["wrong"], got["same"], got["more"]) == (
+        "entity declarations", "too large", "wrong mimetype", "names collide", "no end record",
+    )
+    assert got["broken"]
+
+
 @pytest.mark.parametrize("text,limit", [("", 5), ("abc def ghi", 5), ("äöü" * 9, 5), ("one\n\ntwo three", 8)])
 def test_split_is_lossless(text, limit):
     parts = split_bytes(text, limit)
