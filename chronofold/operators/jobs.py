@@ -10,21 +10,24 @@ from chronofold.operators.ledger import first_violation
 ACTIVE = ("waiting_configuration", "pending", "leased", "running")
 
 
+def holdings(books: DataFrame, sources: DataFrame, jobs: DataFrame) -> DataFrame:
+    """``owner_id, books, bytes, jobs``: ``books`` and ``sources`` (``byte_size``) count while ``deleted_at`` is null,
+    ``jobs`` while their ``state`` is active. Each is aggregated before the three are joined."""
+    alive = F.col("deleted_at").isNull()
+    b = books.where(alive).groupBy("owner_id").agg(F.count(F.lit(1)).alias("books"))
+    s = sources.where(alive).groupBy("owner_id").agg(F.sum("byte_size").alias("bytes"))
+    j = jobs.where(F.col("state").isin(*ACTIVE)).groupBy("owner_id").agg(F.count(F.lit(1)).alias("jobs"))
+    return b.join(s, "owner_id", "full").join(j, "owner_id", "full").fillna(0, ["books", "bytes", "jobs"])
+
+
 def admission(requests: DataFrame, limits: DataFrame, books: DataFrame, sources: DataFrame, jobs: DataFrame) -> DataFrame:
     """``request_id, code`` of uploads (``request_id, owner_id, byte_size``), each against what the owner holds:
     the first of ``upload_size_exceeded``, ``book_quota_exceeded``, ``library_storage_exceeded`` and
     ``active_job_limit_exceeded`` that applies, ``no_policy`` for an owner without limits, else ``admitted``.
 
-    ``limits``: ``owner_id, max_upload, max_library, max_books, max_jobs``; ``books`` and ``sources``
-    (``byte_size``) count while ``deleted_at`` is null, ``jobs`` while their ``state`` is active.
+    ``limits``: ``owner_id, max_upload, max_library, max_books, max_jobs``; the others as for ``holdings``.
     """
-    alive = F.col("deleted_at").isNull()
-    held = (
-        books.where(alive).groupBy("owner_id").agg(F.count(F.lit(1)).alias("books"))
-        .join(sources.where(alive).groupBy("owner_id").agg(F.sum("byte_size").alias("bytes")), "owner_id", "full")
-        .join(jobs.where(F.col("state").isin(*ACTIVE)).groupBy("owner_id").agg(F.count(F.lit(1)).alias("jobs")), "owner_id", "full")
-    )
-    rows = requests.join(limits, "owner_id", "left").join(held, "owner_id", "left").fillna(0, ["books", "bytes", "jobs"])
+    rows = requests.join(limits, "owner_id", "left").join(holdings(books, sources, jobs), "owner_id", "left").fillna(0, ["books", "bytes", "jobs"])
     code = first_violation(
         (F.col("max_upload").isNotNull(), "no_policy"),
         (F.col("byte_size") <= F.col("max_upload"), "upload_size_exceeded"),

@@ -29,3 +29,19 @@ def admitted_in_order(requests: DataFrame, by: str, order: list[str], cost: str,
     """Running projection: a request is admitted while all up to it stay under the ceiling (null: no limit)."""
     upto = F.sum(cost).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return requests.withColumn("projected", upto).withColumn("admitted", ceiling.isNull() | (F.col("projected") <= ceiling))
+
+
+def new_marks(marks: DataFrame, bookmarks: DataFrame, highlights: DataFrame) -> DataFrame:
+    """``mark_id, outcome`` of asked-for marks (``mark_id, book_id, anchor, linked_id``): ``ahead`` where the anchor
+    lies beyond the atom after the bookmark, ``no highlight`` where the linked one (``mark_id, book_id,
+    deleted_at``) is not a live one of the book, else ``created``."""
+    alive = highlights.where("deleted_at is null").select(F.col("mark_id").alias("linked_id"), "book_id", F.lit(True).alias("linked"))
+    rows = marks.join(bookmarks, "book_id", "left").join(alive, ["book_id", "linked_id"], "left")
+    ahead = F.col("anchor") > F.coalesce("bookmark", F.lit(0)) + 1
+    loose = F.col("linked_id").isNotNull() & F.col("linked").isNull()
+    return rows.select("mark_id", F.when(ahead, "ahead").when(loose, "no highlight").otherwise("created").alias("outcome"))
+
+
+def migrations(pinned: str, current: str, parts: tuple[str, ...]) -> Column:
+    """The parts of an identity (fields of two structs) that differ and have to be made anew, in order."""
+    return F.array_compact(F.array(*[F.when(~F.col(f"{pinned}.{p}").eqNullSafe(F.col(f"{current}.{p}")), F.lit(p)) for p in parts]))

@@ -44,3 +44,11 @@ def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the order given."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def kept_results(used: DataFrame, by: str, at: str, key: str, *, most: int, hours: int) -> DataFrame:
+    """A bounded cache: of the entries used within ``hours`` of their group's last use the ``most`` used last;
+    ties go to the least ``key``."""
+    group = Window.partitionBy(by)
+    fresh = used.withColumn("_last", F.max(at).over(group)).where(F.col(at) > F.timestamp_add("HOUR", F.lit(-hours), F.col("_last")))
+    return fresh.withColumn("_n", F.row_number().over(group.orderBy(F.desc(at), key))).where(F.col("_n") <= most).drop("_last", "_n")

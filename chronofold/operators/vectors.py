@@ -66,3 +66,13 @@ def nearest_of_blocks(rows: DataFrame, asked: DataFrame, block: int = 256) -> Da
     return best.groupBy("mention").agg(
         F.max(F.when(F.col("n") == 1, F.col("candidate"))).alias("candidate"), F.max(F.when(F.col("n") == 1, F.col("score"))).alias("score"), F.max(F.when(F.col("n") == 2, F.col("score"))).alias("second")
     )
+
+
+def index_changes(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """``chunk_id, change``: what makes a derived index (``chunk_id, vec, model``) equal to ``rows`` again: ``add``,
+    ``remove`` or ``replace`` (another vector or space). An index without changes may be opened."""
+    b = index.select(F.col("chunk_id").alias("i_id"), F.col("vec").alias("i_vec"), F.col("model").alias("i_model"))
+    both = rows.join(b, F.col("chunk_id") == F.col("i_id"), "full")
+    same = F.col("vec").eqNullSafe(F.col("i_vec")) & F.col("model").eqNullSafe(F.col("i_model"))
+    change = F.when(F.col("i_id").isNull(), "add").when(F.col("chunk_id").isNull(), "remove").when(~same, "replace")
+    return both.select(F.coalesce("chunk_id", "i_id").alias("chunk_id"), change.alias("change")).where("change is not null")

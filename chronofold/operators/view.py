@@ -23,6 +23,13 @@ def strict_bookmark(bookmark: object) -> int:
     return bookmark
 
 
+def effective_bookmark(requested: Column, stored: Column, *frontiers: Column) -> Column:
+    """What a reader may see: the stored position held back by every frontier (the durable one, and for generated
+    text the ingested one), lowered by what is asked for; null where less than 0 is asked for."""
+    high_water = F.least(stored, *frontiers) if frontiers else stored
+    return F.when(requested.isNull(), high_water).when(requested >= 0, F.least(requested, high_water))
+
+
 def visible(df: DataFrame, bookmark: int | Column, book_id: str | None = None) -> DataFrame:
     """The mandatory predicate over whichever of its columns the table has."""
     at = F.lit(strict_bookmark(bookmark)) if not isinstance(bookmark, Column) else bookmark

@@ -46,12 +46,11 @@ def agg_cost_list(spark, sf):
     return rows.join(total, "book_id").select("event_id", "micro", "book_micro", "book_tokens")
 
 
-@query("agg_limits", R + ", o AS (SELECT DISTINCT book_id % 10 AS owner FROM l), b AS (SELECT book_id % 10 AS owner, count(DISTINCT book_id) AS books FROM l GROUP BY 1), j AS (SELECT book_id % 10 AS owner, count(*) AS jobs FROM l WHERE kind = 'click' AND k > 90 GROUP BY 1) SELECT o.owner, coalesce(books, 0) AS books, coalesce(jobs, 0) AS jobs FROM o LEFT JOIN b ON b.owner = o.owner LEFT JOIN j ON j.owner = o.owner")
+@query("agg_limits", ", u AS (SELECT o_custkey, o_orderstatus, (SELECT 1) AS one, l.q FROM orders LEFT JOIN (SELECT l_orderkey, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey) SELECT c_custkey AS owner_id, count(*) FILTER (WHERE o_orderstatus <> 'F') AS books, coalesce(CAST(sum(q) FILTER (WHERE o_orderstatus <> 'F') AS BIGINT), 0) AS bytes, count(*) FILTER (WHERE o_orderstatus = 'P') AS jobs FROM customer LEFT JOIN u ON o_custkey = c_custkey GROUP BY 1")
 def agg_limits(spark, sf):
-    rows = reports(spark, sf).withColumn("owner", F.col("book_id") % 10)
-    books = rows.groupBy("owner").agg(F.count_distinct("book_id").alias("books"))
-    jobs = rows.where("kind = 'click' and k > 90").groupBy("owner").agg(F.count(F.lit(1)).alias("jobs"))
-    return books.join(jobs, "owner", "left").select("owner", "books", F.coalesce("jobs", F.lit(0)).alias("jobs"))
+    """What every owner holds: orders as books with their bytes, pending ones as active jobs."""
+    books, sources, jobs, owners = library(spark, sf)
+    return owners.select("owner_id").join(J.holdings(books, sources, jobs), "owner_id", "left").fillna(0, ["books", "bytes", "jobs"])
 
 
 @query("agg_job_progress", "SELECT book_id, count(*) AS total, count(*) FILTER (WHERE r) AS done FROM (SELECT c.book_id, r.chapter_key IS NOT NULL AS r FROM chapters c LEFT JOIN receipts r ON r.book_id = c.book_id AND r.chapter_key = c.chapter_key) x GROUP BY 1")
@@ -145,12 +144,15 @@ def dml_mark_delete(spark, sf):
     return r.where("kind <> 'purchase'").join(gone, "event_id", "left_anti").select("event_id")
 
 
-@query("dml_mark_create", "SELECT event_id, CASE WHEN k > 61 THEN 'ahead' WHEN kind = 'click' AND event_id - 1 NOT IN (SELECT event_id FROM reports WHERE kind = 'view') THEN 'no highlight' ELSE 'created' END AS outcome FROM reports")
+@query("dml_mark_create", """, p AS (SELECT book_id, max(k) FILTER (WHERE kind = 'purchase') AS bookmark FROM reports GROUP BY 1), h AS (SELECT event_id AS id, book_id FROM reports WHERE kind = 'view')
+SELECT r.event_id, CASE WHEN r.k > coalesce(p.bookmark, 0) + 1 THEN 'ahead' WHEN r.kind = 'click' AND NOT EXISTS (SELECT 1 FROM h WHERE h.id = r.event_id - 150 AND h.book_id = r.book_id) THEN 'no highlight' ELSE 'created' END AS outcome FROM reports r JOIN p ON p.book_id = r.book_id""")
 def dml_mark_create(spark, sf):
+    """Reports as new marks at atom k; a click hangs on the highlight 150 reports before, if it is of its book."""
     r = reports(spark, sf)
-    live = r.where("kind = 'view'").select((F.col("event_id") + 1).alias("event_id"), F.lit(True).alias("linked"))
-    outcome = F.when(F.col("k") > 61, "ahead").when((F.col("kind") == "click") & F.col("linked").isNull(), "no highlight").otherwise("created")
-    return r.join(live, "event_id", "left").select("event_id", outcome.alias("outcome"))
+    bookmarks = r.groupBy("book_id").agg(F.coalesce(F.max(F.when(F.col("kind") == "purchase", F.col("k"))), F.lit(0)).alias("bookmark"))
+    marks = r.select(F.col("event_id").alias("mark_id"), "book_id", F.col("k").alias("anchor"), F.when(F.col("kind") == "click", F.col("event_id") - 150).alias("linked_id"))
+    highlights = r.where("kind = 'view'").select(F.col("event_id").alias("mark_id"), "book_id", F.lit(None).cast("timestamp").alias("deleted_at"))
+    return L.new_marks(marks, bookmarks, highlights).withColumnRenamed("mark_id", "event_id")
 
 
 ADMIT = """, held AS (SELECT o_custkey AS owner_id, count(*) FILTER (WHERE o_orderstatus <> 'F') AS books, coalesce(CAST(sum(q) FILTER (WHERE o_orderstatus <> 'F') AS BIGINT), 0) AS bytes, count(*) FILTER (WHERE o_orderstatus = 'P') AS jobs
@@ -159,20 +161,27 @@ SELECT o_orderkey AS request_id, CASE WHEN o_totalprice > 400000 THEN 'upload_si
 FROM orders JOIN held ON owner_id = o_custkey"""
 
 
-@query("dml_admission", ADMIT.replace("o_totalprice > 400000", "CAST(o_totalprice / 1000 AS BIGINT) > 400"))
-def dml_admission(spark, sf):
-    """Orders as uploads, against the books, bytes and active jobs that their owners hold."""
+def library(spark, sf):
+    """Orders as books and jobs, their lines as source bytes, customers as owners with limits."""
     o = spark.read.parquet(f"{sf}/orders.parquet")
     deleted = F.when(F.col("o_orderstatus") == "F", F.lit("2024-01-01").cast("timestamp")).alias("deleted_at")
     books = o.select(F.col("o_custkey").alias("owner_id"), "o_orderkey", deleted)
     size = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").cast("long").alias("byte_size"))
     jobs = o.select(F.col("o_custkey").alias("owner_id"), F.when(F.col("o_orderstatus") == "P", "running").otherwise("succeeded").alias("state"))
     key = F.col("c_custkey")
-    limits = spark.read.parquet(f"{sf}/customer.parquet").select(
+    owners = spark.read.parquet(f"{sf}/customer.parquet").select(
         key.alias("owner_id"), F.lit(400).alias("max_upload"), F.lit(900).alias("max_library"), (4 + key % 9).alias("max_books"), (1 + key % 3).alias("max_jobs")
     )
-    requests = o.select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("owner_id"), F.round(F.col("o_totalprice") / 1000).cast("long").alias("byte_size"))
-    return J.admission(requests, limits, books, books.join(size, "o_orderkey"), jobs)
+    return books, books.join(size, "o_orderkey"), jobs, owners
+
+
+@query("dml_admission", ADMIT.replace("o_totalprice > 400000", "CAST(o_totalprice / 1000 AS BIGINT) > 400"))
+def dml_admission(spark, sf):
+    """Orders as uploads, against the books, bytes and active jobs that their owners hold."""
+    books, sources, jobs, owners = library(spark, sf)
+    size = F.round(F.col("o_totalprice") / 1000).cast("long").alias("byte_size")
+    requests = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("owner_id"), size)
+    return J.admission(requests, owners, books, sources, jobs)
 
 
 @query("dml_spend_admission", R + ", p AS (SELECT event_id, book_id, sum(micro) OVER (PARTITION BY book_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS projected FROM l) SELECT event_id, book_id % 5 = 0 OR projected <= 1500000000 AS admitted FROM p")
@@ -232,10 +241,13 @@ def dml_audit_purge(spark, sf):
     return reports(spark, sf).where(F.col("ts") >= F.lit("2024-01-20 00:00:00").cast("timestamp")).select("event_id")
 
 
-@query("rel_safe_swap", "SELECT event_id, concat_ws(',', CASE WHEN k % 2 = 0 THEN 'embeddings' END, CASE WHEN k % 3 = 0 THEN 'extraction' END, CASE WHEN k % 5 = 0 THEN 'recap' END) AS migrations FROM reports")
+@query("rel_safe_swap", """, v AS (SELECT book_id, (list(kind ORDER BY ts, event_id))[1] AS a1, (list(kind ORDER BY ts DESC, event_id DESC))[1] AS a2, (list(k % 4 ORDER BY ts, event_id))[1] AS b1, (list(k % 4 ORDER BY ts DESC, event_id DESC))[1] AS b2, (list(k % 2 ORDER BY ts, event_id))[1] AS c1, (list(k % 2 ORDER BY ts DESC, event_id DESC))[1] AS c2 FROM reports GROUP BY 1)
+SELECT book_id, concat_ws(',', CASE WHEN a1 <> a2 THEN 'embeddings' END, CASE WHEN b1 <> b2 THEN 'extraction' END, CASE WHEN c1 <> c2 THEN 'recap' END) AS migrations FROM v""")
 def rel_safe_swap(spark, sf):
-    need = [F.when(F.col("k") % n == 0, F.lit(name)) for n, name in ((2, "embeddings"), (3, "extraction"), (5, "recap"))]
-    return reports(spark, sf).select("event_id", F.array_join(F.array_compact(F.array(*need)), ",").alias("migrations"))
+    """A book's pinned identities (its first report's) against the current ones (its last one's)."""
+    of = lambda pick: pick(F.struct("kind", F.col("k") % 4, F.col("k") % 2), F.struct("ts", "event_id")).cast("struct<embeddings:string,extraction:long,recap:long>")
+    rows = reports(spark, sf).groupBy("book_id").agg(of(F.min_by).alias("pinned"), of(F.max_by).alias("current"))
+    return rows.select("book_id", F.array_join(L.migrations("pinned", "current", ("embeddings", "extraction", "recap")), ",").alias("migrations"))
 
 
 @query("st_device_merge", ", w AS (SELECT *, max(k) OVER (PARTITION BY book_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM reports) SELECT event_id, CASE WHEN known IS NULL THEN 'none' WHEN k > known THEN 'merged_advance' WHEN k = known THEN 'tie' ELSE 'stale_behind' END AS outcome FROM w")

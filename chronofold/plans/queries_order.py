@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronofold.operators import ordering as O
+from chronofold.operators.vectors import index_changes
 from chronofold.plans.queries_views import BOOK, VIS, at, book, receipted
 from chronofold.plans.registry import query
 from chronofold.plans.standins import bind
@@ -255,17 +256,15 @@ def set_subset(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", (F.size(F.array_except(w(F.substring("text", 1, 100)), w(rest))) == 0).alias("inside"))
 
 
-@query("set_overlap", VIS + """SELECT DISTINCT a.entity_id AS a, b.entity_id AS b FROM va a JOIN va b ON a.surface = b.surface AND a.entity_id < b.entity_id""")
+@query("set_overlap", VIS + "SELECT surface, count(DISTINCT entity_id) AS bearers, min(entity_id) AS least FROM va GROUP BY 1 HAVING count(DISTINCT entity_id) > 1")
 def set_overlap(spark, sf):
-    a = at(spark, sf).aliases().select("surface", F.col("entity_id").alias("a")).distinct()
-    b = a.withColumnRenamed("a", "b")
-    return a.join(b, "surface").where("a < b").select("a", "b").distinct()
+    """Names that several entities bear, with their number and the least of them, not all pairs of bearers."""
+    a = at(spark, sf).aliases().select("surface", "entity_id").distinct()
+    return a.groupBy("surface").agg(F.count(F.lit(1)).alias("bearers"), F.min("entity_id").alias("least")).where("bearers > 1")
 
 
 @query("set_verify_equal", """, x AS (SELECT event_id, k FROM reports), y AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN k + 1 ELSE k END AS k FROM reports)
 SELECT event_id, k, 'lost' AS what FROM (SELECT * FROM x EXCEPT ALL SELECT * FROM y) UNION ALL SELECT event_id, k, 'new' FROM (SELECT * FROM y EXCEPT ALL SELECT * FROM x)""")
-@query("idx_vec_sync", """, x AS (SELECT event_id, k FROM reports), y AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN k + 1 ELSE k END AS k FROM reports)
-SELECT event_id, k, 'lost' AS what FROM (SELECT * FROM x EXCEPT ALL SELECT * FROM y) UNION ALL SELECT event_id, k, 'new' FROM (SELECT * FROM y EXCEPT ALL SELECT * FROM x)""")
 def set_verify_equal(spark, sf):
     """Both directions of the multiset difference; equal snapshots give no row."""
     x = bind(spark, sf, "reports").select("event_id", "k")
@@ -273,6 +272,18 @@ def set_verify_equal(spark, sf):
     return x.exceptAll(y).withColumn("what", F.lit("lost")).unionByName(y.exceptAll(x).withColumn("what", F.lit("new")))
 
 
+@query("idx_vec_sync", """, i AS (SELECT chunk_id, CASE WHEN chunk_id % 11 = 0 THEN vec[1] + 1 ELSE vec[1] END AS x, CASE WHEN chunk_id % 17 = 0 THEN 'model-9' ELSE model END AS model FROM chunks WHERE chunk_id % 7 <> 0),
+c AS (SELECT chunk_id, vec[1] AS x, model FROM chunks WHERE retracted_at IS NULL)
+SELECT coalesce(c.chunk_id, i.chunk_id) AS chunk_id, CASE WHEN i.chunk_id IS NULL THEN 'add' WHEN c.chunk_id IS NULL THEN 'remove' ELSE 'replace' END AS change FROM c FULL JOIN i ON i.chunk_id = c.chunk_id WHERE c.chunk_id IS NULL OR i.chunk_id IS NULL OR c.x <> i.x OR c.model <> i.model""")
+def idx_vec_sync(spark, sf):
+    """A derived vector index against the live chunks: some are missing, changed, of another space or retracted."""
+    c = bind(spark, sf, "chunks")
+    first = F.when(F.col("chunk_id") % 11 == 0, F.get("vec", F.lit(0)) + 1).otherwise(F.get("vec", F.lit(0)))
+    vec = F.concat(F.array(first.cast("float")), F.slice("vec", 2, 10_000))
+    index = c.where("chunk_id % 7 <> 0").select("chunk_id", vec.alias("vec"), F.when(F.col("chunk_id") % 17 == 0, "model-9").otherwise(F.col("model")).alias("model"))
+    return index_changes(c.where("retracted_at is null").select("chunk_id", "vec", "model"), index)
+
+
 @query("set_dedupe_marks", """, p AS (SELECT event_id % 400 AS mark_id, ts, event_id, kind, k, row_number() OVER (PARTITION BY event_id % 400 ORDER BY ts DESC, event_id DESC) AS n FROM reports)
 SELECT mark_id, k FROM p WHERE n = 1 AND kind <> 'purchase'""")
 def set_dedupe_marks(spark, sf):
@@ -391,9 +402,9 @@ def st_worker_loop(spark, sf):
     return bind(spark, sf, "reports").where("kind <> 'error'").groupBy("book_id").agg(F.max("k").alias("target"))
 
 
-@query("st_lru_ttl", ", r AS (SELECT book_id, kind, max(ts) AS used FROM reports GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY used DESC, kind) AS n FROM r) SELECT book_id, kind FROM n WHERE n <= 3")
+@query("st_lru_ttl", """, r AS (SELECT book_id, kind, max(ts) AS used FROM reports GROUP BY 1, 2), m AS (SELECT *, max(used) OVER (PARTITION BY book_id) AS latest FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY used DESC, kind) AS n FROM m WHERE used > latest - INTERVAL 48 HOUR) SELECT book_id, kind FROM n WHERE n <= 3""")
 def st_lru_ttl(spark, sf):
-    """Results kept by key: the three used last of each book."""
+    """Results kept by key: of those used in the two days before a book's last use, the three used last."""
     used = bind(spark, sf, "reports").groupBy("book_id", "kind").agg(F.max("ts").alias("used"))
-    n = F.row_number().over(Window.partitionBy("book_id").orderBy(F.desc("used"), "kind"))
-    return used.withColumn("n", n).where("n <= 3").select("book_id", "kind")
+    return O.kept_results(used, "book_id", "used", "kind", most=3, hours=48).select("book_id", "kind")

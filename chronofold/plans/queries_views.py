@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronofold.operators import view as V
+from chronofold.operators.view import effective_bookmark
 from chronofold.plans.registry import query
 from chronofold.plans.standins import bind
 
@@ -72,15 +73,28 @@ def vis_delta(spark, sf):
     return at(spark, sf).timeline().where(F.col("revealed_at") == BM).select("event_id", "summary")
 
 
-@query("vis_clamp", "SELECT event_id, CASE WHEN k < 0 THEN NULL ELSE least(k, 60, CASE WHEN usd > 50 THEN 45 ELSE 60 END) END AS eff FROM reports")
+# Each report asks for its k (every fifth for nothing, every seventh for less than 0) of its user's book: the
+# position is the user's greatest k, the durable frontier the number of kinds committed, x 20, the ingested one
+# the number of the user's reports.
+CLAMP = """, p AS (SELECT book_id, max(k) AS stored, count(DISTINCT kind) * 20 AS durable, count(*) AS ingested FROM reports GROUP BY 1),
+q AS (SELECT r.event_id, p.*, CASE WHEN r.k % 5 = 0 THEN NULL WHEN r.k % 7 = 0 THEN -1 ELSE r.k END AS asked FROM reports r JOIN p ON p.book_id = r.book_id) """
+
+
+def asked(spark, sf):
+    r = bind(spark, sf, "reports")
+    held = r.groupBy("book_id").agg(F.max("k").alias("stored"), (F.count_distinct("kind") * 20).alias("durable"), F.count(F.lit(1)).alias("ingested"))
+    want = F.when(F.col("k") % 5 == 0, F.lit(None)).when(F.col("k") % 7 == 0, -1).otherwise(F.col("k"))
+    return r.select("event_id", "book_id", want.alias("asked")).join(held, "book_id")
+
+
+@query("vis_clamp", CLAMP + "SELECT event_id, CASE WHEN asked < 0 THEN NULL ELSE least(coalesce(asked, stored), stored, durable) END AS eff FROM q")
 def vis_clamp(spark, sf):
-    frontier = F.when(F.col("usd") > 50, 45).otherwise(60)
-    return bind(spark, sf, "reports").select("event_id", F.when(F.col("k") >= 0, F.least("k", F.lit(60), frontier)).alias("eff"))
+    return asked(spark, sf).select("event_id", effective_bookmark(F.col("asked"), F.col("stored"), F.col("durable")).alias("eff"))
 
 
-@query("vis_clamp_ingest", "SELECT event_id, least(k, 60, event_id % 50) AS eff FROM reports")
+@query("vis_clamp_ingest", CLAMP + "SELECT event_id, CASE WHEN asked < 0 THEN NULL ELSE least(coalesce(asked, stored), stored, durable, ingested) END AS eff FROM q")
 def vis_clamp_ingest(spark, sf):
-    return bind(spark, sf, "reports").select("event_id", F.least("k", F.lit(60), F.col("event_id") % 50).alias("eff"))
+    return asked(spark, sf).select("event_id", effective_bookmark(F.col("asked"), F.col("stored"), F.col("durable"), F.col("ingested")).alias("eff"))
 
 
 @query("vis_label_clamp", "SELECT chapter_key, CASE WHEN revealed_at <= 25 THEN title ELSE '' END AS title, char_len FROM chapters WHERE book_id = 'src0'")

@@ -74,10 +74,11 @@ SELECT source AS book_id, 'd' || CAST(doc_id AS STRING) AS chapter_key, doc_id,
        substring(sha256(text), 1, 16) AS content_hash, CASE WHEN doc_id % 19 = 0 THEN {RETRACTED} END AS retracted_at
 FROM {{documents}}""",
     "receipts": """
-SELECT source AS book_id, 'd' || CAST(doc_id AS STRING) AS chapter_key,
-       CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS ordinal,
-       CASE WHEN doc_id % 23 = 0 THEN 'stale' ELSE substring(sha256(text), 1, 16) END AS content_hash
-FROM {documents} WHERE doc_id % 37 <> 0""",
+SELECT book_id, chapter_key, ordinal, content_hash FROM (
+  SELECT source AS book_id, 'd' || CAST(doc_id AS STRING) AS chapter_key, doc_id,
+         CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS ordinal,
+         CASE WHEN doc_id % 23 = 0 THEN 'stale' ELSE substring(sha256(text), 1, 16) END AS content_hash
+  FROM {documents}) all_of_them WHERE doc_id % 37 <> 0""",
     "summaries": f"""
 SELECT doc_id AS summary_id, source AS book_id, 'd' || CAST(doc_id AS STRING) AS chapter_key, 'chapter' AS kind,
        substring(text, 1, 60) AS body, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS revealed_at,
