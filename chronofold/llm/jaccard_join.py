@@ -421,22 +421,28 @@ def _large_groups(members: DataFrame) -> DataFrame:
 
 
 def classes_of_texts(docs: DataFrame) -> DataFrame:
-    """Per different text: ``sha, rep, copies, root`` (a number of its class), ``class_id`` and ``n_links``."""
+    """Per different text: ``sha, rep, copies, root`` (a number of its class), ``class_id``, ``n_links`` and ``linked``."""
     reps = stored(signatures(docs).withColumn("node", F.monotonically_increasing_id()))
     checked = settled(verified(docs, reps, components(candidate_edges(reps))))
     classes = components(checked.where("b is not null").select("a", "b"))
     counts = checked.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     linked = counts.join(classes, F.col("a") == F.col("node")).select("node", "component", "links")
     linked = settled(linked.join(reps.select("node", "rep"), "node"))
-    names = linked.groupBy("component").agg(F.min("rep").alias("name"))
+    names = _small(linked.groupBy("component").agg(F.min("rep").alias("name")))
     linked = linked.join(names, "component").select("node", "component", "links", "name")
     return reps.select("sha", "rep", "copies", "node").join(linked, "node", "left").select(
         "sha", "rep", "copies", F.coalesce("component", "node").alias("root"),
         F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("name")).alias("class_id"),
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.col("component").isNotNull().alias("linked"),
     )
 
 
+def _small(classes: DataFrame) -> DataFrame:
+    """A row per class of links, to be broadcast if they are few, so that a large class's rows stay where they are."""
+    classes = settled(classes)
+    return F.broadcast(classes) if classes.count() <= BROADCAST_DOCS else classes
+
+
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, rep_id`` (least identifier of the equal texts), ``class_id`` (least
     identifier of all that links connect) and ``n_links`` (other texts at 0.8 or more)."""
@@ -449,11 +455,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The document with the least identifier of every class (of several texts with it, the one with the least
     SHA-256; a null identifier comes last), with the columns it had. Rows that repeat it in identifier and
     text stay with it."""
-    texts = classes_of_texts(docs)
-    classes = texts.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("rep").isNull(), "rep", "sha")).alias("kept"))
+    texts = stored(classes_of_texts(docs))
+    linked = texts.where("linked")
+    classes = _small(linked.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "sha")).alias("kept")))
+    known = linked.join(classes, "root").select("sha", F.when(F.col("sha") == F.col("kept.sha"), F.struct("rep")).alias("keep"))
     # Texts that occur once and have no link need no decision.
-    known = texts.join(classes, "root").where("n > 1 or copies > 1").select("sha", F.when(F.col("sha") == F.col("kept.sha"), F.struct("rep")).alias("keep"))
-    known = stored(known)
+    known = stored(known.unionByName(texts.where("not linked and copies > 1").select("sha", F.struct("rep").alias("keep"))))
     few = known.count() <= BROADCAST_DOCS
     rows = docs.select(_sha(docs).alias("_sha"), docs["doc_id"].cast("long").alias("_id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     found = rows.join(F.broadcast(known) if few else known, F.col("_sha") == F.col("sha"), "left")
