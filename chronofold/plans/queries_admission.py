@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from chronofold.operators import book_profile as P
 from chronofold.operators import jobs as J
 from chronofold.operators import ledger as L
 from chronofold.plans.registry import query
@@ -274,18 +275,22 @@ def snk_retention(spark, sf):
     return reports(spark, sf).withColumn("n", n).where("n > 5").select("event_id")
 
 
-@query("agg_book_profile", r""", t AS (SELECT source, len(regexp_extract_all(text, '\S+')) AS words, len(regexp_extract_all(lower(text), '\b(said|asked|was|had|were)\b')) AS verbs FROM documents),
-g AS (SELECT source, count(*) AS n, sum(CASE WHEN words >= 500 THEN 1 ELSE 0 END) AS longs, sum(CASE WHEN words <= 300 THEN 1 ELSE 0 END) AS shorts, sum(verbs) AS verbs FROM t GROUP BY 1),
-s AS (SELECT source, CASE WHEN longs * 10 >= n * 6 AND verbs >= n * 2 THEN 82 ELSE 0 END AS novel, CASE WHEN shorts * 4 >= n * 3 THEN 40 ELSE 30 END AS poetry FROM g)
-SELECT source, CASE WHEN greatest(novel, poetry) < 65 OR abs(novel - poetry) < 15 THEN 'unknown' WHEN novel > poetry THEN 'novel' ELSE 'poetry' END AS book_type FROM s""")
+def _profile_sql() -> str:
+    n = lambda p, c="coalesce(text, '')": f"len(regexp_extract_all({c}, '{p}'))".replace("A-Z' -", "A-Z'' -")
+    titles = ", ".join(f"sum(CASE WHEN regexp_matches(coalesce(title, ''), '{p}') THEN 1 ELSE 0 END) AS t_{k}" for k, p in P.TITLES.items())
+    extra = {"drama": " + least(0.2, cues / (n * 10.0))", "poetry": " + CASE WHEN shorts * 4 >= n * 3 THEN 0.1 ELSE 0 END", "reference": " + CASE WHEN shorts * 2 >= n THEN 0.05 ELSE 0 END"}
+    scores = [f"SELECT book_id, n, '{k}' AS k, least(CAST({c} AS DOUBLE), {b} + {w} * (CAST(t_{k} AS DOUBLE) / n){extra.get(k, '')}) AS s FROM g" for k, (b, w, c) in P.SCORES.items()]
+    novel = "CASE WHEN longs * 10 >= n * 6 AND verbs >= n * 2 THEN 0.82 + least(0.12, verbs / (n * 100.0)) WHEN t_chapter * 4 >= n * 3 AND verbs >= n * 2 THEN 0.76 ELSE 0 END"
+    scores.append(f"SELECT book_id, n, 'novel', CAST(CASE WHEN t_anthology * 4 >= n * 3 THEN least({novel}, 0.5) ELSE {novel} END AS DOUBLE) FROM g")
+    return (
+        f", e AS (SELECT book_id, title, {n(r'\\S+')} AS words, {n(P.VERBS)} AS verbs, {n(P.SPEAKER)} + {n(P.STAGE)} AS cues FROM chapters), "
+        f"g AS (SELECT book_id, count(*) AS n, count(*) FILTER (WHERE words <= 300) AS shorts, count(*) FILTER (WHERE words >= 500) AS longs, CAST(sum(verbs) AS BIGINT) AS verbs, CAST(sum(cues) AS BIGINT) AS cues, {titles} FROM e GROUP BY 1), "
+        f"c AS ({' UNION ALL '.join(scores)}), o AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY s DESC, k) AS r, lead(s) OVER (PARTITION BY book_id ORDER BY s DESC, k) AS second FROM c) "
+        "SELECT book_id, n AS sections, CASE WHEN s < 0.65 OR s - second < 0.15 THEN 'unknown' ELSE k END AS book_type FROM o WHERE r = 1"
+    )
+
+
+@query("agg_book_profile", _profile_sql())
 def agg_book_profile(spark, sf):
-    """Class scores from counts and ratios; the best needs 0.65 and a margin of 0.15."""
-    words, verbs = F.regexp_count("text", F.lit(r"\S+")), F.regexp_count(F.lower("text"), F.lit(r"\b(said|asked|was|had|were)\b"))
-    t = spark.read.parquet(f"{sf}/documents.parquet").select("source", words.alias("words"), verbs.alias("verbs"))
-    g = t.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("words") >= 500).alias("longs"), F.count_if(F.col("words") <= 300).alias("shorts"), F.sum("verbs").alias("verbs"))
-    novel = F.when((F.col("longs") * 10 >= F.col("n") * 6) & (F.col("verbs") >= F.col("n") * 2), 82).otherwise(0)
-    poetry = F.when(F.col("shorts") * 4 >= F.col("n") * 3, 40).otherwise(30)
-    scores = F.array_sort(F.array(F.struct((-novel).alias("s"), F.lit("novel").alias("c")), F.struct((-poetry).alias("s"), F.lit("poetry").alias("c"))))
-    top, second = F.get(scores, F.lit(0)), F.get(scores, F.lit(1))
-    weak = (-top["s"] < 65) | (second["s"] - top["s"] < 15)
-    return g.select("source", F.when(weak, "unknown").otherwise(top["c"]).alias("book_type"))
+    """The type of every book, from all its chapters."""
+    return P.book_types(bind(spark, sf, "chapters")).select("book_id", "sections", "book_type")
