@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronofold.operators import fulltext as T
 from chronofold.operators import vectors as V
 from chronofold.operators.view import visible
-from chronofold.plans.queries_views import BOOK, book
+from chronofold.plans.queries_views import book
 from chronofold.plans.registry import query
 from chronofold.plans.standins import bind
 
