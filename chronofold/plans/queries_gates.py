@@ -83,8 +83,11 @@ def gate_read_proper(spark, sf):
     return docs(spark, sf).select("doc_id", F.size(found).cast("long").alias("n"))
 
 
-@query("ask_validate")
+@query("ask_validate", CONTENT + """, h AS (SELECT c.item_id, count(*) AS n, count(k.f) AS hits FROM c LEFT JOIN c k ON k.item_id = c.item_id % 21 AND k.f = c.f GROUP BY 1)
+SELECT CAST(b.item_id AS INT) AS claim_id, s.item_id IS NOT NULL AND length(b.text) <= 4000 AND coalesce(hits, 0) >= CAST(0.35 AS DOUBLE) * coalesce(n, 0) AS valid
+FROM benchmark b LEFT JOIN benchmark s ON s.item_id = b.item_id % 21 LEFT JOIN h ON h.item_id = b.item_id""")
 def ask_validate(spark, sf):
+    """Every passage as a claim that cites one source."""
     sources = items(spark, sf).select(F.col("item_id").cast("int").alias("source_id"), "text")
     claims = items(spark, sf).select(F.col("item_id").cast("int").alias("claim_id"), "text", F.array((F.col("item_id") % 21).cast("int")).alias("cited"))
     return G.citations(claims, sources)
