@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from chronofold.llm import (
+    alignment,
+    collocations,
     decontaminate,
     exact_dedup,
     jaccard_join,
     language_id,
+    line_dedup,
     mixing,
     quality_fm,
     substring_dedup,
@@ -28,6 +31,9 @@ def queries():
         "op8_language_id": language_id.op8_language_id,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_url_filters": url_filter.op10_url_filters,
+        "op11_collocations": collocations.op11_collocations,
+        "op12_tokenizer_alignment": alignment.op12_tokenizer_alignment,
+        "op13_line_dedup": line_dedup.op13_line_dedup,
     }
 
 
@@ -37,4 +43,6 @@ def oracle_sql():
         "op3_warc_revisit": warc_revisit.ORACLE,
         "op4_benchmark_decontamination": decontaminate.ORACLE,
         "op7_mixing_sources": mixing.ORACLE,
+        "op11_collocations": collocations.ORACLE,
+        "op13_line_dedup": line_dedup.ORACLE,
     }
