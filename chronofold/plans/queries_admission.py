@@ -71,9 +71,8 @@ def holds(spark, sf):
     return L.open_holds(log.unionByName(settled))
 
 
-@query("cost_reserve_settle", HOLDS + "SELECT hold_id, k FROM h")
 @query("dml_list_holds", HOLDS + "SELECT hold_id, k FROM h")
-def cost_reserve_settle(spark, sf):
+def dml_list_holds(spark, sf):
     return holds(spark, sf).orderBy("hold_id").select("hold_id", "k")
 
 
@@ -185,12 +184,6 @@ def dml_admission(spark, sf):
     return J.admission(requests, owners, books, sources, jobs)
 
 
-@query("dml_spend_admission", R + ", p AS (SELECT event_id, book_id, sum(micro) OVER (PARTITION BY book_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS projected FROM l) SELECT event_id, book_id % 5 = 0 OR projected <= 1500000000 AS admitted FROM p")
-def dml_spend_admission(spark, sf):
-    ceiling = F.when(F.col("book_id") % 5 != 0, F.lit(1_500_000_000))
-    return L.admitted_in_order(reports(spark, sf), "book_id", ["ts", "event_id"], "micro", ceiling).select("event_id", "admitted")
-
-
 # Reports as jobs: the lease runs k - 50 hours from the report, and is judged at one moment.
 JOBS = """, j AS (SELECT event_id AS job_id, CASE WHEN kind = 'view' THEN 'running' WHEN kind = 'click' THEN 'leased' ELSE 'pending' END AS state, event_id % 5 AS token, k % 5 AS attempt_count, 3 AS max_attempts, usd > 80 AS cancel_requested,
  ts + to_hours(CAST(k - 50 AS INT)) > TIMESTAMP '2024-01-15 00:00:00' AS held FROM reports) """
@@ -251,15 +244,6 @@ def rel_safe_swap(spark, sf):
     return rows.select("book_id", F.array_join(L.migrations("pinned", "current", ("embeddings", "extraction", "recap")), ",").alias("migrations"))
 
 
-@query("st_device_merge", ", w AS (SELECT *, max(k) OVER (PARTITION BY book_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM reports) SELECT event_id, CASE WHEN known IS NULL THEN 'none' WHEN k > known THEN 'merged_advance' WHEN k = known THEN 'tie' ELSE 'stale_behind' END AS outcome FROM w")
-def st_device_merge(spark, sf):
-    """Reports of several devices against what is known at their turn."""
-    before = Window.partitionBy("book_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = reports(spark, sf).withColumn("known", F.max("k").over(before))
-    outcome = F.when(F.col("known").isNull(), "none").when(F.col("k") > F.col("known"), "merged_advance").when(F.col("k") == F.col("known"), "tie").otherwise("stale_behind")
-    return rows.select("event_id", outcome.alias("outcome"))
-
-
 @query("tree_toc_label", ", t AS (SELECT doc_id, source || '/' || lang AS path FROM documents) SELECT path, min(doc_id) AS first_atom FROM t GROUP BY 1")
 @query("tree_toc_lookup", ", t AS (SELECT doc_id, source || '/' || lang AS path FROM documents) SELECT path, min(doc_id) AS first_atom FROM t GROUP BY 1")
 def tree_toc_label(spark, sf):

@@ -155,13 +155,6 @@ def win_dedupe_first(spark, sf):
     return O.latest(rows, ["href"], F.asc("page_id"))
 
 
-@query("win_anchor_bucket", "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS anchor FROM conversations")
-def win_anchor_bucket(spark, sf):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    anchor = F.last(F.when(F.col("role") == "user", F.col("turn")), True).over(w)
-    return spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", anchor.alias("anchor"))
-
-
 @query("win_storythread_label", VIS + """SELECT least(src_entity, dst_entity) AS a, greatest(src_entity, dst_entity) AS b, lower(label) AS label_key, min(revealed_at) AS first_at FROM vr GROUP BY 1, 2, 3""")
 @query("agg_register", VIS + """SELECT least(src_entity, dst_entity) AS a, greatest(src_entity, dst_entity) AS b, lower(label) AS label_key, min(revealed_at) AS first_at FROM vr GROUP BY 1, 2, 3""")
 def win_storythread_label(spark, sf):

@@ -297,20 +297,6 @@ def join_manifest_store(spark, sf):
     return rows.where(~F.col("r_key").eqNullSafe(F.col("chapter_key")) | (F.col("r_hash") != F.col("content_hash"))).select("chapter_key")
 
 
-@query("join_section_atom", """, sec AS (SELECT page_id, regexp_extract(url, '([^/]+)/?$', 1) AS tail FROM pages),
-cl AS (SELECT s.page_id, a.doc_id FROM sec s JOIN (SELECT doc_id, CAST(doc_id AS VARCHAR) AS href FROM documents) a ON a.href = s.tail)
-SELECT page_id, min(doc_id) AS doc_id FROM cl GROUP BY 1 HAVING count(DISTINCT doc_id) = 1
- AND min(doc_id) NOT IN (SELECT doc_id FROM cl GROUP BY 1 HAVING count(*) > 1)""")
-def join_section_atom(spark, sf):
-    """A section claims the chapter its tail names; several candidates, or two claimants, cancel."""
-    sections = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.regexp_extract("url", "([^/]+)/?$", 1).alias("href"))
-    atoms = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("doc_id").cast("string").alias("href"))
-    claims = sections.join(atoms, "href")
-    contested = claims.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sole = claims.groupBy("page_id").agg(F.min("doc_id").alias("doc_id"), F.count_distinct("doc_id").alias("n")).where("n = 1").drop("n")
-    return sole.join(contested, "doc_id", "left_anti").select("page_id", "doc_id")
-
-
 @query("join_toc_map", """, a AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents),
 t AS (SELECT page_id, regexp_extract(url, '/(en|de|fr|es)/', 1) AS lang, row_number() OVER (PARTITION BY regexp_extract(url, '/(en|de|fr|es)/', 1) ORDER BY page_id) AS rn FROM pages),
 m AS (SELECT lang, max(rn) AS last FROM a GROUP BY 1)

@@ -8,8 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from chronofold.operators.folds import POSITION, Position, report_of
+
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -35,6 +38,36 @@ def high_water(stream: DataFrame) -> DataFrame:
     return stream.groupBy("book_id").applyInPandasWithState(fold, "book_id long, epoch long, bookmark long", "epoch long, bookmark long", "update", GroupStateTimeout.NoTimeout)
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Merge(StatefulProcessor):
+    """A book's position as one composite value."""
+
+    def __init__(self, order: list[str]):
+        self.order = order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.position = handle.getValueState("position", POSITION)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(self.order)
+        now = Position(*self.position.get()) if self.position.exists() else Position()
+        outcomes = [now.take(**report_of(row)) for row in pdf.to_dict("records")]
+        self.position.update(now.values())
+        yield pd.DataFrame({"book_id": key[0], "event_id": pdf["event_id"].to_numpy(), "outcome": outcomes})
+
+    def close(self) -> None:
+        pass
+
+
+def device_merge(reports: DataFrame, order: list[str]) -> DataFrame:
+    """``book_id, event_id, outcome``: the streaming twin of ``folds.merged_positions``; ``order`` sorts the reports of one batch."""
+    reports.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    out = "book_id long, event_id long, outcome string"
+    return reports.groupBy("book_id").transformWithStateInPandas(_Merge(order), out, "append", "none")
+
+
 def request_windows(stream: DataFrame, seconds: int, limit: int) -> DataFrame:
     """``event_id, allowed``: fixed windows that start at a key's first request, not at the clock's."""
 
@@ -77,19 +110,27 @@ def run_once(stream: DataFrame, folder: str, mode: str = "update") -> DataFrame:
 
 
 def ingest(stream: DataFrame, facts: str, receipts: str, checkpoint: str):
-    """Chapters to files with receipts last: a batch that runs again finds its receipt and writes nothing."""
+    """Chapters to files, one folder a batch, with receipts last. A batch that runs again finds its receipt and writes
+    nothing; one that broke off before its receipt overwrites its own folder. Read through ``ingested``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         done = spark.read.schema("batch_id long").parquet(receipts) if _exists(spark, receipts) else None
         if done is not None and done.where(F.col("batch_id") == batch_id).limit(1).count():
             return
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(facts)
+        batch.write.mode("overwrite").parquet(f"{facts}/batch_id={batch_id}")
         spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("append").parquet(receipts)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingested(spark: SparkSession, facts: str, receipts: str) -> DataFrame:
+    """The facts of the batches that have a receipt."""
+    done = spark.read.schema("batch_id long").parquet(receipts)
+    rows = spark.read.option("basePath", facts).parquet(facts)
+    return rows.withColumn("batch_id", F.col("batch_id").cast("long")).join(done.distinct(), "batch_id", "left_semi")
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
