@@ -210,46 +210,89 @@ def split_bytes_udf(texts: pd.Series, limits: pd.Series) -> pd.Series:
     return pd.Series([split_bytes(t or "", int(n)) for t, n in zip(texts, limits)], dtype=object)
 
 
-def epub_types(markup: Column) -> Column:
-    """The distinct type tokens of a document's elements, lower-cased."""
-    found = F.regexp_extract_all(markup, F.lit(r'(?i)epub:type\s*=\s*"([^"]*)"'), F.lit(1))
-    return F.array_distinct(F.filter(F.split(F.lower(F.array_join(found, " ")), r"\s+"), lambda t: t != ""))
+# What marks a chapter, front matter, back matter, licences and dividers. All are matched against lower-case
+# text; word edges are spelt out, as engines differ in what a word boundary is beyond ASCII.
+_BEFORE, _AFTER = r"(?:^|[^\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|$)"
+CHAPTER = (
+    _BEFORE + r"(?:chapter|letter|act|scene|book|part|prologue|epilogue|canto|stave|volume|глава|часть|книга|акт|сцена|том)" + _AFTER
+    + r"|(?:章|章节|卷|部|篇|幕|場|场)|^\s*(?:[ivxlcdm]+|\d+)\s*[.\):]"
+)
+FRONT_NAME = r"(?:cover|title.?page|halftitle|^toc|contents|copyright|colophon|imprint)"
+FRONT_LABEL = (
+    r"^\s*(?:contents|table of contents|list of illustrations|illustrations|title page|cover|copyright|"
+    r"frontispiece|dedication|acknowledg[\p{L}\p{N}_]*|note on the text|about the author)\s*$"
+)
+CAST = (
+    r"^\s*(?:(?:the\s+)?dramatis\s+person(?:ae|æ)|persons?\s+represented|list\s+of\s+(?:characters?|persons?|players?)|"
+    r"(?:principal|chief|main)\s+(?:characters?|persons?|players?)|(?:the\s+)?cast\s+of\s+characters|"
+    r"действующие\s+лица|список\s+персонажей|登場人物|登场人物|人物表)(?:[^\p{L}\p{N}_]|$)"
+)
+CAST_WHOLE = (
+    r"^\s*(?:(?:the\s+)?dramatis\s+person(?:ae|æ)|(?:the\s+)?persons?\s+(?:in|of)\s+the\s+(?:play|drama|story|novel)|"
+    r"characters?\s+(?:in|of)\s+the\s+(?:play|drama|novel|story|book)|(?:the\s+)?(?:characters?|persons?|players?)|"
+    r"(?:the\s+)?cast(?:\s+of\s+characters)?|about\s+the\s+(?:author|translator|edition))\s*$"
+)
+FRONT_LEAD = (
+    r"^\s*(?:(?:introduction|preface|foreword)(?:[^\p{L}\p{N}_]|$)|"
+    r"(?:an?\s+)?(?:prefatory|editorial|publisher['’]?s?|author['’]?s?)\s+(?:note|introduction|preface)|"
+    r"(?:translator|editor)['’]?s?\s+(?:note|introduction|preface|foreword)|(?:a\s+)?notes?\s+on\s+the\s+(?:text|translation|edition))"
+)
+BACK_LABEL = r"^\s*(?:afterword|appendix|appendices|endnotes|rear\s*notes|glossary|bibliography|errata|index\s*$)"
+LICENCE = r"(?:end of (?:the|this) project gutenberg|project gutenberg.{0,6}license|section 1\.\s*general terms)"
+START = r"start of (?:the|this) project gutenberg"
+DIVIDER = (
+    r"^\s*(?:part|book|volume|section|canto|stave|часть|книга|том)(?:[\s.:—–-]+|$)(?:the\s+)?"
+    r"(?:\d+|(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|"
+    r"first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|eleventh|twelfth)?[.:]?\s*$"
+)
+DIVIDER_WORDS = 200
+MATTER = ("frontmatter", "backmatter", "bodymatter")
+FRONT_TYPES = (
+    "titlepage", "halftitlepage", "imprint", "dedication", "epigraph", "foreword", "preface", "introduction", "preamble", "toc", "cover",
+    "dramatis-personae", "z3998:dramatis-personae",
+)
+BACK_TYPES = ("colophon", "appendix", "afterword", "endnotes", "rearnotes", "loi")
+BODY_TYPES = ("chapter", "part", "division", "volume", "prologue", "epilogue", "scene", "z3998:scene")
 
 
-# Fixed patterns: what marks a chapter, front matter, back matter and dividers.
-CHAPTER = r"(?i)\b(chapter|letter|act|scene|book|part|prologue|epilogue|canto|stave|volume)\b|^\s*(?:[ivxlcdm]+|\d+)\s*[.\):]"
-FRONT_NAME = r"(?i)(cover|title.?page|halftitle|^toc|contents|copyright|colophon|imprint)"
-FRONT_LABEL = r"(?i)^\s*(contents|table of contents|list of illustrations|illustrations|title page|cover|copyright|frontispiece|dedication|acknowledg\w*|note on the text|about the author|introduction\b.*|preface\b.*|foreword\b.*)\s*$"
-CAST = r"(?i)^\s*(?:(?:the\s+)?dramatis\s+person(?:ae|æ)|persons?\s+represented|list\s+of\s+(?:characters?|persons?|players?))"
-BACK_LABEL = r"(?i)^\s*(?:afterword|appendix|appendices|endnotes|rear\s*notes|glossary|bibliography|errata|index\s*$)"
-LICENCE = r"(?i)(END OF (THE|THIS) PROJECT GUTENBERG|PROJECT GUTENBERG.{0,6}LICENSE|Section 1\.\s*General Terms)"
-START = r"(?i)START OF (THE|THIS) PROJECT GUTENBERG"
-DIVIDER = r"(?i)^\s*(part|book|volume|section|canto|stave)\b[\s.:—–-]*(the\s+)?(\d+|[xlvi]+|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|eleventh|twelfth)?[.:]?\s*$"
+def _either(label: Column, heading: Column | None, pattern: str) -> Column:
+    """Whether a document's label in the table of contents, or its own heading, has the pattern."""
+    of = lambda c: F.coalesce(F.lower(c).rlike(pattern), F.lit(False))
+    return of(label) if heading is None else of(label) | of(heading)
 
 
-def classify(name: Column, text: Column, label: Column, epub_types: Column | None = None) -> Column:
-    """front, back or body, by the first signal that applies."""
+def is_chapter(label: Column, heading: Column | None = None) -> Column:
+    return _either(label, heading, CHAPTER)
+
+
+def classify(name: Column, text: Column, label: Column, epub_types: Column | None = None, heading: Column | None = None, is_nav: Column | None = None, in_guide: Column | None = None) -> Column:
+    """front, back or body by the first signal that decides: the document's own types, then the package's
+    (navigation, guide), then what the text, the labels and the file's name say. Labels that
+    mark a chapter keep a document from being taken for an introduction or an appendix."""
     types = epub_types if epub_types is not None else F.array().cast("array<string>")
-    has = lambda *names: F.arrays_overlap(types, F.array(*[F.lit(n) for n in names]))
-    chapter = label.rlike(CHAPTER)
-    # Type names of front, back and body matter.
-    return (
-        F.when(has("frontmatter"), "front")
-        .when(has("backmatter"), "back")
-        .when(has("bodymatter"), "body")
-        .when(has("titlepage", "dedication", "epigraph", "foreword", "preface", "introduction", "toc", "cover"), "front")
-        .when(has("colophon", "appendix", "afterword", "endnotes", "rearnotes", "loi"), "back")
-        .when(has("chapter", "part", "division", "volume", "prologue", "epilogue", "scene"), "body")
-        .when(F.left(text, F.lit(4_000)).rlike(START), "front")
-        .when(label.rlike(CAST), "front")
-        .when(text.rlike(LICENCE), F.when(chapter, "body").otherwise("back"))
-        .when(name.rlike(FRONT_NAME), "front")
-        .when(chapter, "body")
-        .when(label.rlike(FRONT_LABEL), "front")
-        .when(label.rlike(BACK_LABEL), "back")
-        .otherwise("body")
-    )
-
-
-def is_divider(n_words: Column, label: Column) -> Column:
-    return (n_words < 200) & label.rlike(DIVIDER)
+    has = lambda *names: F.coalesce(F.arrays_overlap(types, F.array(*[F.lit(n) for n in names])), F.lit(False))
+    given = lambda c: F.lit(False) if c is None else F.coalesce(c, F.lit(False))
+    labelled = lambda *patterns: _either(label, heading, "|".join(patterns))
+    low = F.lower(F.coalesce(text, F.lit("")))
+    chapter = is_chapter(label, heading)
+    signals = (
+        (has("frontmatter"), "front"), (has("backmatter"), "back"), (has("bodymatter"), "body"),
+        (has(*FRONT_TYPES), "front"), (has(*BACK_TYPES), "back"), (has(*BODY_TYPES), "body"),
+        (given(is_nav) | given(in_guide), "front"),
+        (F.left(low, F.lit(4_000)).rlike(START), "front"),
+        (labelled(CAST), "front"),
+        (low.rlike(LICENCE), F.when(chapter, "body").otherwise("back")),
+        (F.coalesce(F.lower(F.regexp_extract(name, "[^/]*$", 0)).rlike(FRONT_NAME), F.lit(False)), "front"),
+        (chapter, "body"),
+        (labelled(FRONT_LABEL, CAST_WHOLE, FRONT_LEAD), "front"),
+        (labelled(BACK_LABEL), "back"),
+    )
+    out = F.lit("body")
+    for when, part in reversed(signals):
+        out = F.when(when, part).otherwise(out)
+    return out
+
+
+def is_divider(n_words: Column, label: Column, heading: Column | None = None) -> Column:
+    """A short page that bears nothing but the name of a part, which belongs to the chapter after it."""
+    return (n_words < DIVIDER_WORDS) & _either(label, heading, DIVIDER)

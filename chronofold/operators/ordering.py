@@ -27,12 +27,6 @@ def frontier(chapters: DataFrame, receipts: DataFrame) -> DataFrame:
     return rows.groupBy("book_id").agg(F.coalesce(F.max(F.when(F.col("bad") == 0, F.col("revealed_at"))), F.lit(0)).alias("frontier"))
 
 
-def fold_dividers(docs: DataFrame, divider: Column, by: str, order: str) -> DataFrame:
-    """Consecutive dividers join the chapter after them; a group's number is the count of chapters before it."""
-    before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return docs.withColumn("group_id", F.coalesce(F.sum((~divider).cast("int")).over(before), F.lit(0)))
-
-
 def debounce(rows: DataFrame, by: str, time: str, gap_seconds: float, tie: str) -> DataFrame:
     """Rows with no later row of the same key within the gap."""
     nxt = F.lead(time).over(Window.partitionBy(by).orderBy(time, tie))

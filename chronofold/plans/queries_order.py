@@ -130,14 +130,6 @@ def win_event_order(spark, sf):
     return events.select(F.posexplode("ids").alias("p", "event_id")).select("event_id", (F.col("p") + 1).cast("long").alias("order_idx"))
 
 
-@query("win_divider_fold", """, g AS (SELECT *, coalesce(sum(CASE WHEN char_len < 300 THEN 0 ELSE 1 END) OVER (PARTITION BY book_id ORDER BY revealed_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gid FROM chapters)
-SELECT book_id, CAST(gid AS BIGINT) AS group_id, string_agg(chapter_key, ' · ' ORDER BY revealed_at) AS label, CAST(sum(char_len) AS BIGINT) AS char_len FROM g GROUP BY 1, 2""")
-def win_divider_fold(spark, sf):
-    rows = O.fold_dividers(bind(spark, sf, "chapters"), F.col("char_len") < 300, "book_id", "revealed_at")
-    keys = F.transform(F.array_sort(F.collect_list(F.struct("revealed_at", "chapter_key"))), lambda x: x["chapter_key"])
-    return rows.groupBy("book_id", "group_id").agg(F.array_join(keys, " · ").alias("label"), F.sum("char_len").alias("char_len"))
-
-
 @query("win_body_window", """, m AS (SELECT *, min(CASE WHEN char_len >= 1000 THEN revealed_at END) OVER (PARTITION BY book_id) AS lo, max(CASE WHEN char_len >= 1000 THEN revealed_at END) OVER (PARTITION BY book_id) AS hi FROM chapters)
 SELECT chapter_key, CASE WHEN lo IS NULL OR revealed_at < lo THEN 'front' WHEN revealed_at > hi THEN 'back' ELSE 'body' END AS part FROM m""")
 def win_body_window(spark, sf):

@@ -33,16 +33,6 @@ def src_epub(spark, sf):
     return rows.select("path", F.col("position").cast("long").alias("position"), F.length(F.regexp_replace(body, r"\s", "")).cast("long").alias("letters"))
 
 
-@query("src_opf", BOOKS + "SELECT path, 'Book' AS title, 'en' AS language, count(*) AS spine FROM b GROUP BY 1")
-def src_opf(spark, sf):
-    return E.read(books(spark, sf)).groupBy("path", "title", "language").agg(F.count(F.lit(1)).alias("spine"))
-
-
-@query("src_toc", BOOKS + "SELECT path, 'OPS/c' || CAST(position - 1 AS VARCHAR) || '.xhtml' AS href, 'Chapter ' || CAST(position AS VARCHAR) AS label FROM b")
-def src_toc(spark, sf):
-    return E.read(books(spark, sf)).select("path", "href", "label")
-
-
 DRM = """SELECT DISTINCT 'book' || CAST(conv_id AS VARCHAR) AS path, CASE conv_id % 6 WHEN 2 THEN 'protected' WHEN 3 THEN 'protected' WHEN 4 THEN 'unsafe name' WHEN 5 THEN 'no end record' END AS error FROM conversations"""
 
 

@@ -205,46 +205,6 @@ def flt_book_id(spark, sf):
     return docs(spark, sf).select("doc_id", X.book_id_ok(raw).alias("ok"))
 
 
-SEG = r", p AS (SELECT page_id, url, html, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_replace(html, '<[^>]*>', ' ', 'g') AS body FROM pages) "
-
-
-def segments(spark, sf):
-    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return pages(spark, sf).select("page_id", "url", "html", title.alias("title"), F.regexp_replace("html", "<[^>]*>", " ").alias("body"))
-
-
-@query("seg_classify", SEG + f"SELECT page_id, CASE WHEN regexp_matches(left(body, 4000), '{X.START}') THEN 'front' WHEN regexp_matches(title, '{X.CAST}') THEN 'front' WHEN regexp_matches(body, '{X.LICENCE}') THEN CASE WHEN regexp_matches(title, '{X.CHAPTER}') THEN 'body' ELSE 'back' END WHEN regexp_matches(url, '{X.FRONT_NAME}') THEN 'front' WHEN regexp_matches(title, '{X.CHAPTER}') THEN 'body' WHEN regexp_matches(title, '{X.FRONT_LABEL}') THEN 'front' WHEN regexp_matches(title, '{X.BACK_LABEL}') THEN 'back' ELSE 'body' END AS part FROM p")
-def seg_classify(spark, sf):
-    return segments(spark, sf).select("page_id", X.classify(F.col("url"), F.col("body"), F.col("title")).alias("part"))
-
-
-@query("seg_divider", SEG + f"SELECT page_id, len(string_split_regex(trim(body), '\\s+')) < 200 AND regexp_matches(title, '{X.DIVIDER}') AS divider FROM p")
-def seg_divider(spark, sf):
-    n = F.size(F.split(F.trim("body"), r"\s+"))
-    return segments(spark, sf).select("page_id", X.is_divider(n, F.col("title")).alias("divider"))
-
-
-@query("seg_mode", "SELECT source, CASE WHEN count(*) > greatest(1, count(DISTINCT lang)) * 1.3 THEN 'anchor-driven' ELSE 'file-driven' END AS mode FROM documents GROUP BY 1")
-def seg_mode(spark, sf):
-    anchored = F.count(F.lit(1)) > F.greatest(F.lit(1), F.count_distinct("lang")) * 1.3
-    return docs(spark, sf).groupBy("source").agg(F.when(anchored, "anchor-driven").otherwise("file-driven").alias("mode"))
-
-
-@query("seg_linear", "SELECT page_id FROM pages WHERE page_id % 4 <> 0 OR page_id IN (SELECT doc_id FROM labels)")
-def seg_linear(spark, sf):
-    rows = pages(spark, sf).select("page_id")
-    toc = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("page_id"))
-    return rows.where("page_id % 4 <> 0").unionByName(rows.where("page_id % 4 = 0").join(toc, "page_id", "left_semi"))
-
-
-@query("seg_flags", SEG + ", f AS (SELECT page_id % 10 AS book, CASE WHEN title = '' THEN 'coverage gap' WHEN length(body) < 400 THEN 'ambiguous front' END AS flag FROM p) SELECT book, string_agg(DISTINCT flag, '|' ORDER BY flag) AS flags, bool_or(coalesce(flag = 'coverage gap', false)) AS gating FROM f GROUP BY 1")
-def seg_flags(spark, sf):
-    flag = F.when(F.col("title") == "", "coverage gap").when(F.length("body") < 400, "ambiguous front")
-    rows = segments(spark, sf).select((F.col("page_id") % 10).alias("book"), flag.alias("flag"))
-    got = F.array_join(F.sort_array(F.collect_set("flag")), "|")
-    return rows.groupBy("book").agg(F.nullif(got, F.lit("")).alias("flags"), F.bool_or(F.coalesce(F.col("flag") == "coverage gap", F.lit(False))).alias("gating"))
-
-
 @query("math_offset", "SELECT event_id, CAST(CASE WHEN k > 98 THEN NULL WHEN k % 10 = 0 THEN 1000 * k ELSE floor(1000 * k + (least(greatest(event_id % 12, 1), k % 10) - 1) * 1000 / (k % 10)) END AS BIGINT) AS pos FROM reports")
 def math_offset(spark, sf):
     page = F.least(F.greatest(F.col("event_id") % 12, F.lit(1)), F.col("k") % 10)
@@ -306,9 +266,3 @@ def src_html_text(spark, sf):
     return pages(spark, sf).select("page_id", F.length(body).cast("long").alias("n"), F.regexp_extract("html", r"(?is)<h[1-3][^>]*>(.*?)</h[1-3]>", 1).alias("heading"))
 
 
-@query("src_epubtype", r"""SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(array_to_string(regexp_extract_all(html, '(?i)epub:type\s*=\s*"([^"]*)"', 1), ' ')), '\s+'), lambda t: t <> ''))), ' ') AS types,
- array_to_string(list_sort(list_distinct(regexp_extract_all(html, '<(body|section|article)\b', 1))), ' ') AS elements FROM pages""")
-def src_epubtype(spark, sf):
-    """Type tokens of a page's elements, and the elements that may carry them."""
-    found = F.regexp_extract_all("html", F.lit(r"<(body|section|article)\b"), F.lit(1))
-    return pages(spark, sf).select("page_id", joined(F.array_sort(X.epub_types(F.col("html")))).alias("types"), joined(F.array_sort(F.array_distinct(found))).alias("elements"))
