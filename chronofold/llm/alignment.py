@@ -61,11 +61,11 @@ def _byte_of_character() -> dict[str, int]:
 class Side:
     """A tokenizer's ids of texts, and each id's bytes."""
 
-    def __init__(self, encode, tokens: list[bytes]):
+    def __init__(self, encode, tokens: list[bytes], end: bytes):
         self.encode, self.tokens = encode, tokens
         self.lengths = np.array([len(t) for t in tokens], np.int64)
-        names = [str(i).encode() for i in range(len(tokens))]
-        self.comma = np.array([n + b"," for n in names], object)
+        # Each id as text followed by a comma, and after these each id with what ends its group's part: "|" in A, ";" in B.
+        self.names = np.array([b"%d%s" % (i, sign) for sign in (b",", end) for i in range(len(tokens))], object)
 
     def restores(self, ids: list[int], text: bytes) -> bool:
         return b"".join(map(self.tokens.__getitem__, ids)) == text
@@ -102,19 +102,14 @@ def sides(path: str) -> tuple[Side, Side]:
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         tokens_b.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode())
-    return Side(encode_a, tokens_a), Side(lambda texts: model.encode(texts, num_threads=1), tokens_b)
+    return Side(encode_a, tokens_a, b"|"), Side(lambda texts: model.encode(texts, num_threads=1), tokens_b, b";")
 
 
-def intervals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The owners (token numbers) in A and in B of each elementary interval."""
+def intervals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The owners (token numbers) in A and in B of each elementary interval, and whether it closes a group."""
     ends = np.union1d(ends_a, ends_b)
-    return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
-
-
-def group_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each group the number of A's tokens, and of B's, up to its end."""
-    shared = np.intersect1d(ends_a, ends_b)
-    return np.searchsorted(ends_a, shared, "right"), np.searchsorted(ends_b, shared, "right")
+    left, right = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+    return left, right, (ends_a[left] == ends) & (ends_b[right] == ends)
 
 
 def products(up_a: np.ndarray, up_b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -136,15 +131,14 @@ def products(up_a: np.ndarray, up_b: np.ndarray) -> Iterator[tuple[np.ndarray, n
 
 
 def groups_text(a: np.ndarray, b: np.ndarray, up_a: np.ndarray, up_b: np.ndarray, one: Side, two: Side) -> bytes:
-    """Groups as text: ``a1,a2|b1;a3|b2,b3``."""
+    """Groups as text: ``a1,a2|b1;a3|b2,b3``. ``up_a`` and ``up_b`` are the numbers of tokens up to each group's end."""
+    n_a, n_b = np.diff(up_a, prepend=0), np.diff(up_b, prepend=0)
     out = np.empty(len(a) + len(b), object)
-    group_a = np.repeat(np.arange(len(up_a)), np.diff(up_a, prepend=0))
-    group_b = np.repeat(np.arange(len(up_b)), np.diff(up_b, prepend=0))
-    at_a = np.arange(len(a)) + np.r_[0, up_b][group_a]
-    at_b = np.arange(len(b)) + up_a[group_b]
-    out[at_a], out[at_b] = one.comma[a], two.comma[b]
-    for at, names, sign in ((at_a[up_a - 1], a[up_a - 1], b"|"), (at_b[up_b - 1], b[up_b - 1], b";")):
-        out[at] = [b"%d%s" % (i, sign) for i in names.tolist()]
+    for ids, up, n, before, side in ((a, up_a, n_a, up_b - n_b, one), (b, up_b, n_b, up_a, two)):
+        at = np.arange(len(ids)) + np.repeat(before, n)  # after the other side's tokens of the groups before
+        names = ids.copy()
+        names[up - 1] += len(side.tokens)
+        out[at] = side.names[names]
     return b"".join(out.tolist())[:-1]
 
 
@@ -162,8 +156,9 @@ def encoded(docs: DataFrame, path: str = TOKENIZERS, links: str = "overlap", dig
         if not (text and one.restores(ids[0], b" " + text) and two.restores(ids[1], b" " + text)):
             return 0, 0, 0, 0, "", [], [], []
         ends_a, ends_b = np.cumsum(one.lengths[a]), np.cumsum(two.lengths[b])
-        up_a, up_b = group_ends(ends_a, ends_b)
-        blocks = [intervals(ends_a, ends_b)] if links == "overlap" else products(up_a, up_b)
+        left, right, closes = intervals(ends_a, ends_b)
+        up_a, up_b = left[closes] + 1, right[closes] + 1
+        blocks = [(left, right)] if links == "overlap" else products(up_a, up_b)
         keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for left, right in blocks:
             found, n = np.unique(a[left] * len(two.tokens) + b[right], return_counts=True)
