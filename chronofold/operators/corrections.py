@@ -1,4 +1,5 @@
-"""Corrections of identities as of a point in the story: splits with complete maps, and guarded replacements.
+"""Corrections of identities as of a point in the story: replacements and merges that carry all dependents, splits
+with complete maps, and guarded names.
 
 Rows are live at ``at`` when they were revealed before it, have not ended by it and are
 not retracted. A correction ends the source at ``at`` and gives what hangs on it to new
@@ -7,7 +8,9 @@ identities from there on, so that earlier bookmarks read what they always read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass, replace
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -79,3 +82,150 @@ def replacement_outcomes(requests: DataFrame, entities: DataFrame, receipts: Dat
         .otherwise("replaced")
     )
     return rows.select("request_id", outcome.alias("outcome"))
+
+
+@dataclass(frozen=True)
+class Story:
+    """The tables that an identity's dependents are in."""
+
+    entities: DataFrame
+    aliases: DataFrame
+    edges: DataFrame
+    events: DataFrame
+    participants: DataFrame
+    states: DataFrame
+
+
+def _seen(at: int, ends: bool = True) -> Column:
+    """Revealed by ``at`` (not only before it), standing and, where it can end, not ended."""
+    ok = F.col("retracted_at").isNull() & (F.col("revealed_at") <= at)
+    return ok & (F.col("invalid_at").isNull() | (F.col("invalid_at") > at)) if ends else ok
+
+
+ROW = ("kind", "source", "target", "id", "text", "label", "src", "dst", "until")
+
+
+def _row(df: DataFrame, kind: str, **given: Column) -> DataFrame:
+    none = F.lit(None).cast("string")
+    given = {"kind": F.lit(kind), "source": F.col("source"), "target": F.col("target")} | given
+    return df.select(*[given.get(c, none).cast("int" if c == "until" else "string").alias(c) for c in ROW])
+
+
+def inventory(story: Story, remap: DataFrame, at: int) -> DataFrame:
+    """All that hangs on the sources of ``remap`` (``old_id, new_id``) at ``at``: ``kind, source, target, id, text, label,
+    src, dst, until``, a row each. An edge is one row per source at its ends, already led to the targets; of
+    states the current one counts; edges need both ends, participations their event."""
+    to = remap.select(F.col("old_id").alias("source"), F.col("new_id").alias("target"))
+    of = lambda df: df.join(to, F.col("entity_id") == F.col("source"))
+    own = _row(of(story.entities.where(live(at))), "entity", id=F.col("entity_id"), text=F.col("canonical_name"), label=F.col("type"))
+    names = _row(of(story.aliases.where(_seen(at, False))), "alias", id=F.col("alias_id"), text=F.col("surface"))
+
+    ends = story.entities.where(_seen(at)).select("entity_id")
+    edges = story.edges.where(_seen(at))
+    for c in ("src", "dst"):
+        edges = edges.join(ends.withColumnRenamed("entity_id", f"{c}_entity"), f"{c}_entity", "left_semi")
+        edges = edges.join(to.select(F.col("source").alias(f"{c}_entity"), F.col("target").alias(f"{c}_to")), f"{c}_entity", "left")
+    edges = edges.where("src_to is not null or dst_to is not null")
+    touched = F.array_compact(F.array(*[F.when(F.col(f"{c}_to").isNotNull(), F.struct(F.col(f"{c}_entity").alias("source"), F.col(f"{c}_to").alias("target"))) for c in ("src", "dst")]))
+    edges = edges.select("*", F.explode(F.array_distinct(touched)).alias("own")).select("*", "own.source", "own.target")
+    moved = {c: F.coalesce(f"{c}_to", f"{c}_entity") for c in ("src", "dst")}
+    relations = _row(edges, "edge", id=F.col("edge_id"), text=F.col("rel_type"), label=F.col("label"), until=F.col("invalid_at"), **moved)
+
+    shown = story.events.where(_seen(at)).select("event_id")
+    people = of(story.participants.where(F.col("revealed_at") <= at).join(shown, "event_id", "left_semi"))
+    roles = _row(people, "participant", id=F.col("event_id"), text=F.col("role"))
+
+    newest = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("revealed_at"), F.desc("state_id")))
+    states = story.states.where(_seen(at)).join(to, F.col("entity_id") == F.col("source")).withColumn("n", newest).where("n = 1")
+    current = _row(states, "state", id=F.col("state_id"), text=F.col("status_json"))
+    return own.unionByName(names).unionByName(relations).unionByName(roles).unionByName(current)
+
+
+def _refuse(rows: DataFrame, why: str) -> None:
+    found = rows.limit(1).collect()
+    if found:
+        raise ValueError(f"{why}: {found[0][0]}")
+
+
+def correct(story: Story, remap: DataFrame, at: int, *, roles: DataFrame | None = None, states: DataFrame | None = None) -> DataFrame:
+    """The change log ``op, kind, id, entity, text, label, src, dst, until`` of corrections at ``at``: sources end, targets and all
+    their dependents are added.
+
+    ``remap``: ``old_id, new_id, new_name``; a target with several sources is a merge, one with a single source a
+    replacement. Former names become aliases, each spelling once and none like the new name. A merge's edges
+    lose loops and repeats; its roles must agree, or be settled by ``roles`` (``target, event_id, role``); its state is the one
+    given in ``states`` (``target, status_json``), a replacement keeps the current one. Refused: sources that are not
+    live, an empty name or several, the name it had, types that differ, roles that differ, roles for events that
+    no source has.
+    """
+    df = remap.sparkSession.createDataFrame
+    found = story.entities.where(live(at)).select(F.col("entity_id").alias("old_id"), "canonical_name", "type")
+    _refuse(remap.join(found, "old_id", "left_anti").select("old_id"), "a source is not live")
+    _refuse(remap.groupBy("old_id").count().where("count > 1").select("old_id"), "a source has two targets")
+    of = remap.join(found, "old_id").groupBy("new_id").agg(
+        F.count(F.lit(1)).alias("sources"), F.count_distinct("type").alias("types"), F.first("type").alias("type"), F.count_distinct(F.trim("new_name")).alias("names"),
+        F.trim(F.first("new_name", True)).alias("name"), F.first(F.lower(F.trim("canonical_name"))).alias("had"),
+    )
+    _refuse(of.where("coalesce(name, '') = '' or names > 1").select("new_id"), "a target needs one name")
+    _refuse(of.where("types > 1").select("new_id"), "sources of different types")
+    _refuse(of.where((F.col("sources") == 1) & (F.col("had") == F.lower("name"))).select("new_id"), "the name is the one it had")
+
+    rows = inventory(story, remap, at).join(of.select(F.col("new_id").alias("target"), (F.col("sources") > 1).alias("merge"), "name", F.col("type").alias("kept")), "target")
+    roles = df([], "target string, event_id string, role string") if roles is None else roles.select("target", F.col("event_id").cast("string").alias("event_id"), "role")
+    told = rows.where("kind = 'participant'").groupBy("target", F.col("id").alias("event_id")).agg(
+        F.array_sort(F.collect_set("text")).alias("roles"), F.bool_or("merge").alias("merge")
+    )
+    _refuse(roles.join(told, ["target", "event_id"], "left_anti").select("event_id"), "a role for an unknown event")
+    told = told.join(roles, ["target", "event_id"], "left")
+    _refuse(told.where(F.col("merge") & F.col("role").isNull() & (F.size("roles") > 1)).select("event_id"), "an event has conflicting roles")
+    played = told.select("target", "event_id", F.explode(F.when(F.col("role").isNotNull(), F.array("role")).otherwise(F.col("roles"))).alias("role"))
+
+    none = F.lit(None).cast("string")
+
+    def log(frame: DataFrame, op: str, kind: str, **given: Column) -> DataFrame:
+        given = {"op": F.lit(op), "kind": F.lit(kind), "entity": F.col("target")} | given
+        return frame.select(*[given.get(c, none).cast("int" if c == "until" else "string").alias(c) for c in LOG])
+
+    sources = rows.where("kind = 'entity'")
+    out = log(sources, "end", "entity", id=F.col("id"), until=F.lit(at))
+    out = out.unionByName(log(sources.select("target", "name", "kept").distinct(), "add", "entity", id=F.col("target"), text=F.col("name"), label=F.col("kept")))
+    spelt = rows.where("kind in ('entity', 'alias')").where(F.lower("text") != F.lower("name"))
+    first = F.min(F.struct(F.when(F.col("kind") == "entity", 0).otherwise(1).alias("k"), "id", "text"))
+    spelt = spelt.groupBy("target", F.lower("text").alias("key")).agg(first.alias("f"))
+    out = out.unionByName(log(spelt, "add", "alias", id=F.col("f.id"), text=F.col("f.text")))
+    # An edge between two targets is one edge; a merge's equal edges are one too.
+    moved = rows.where("kind = 'edge'").groupBy("id", "src", "dst", "text", "label", "until").agg(F.bool_or("merge").alias("merge"), F.min("target").alias("target"))
+    moved = moved.where(~F.col("merge") | (F.col("src") != F.col("dst")))
+    moved = moved.groupBy("src", "dst", "text", "label", "until", F.when(F.col("merge"), "").otherwise(F.col("id")).alias("apart")).agg(F.min("id").alias("id"), F.min("target").alias("target"))
+    out = out.unionByName(log(moved, "add", "edge", **{c: F.col(c) for c in ("id", "text", "label", "src", "dst", "until")}))
+    out = out.unionByName(log(played, "add", "participant", id=F.col("event_id"), text=F.col("role")))
+    kept = rows.where("kind = 'state' and not merge").select("target", "id", "text")
+    if states is not None:
+        kept = kept.unionByName(states.join(of.where("sources > 1").select(F.col("new_id").alias("target")), "target").select("target", none.alias("id"), F.col("status_json").alias("text")))
+    return out.unionByName(log(kept, "add", "state", id=F.col("id"), text=F.col("text")))
+
+
+LOG = ("op", "kind", "id", "entity", "text", "label", "src", "dst", "until")
+
+
+def applied(story: Story, changes: DataFrame, at: int) -> Story:
+    """The story after a change log. What is added is revealed at ``at``; a continued edge or state has its source's number
+    negated, a new alias a hash of its identity and name."""
+    here, none, gone = F.lit(at).cast("int"), F.lit(None).cast("int"), F.lit(None).cast("timestamp")
+    add = lambda kind: changes.where((F.col("op") == "add") & (F.col("kind") == kind))
+    time = {"revealed_at": here, "invalid_at": none, "retracted_at": gone}
+
+    def joined(old: DataFrame, new: DataFrame, **given: Column) -> DataFrame:
+        given = time | given
+        return old.unionByName(new.select(*[given[f.name].cast(f.dataType).alias(f.name) for f in old.schema.fields]))
+
+    ended = changes.where("op = 'end'").select(F.col("id").alias("entity_id"), F.col("until").alias("_until"))
+    entities = story.entities.join(ended, "entity_id", "left").withColumn("invalid_at", F.coalesce("_until", "invalid_at")).select(*story.entities.columns)
+    return replace(
+        story,
+        entities=joined(entities, add("entity"), entity_id=F.col("entity"), canonical_name=F.col("text"), type=F.col("label")),
+        aliases=joined(story.aliases, add("alias"), alias_id=F.xxhash64("entity", "text"), entity_id=F.col("entity"), surface=F.col("text")),
+        edges=joined(story.edges, add("edge"), edge_id=-F.col("id").cast("long"), src_entity=F.col("src"), dst_entity=F.col("dst"), rel_type=F.col("text"), label=F.col("label"), invalid_at=F.col("until")),
+        participants=joined(story.participants, add("participant"), event_id=F.col("id"), entity_id=F.col("entity"), role=F.col("text")),
+        states=joined(story.states, add("state"), state_id=F.coalesce(-F.col("id").cast("long"), F.xxhash64("entity", "text")), entity_id=F.col("entity"), status_json=F.col("text")),
+    )

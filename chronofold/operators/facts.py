@@ -26,30 +26,6 @@ def supersede(versions: DataFrame, by: str, at: str = "at", order: str = "versio
     return versions.withColumn("invalid_at", nxt).where(F.col("invalid_at").isNull() | (F.col("invalid_at") > F.col(at)))
 
 
-def end_and_copy(entities: DataFrame, edges: DataFrame, remap: DataFrame, effective_at: int):
-    """Entity correction as of ``effective_at``: sources in ``remap`` (``old_id, new_id, new_name``) end there
-    and what hangs on them is copied to the new identity from there on; the past stays as it was. Self
-    loops and repeated edges that a merge makes are dropped."""
-    at = F.lit(effective_at)
-    hit = entities.join(remap, entities["entity_id"] == remap["old_id"], "left")
-    live = F.col("old_id").isNotNull() & F.col("retracted_at").isNull() & (F.col("revealed_at") < at) & (F.col("invalid_at").isNull() | (F.col("invalid_at") > at))
-    closed = hit.withColumn("invalid_at", F.when(live, at).otherwise(F.col("invalid_at"))).select(*entities.columns)
-    fresh = hit.where(live).groupBy("new_id").agg(F.min("new_name").alias("canonical_name"), F.min("type").alias("type"))
-    fresh = fresh.select(F.col("new_id").alias("entity_id"), "canonical_name", "type", at.cast("int").alias("revealed_at"), F.lit(None).cast("int").alias("invalid_at"), F.lit(None).cast("timestamp").alias("retracted_at"))
-
-    a = remap.select(F.col("old_id").alias("a_old"), F.col("new_id").alias("a_new"))
-    b = remap.select(F.col("old_id").alias("b_old"), F.col("new_id").alias("b_new"))
-    e = edges.join(a, F.col("src_entity") == F.col("a_old"), "left").join(b, F.col("dst_entity") == F.col("b_old"), "left")
-    touched = (F.col("a_old").isNotNull() | F.col("b_old").isNotNull()) & F.col("retracted_at").isNull() & (F.col("revealed_at") < at) & (F.col("invalid_at").isNull() | (F.col("invalid_at") > at))
-    ended = e.withColumn("invalid_at", F.when(touched, at).otherwise(F.col("invalid_at"))).select(*edges.columns)
-    moved = e.where(touched).select(
-        "edge_id", F.coalesce("a_new", "src_entity").alias("src_entity"), F.coalesce("b_new", "dst_entity").alias("dst_entity"), "rel_type", "label",
-        at.cast("int").alias("revealed_at"), "invalid_at", "retracted_at",
-    )
-    moved = moved.where("src_entity <> dst_entity").groupBy("src_entity", "dst_entity", "rel_type", "label", "revealed_at", "invalid_at", "retracted_at").agg((-F.min("edge_id")).alias("edge_id"))
-    return closed.unionByName(fresh), ended.unionByName(moved)
-
-
 def connected(names: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``id, root`` (the least id) of what shared names (``id, key``) connect. A round passes the least root of
     each name on to all that bear it (minima are pre-aggregated), and then each root's own root; it is

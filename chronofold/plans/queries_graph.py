@@ -63,25 +63,42 @@ def gr_shortest_path(spark, sf):
     return K.shortest_paths(r, start or "", 3)
 
 
-REMAP = [("c1", "n1", "One"), ("c2", "n1", "One"), ("c4", "n4", "Four")]
-COR = f""", m AS (SELECT * FROM (VALUES ('c1', 'n1', 'One'), ('c2', 'n1', 'One'), ('c4', 'n4', 'Four')) v(old_id, new_id, new_name)),
-le AS (SELECT e.*, m.new_id, m.new_name FROM entities e JOIN m ON m.old_id = e.entity_id WHERE retracted_at IS NULL AND revealed_at < 40 AND (invalid_at IS NULL OR invalid_at > 40)),
-ce AS (SELECT entity_id, canonical_name, revealed_at, CASE WHEN entity_id IN (SELECT entity_id FROM le) THEN 40 ELSE invalid_at END AS invalid_at FROM entities WHERE entity_id IN ('c1', 'c2', 'c3', 'c4', 'c5')
- UNION ALL SELECT new_id, min(new_name), 40, NULL FROM le GROUP BY 1),
-te AS (SELECT e.edge_id, coalesce(a.new_id, src_entity) AS src_entity, coalesce(b.new_id, dst_entity) AS dst_entity, rel_type, label, invalid_at FROM edges e LEFT JOIN m a ON a.old_id = src_entity LEFT JOIN m b ON b.old_id = dst_entity
- WHERE (a.old_id IS NOT NULL OR b.old_id IS NOT NULL) AND retracted_at IS NULL AND revealed_at < 40 AND (invalid_at IS NULL OR invalid_at > 40)),
-me AS (SELECT src_entity, dst_entity, rel_type, label, invalid_at, -min(edge_id) AS edge_id FROM te WHERE src_entity <> dst_entity GROUP BY 1, 2, 3, 4, 5) """
-
-
-def corrected(spark, sf):
-    remap = spark.createDataFrame(REMAP, "old_id string, new_id string, new_name string")
-    return K.end_and_copy(bind(spark, sf, "entities"), bind(spark, sf, "edges"), remap, 40)
-
-
-@query("cor_replace", COR + "SELECT entity_id, canonical_name, revealed_at, invalid_at FROM ce")
+# Every live customer under a new name, or all of a nation and market segment as one.
+COR = """, m AS ({remap}), le AS (SELECT e.*, m.new_id, m.new_name FROM entities e JOIN m ON m.old_id = e.entity_id),
+se AS (SELECT entity_id FROM entities WHERE retracted_at IS NULL AND revealed_at <= 40 AND (invalid_at IS NULL OR invalid_at > 40)),
+al AS (SELECT new_id, new_name, 0 AS k, entity_id AS id, canonical_name AS text FROM le UNION ALL SELECT m.new_id, m.new_name, 1, CAST(a.alias_id AS VARCHAR), a.surface FROM aliases a JOIN m ON m.old_id = a.entity_id WHERE a.retracted_at IS NULL AND a.revealed_at <= 40),
+ed AS (SELECT e.edge_id, coalesce(a.new_id, src_entity) AS src, coalesce(b.new_id, dst_entity) AS dst, rel_type, label, invalid_at, coalesce(a.new_id, b.new_id) AS target FROM edges e LEFT JOIN m a ON a.old_id = src_entity LEFT JOIN m b ON b.old_id = dst_entity
+ WHERE (a.old_id IS NOT NULL OR b.old_id IS NOT NULL) AND retracted_at IS NULL AND revealed_at <= 40 AND (invalid_at IS NULL OR invalid_at > 40) AND src_entity IN (SELECT entity_id FROM se) AND dst_entity IN (SELECT entity_id FROM se)),
+pa AS (SELECT DISTINCT p.event_id, m.new_id, p.role FROM participants p JOIN m ON m.old_id = p.entity_id JOIN events_ v ON v.event_id = p.event_id WHERE p.revealed_at <= 40 AND v.revealed_at <= 40 AND v.retracted_at IS NULL AND (v.invalid_at IS NULL OR v.invalid_at > 40)),
+st AS (SELECT m.new_id, s.state_id, s.status_json FROM states s JOIN m ON m.old_id = s.entity_id WHERE s.retracted_at IS NULL AND s.revealed_at <= 40 AND (s.invalid_at IS NULL OR s.invalid_at > 40)
+ QUALIFY row_number() OVER (PARTITION BY s.entity_id ORDER BY s.revealed_at DESC, s.state_id DESC) = 1)
+SELECT 'end' AS op, 'entity' AS kind, entity_id AS id, new_id AS entity, NULL AS text, NULL AS label, NULL AS src, NULL AS dst, 40 AS until FROM le
+UNION ALL SELECT DISTINCT 'add', 'entity', new_id, new_id, new_name, type, NULL, NULL, NULL FROM le
+UNION ALL SELECT 'add', 'alias', id, new_id, text, NULL, NULL, NULL, NULL FROM al WHERE lower(text) <> lower(new_name) QUALIFY row_number() OVER (PARTITION BY new_id, lower(text) ORDER BY k, id, text) = 1
+UNION ALL {edges}
+UNION ALL SELECT 'add', 'participant', CAST(event_id AS VARCHAR), new_id, role, NULL, NULL, NULL, NULL FROM pa {states}"""
+LIVE_40 = "e.type = 'character' AND e.retracted_at IS NULL AND e.revealed_at < 40 AND (e.invalid_at IS NULL OR e.invalid_at > 40)"
+EDGE = "SELECT 'add', 'edge', {id}, {target}, rel_type, label, src, dst, invalid_at FROM ed"
+
+
+def story(spark, sf):
+    return C.Story(*[bind(spark, sf, n) for n in ("entities", "aliases", "edges", "events_", "participants", "states")])
+
+
+def remapped(spark, sf, new_id, new_name):
+    """Corrections of all customers that are live at 40."""
+    c = spark.read.parquet(f"{sf}/customer.parquet").withColumn("old_id", F.concat(F.lit("c"), F.col("c_custkey").cast("string")))
+    alive = bind(spark, sf, "entities").where(C.live(40)).select(F.col("entity_id").alias("old_id"))
+    return c.join(alive, "old_id", "left_semi").select("old_id", new_id.alias("new_id"), new_name.alias("new_name"))
+
+
+@query("cor_replace", COR.format(
+    remap=f"SELECT e.entity_id AS old_id, 'n' || substring(e.entity_id, 2) AS new_id, 'New ' || e.canonical_name AS new_name FROM entities e WHERE {LIVE_40}",
+    edges=EDGE.format(id="CAST(edge_id AS VARCHAR)", target="target"), states="UNION ALL SELECT 'add', 'state', CAST(state_id AS VARCHAR), new_id, status_json, NULL, NULL, NULL, NULL FROM st"))
 def cor_replace(spark, sf):
-    e = corrected(spark, sf)[0]
-    return e.where(F.col("entity_id").isin("c1", "c2", "c3", "c4", "c5", "n1", "n4")).select("entity_id", "canonical_name", "revealed_at", "invalid_at")
+    """New names at 40: names, edges, roles and current states are carried on, the past keeps the old ones."""
+    remap = remapped(spark, sf, F.concat(F.lit("n"), F.col("c_custkey").cast("string")), F.concat(F.lit("New "), "c_name"))
+    return C.correct(story(spark, sf), remap, 40)
 
 
 LIVE = "retracted_at IS NULL AND revealed_at < 60 AND (invalid_at IS NULL OR invalid_at > 60)"
@@ -122,9 +139,15 @@ def dml_replace_hosted(spark, sf):
     return C.replacement_outcomes(requests, bind(spark, sf, "entities"), receipts, 60)
 
 
-@query("cor_merge", COR + "SELECT edge_id, src_entity, dst_entity, rel_type, label FROM me")
+@query("cor_merge", COR.format(
+    remap=f"SELECT e.entity_id AS old_id, 'g' || CAST(c.c_nationkey AS VARCHAR) || c.c_mktsegment AS new_id, c.c_mktsegment || ' of ' || CAST(c.c_nationkey AS VARCHAR) AS new_name FROM entities e JOIN customer c ON 'c' || CAST(c.c_custkey AS VARCHAR) = e.entity_id WHERE {LIVE_40}",
+    edges=EDGE.format(id="min(CAST(edge_id AS VARCHAR))", target="min(target)") + ", (SELECT new_id, count(*) AS n FROM m GROUP BY 1) g WHERE g.new_id = target AND src <> dst GROUP BY rel_type, label, src, dst, invalid_at, CASE WHEN g.n = 1 THEN edge_id END",
+    states="UNION ALL SELECT 'add', 'state', CAST(state_id AS VARCHAR), st.new_id, status_json, NULL, NULL, NULL, NULL FROM st JOIN (SELECT new_id FROM m GROUP BY 1 HAVING count(*) = 1) o ON o.new_id = st.new_id"))
 def cor_merge(spark, sf):
-    return corrected(spark, sf)[1].where("edge_id < 0").select("edge_id", "src_entity", "dst_entity", "rel_type", "label")
+    """All customers of a nation and segment as one identity; loops and repeated edges go."""
+    nation = F.col("c_nationkey").cast("string")
+    remap = remapped(spark, sf, F.concat(F.lit("g"), nation, "c_mktsegment"), F.concat("c_mktsegment", F.lit(" of "), nation))
+    return C.correct(story(spark, sf), remap, 40)
 
 
 @query("cor_history", """, m AS (SELECT * FROM (VALUES (1, 'c1'), (1, 'c2'), (2, 'c3'), (2, 'c999999999')) v(cid, id))
