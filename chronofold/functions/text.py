@@ -47,6 +47,8 @@ mutter vater bruder schwester sohn tochter ehefrau ehemann
 мать отец брат сестра сын дочь жена муж монах священник
 母亲 父亲 哥哥 弟弟 姐姐 妹妹 儿子 女儿 妻子 丈夫
 """.split()
+# Determiners that begin a phrase but no name.
+DETERMINERS = "the a an this that these those his her their our my your".split()
 PRONOUNS = "i us we he she they me him them you it my".split()
 # Fixed patterns: sentence protection, clause joints, forward-looking phrases.
 ABBREVIATION = r"\b(Mr|Mrs|Ms|Dr|St|Mme|Mlle|Prof|Rev|Fr|Sr|Jr|Capt|Gen|Col|Lt)\."
@@ -82,6 +84,22 @@ def word_tokens(text: Column, least: int = 1) -> Column:
     return F.filter(words(F.lower(text)), lambda w: w.rlike(r"\p{L}") & (F.length(w) >= least))
 
 
+def is_proper(word: Column) -> Column:
+    """Whether a word is written as a name: its first cased letter is a capital, or it has two letters or more and none is cased."""
+    first = F.regexp_extract(word, r"[\p{Lu}\p{Ll}\p{Lt}]", 0)
+    bare = F.length(F.regexp_replace(word, r"[^\p{L}]", "")) >= 2
+    return F.when(first != "", first.rlike(r"[\p{Lu}\p{Lt}]")).otherwise(bare)
+
+
+def tokens(text: Column) -> Column:
+    """The words of a text in order, each as ``raw`` (lower-cased), ``folded``, ``content`` (counts as content) and ``proper``
+    (written as a name). Aligned, so that rules on written and on folded forms see the same word."""
+    low = lambda w: F.lower(w)
+    content = lambda w: low(w).rlike(r"\p{L}") & (F.length(w) >= 2) & ~low(w).isin(*STOPWORDS)
+    shape = lambda w: F.struct(low(w).alias("raw"), fold(low(w)).alias("folded"), content(w).alias("content"), (is_proper(w) & (F.length(w) >= 2)).alias("proper"))
+    return F.transform(words(F.coalesce(text, F.lit(""))), shape)
+
+
 def content_hash(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 

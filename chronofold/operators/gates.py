@@ -14,39 +14,103 @@ class LeakError(Exception):
     """Raised without naming what leaked."""
 
 
-def ground(recaps: DataFrame, facts: DataFrame, names: DataFrame) -> DataFrame:
-    """Per sentence of ``recaps`` (``recap_id, text``) its coverage by ``facts`` (``word``), names left out.
+def content_of(texts: DataFrame, text: str = "text") -> DataFrame:
+    """``word``: the folded content words of a column of texts."""
+    return texts.select(F.explode(X.tokens(F.col(text))).alias("t")).where("t.content").select(F.col("t.folded").alias("word")).distinct()
+
+
+def name_words(names: DataFrame, text: str = "text") -> DataFrame:
+    """The content words of names, without role nouns ("the eldest son" makes no name of "son")."""
+    roles = names.sparkSession.createDataFrame([(w,) for w in X.ROLE_NOUNS], "role string").select(X.fold(F.col("role")).alias("word"))
+    return content_of(names, text).join(F.broadcast(roles.distinct()), "word", "left_anti")  # the fixed list
 
-    ``verdict`` is hard below 0.15 or where a sentence says something of names alone, soft below 0.35, else
-    ok; a clause below 0.15 with a grave stem or a past form that the facts lack makes it hard too. The two
-    word tables are joined, not collected.
+
+def ground(recaps: DataFrame, facts: DataFrame, names: DataFrame) -> DataFrame:
+    """Per sentence of ``recaps`` (``recap_id, text``): ``n`` content words that are no names, ``hits`` of them in ``facts`` (``word``),
+    ``verdict`` and ``reason``. ``names``: ``word``, see ``name_words``.
+
+    ``hard``: a sentence of names alone (``name-only``: names and no content words, or all content words written as
+    names), coverage under 0.15 (``untraceable``), or a clause that is names and an auxiliary alone
+    (``clause-name-only``), or one under 0.15 with a grave stem that the facts lack or a past form whose folded word they lack
+    (``clause-event``). ``soft``: coverage under 0.35. ``ok`` otherwise, and ``empty`` without content words and names.
+    The word tables are joined, not collected, and each distinct word of the recaps is looked up once.
     """
     s = recaps.select("recap_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence"))
-    c = s.select("recap_id", "pos", "sentence", F.explode(F.concat(F.array("sentence"), X.clauses(F.col("sentence")))).alias("part"))
-    c = c.withColumn("whole", F.col("part") == F.col("sentence"))
-    w = c.select("recap_id", "pos", "part", "whole", F.explode_outer(X.content_words(F.col("part"))).alias("word"))
-    w = w.join(facts.select("word").distinct().withColumn("known", F.lit(True)), "word", "left")
-    w = w.join(names.select("word").distinct().withColumn("name", F.lit(True)), "word", "left")
-    plain = F.col("word").isNotNull() & F.col("name").isNull()
-    grave = plain & F.col("known").isNull() & X.has_event_stem(F.array("word"))
-    parts = w.groupBy("recap_id", "pos", "part", "whole").agg(
-        F.count_if(plain).alias("n"), F.count_if(plain & F.col("known").isNotNull()).alias("hits"),
-        F.count_if(F.col("name").isNotNull()).alias("named"), F.max(grave.cast("int")).alias("grave"),
+    c = s.select("recap_id", "pos", F.posexplode(F.concat(F.array("sentence"), X.clauses(F.col("sentence")))).alias("at", "part"))  # part 0 is the sentence
+    w = c.select("recap_id", "pos", "at", F.explode_outer(X.tokens(F.col("part"))).alias("t")).select("recap_id", "pos", "at", "t.*")
+    known = w.select(F.col("folded").alias("word")).distinct()
+    known = known.join(facts.select("word").distinct().withColumn("known", F.lit(True)), "word", "left")
+    known = known.join(names.select("word").distinct().withColumn("name", F.lit(True)), "word", "left")
+    w = w.join(known.withColumnRenamed("word", "folded"), "folded", "left").fillna(False, ["known", "name", "content", "proper"])
+
+    past = ~F.col("raw").isin(*X.STOPWORDS) & (F.length("raw") >= 4) & (F.col("raw").endswith("ed") | F.col("raw").isin(*X.IRREGULAR_PAST)) & ~F.col("known")
+    words = w.groupBy("recap_id", "pos", "at", "folded").agg(  # of each folded word once
+        F.bool_or("content").alias("content"), F.bool_or(F.col("content") & F.col("proper")).alias("proper"), F.first("known").alias("known"), F.first("name").alias("name"),
+        F.bool_or(F.coalesce(past, F.lit(False))).alias("past"), F.bool_or(F.coalesce(F.col("raw").isin(*X.AUXILIARY), F.lit(False))).alias("aux"),
     )
-    past = F.size(X.past_tense(X.words(F.lower("part")))) > 0
-    low = (F.col("n") > 0) & (F.col("hits") < HARD * F.col("n"))
-    bad = F.col("whole") & (low | ((F.col("n") == 0) & (F.col("named") > 0))) | ~F.col("whole") & low & ((F.col("grave") == 1) | past)
-    top = parts.groupBy("recap_id", "pos").agg(
-        F.max(bad.cast("int")).alias("hard"), F.max(F.when(F.col("whole"), F.col("n"))).alias("n"), F.max(F.when(F.col("whole"), F.col("hits"))).alias("hits"),
+    plain = F.col("content") & ~F.col("name")
+    grave = plain & ~F.col("known") & X.has_event_stem(F.array("folded"))
+    parts = words.groupBy("recap_id", "pos", "at").agg(
+        F.count_if(plain).alias("n"), F.count_if(plain & F.col("known")).alias("hits"), F.count_if(plain & ~F.col("proper")).alias("written_low"),
+        F.bool_or(F.col("content") & F.col("name")).alias("named"), F.bool_or("aux").alias("aux"), F.bool_or("past").alias("past"), F.bool_or(F.coalesce(grave, F.lit(False))).alias("grave"),
     )
-    verdict = F.when(F.col("hard") == 1, "hard").when((F.col("n") > 0) & (F.col("hits") < SOFT * F.col("n")), "soft").otherwise("ok")
-    return top.select("recap_id", "pos", "n", "hits", verdict.alias("verdict"))
-
-
-def future_words(texts: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Words of ``texts`` (``id, text``) that are not among ``allowed`` (``word``)."""
-    w = texts.select("id", F.explode(F.array_distinct(X.word_tokens(F.col("text"), 2))).alias("word"))
-    return w.join(allowed, "word", "left_anti")
+    none, low = F.col("n") == 0, F.col("hits") < HARD * F.col("n")
+    whole = (
+        F.when(none & ~F.col("named"), "empty").when(none, "name-only").when(F.col("written_low") == 0, "name-only").when(low, "untraceable")
+    )
+    clause = F.when(none & F.col("named") & F.col("aux"), "clause-name-only").when(~none & low & (F.col("grave") | F.col("past")), "clause-event")
+    of = lambda c: F.max(F.when(F.col("at") == 0, c))
+    hit = F.when((F.col("at") > 0) & clause.isNotNull(), clause)
+    top = parts.groupBy("recap_id", "pos").agg(of(F.col("n")).alias("n"), of(F.col("hits")).alias("hits"), of(whole).alias("whole"), F.min_by(hit, F.when(hit.isNotNull(), F.col("at"))).alias("clause"))
+    reason = F.coalesce("whole", "clause", F.when(F.col("hits") < SOFT * F.col("n"), "weak"))
+    verdict = F.when(reason.isNull(), "ok").when(reason == "empty", "empty").when(reason == "weak", "soft").otherwise("hard")
+    return top.select("recap_id", "pos", "n", "hits", verdict.alias("verdict"), reason.alias("reason"))
+
+
+def read_words(read: DataFrame) -> DataFrame:
+    """``word, named``: what a reader has read (``text``), and whether a word was seen as a name in mid-clause (after a
+    small letter, a comma or a semicolon; any name in scripts without case)."""
+    lead = F.array(*[F.lit(w) for w in X.DETERMINERS])
+    plain = read.select(F.explode(X.words(F.coalesce("text", F.lit("")))).alias("w"))
+    seen = plain.select(F.lower("w").alias("word"), (X.is_proper(F.col("w")) & ~F.col("w").rlike(r"[\p{Lu}\p{Ll}\p{Lt}]") & (F.length("w") >= 2)).alias("named"))
+    mid = read.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{Ll},;]\s+([\p{L}\p{M}\p{N}]+)"), F.lit(1))).alias("w"))
+    mid = mid.where(X.is_proper(F.col("w")) & (F.length("w") >= 2)).select(F.lower("w").alias("word"), (~F.array_contains(lead, F.lower("w"))).alias("named"))
+    return seen.unionByName(mid).groupBy("word").agg(F.bool_or("named").alias("named"))
+
+
+def future_names(things: DataFrame, read: DataFrame, bookmark: int) -> DataFrame:
+    """``kind, owner, word``: what may not be said at ``bookmark``. ``things``: ``kind`` (``entity``, ``alias``, ``theme``), ``owner, name,
+    revealed_at``; ``read``: see ``read_words``.
+
+    Of later things their names' words, without role nouns. A word goes that a visible thing has too and that was
+    read; that was read as a name; or that was read at all while its thing keeps a word that was not.
+    """
+    t = things.select("kind", "owner", "revealed_at", F.explode(X.tokens(F.col("name"))).alias("t")).where("t.proper").select("kind", "owner", "revealed_at", F.col("t.raw").alias("word"))
+    t = t.where(F.col("word").rlike(r"\p{L}"))
+    visible = t.where(F.col("revealed_at") <= bookmark).select("word").distinct().withColumn("visible", F.lit(True))
+    later = t.where((F.col("revealed_at") > bookmark) & ~F.col("word").isin(*X.ROLE_NOUNS)).select("kind", "owner", "word").distinct()
+    rows = later.join(read.withColumn("read", F.lit(True)), "word", "left").join(visible, "word", "left").fillna(False, ["read", "named", "visible"])
+    rows = rows.where(~(F.col("visible") & F.col("read")))
+    unread = rows.groupBy("kind", "owner").agg(F.count_if(~F.col("read")).alias("unread"))
+    rows = rows.join(unread, ["kind", "owner"]).where(~F.col("named"))
+    return rows.where(~(F.col("read") & (F.col("unread") > 0))).select("kind", "owner", "word")
+
+
+def score(recaps: DataFrame, facts: DataFrame, names: DataFrame, future: DataFrame) -> DataFrame:
+    """One verdict for each recap: ``future_names`` and ``future_themes`` (owners named too early), ``forward`` (forward-looking
+    phrases), ``hard`` and ``soft`` sentences, and ``verdict``: hard by a name, a phrase or a hard sentence, soft by a
+    theme or a soft sentence, else ok. ``future``: see ``future_names``."""
+    said = recaps.select("recap_id", F.explode(F.array_distinct(X.word_tokens(F.col("text")))).alias("word"))
+    hits = said.join(future, "word").groupBy("recap_id").agg(
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("kind") != "theme", F.col("owner")))), "|").alias("future_names"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("kind") == "theme", F.col("owner")))), "|").alias("future_themes"),
+    )
+    s = ground(recaps, facts, names).groupBy("recap_id").agg(F.count_if(F.col("verdict") == "hard").alias("hard"), F.count_if(F.col("verdict") == "soft").alias("soft"))
+    rows = recaps.select("recap_id", F.array_join(X.prolepsis(F.coalesce("text", F.lit(""))), "|").alias("forward"))
+    rows = rows.join(hits, "recap_id", "left").join(s, "recap_id", "left").fillna("", ["future_names", "future_themes"]).fillna(0, ["hard", "soft"])
+    bad = (F.col("future_names") != "") | (F.col("forward") != "") | (F.col("hard") > 0)
+    verdict = F.when(bad, "hard").when((F.col("future_themes") != "") | (F.col("soft") > 0), "soft").otherwise("ok")
+    return rows.select("recap_id", "future_names", "future_themes", "forward", "hard", "soft", verdict.alias("verdict"))
 
 
 def assert_clean(verdicts: DataFrame) -> None:

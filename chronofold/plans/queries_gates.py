@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from chronofold.functions import text as X
 from chronofold.operators import gates as G
-from chronofold.plans.queries_text import CONTENT, FOLD, STOP, W
+from chronofold.plans.queries_text import CONTENT, FOLD, PROPER, STOP, W
 from chronofold.operators.view import visible
 from chronofold.plans.registry import query
 from chronofold.plans.standins import bind
+from chronofold.sources.shared import settled
 
 BM = 24
 
@@ -44,19 +45,68 @@ def gate_coverage(spark, sf):
 
 
 
-@query("gate_ground")
-def gate_ground(spark, sf):
-    recaps = items(spark, sf).select(F.col("item_id").alias("recap_id"), "text")
-    names = spark.createDataFrame([("the",)], "word string")
-    return G.ground(recaps, fact_words(spark, sf), names)
+# Names are the first words of the titles of what has been read; facts its content words.
+GROUND = FACTS + ", rn AS (SELECT DISTINCT " + FOLD + " AS word FROM (SELECT unnest(" + repr(X.ROLE_NOUNS) + """) AS w) z),
+nm AS (SELECT DISTINCT """ + FOLD + r""" AS word FROM (SELECT lower(regexp_extract(title, '^[\p{L}\p{M}\p{N}]+')) AS w FROM chapters WHERE revealed_at <= 24 AND retracted_at IS NULL) z WHERE length(w) >= 2 AND regexp_matches(w, '\p{L}') AND w NOT IN """ + STOP + r""" AND """ + FOLD + r""" NOT IN (SELECT word FROM rn)),
+se AS (SELECT item_id, ss, unnest(range(len(ss))) AS pos FROM (SELECT item_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?…\n]+[.!?…]*'), lambda s: trim(s)), lambda s: s <> '') AS ss FROM benchmark)),
+pp AS (SELECT item_id, pos, list_concat([ss[pos + 1]], list_filter(list_transform(string_split_regex(ss[pos + 1], '[;:,()—]| – |\b(?:and|but|while|whereas|yet)\b'), lambda c: trim(c)), lambda c: c <> '')) AS ps FROM se),
+pa AS (SELECT item_id, pos, ps, unnest(range(len(ps))) AS at_ FROM pp),
+tk AS (SELECT item_id, pos, at_, unnest(""" + W.format("ps[at_ + 1]") + """) AS w0 FROM pa), tl AS (SELECT *, lower(w0) AS w FROM tk),
+tc AS (SELECT *, """ + FOLD + r""" AS f, regexp_matches(w, '\p{L}') AND length(w) >= 2 AND w NOT IN """ + STOP + " AS content, length(w) >= 2 AND " + PROPER.format("w0") + """ AS proper FROM tl),
+ta AS (SELECT item_id, pos, at_, f, bool_or(content) AS content, bool_or(content AND proper) AS proper, f IN (SELECT word FROM k) AS known, f IN (SELECT word FROM nm) AS name,
+ bool_or(w NOT IN """ + STOP + " AND length(w) >= 4 AND (w LIKE '%ed' OR w IN (SELECT unnest(" + repr(X.IRREGULAR_PAST) + ")))) AND f NOT IN (SELECT word FROM k) AS past, bool_or(w IN (SELECT unnest(" + repr(X.AUXILIARY) + """))) AS aux FROM tc GROUP BY item_id, pos, at_, f),
+tp AS (SELECT pa.item_id, pa.pos, pa.at_, count(*) FILTER (WHERE content AND NOT name) AS n, count(*) FILTER (WHERE content AND NOT name AND known) AS hits, count(*) FILTER (WHERE content AND NOT name AND NOT proper) AS low_,
+ coalesce(bool_or(content AND name), false) AS named, coalesce(bool_or(aux), false) AS aux, coalesce(bool_or(past), false) AS past,
+ coalesce(bool_or(content AND NOT name AND NOT known AND (regexp_matches(f, '^(?:""" + "|".join(s for s in X.EVENT_STEMS if len(s) >= 4) + ")') OR f IN (" + ", ".join(f"'{s}'" for s in X.EVENT_STEMS if len(s) < 4) + """))), false) AS grave
+ FROM pa LEFT JOIN ta ON ta.item_id = pa.item_id AND ta.pos = pa.pos AND ta.at_ = pa.at_ GROUP BY 1, 2, 3),
+tr AS (SELECT *, CASE WHEN at_ > 0 THEN NULL WHEN n = 0 AND NOT named THEN 'empty' WHEN n = 0 OR low_ = 0 THEN 'name-only' WHEN hits < CAST(0.15 AS DOUBLE) * n THEN 'untraceable' END AS whole,
+ CASE WHEN at_ = 0 THEN NULL WHEN n = 0 AND named AND aux THEN 'clause-name-only' WHEN n > 0 AND hits < CAST(0.15 AS DOUBLE) * n AND (grave OR past) THEN 'clause-event' END AS clause FROM tp),
+gs AS (SELECT item_id, pos, max(CASE WHEN at_ = 0 THEN n END) AS n, max(CASE WHEN at_ = 0 THEN hits END) AS hits, max(whole) AS whole, arg_min(clause, at_) FILTER (WHERE clause IS NOT NULL) AS clause FROM tr GROUP BY 1, 2),
+gr AS (SELECT item_id, pos, n, hits, coalesce(whole, clause, CASE WHEN hits < CAST(0.35 AS DOUBLE) * n THEN 'weak' END) AS reason FROM gs),
+gv AS (SELECT item_id AS recap_id, CAST(pos AS INT) AS pos, n, hits, CASE WHEN reason IS NULL THEN 'ok' WHEN reason = 'empty' THEN 'empty' WHEN reason = 'weak' THEN 'soft' ELSE 'hard' END AS verdict, reason FROM gr) """
+
+
+def recap_tables(spark, sf):
+    read = read_so_far(spark, sf)
+    names = G.name_words(read.select(F.regexp_extract("title", X.WORD, 0).alias("text")).where("text <> '' and startswith(title, text)"))
+    return items(spark, sf).select(F.col("item_id").alias("recap_id"), "text"), read, names
 
 
-@query("gate_score_recap", ", t AS (SELECT DISTINCT item_id, unnest(" + W.format("lower(text)") + ") AS w FROM benchmark), k AS (SELECT DISTINCT unnest(" + W.format("lower(text)") + r") AS w FROM chapters WHERE revealed_at <= 24 AND retracted_at IS NULL) SELECT item_id, count(*) AS future FROM t WHERE length(w) >= 2 AND regexp_matches(w, '\p{L}') AND w NOT IN (SELECT w FROM k) GROUP BY 1")
+@query("gate_ground", GROUND + "SELECT * FROM gv")
+def gate_ground(spark, sf):
+    """Every sentence of the passages against what has been read."""
+    recaps, read, names = recap_tables(spark, sf)
+    return G.ground(recaps, G.content_of(read), names)
+
+
+# Titles are names of things: entities, their aliases and themes, revealed with their chapters.
+SCORE = GROUND + r""", th AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'theme' WHEN 1 THEN 'alias' ELSE 'entity' END AS kind, chapter_key AS owner, revealed_at, unnest(""" + W.format("title") + r""") AS w0 FROM chapters),
+tw AS (SELECT DISTINCT kind, owner, revealed_at, lower(w0) AS w FROM th WHERE length(w0) >= 2 AND """ + PROPER.format("w0") + r""" AND regexp_matches(lower(w0), '\p{L}')),
+rw AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(""" + W.format("text") + r""") AS w FROM chapters WHERE revealed_at <= 24 AND retracted_at IS NULL) z),
+md AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_extract_all(text, '[\p{Ll},;]\s+([\p{L}\p{M}\p{N}]+)', 1)) AS w FROM chapters WHERE revealed_at <= 24 AND retracted_at IS NULL) z WHERE length(w) >= 2 AND """ + PROPER.format("w") + " AND lower(w) NOT IN (SELECT unnest(" + repr(X.DETERMINERS) + """))),
+fu AS (SELECT DISTINCT kind, owner, w FROM tw WHERE revealed_at > 24 AND w NOT IN (SELECT unnest(""" + repr(X.ROLE_NOUNS) + """)) AND NOT (w IN (SELECT w FROM tw WHERE revealed_at <= 24) AND w IN (SELECT w FROM rw))),
+un AS (SELECT kind, owner, count(*) FILTER (WHERE w NOT IN (SELECT w FROM rw)) AS unread FROM fu GROUP BY 1, 2),
+fn AS (SELECT fu.* FROM fu JOIN un ON un.kind = fu.kind AND un.owner = fu.owner WHERE fu.w NOT IN (SELECT w FROM md) AND NOT (fu.w IN (SELECT w FROM rw) AND unread > 0)),
+sd AS (SELECT DISTINCT item_id, lower(w) AS w FROM (SELECT item_id, unnest(""" + W.format("text") + """) AS w FROM benchmark) z),
+hi AS (SELECT item_id, coalesce(string_agg(DISTINCT owner, '|' ORDER BY owner) FILTER (WHERE kind <> 'theme'), '') AS future_names, coalesce(string_agg(DISTINCT owner, '|' ORDER BY owner) FILTER (WHERE kind = 'theme'), '') AS future_themes FROM sd JOIN fn ON fn.w = sd.w GROUP BY 1),
+co AS (SELECT recap_id, count(*) FILTER (WHERE verdict = 'hard') AS hard, count(*) FILTER (WHERE verdict = 'soft') AS soft FROM gv GROUP BY 1),
+al AS (SELECT b.item_id AS recap_id, coalesce(future_names, '') AS future_names, coalesce(future_themes, '') AS future_themes,
+ array_to_string(list_sort(list_distinct(regexp_extract_all(lower(b.text), '""" + X.PROLEPSIS + """'))), '|') AS forward, coalesce(hard, 0) AS hard, coalesce(soft, 0) AS soft FROM benchmark b LEFT JOIN hi ON hi.item_id = b.item_id LEFT JOIN co ON co.recap_id = b.item_id)
+, sc AS (SELECT *, CASE WHEN future_names <> '' OR forward <> '' OR hard > 0 THEN 'hard' WHEN future_themes <> '' OR soft > 0 THEN 'soft' ELSE 'ok' END AS verdict FROM al) """
+
+
+@query("gate_score_recap", SCORE + "SELECT * FROM sc")
 def gate_score_recap(spark, sf):
-    """Words of a recap that nothing read so far has."""
-    known = read_so_far(spark, sf).select(F.explode(X.words(F.lower("text"))).alias("word")).distinct()
-    found = G.future_words(items(spark, sf).select(F.col("item_id").alias("id"), "text"), known)
-    return found.groupBy(F.col("id").alias("item_id")).agg(F.count(F.lit(1)).alias("future"))
+    """Passages as recaps: names and themes that come too early, forward-looking phrases and ungrounded sentences in one verdict."""
+    return scored(spark, sf)
+
+
+def scored(spark, sf):
+    recaps, read, names = recap_tables(spark, sf)
+    kind = F.when(F.col("doc_id") % 3 == 0, "theme").when(F.col("doc_id") % 3 == 1, "alias").otherwise("entity")
+    things = bind(spark, sf, "chapters").select(kind.alias("kind"), F.col("chapter_key").alias("owner"), F.col("title").alias("name"), "revealed_at")
+    future = G.future_names(things, G.read_words(read), BM)
+    return G.score(recaps, G.content_of(read), names, future)
 
 
 @query("gate_binding")
@@ -66,14 +116,12 @@ def gate_binding(spark, sf):
     return G.unsupported(claims, facts).select("id", "signature")
 
 
-@query("gate_assert", "SELECT 0 AS hard")
+@query("gate_assert", SCORE + "SELECT recap_id, verdict <> 'hard' AS passed FROM sc")
 def gate_assert(spark, sf):
-    """Texts that are their own facts pass; the check raises otherwise."""
-    one = items(spark, sf).select(F.col("item_id").alias("recap_id"), "text")
-    facts = one.select(F.explode(X.content_words(F.col("text"))).alias("word"))
-    verdicts = G.ground(one, facts, spark.createDataFrame([], "word string"))
-    G.assert_clean(verdicts)
-    return verdicts.agg(F.count_if(F.col("verdict") == "hard").cast("int").alias("hard"))
+    """Which passages may be shown; what may is asserted clean, which raises otherwise."""
+    verdicts = settled(scored(spark, sf))
+    G.assert_clean(verdicts.where("verdict <> 'hard'"))
+    return verdicts.select("recap_id", (F.col("verdict") != "hard").alias("passed"))
 
 
 @query("gate_read_proper", r"SELECT doc_id, len(regexp_extract_all(text, '[\p{Ll},;]\s+(\p{Lu}[\p{L}]+)')) AS n FROM documents")

@@ -46,9 +46,12 @@ def str_word_tokens(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(joined(X.word_tokens(F.col("text"), 2))).alias("h"))
 
 
-@query("str_is_proper", "SELECT doc_id, len(list_filter(" + W.format("text") + r", lambda w: regexp_matches(w, '^\p{Lu}'))) AS n FROM documents")
+PROPER = r"CASE WHEN regexp_extract({0}, '[\p{{Lu}}\p{{Ll}}\p{{Lt}}]') <> '' THEN regexp_matches(regexp_extract({0}, '[\p{{Lu}}\p{{Ll}}\p{{Lt}}]'), '[\p{{Lu}}\p{{Lt}}]') ELSE length(regexp_replace({0}, '[^\p{{L}}]', '', 'g')) >= 2 END"
+
+
+@query("str_is_proper", "SELECT doc_id, len(list_filter(" + W.format("text") + ", lambda w: " + PROPER.format("w") + ")) AS n FROM documents")
 def str_is_proper(spark, sf):
-    return docs(spark, sf).select("doc_id", F.size(F.filter(X.words(F.col("text")), lambda w: w.rlike(r"^\p{Lu}"))).cast("long").alias("n"))
+    return docs(spark, sf).select("doc_id", F.size(F.filter(X.words(F.col("text")), X.is_proper)).cast("long").alias("n"))
 
 
 @query("str_proper_words", r"SELECT doc_id, len(regexp_extract_all(text, '\p{Lu}[\p{L}\p{M}\p{N}]*(?:[-''’][\p{L}\p{M}\p{N}]+)*')) AS n FROM documents")

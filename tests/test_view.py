@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronofold.operators import gates, ledger, ordering
-from chronofold.operators.facts import end_and_copy, fold_changes, shortest_paths
+from chronofold.operators.facts import fold_changes, shortest_paths
 from chronofold.operators.vectors import search
 from chronofold.operators.view import Memory, strict_bookmark, visible
 from chronofold.plans.queries_views import memory
@@ -59,16 +59,6 @@ def test_fold_and_frontier(spark):
     assert ordering.frontier(c, r).first()["frontier"] == 1
 
 
-def test_correction_keeps_the_past(spark):
-    e = spark.createDataFrame([("a", "A", "character", 1, None, None), ("b", "B", "character", 1, None, None)], FACT)
-    g = spark.createDataFrame([(1, "a", "b", "t", "l", 1, None, None)], "edge_id long, src_entity string, dst_entity string, rel_type string, label string, revealed_at int, invalid_at int, retracted_at timestamp")
-    remap = spark.createDataFrame([("a", "n", "N"), ("b", "n", "N")], "old_id string, new_id string, new_name string")
-    ents, edges = end_and_copy(e, g, remap, 5)
-    assert {r.entity_id for r in visible(ents, 4).collect()} == {"a", "b"}
-    assert {r.entity_id for r in visible(ents, 5).collect()} == {"n"}
-    assert visible(edges, 4).count() == 1 and visible(edges, 5).count() == 0  # the merge made a self loop
-
-
 def test_paths_and_holds(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y")], "a string, b string")
     assert {(r.node, r.hops) for r in shortest_paths(e, "a").collect()} == {("a", 0), ("b", 1), ("c", 2)}
