@@ -40,10 +40,60 @@ def search(chunks: DataFrame, query: list[float], k: int, *, dimension: int | No
     if type(k) is not int or k < 0:
         raise ValueError("k is an int of 0 or more")
     q = F.array(*[F.lit(float(x)) for x in query])
+    if not query:
+        return chunks.limit(0).withColumn("score", F.lit(None).cast("double"))
     rows = chunks.where(F.size("vec") == (dimension or len(query)))
     return rows.withColumn("score", cosine(F.col("vec"), q)).where("score is not null").orderBy(F.desc("score"), F.desc("chapter_key")).limit(k)
 
 
+class StaleIndex(RuntimeError):
+    """An index that is not what would be derived from its rows now."""
+
+
+def derived(rows: DataFrame) -> DataFrame:
+    """The candidate index of ``rows``: unit vectors in single precision, ``chunk_id, unit, model``. Rows without a direction have none."""
+    n = norm(F.col("vec"))
+    unit = F.transform("vec", lambda x: (x.cast("double") / n).cast("float"))
+    return rows.where((n > 0) & ~F.isnan(n) & (n < float("inf"))).select("chunk_id", unit.alias("unit"), "model")
+
+
+def checked(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """``index`` if it holds exactly what ``rows`` derive; raises ``StaleIndex`` where a row is missing, left over or another one."""
+    stored = index.select(F.col("chunk_id").alias("i_id"), F.col("unit").alias("i_unit"), F.col("model").alias("i_model"))
+    both = derived(rows).join(stored, F.col("chunk_id") == F.col("i_id"), "full")
+    same = F.col("chunk_id").isNotNull() & F.col("i_id").isNotNull() & F.col("unit").eqNullSafe(F.col("i_unit")) & F.col("model").eqNullSafe(F.col("i_model"))
+    if both.where(~same).limit(1).count():
+        raise StaleIndex("the index differs from its rows")
+    return index
+
+
+SINGLE = 1e-5  # more than what a unit vector's product loses in single precision
+
+
+def search_index(rows: DataFrame, index: DataFrame, query: list[float], k: int) -> DataFrame:
+    """The result of ``search``, by candidates of a single-precision index: of the visible rows' index entries
+    those within ``SINGLE`` of the k-th best stay, and are scored again exactly. ``rows`` are filtered before they are ranked, and
+    the index may hold more."""
+    if type(k) is not int or k < 0:
+        raise ValueError("k is an int of 0 or more")
+    length = sum(float(x) ** 2 for x in query) ** 0.5
+    if not query or not 0 < length < float("inf"):
+        return search(rows, query, 0)
+    q = F.array(*[F.lit(float(x) / length).cast("float") for x in query])
+    near = F.aggregate(F.zip_with("unit", q, lambda x, y: x * y), F.lit(0.0).cast("float"), lambda s, x: s + x)
+    found = index.join(rows.where(F.size("vec") == len(query)).select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", near.alias("near"))
+    last = found.orderBy(F.desc("near")).limit(k).agg(F.min("near").alias("least"))  # one row
+    candidates = found.join(F.broadcast(last), F.col("near") >= F.col("least") - SINGLE).select("chunk_id")
+    return search(rows.join(candidates, "chunk_id", "left_semi"), query, k)
+
+
+def search_view(rows: DataFrame, query: list[float], k: int) -> DataFrame:
+    """A reader's search: 1 to 50 results."""
+    if type(k) is not int or not 1 <= k <= 50:
+        raise ValueError("k is an int from 1 to 50")
+    return search(rows, query, k)
+
+
 def sure(score: Column, second: Column, threshold: float = 0.82, margin: float = 0.05) -> Column:
     """Whether a match is good enough and clear of the second best."""
     return (score >= threshold) & (score - F.coalesce(second, F.lit(0.0)) >= margin)
@@ -53,10 +103,11 @@ def nearest_of_blocks(rows: DataFrame, asked: DataFrame, block: int = 256) -> Da
     """Per query of ``asked`` (``mention, qv``) its nearest row (``candidate, embedding``), ``score`` and
     ``second``, the next best score; a row is no candidate of itself, ties go to the least candidate.
 
-    The queries are packed in blocks of ``block``; each row meets each block once, and only the two best of a
+    The queries are dealt by hash into blocks of about ``block``; each row meets each block once, and only the two best of a
     query and a part of the rows (``candidate`` modulo the shuffle partitions) are kept before they are merged."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = asked.withColumn("b", F.floor(F.row_number().over(Window.orderBy("mention")) / block)).groupBy("b").agg(F.collect_list(F.struct("mention", "qv")).alias("qs"))
+    blocks_ = max(1, -(-asked.count() // block))
+    packed = asked.withColumn("b", F.pmod(F.xxhash64("mention"), F.lit(blocks_))).groupBy("b").agg(F.collect_list(F.struct("mention", "qv")).alias("qs"))
     blocks = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("candidate"), F.lit(parts)).cast("int")).join(blocks, "part")
     each = dealt.select("candidate", "embedding", "part", F.explode("qs").alias("q")).where(F.col("candidate") != F.col("q.mention"))
@@ -68,6 +119,20 @@ def nearest_of_blocks(rows: DataFrame, asked: DataFrame, block: int = 256) -> Da
     )
 
 
+def lexical(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``key, bucket, weight``: words and character trigrams by their MD5's low byte, scaled to unit length. A text without
+    either has no row; one of two characters has no trigram."""
+    t = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]", " ")
+    rows = texts.select(key, t.alias("t"))
+    tokens = F.filter(F.split("t", r"\s+"), lambda w: w != "")
+    starts = F.when(F.length("t") >= 3, F.sequence(F.lit(1), F.greatest(F.length("t") - 2, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    grams = F.transform(starts, lambda i: F.substring("t", i, F.lit(3)))
+    each = rows.select(key, F.explode(F.concat(tokens, grams)).alias("g"))
+    counts = each.groupBy(key, F.conv(F.right(F.md5("g"), F.lit(2)), 16, 10).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    size = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
+    return counts.select(key, "bucket", (F.col("n") / size).alias("weight"))
+
+
 def index_changes(rows: DataFrame, index: DataFrame) -> DataFrame:
     """``chunk_id, change``: what makes a derived index (``chunk_id, vec, model``) equal to ``rows`` again: ``add``,
     ``remove`` or ``replace`` (another vector or space). An index without changes may be opened."""

@@ -10,6 +10,7 @@ from chronofold.operators import jobs as J
 from chronofold.operators import ledger as L
 from chronofold.plans.registry import query
 from chronofold.plans.standins import bind
+from chronofold.sources import archive as A
 
 
 def reports(spark, sf):
@@ -252,11 +253,11 @@ def tree_toc_label(spark, sf):
     return d.groupBy("path").agg(F.min("doc_id").alias("first_atom"))
 
 
-@query("snk_retention", ", n AS (SELECT event_id, row_number() OVER (PARTITION BY book_id ORDER BY ts DESC, event_id DESC) AS n FROM reports) SELECT event_id FROM n WHERE n > 5")
+@query("snk_retention", ", n AS (SELECT event_id, row_number() OVER (PARTITION BY book_id ORDER BY ts DESC, event_id DESC) AS n, max(ts) OVER (PARTITION BY book_id) AS newest FROM reports) SELECT event_id FROM n WHERE n > 5 AND newest <= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 12 HOUR")
 def snk_retention(spark, sf):
-    """What a keep-the-newest-five policy removes."""
-    n = F.row_number().over(Window.partitionBy("book_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return reports(spark, sf).withColumn("n", n).where("n > 5").select("event_id")
+    """Reports as archives: what a keep-the-newest-five policy removes of the books that are due."""
+    rows = reports(spark, sf).select("book_id", F.col("event_id").alias("archive_id"), F.col("ts").cast("timestamp").alias("at"))
+    return A.surplus(rows, 5, F.lit("2024-01-30 12:00:00").cast("timestamp"), 12).select(F.col("archive_id").alias("event_id"))
 
 
 def _profile_sql() -> str:

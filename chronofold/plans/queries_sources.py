@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -88,13 +90,35 @@ def snk_marks_export(spark, sf):
     return doc.select("book_id", F.json_array_length(F.get_json_object("doc", "$.marks")).cast("long").alias("marks"))
 
 
-@query("snk_backup", "SELECT count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer")
-@query("snk_restore", "SELECT count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer")
+SAVED = "SELECT 'chapters' AS name, count(*) AS n, CAST(sum(char_len) AS BIGINT) AS total FROM chapters UNION ALL SELECT 'receipts', count(*), CAST(sum(ordinal) AS BIGINT) FROM receipts UNION ALL SELECT 'reports', count(*), CAST(sum(k) AS BIGINT) FROM reports"
+MEASURE = {"chapters": "char_len", "receipts": "ordinal", "reports": "k"}
+
+
+def saved(spark, sf):
+    """A backup of three tables; its root."""
+    root = fresh_path(spark, "backup")
+    A.backup({n: bind(spark, sf, n) for n in MEASURE}, root)
+    return root
+
+
+def measured(spark, root):
+    rows = [A.read(spark, root, n).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n"), F.sum(c).cast("long").alias("total")) for n, c in MEASURE.items()]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+@query("snk_backup", SAVED)
 def snk_backup(spark, sf):
-    """Backup, inventory check and restore."""
-    path = fresh_path(spark, "backup")
-    inventory = A.backup(spark.read.parquet(f"{sf}/customer.parquet"), path)
-    return A.restore(spark, path, inventory).agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"))
+    """Tables in one version with an inventory of digests, published by one marker."""
+    return measured(spark, saved(spark, sf))
+
+
+@query("snk_restore", SAVED)
+def snk_restore(spark, sf):
+    """A backup restored over an older version, which a restore that fails would have left in place."""
+    archive, target = saved(spark, sf), fresh_path(spark, "restored")
+    A.backup({n: bind(spark, sf, n).limit(1) for n in MEASURE}, target)
+    A.restore(spark, archive, target, replace=True)
+    return measured(spark, target)
 
 
 @query("st_stream_high_water")

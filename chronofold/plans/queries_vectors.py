@@ -11,6 +11,7 @@ from chronofold.operators.view import visible
 from chronofold.plans.queries_views import book
 from chronofold.plans.registry import query
 from chronofold.plans.standins import bind
+from chronofold.sources.shared import fresh_path
 
 BM = 5
 DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST({0}[i] AS DOUBLE) * CAST({1}[i] AS DOUBLE)))"
@@ -18,7 +19,9 @@ COS = ", q AS (SELECT vec AS qv FROM chunks WHERE chunk_id = 7), e AS (SELECT *
 
 
 def wanted(spark, sf) -> list[float]:
-    return [float(x) for x in bind(spark, sf, "chunks").where("chunk_id = 7").first()["vec"]]
+    """The vector that is asked for; empty, so that nothing is near, where its row is missing."""
+    found = bind(spark, sf, "chunks").where("chunk_id = 7").select("vec").first()
+    return [float(x) for x in found["vec"] or ()] if found else []
 
 
 def live(spark, sf):
@@ -33,12 +36,25 @@ def _micro(rows):
 
 
 @query("topk_cosine", COS + TOP.format(10))
-@query("topk_vec0", COS + TOP.format(10))
-@query("topk_search_view", COS + TOP.format(10))
 def topk_cosine(spark, sf):
     return _micro(V.search(live(spark, sf), wanted(spark, sf), 10))
 
 
+@query("topk_vec0", COS + TOP.format(12))
+def topk_vec0(spark, sf):
+    """By a derived index in single precision, which is written, checked against its rows and rechecked exactly."""
+    rows, path = bind(spark, sf, "chunks"), fresh_path(spark, "vectors")
+    V.derived(rows).write.parquet(path)
+    index = V.checked(rows, spark.read.parquet(path))
+    return _micro(V.search_index(live(spark, sf), index, wanted(spark, sf), 12))
+
+
+@query("topk_search_view", COS + TOP.format(50))
+def topk_search_view(spark, sf):
+    """A reader's search, with the most results it may ask for."""
+    return _micro(V.search_view(live(spark, sf), wanted(spark, sf), 50))
+
+
 @query("topk_canary", COS + TOP.format(1))
 def topk_canary(spark, sf):
     """The nearest rows of all are not revealed yet; the answer must be the nearest visible one."""
@@ -164,15 +180,9 @@ LEX = r", c AS (SELECT item_id, regexp_replace(lower(text), '[^\p{L}\p{N}]', ' '
 
 @query("src_lexical_embed", LEX + "SELECT item_id, bucket, CAST(round(1000000 * n / sqrt(sum(n * n) OVER (PARTITION BY item_id))) AS BIGINT) AS micro FROM h")
 def src_lexical_embed(spark, sf):
-    """A 256-bucket embedding: words and character trigrams by their MD5's low byte, scaled to unit length."""
-    t = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]", " ")
-    rows = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", t.alias("t"))
-    tokens = F.filter(F.split("t", r"\s+"), lambda w: w != "")
-    grams = F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substring("t", i, F.lit(3)))
-    each = rows.select("item_id", F.explode(F.concat(tokens, grams)).alias("g"))
-    counts = each.groupBy("item_id", F.conv(F.right(F.md5("g"), F.lit(2)), 16, 10).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    size = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("item_id")))
-    return counts.select("item_id", "bucket", F.round(1_000_000 * F.col("n") / size).cast("long").alias("micro"))
+    """A 256-bucket embedding of every passage."""
+    rows = V.lexical(spark.read.parquet(f"{sf}/benchmark.parquet"), "item_id")
+    return rows.select("item_id", "bucket", F.round(1_000_000 * F.col("weight")).cast("long").alias("micro"))
 
 
 EVAL = COS.replace("revealed_at <= 5 AND ", "")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-FORMAT = "portable-story"
-VERSION = 6
+import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 def manifest(chapters: DataFrame) -> DataFrame:
     """Per book its atoms as one JSON document with a self-hash."""
@@ -37,29 +36,123 @@ def import_rows(rows: DataFrame, schema: str) -> DataFrame:
     return rows.select(F.from_json("row", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
-def backup(df: DataFrame, path: str) -> DataFrame:
-    """Writes ``df`` under a staging name, publishes it by one rename and returns the inventory ``name,
-    sha256`` of its files. A path that is there already is refused."""
-    spark = df.sparkSession
-    stage = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".staging")
-    final = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(final):
-        raise FileExistsError(path)
-    df.write.mode("overwrite").parquet(stage.toString())
-    if not fs.rename(stage, final):
-        raise OSError(f"could not publish {path}")
-    return _digests(spark, path).toDF("name", "sha256")
-
-
-def _digests(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("found"))
-
-
-def restore(spark: SparkSession, path: str, inventory: DataFrame) -> DataFrame:
-    """Reads a backup whose files all match the inventory; raises before anything is published otherwise."""
-    bad = inventory.join(_digests(spark, path), "name", "full").where(~F.col("sha256").eqNullSafe(F.col("found")))
-    if bad.limit(1).count():
-        raise ValueError("the backup does not match its inventory")
-    return spark.read.parquet(path)
+class ArchiveError(RuntimeError):
+    """A backup or restore that was refused; what was there before still is."""
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def current(spark: SparkSession, root: str) -> str | None:
+    """The folder of the version that ``root``'s marker names; None before anything was published."""
+    marker, fs = _fs(spark, f"{root}/CURRENT")
+    if not fs.exists(marker):
+        return None
+    return f"{root}/versions/{spark.read.text(f'{root}/CURRENT').first()['value']}"
+
+
+def publish(spark: SparkSession, root: str, version: str) -> None:
+    """One marker names the version that is read; it is written beside and renamed over the old one, which is the
+    only step that changes what readers see."""
+    beside, fs = _fs(spark, f"{root}/.CURRENT-{version}")
+    out = fs.create(beside, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    jvm = spark._jvm
+    renames = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    renames[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    target = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(beside, target, renames)
+
+
+def digests(spark: SparkSession, folder: str) -> DataFrame:
+    """``name, found``: the SHA-256 of each data file below a version's folder."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(folder)
+    return files.select(F.array_join(F.slice(F.split("path", "/"), -2, 2), "/").alias("name"), F.sha2("content", 256).alias("found"))
+
+
+def _stage(spark: SparkSession, root: str, tables: dict[str, DataFrame], after) -> str:
+    version = uuid.uuid4().hex
+    folder = f"{root}/versions/{version}"
+    for name, rows in tables.items():
+        rows.write.parquet(f"{folder}/{name}")
+        after(f"table {name}")
+    inventory = digests(spark, folder).withColumnRenamed("found", "sha256")
+    inventory.coalesce(1).write.json(f"{folder}/inventory")  # JSON, so that it is no data file itself
+    after("inventory")
+    return version
+
+
+def verified(spark: SparkSession, folder: str) -> list[str]:
+    """The tables of a version whose files are all as its inventory says; raises otherwise."""
+    inventory, fs = _fs(spark, f"{folder}/inventory/_SUCCESS")
+    if not fs.exists(inventory):
+        raise ArchiveError("no inventory")
+    listed = spark.read.schema("name string, sha256 string").json(f"{folder}/inventory")
+    if listed.join(digests(spark, folder), "name", "full").where(~F.col("sha256").eqNullSafe(F.col("found"))).limit(1).count():
+        raise ArchiveError("the files are not those of the inventory")
+    return [r["t"] for r in listed.select(F.split("name", "/")[0].alias("t")).distinct().orderBy("t").collect()]  # a few tables
+
+
+def backup(tables: dict[str, DataFrame], root: str, *, books: DataFrame | None = None, holds: DataFrame | None = None, after=lambda step: None) -> str:
+    """Writes a new version of ``tables`` (of ``books``' rows by ``book_id``, or of all) with its inventory, verifies it and publishes it. Refused
+    while one of the books has an open reservation (``holds``: ``book_id``). ``after`` is told each step."""
+    spark = next(iter(tables.values())).sparkSession
+    if holds is not None:
+        open_ = holds.select("book_id") if books is None else holds.join(books.select("book_id"), "book_id", "left_semi")
+        if open_.limit(1).count():
+            raise ArchiveError("a book has an open reservation")
+    if books is not None:
+        tables = {n: t.join(books.select("book_id").distinct(), "book_id", "left_semi") for n, t in tables.items()}
+    version = _stage(spark, root, tables, after)
+    verified(spark, f"{root}/versions/{version}")
+    publish(spark, root, version)
+    after("published")
+    return version
+
+
+def restore(spark: SparkSession, archive: str, target: str, *, replace: bool = False, keep: DataFrame | None = None, after=lambda step: None) -> str:
+    """The archive's current version as the target's: verified, copied beside what is there, verified again and published by the marker, so
+    that a failure at any step leaves the old version readable. A target that holds something is refused without
+    ``replace``, and one with books beyond the archive's (``keep``: ``book_id`` of those it holds) always."""
+    folder = current(spark, archive)
+    if folder is None:
+        raise ArchiveError("nothing was published there")
+    names = verified(spark, folder)
+    after("verified")
+    if current(spark, target) is not None and not replace:
+        raise ArchiveError("the target holds a version")
+    tables = {n: spark.read.parquet(f"{folder}/{n}") for n in names}
+    if keep is not None:
+        of = [t.select(F.col("book_id").cast("string").alias("book_id")) for t in tables.values() if "book_id" in t.columns]
+        if of and keep.select(F.col("book_id").cast("string").alias("book_id")).join(reduce(DataFrame.union, of), "book_id", "left_anti").limit(1).count():
+            raise ArchiveError("other books would be lost")
+    version = _stage(spark, target, tables, after)
+    verified(spark, f"{target}/versions/{version}")
+    publish(spark, target, version)
+    after("published")
+    return version
+
+
+def roll_back(spark: SparkSession, root: str, version: str) -> None:
+    """Makes an earlier version the current one again, if it is whole."""
+    verified(spark, f"{root}/versions/{version}")
+    publish(spark, root, version)
+
+
+def read(spark: SparkSession, root: str, table: str) -> DataFrame:
+    folder = current(spark, root)
+    if folder is None:
+        raise ArchiveError("nothing was published there")
+    return spark.read.parquet(f"{folder}/{table}")
+
+
+def surplus(archives: DataFrame, keep: int, now, hours: float) -> DataFrame:
+    """``archives`` (``book_id, archive_id, at``) that a retention run removes: all but each book's ``keep`` newest. A book whose newest is
+    younger than ``hours`` is skipped: no backup of it was due, so nothing is removed."""
+    w = Window.partitionBy("book_id")
+    rows = archives.withColumn("n", F.row_number().over(w.orderBy(F.desc("at"), F.desc("archive_id")))).withColumn("newest", F.max("at").over(w))
+    due = F.unix_timestamp("newest") <= F.unix_timestamp(now) - hours * 3_600
+    return rows.where(due & (F.col("n") > keep)).drop("n", "newest")

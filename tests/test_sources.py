@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronofold.functions.text import split_bytes
-from chronofold.sources import archive, epub
+from chronofold.sources import archive as A
+from chronofold.sources import epub
 from chronofold.streaming import position
 
 
@@ -52,16 +53,84 @@ def test_null_positions_change_nothing(spark, tmp_path):
     assert {r.book_id: r.b for r in out.collect()} == {7: 4, 8: 0}
 
 
-def test_archive_refuses_a_changed_file(spark, tmp_path):
-    path = str(tmp_path / "b")
-    inventory = archive.backup(spark.range(5), path).cache()
-    inventory.count()
-    assert archive.restore(spark, path, inventory).count() == 5
-    with pytest.raises(ValueError):
-        archive.restore(spark, path, inventory.withColumn("sha256", F.lit("0")))
-    assert not (tmp_path / "b.staging").exists()
-    with pytest.raises(FileExistsError):
-        archive.backup(spark.range(3), path)
+class Stop(Exception):
+    pass
+
+
+def stop_after(step):
+    def told(found):
+        if found == step:
+            raise Stop(step)
+
+    return told
+
+
+def two(spark, n):
+    return {"a": spark.range(n).selectExpr("id AS book_id", "id * 2 AS v"), "b": spark.range(n).selectExpr("id AS book_id")}
+
+
+@pytest.mark.parametrize("step", ["verified", "table a", "table b", "inventory", None])
+def test_a_restore_that_breaks_off_leaves_the_old_version(spark, tmp_path, step):
+    archive, target = str(tmp_path / "archive"), str(tmp_path / "target")
+    new = A.backup(two(spark, 5), archive)
+    old = A.backup(two(spark, 2), target)
+    with pytest.raises(A.ArchiveError, match="holds a version"):
+        A.restore(spark, archive, target)
+    if step:
+        with pytest.raises(Stop):
+            A.restore(spark, archive, target, replace=True, after=stop_after(step))
+        assert A.read(spark, target, "a").count() == 2 and A.read(spark, target, "b").count() == 2
+    A.restore(spark, archive, target, replace=True)
+    assert A.read(spark, target, "a").agg({"v": "sum"}).first()[0] == 20
+    A.roll_back(spark, target, old)
+    assert A.read(spark, target, "a").count() == 2
+    assert A.current(spark, archive).endswith(new)
+
+
+@pytest.mark.parametrize("step", ["table a", "inventory"])
+def test_a_backup_that_breaks_off_is_not_seen(spark, tmp_path, step):
+    root = str(tmp_path / "archive")
+    with pytest.raises(Stop):
+        A.backup(two(spark, 3), root, after=stop_after(step))
+    assert A.current(spark, root) is None
+    A.backup(two(spark, 4), root)
+    with pytest.raises(Stop):
+        A.backup(two(spark, 9), root, after=stop_after(step))
+    assert A.read(spark, root, "a").count() == 4
+
+
+def test_backups_are_of_books_without_open_reservations(spark, tmp_path):
+    root, holds = str(tmp_path / "x"), spark.createDataFrame([(2,)], "book_id long")
+    books = lambda *ids: spark.createDataFrame([(i,) for i in ids], "book_id long")
+    with pytest.raises(A.ArchiveError, match="reservation"):
+        A.backup(two(spark, 5), root, books=books(1, 2), holds=holds)
+    with pytest.raises(A.ArchiveError, match="reservation"):
+        A.backup(two(spark, 5), root, holds=holds)
+    A.backup(two(spark, 5), root, books=books(1, 3), holds=holds)
+    assert sorted(r.book_id for r in A.read(spark, root, "b").collect()) == [1, 3]
+    with pytest.raises(A.ArchiveError, match="would be lost"):
+        A.restore(spark, root, str(tmp_path / "y"), keep=books(1, 4))
+    A.restore(spark, root, str(tmp_path / "y"), keep=books(1))
+
+
+def test_a_changed_file_is_refused(spark, tmp_path):
+    root = str(tmp_path / "x")
+    version = A.backup(two(spark, 5), root)
+    part = next((tmp_path / "x" / "versions" / version / "a").glob("*.parquet"))
+    spark.range(3).selectExpr("id AS book_id", "id AS v").coalesce(1).write.parquet(str(tmp_path / "other"))
+    part.write_bytes(next((tmp_path / "other").glob("*.parquet")).read_bytes())
+    (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(A.ArchiveError, match="not those"):
+        A.restore(spark, root, str(tmp_path / "y"))
+    with pytest.raises(A.ArchiveError, match="nothing"):
+        A.restore(spark, str(tmp_path / "none"), str(tmp_path / "y"))
+
+
+def test_retention_skips_books_that_are_not_due(spark):
+    rows = [(1, i, f"2024-01-0{i} 00:00:00") for i in range(1, 6)] + [(2, 10 + i, f"2024-01-0{i} 00:00:00") for i in range(1, 9)]
+    df = spark.createDataFrame(rows, "book_id int, archive_id int, t string").withColumn("at", F.col("t").cast("timestamp"))
+    got = A.surplus(df, 3, F.lit("2024-01-08 06:00:00").cast("timestamp"), 24)
+    assert sorted(r.archive_id for r in got.collect()) == [1, 2]
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):
