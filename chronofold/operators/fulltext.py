@@ -11,6 +11,7 @@ import re
 from functools import reduce
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,22 +108,81 @@ def rank_cover_density(w: Column, groups: list[list[Unit]]) -> Column:
     return F.aggregate(_hits(w, units), start, step, lambda a: a["score"])
 
 
-def headline(w: Column, groups: list[list[Unit]], most: int = MOST_WORDS) -> Column:
-    """The ``most`` words from the hit on that starts the stretch with the most hits (the first of several),
-    hits in brackets; null without a hit."""
-    terms = F.array(*[F.lit(x) for x in sorted({x for u in _wanted(groups) for x in u.words})] or [F.lit(None).cast("string")])
-    at = F.filter(F.transform(w, lambda x, i: F.when(F.array_contains(terms, x), i)), lambda i: i.isNotNull())
-    # Numbers of hits up to each hit and behind each stretch: both run over sorted positions.
-    count = F.transform(at, lambda p: F.struct(F.size(F.filter(at, lambda q: (q >= p) & (q < p + most))).alias("n"), (-p).alias("p")))
-    first = -F.array_max(count)["p"]
-    part = F.transform(F.slice(w, first + 1, F.lit(most)), lambda x: F.when(F.array_contains(terms, x), F.concat(F.lit("["), x, F.lit("]"))).otherwise(x))
-    return F.when(F.size(at) > 0, F.array_join(part, " "))
+def _occurrences(words: list[str], units: list[Unit]) -> list[tuple[int, int, int]]:
+    """``(start, end, unit)`` of the units in a text, by their ends."""
+    found = []
+    for e in range(len(words)):
+        for k, u in enumerate(units):
+            s = e - len(u.words) + 1
+            if s >= 0 and tuple(words[s : e + 1]) == u.words:
+                found.append((s, e, k))
+    return found
+
+
+def covers(hits: list[tuple[int, int, int]], sets: list[list[int]]) -> list[tuple[int, int]]:
+    """The shortest stretches that hold all units of one of the sets, each start once, by their ends."""
+    last: dict[int, int] = {}
+    out, before = [], -1
+    for s, e, k in hits:
+        last[k] = s
+        starts = [min(last[u] for u in one) for one in sets if all(u in last for u in one)]
+        if starts and max(starts) > before:
+            before = max(starts)
+            out.append((before, e))
+    return out
+
+
+def fragments(length: int, marked: list[int], found: list[tuple[int, int]], count: int, least: int, most: int) -> list[tuple[int, int]]:
+    """Up to ``count`` stretches of a text of ``length`` words around covers, in the order of the text.
+
+    The cover with the most ``marked`` words in its first ``most`` words comes first (of several the shorter, then the earlier). It is
+    grown to ``most`` words, to both sides alike, as far as the text and earlier fragments leave room; the next ones are
+    chosen among the covers outside of what was chosen, and go where they stay under ``least`` words.
+    """
+    cut = sorted({(s, min(e, s + most - 1)) for s, e in found}, key=lambda c: (-sum(c[0] <= m <= c[1] for m in marked), c[1] - c[0], c[0]))
+    chosen: list[tuple[int, int]] = []
+    for s, e in cut:
+        if len(chosen) == count:
+            break
+        if any(s <= b and a <= e for a, b in chosen):
+            continue
+        low = max((b + 1 for a, b in chosen if b < s), default=0)
+        high = min((a - 1 for a, b in chosen if a > e), default=length - 1)
+        first = max(low, s - (most - (e - s + 1)) // 2)
+        last = min(high, first + most - 1)
+        first = max(low, last - most + 1)
+        if last - first + 1 >= least or not chosen:
+            chosen.append((first, last))
+    return sorted(chosen)
+
+
+def headline(w: Column, groups: list[list[Unit]], count: int = 1, least: int = 12, most: int = MOST_WORDS, marks: tuple[str, str] = ("[", "]")) -> Column:
+    """Fragments of a word array around the query's covers, hits between ``marks``, joined by an ellipsis; the first ``least``
+    words where nothing is covered. It is made for rows that are returned, row by row."""
+    units = _wanted(groups)
+    sets = [s for s in ([units.index(u) for u in g if u.wanted] for g in groups) if s]
+    wanted = {x for u in units for x in u.words}
+
+    def one(words) -> str | None:
+        words = list(words) if words is not None else []
+        hits = _occurrences(words, units)
+        marked = [i for i, x in enumerate(words) if x in wanted]
+        parts = fragments(len(words), marked, covers(hits, sets), count, least, most)
+        show = lambda i: f"{marks[0]}{words[i]}{marks[1]}" if words[i] in wanted else words[i]
+        return " ... ".join(" ".join(map(show, range(a, b + 1))) for a, b in parts) if parts else " ".join(words[:least])
+
+    @F.pandas_udf("string")
+    def made(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return made(w)
 
 
-def search(docs: DataFrame, query: str, *, key: str, limit: int, text: str = "text") -> DataFrame:
+def search(docs: DataFrame, query: str, *, key: str, limit: int, text: str = "text", **shape) -> DataFrame:
     """The ``limit`` best rows of ``docs`` (which the caller has filtered): their columns, ``score`` and
-    ``headline``; ties go to the least ``key``. Headlines are made for the rows that are returned only."""
+    ``headline`` (``shape``: its ``count``, ``least``, ``most`` and ``marks``); ties go to the least ``key``. Headlines are made
+    for the rows that are returned only."""
     groups = parse_web(query)
     rows = docs.withColumn("_w", text_words(F.col(text))).where(matches(F.col("_w"), groups))
     top = rows.withColumn("score", rank_cover_density(F.col("_w"), groups)).orderBy(F.desc("score"), key).limit(limit)
-    return top.withColumn("headline", headline(F.col("_w"), groups)).drop("_w")
+    return top.withColumn("headline", headline(F.col("_w"), groups, **shape)).drop("_w")

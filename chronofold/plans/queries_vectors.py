@@ -131,20 +131,32 @@ def topk_fts(spark, sf):
     return found.select("doc_id", F.round(F.col("score") * 1_000_000).cast("long").alias("micro"))
 
 
-HEAD = """, t AS (SELECT id, w.w, list_filter(range(1, len(w.w) + 1), lambda i: w.w[i] IN ('the', 'tion')) AS h FROM f JOIN w USING (id) ORDER BY score DESC, id LIMIT {0}),
-p AS (SELECT *, list_transform(h, lambda p: len(list_filter(h, lambda q: q >= p AND q < p + 36))) AS n FROM t), g AS (SELECT *, h[list_position(n, list_max(n))] AS s FROM p)
-SELECT id AS doc_id, array_to_string(list_transform(w[s : s + 35], lambda x: CASE WHEN x IN ('the', 'tion') THEN '[' || x || ']' ELSE x END), ' ') AS headline FROM g"""
-
-
-@query("str_headline", DOCS + HEAD.format(20))
+def head_sql(limit: int, count: int, least: int, most: int, left: str, right: str) -> str:
+    """SQL of the headlines of the best ``limit``: the best cover, grown evenly, and for ``count`` 2 the best of the rest beside it."""
+    inside = "len(list_filter(h, lambda p: p >= {0} AND p <= {1}))".format("s0", "e0")
+    grown = "greatest({lo}, s0 - (%d - (e0 - s0 + 1)) // 2)" % most
+    return f""", tp AS (SELECT f.id, score, w.w, list_filter(range(1, len(w.w) + 1), lambda i: w.w[i] IN ('the', 'tion')) AS h FROM f JOIN w USING (id) ORDER BY score DESC, f.id LIMIT {limit}),
+cv AS (SELECT DISTINCT tp.id, tp.w, tp.h, c.st AS s0, least(c.i, c.st + {most} - 1) AS e0 FROM tp JOIN c USING (id) WHERE c.prev IS NULL OR c.st > c.prev),
+a0 AS (SELECT *, {grown.format(lo=1)} AS a FROM cv QUALIFY row_number() OVER (PARTITION BY id ORDER BY {inside} DESC, e0 - s0, s0) = 1),
+a1 AS (SELECT id, w, greatest(1, least(len(w), a + {most} - 1) - {most} + 1) AS a, least(len(w), a + {most} - 1) AS b FROM a0),
+b0 AS (SELECT cv.*, CASE WHEN s0 > a1.b THEN a1.b + 1 ELSE 1 END AS lo, CASE WHEN s0 > a1.b THEN len(cv.w) ELSE a1.a - 1 END AS hi FROM cv JOIN a1 USING (id) WHERE {count} > 1 AND (s0 > a1.b OR e0 < a1.a)),
+b1 AS (SELECT *, {grown.format(lo="lo")} AS x FROM b0), b2 AS (SELECT *, least(hi, x + {most} - 1) AS b FROM b1), b3 AS (SELECT *, greatest(lo, b - {most} + 1) AS a FROM b2),
+b4 AS (SELECT * FROM b3 WHERE b - a + 1 >= {least} QUALIFY row_number() OVER (PARTITION BY id ORDER BY {inside} DESC, e0 - s0, s0) = 1),
+fr AS (SELECT id, w, a, b FROM a1 UNION ALL SELECT id, w, a, b FROM b4)
+SELECT id AS doc_id, string_agg(array_to_string(list_transform(w[a : b], lambda x: CASE WHEN x IN ('the', 'tion') THEN '{left}' || x || '{right}' ELSE x END), ' '), ' ... ' ORDER BY a) AS headline FROM fr GROUP BY 1"""
+
+
+@query("str_headline", DOCS + head_sql(20, 1, 12, 36, "[", "]"))
 def str_headline(spark, sf):
+    """One fragment of 12 to 36 words around the best cover."""
     return T.search(spark.read.parquet(f"{sf}/documents.parquet"), "the tion", key="doc_id", limit=20).select("doc_id", "headline")
 
 
-@query("topk_fts_ask", CHAPTERS + HEAD.format(6))
+@query("topk_fts_ask", CHAPTERS + head_sql(6, 2, 16, 70, "", ""))
 def topk_fts_ask(spark, sf):
-    """The passages an answer may cite: the best six of the completed chapters, with their headlines."""
-    return T.search(book(spark, sf, BM).chapters(), "the tion", key="doc_id", limit=6).select("doc_id", "headline")
+    """The passages an answer may cite: the best six of the completed chapters, in two fragments of 16 to 70 words."""
+    found = T.search(book(spark, sf, BM).chapters(), "the tion", key="doc_id", limit=6, count=2, least=16, most=70, marks=("", ""))
+    return found.select("doc_id", "headline")
 
 
 EMBED = ", m AS (SELECT vec_id AS mention, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0), p AS (SELECT mention, vec_id, " + DOT.format("embedding", "qv") + " / (sqrt(" + DOT.format("embedding", "embedding") + ") * sqrt(" + DOT.format("qv", "qv") + ")) AS score FROM m JOIN embeddings e ON vec_id <> mention), r AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, vec_id) AS n, lead(score) OVER (PARTITION BY mention ORDER BY score DESC, vec_id) AS second FROM p WHERE isfinite(score)) "
