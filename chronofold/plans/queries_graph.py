@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronofold.functions import text as X
 from chronofold.operators import corrections as C
 from chronofold.operators import facts as K
+from chronofold.operators import ingest as I
 from chronofold.operators import resolve as R
 from chronofold.plans.queries_views import VALID, VIS, at
 from chronofold.plans.registry import query
 from chronofold.plans.standins import bind
-from chronofold.sources.shared import settled
+from chronofold.sources.shared import fresh_path, settled
 
 @query("er_resolve_one", """, h AS (SELECT a.alias_id, count(DISTINCT e.entity_id) AS n, min(e.entity_id) AS entity_id FROM aliases a JOIN entities e ON e.type = 'character' AND lower(e.canonical_name) = lower(a.surface) GROUP BY 1)
 SELECT a.alias_id AS mention_id, CASE WHEN n = 1 THEN h.entity_id END AS entity_id, CASE WHEN n = 1 THEN CASE WHEN a.alias_id % 3 = 0 THEN 'roster-link' ELSE 'exact' END ELSE 'new' END AS method, coalesce(n, 0) <> 1 AND (coalesce(n, 0) > 1 OR a.alias_id % 3 = 0) AS warn
@@ -210,19 +213,49 @@ def bt_append_once(spark, sf):
     return rows.select("chapter_key", outcome.alias("outcome"))
 
 
-EXTRACT = ", x AS (SELECT conv_id, turn, role, text FROM conversations) "
+# A conversation is a chapter: roles are its entities (the assistant is known before), turns its events.
+EXTRACT = """, t AS (SELECT conv_id, turn, role, text, 'c' || CAST(conv_id AS VARCHAR) AS chapter_key, CAST(conv_id + 1 AS INT) AS ordinal FROM conversations),
+x AS (SELECT chapter_key, ordinal, conv_id, string_agg(text, chr(10) ORDER BY turn) AS body, arg_min(text, turn) AS first_, count(*) AS turns FROM t GROUP BY 1, 2, 3),
+m AS (SELECT chapter_key, ordinal, role, arg_max(text, turn) AS said FROM t GROUP BY 1, 2, 3), u AS (SELECT role, min(ordinal) AS ordinal FROM m WHERE role <> 'assistant' GROUP BY 1),
+w AS (SELECT unnest(range(0, (SELECT CAST(max(length(body)) // 500 + 1 AS BIGINT) FROM x))) AS i)
+SELECT 'chapters' AS fact, chapter_key, CAST(0 AS BIGINT) AS n, substring(sha256(body), 1, 16) AS body FROM x UNION ALL SELECT 'raw', chapter_key, 0, body FROM x UNION ALL SELECT 'summaries', chapter_key, 0, first_ FROM x
+UNION ALL SELECT 'entities', 'c' || CAST(ordinal - 1 AS VARCHAR), 0, role FROM u UNION ALL SELECT 'aliases', 'c' || CAST(ordinal - 1 AS VARCHAR), 0, 'the ' || role FROM (SELECT role, min(ordinal) AS ordinal FROM m GROUP BY 1) z
+UNION ALL SELECT 'states', chapter_key, 0, said FROM m
+UNION ALL SELECT 'edges', chapter_key, 0, 'talks' FROM x WHERE ordinal >= (SELECT ordinal FROM u WHERE role = 'user')
+UNION ALL SELECT 'events', chapter_key, turn + 1, text FROM t UNION ALL SELECT 'participants', chapter_key, turn + 1, '' FROM t
+UNION ALL SELECT 'themes', chapter_key, 0, CAST(turns AS VARCHAR) || ' turns' FROM x UNION ALL SELECT 'chunks', chapter_key, i, substring(body, CAST(i * 500 + 1 AS INT), 500) FROM x, w WHERE i * 500 < length(body)
+UNION ALL SELECT 'unresolved', chapter_key, turns + CASE WHEN conv_id % 3 = 0 THEN 1 ELSE 0 END, '' FROM x"""
 
 
-@query("ing_write_chapter", EXTRACT + """SELECT 'event' AS fact, conv_id, turn + 1 AS order_idx, left(text, 30) AS body FROM x UNION ALL SELECT 'entity', conv_id, min(turn) + 1, role FROM x GROUP BY conv_id, role
- UNION ALL SELECT 'state', conv_id, max(turn) + 1, arg_max(left(text, 20), turn) FROM x GROUP BY conv_id, role""")
-def ing_write_chapter(spark, sf):
-    """An extraction as fact rows: events in order, entities once, the last mentioned state wins."""
+def extractions(spark, sf):
     c = spark.read.parquet(f"{sf}/conversations.parquet")
-    row = lambda fact, df: df.select(F.lit(fact).alias("fact"), "conv_id", "order_idx", "body")
-    events = row("event", c.select("conv_id", (F.col("turn") + 1).alias("order_idx"), F.left("text", F.lit(30)).alias("body")))
-    people = c.groupBy("conv_id", "role").agg((F.min("turn") + 1).alias("first_at"), (F.max("turn") + 1).alias("last_at"), F.max_by(F.left("text", F.lit(20)), "turn").alias("state"))
-    entities = row("entity", people.withColumnsRenamed({"first_at": "order_idx", "role": "body"}))
-    return events.unionByName(entities).unionByName(row("state", people.withColumnsRenamed({"last_at": "order_idx", "state": "body"})))
+    ordered = lambda value: F.transform(F.array_sort(F.collect_list(F.struct("turn", value.alias("v")))), lambda x: x["v"])
+    said = F.struct(F.col("role").alias("name"), F.lit("person").alias("type"), F.array(F.concat(F.lit("the "), "role")).alias("aliases"), F.col("text").alias("state"))
+    event = F.struct(F.col("text").alias("summary"), F.array("role", F.lit("nobody known"), F.concat(F.lit("The "), "role")).alias("participants"))
+    link = lambda a, b, kind: F.struct(F.lit(a).alias("src"), F.lit(b).alias("dst"), F.lit(kind).alias("rel_type"), F.lit("l").alias("label"))
+    rows = c.groupBy("conv_id").agg(ordered(F.col("text")).alias("texts"), ordered(said).alias("entities"), ordered(event).alias("events"))
+    return rows.select(
+        F.lit("b").alias("book_id"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("chapter_key"), (F.col("conv_id") + 1).cast("int").alias("ordinal"),
+        F.lit("t").alias("title"), F.array_join("texts", "\n").alias("text"), F.get("texts", F.lit(0)).alias("summary"), "entities", "events",
+        F.when(F.col("conv_id") % 3 == 0, F.array(link("user", "assistant", "talks"), link("nobody known", "user", "sees"))).otherwise(F.array(link("user", "assistant", "talks"))).alias("relationships"),
+        F.array(F.struct(F.concat(F.size("texts").cast("string"), F.lit(" turns")).alias("name"), F.lit(None).cast("string").alias("description"))).alias("themes"),
+    )
+
+
+@query("ing_write_chapter", EXTRACT)
+def ing_write_chapter(spark, sf):
+    """Conversations as chapters, written into all fact tables under their receipts and read back."""
+    root = fresh_path(spark, "facts")
+    roster = spark.createDataFrame([("b", "known", "Assistant", False)], "book_id string, entity_id string, name string, is_alias boolean")
+    I.write_chapters(extractions(spark, sf), roster, root, "one")
+    nothing = F.lit("")
+    shown = {
+        "chapters": (F.lit(0), F.col("content_hash")), "raw": (F.lit(0), F.col("text")), "summaries": (F.lit(0), F.col("summary")), "entities": (F.lit(0), F.col("canonical_name")),
+        "aliases": (F.lit(0), F.col("surface")), "states": (F.lit(0), F.col("status")), "edges": (F.lit(0), F.col("rel_type")), "events": (F.col("order_idx"), F.col("summary")),
+        "participants": (F.col("order_idx"), nothing), "themes": (F.lit(0), F.col("name")), "chunks": (F.col("part"), F.col("text")), "unresolved": (F.col("n"), nothing),
+    }
+    rows = [I.read(spark, root, t).select(F.lit(t).alias("fact"), "chapter_key", n.cast("long").alias("n"), body.alias("body")) for t, (n, body) in shown.items()]
+    return reduce(lambda a, b: a.unionByName(b), rows)
 
 
 # Only nations' names are shared, and an entity has one at most: what shares it is one group.
