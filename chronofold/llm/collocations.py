@@ -3,13 +3,14 @@ r"""Phrase collocations by suffix-sigma.
 Texts, A-Z lower-cased, are split at ``[.,;:!?\x0A-\x0D]`` into pieces and these at spaces and
 tabs into words. A phrase's count is that of all its occurrences within pieces, per language.
 
-1. Words are counted, which tells the words that begin more suffixes than one task should get.
-2. Every word begins a suffix of at most ``max_n`` words of its piece. Equal suffixes are
-   merged in the tasks, then dealt by language and first word. A frequent first word's suffixes are dealt
-   on by their whole suffix into parts, so that no task's work follows one word.
-3. Each part is sorted by suffix in descending order (by Spark, which spills). All suffixes
-   with a common prefix then follow one another, and one stack of prefixes counts all phrases in one
-   reading: what leaves the stack is complete and adds its count to what lies below it.
+1. Words are counted, which tells how many parts the suffixes need and which words begin more of them than a part takes.
+2. Every word begins a suffix of at most ``max_n`` words of its piece. Equal suffixes are merged in the tasks and
+   shuffled by language and first word: a part is a hash range of these, of about ``PART_WORDS`` suffixes. A frequent first
+   word's suffixes are dealt by their whole suffix into parts of their own, so that no task's work follows one
+   word. What a task has for a part travels as one row of sorted suffixes.
+3. Each part is sorted by suffix in descending order, so that all suffixes with a common prefix follow one another, and
+   one stack of prefixes counts all phrases in one reading: what leaves the stack is complete and adds its
+   count to what lies below it. A task holds one part at a time.
 4. Parts are joined: phrases of split first words are summed over their parts. Only
    phrases whole in their part are held to ``min_count`` before.
 5. Candidates (2 to ``max_n`` words) look up the counts of the parts of each of their cuts, lookups of
@@ -28,21 +29,25 @@ names. Arithmetic is in decimals of 38 digits (counts below 10^16); beyond that
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterator, Mapping
+from itertools import chain, groupby
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import shuffle_partitions, stored, table
+from chronofold.llm.common import stored, table
 
 MAX_N = 3
 MIN_COUNT = 10
 SHARE = 50
 TOP = 2_000
-PART_WORDS = 1_000_000
-HELD = 300_000
+PART_WORDS = 500_000
+MAX_FREQUENT = 1_000_000
+HELD = 400_000
 RANK_PARTS = 64
 ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 
@@ -54,45 +59,38 @@ def pieces(text: bytes) -> Iterator[list[bytes]]:
             yield words
 
 
-def _counted(docs: DataFrame, of_piece) -> DataFrame:
-    """``lang, phrase, n``: what ``of_piece`` gives of each piece's words, merged within tasks."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
-        size = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for lang, found in held.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())],
-                    ["lang", "phrase", "n"],
-                )
-
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+def _counts(batches: Iterator[pa.RecordBatch], of_piece) -> Iterator[dict[str, Counter]]:
+    """By language how often ``of_piece`` gives what it gives of each piece's words, in bounded portions."""
+    held: dict[str, Counter] = {}
+    size = 0
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for words in pieces(text.as_py()):
                 found = held.setdefault(lang, Counter())
                 before = len(found)
-                for words in pieces(text.as_py()):
-                    found.update(of_piece(words))
-                    if len(found) - before > HELD:
-                        size += len(found) - before
-                        yield from out()
-                        held.clear()
-                        found, size, before = held.setdefault(lang, Counter()), 0, 0
+                found.update(of_piece(words))
                 size += len(found) - before
                 if size > HELD:
-                    yield from out()
-                    held.clear()
-                    size = 0
-        yield from out()
+                    yield held
+                    held, size = {}, 0
+    yield held
 
+
+def _texts(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), docs["text"].cast("binary").alias("text"))
-    return rows.where(F.length("text") > 0).mapInArrow(count, "lang string, phrase string, n long")
+    return rows.where(F.length("text") > 0)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """``lang, phrase`` (a word) and ``n``."""
-    return _counted(docs, lambda words: words).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _counts(batches, lambda words: words):
+            for lang, found in held.items():
+                arrays = [pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["lang", "phrase", "n"])
+
+    return _texts(docs).mapInArrow(count, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def _suffixes(max_n: int):
@@ -103,11 +101,15 @@ def _suffixes(max_n: int):
     return of
 
 
-def _frequent(words: DataFrame) -> DataFrame:
-    """``lang, word, parts`` of the words that begin more suffixes than a part takes: at most some for each task."""
-    spark = words.sparkSession
+def _part_size(words: DataFrame) -> tuple[int, int]:
+    """How many suffixes a part takes, and how many there are: more than ``MAX_FREQUENT`` words cannot exceed a part."""
     total = words.agg(F.sum("n").alias("n")).first()["n"] or 0
-    most = max(PART_WORDS, total // (4 * shuffle_partitions(spark)))
+    return max(PART_WORDS, total // MAX_FREQUENT), total
+
+
+def _frequent(words: DataFrame) -> DataFrame:
+    """``lang, word, parts`` of the words that begin more suffixes than a part takes, ``MAX_FREQUENT`` at most."""
+    most, _ = _part_size(words)
     return words.where(F.col("n") > most).select("lang", F.col("phrase").alias("word"), F.ceil(F.col("n") / most).cast("int").alias("parts"))
 
 
@@ -119,49 +121,73 @@ def _parted(rows: DataFrame, frequent: DataFrame, word: Column) -> DataFrame:
     return joined.withColumn("parts", F.coalesce("parts", F.lit(1))).drop("_lang", "word")
 
 
+def count_prefixes(suffixes: list[bytes], counts: Mapping[bytes, int], keep) -> list[tuple[bytes, int, int]]:
+    """``(phrase, size, n)`` of all prefixes that ``keep(size, n)``; ``suffixes`` are in descending order, each word ends with a space."""
+    out, prefixes, sums = [], [], []
+    for s in chain(suffixes, (b"",)):  # the last one empties the stack
+        while prefixes and not (s and s.startswith(prefixes[-1])):
+            phrase, n = prefixes.pop(), sums.pop()
+            if sums:
+                sums[-1] += n
+            if keep(len(prefixes) + 1, n):
+                out.append((phrase[:-1], len(prefixes) + 1, n))
+        at = len(prefixes[-1]) if prefixes else 0
+        while at < len(s):
+            at = s.index(b" ", at) + 1
+            prefixes.append(s[:at])
+            sums.append(0)
+        if s:
+            sums[-1] += counts[s]
+    return out
+
+
 def phrase_counts(docs: DataFrame, words: DataFrame, max_n: int = MAX_N, min_count: int = MIN_COUNT) -> DataFrame:
     """``lang, phrase, size`` (words) and ``n`` of all phrases found ``min_count`` times or more."""
-    frequent = _frequent(words)
-    rows = _parted(_counted(docs, _suffixes(max_n)), frequent, F.substring_index("phrase", " ", 1))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("phrase"), F.col("parts")).cast("int"))
-    dealt = rows.repartition("lang", "_word", "part").select("lang", "part", "parts", "phrase", "n")
-    dealt = dealt.sortWithinPartitions(F.desc("phrase"))
+    most, total = _part_size(words)
+    shared = -(-total // most) or 1  # parts of words that are not frequent; a frequent word's own are numbered from here on
+    few = {(r["lang"], r["word"].encode()): r["parts"] for r in _frequent(words).collect()}
+    frequent = docs.sparkSession.sparkContext.broadcast(few)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts_of = frequent.value
+        for held in _counts(batches, _suffixes(max_n)):
+            rows: list[tuple] = []
+            for lang, found in held.items():
+                dealt: defaultdict[int, list[bytes]] = defaultdict(list)
+                known: dict[bytes, int] = {}
+                start = crc32(lang.encode())
+                for s in found:
+                    first = s[: s.index(b" ")]
+                    if (at := known.get(first)) is None:
+                        at = known[first] = -1 if (lang, first) in parts_of else crc32(first, start) % shared
+                    if at < 0:
+                        at = shared + crc32(b"%d " % (crc32(s) % parts_of[lang, first]) + first, start)
+                    dealt[at].append(s)
+                for at, some in dealt.items():
+                    some.sort(reverse=True)
+                    rows.append((at, lang, b"\n".join(some), np.array([found[s] for s in some], "<u4").tobytes()))
+            if rows:
+                kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["part", "lang", "suffixes", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stacks: dict[tuple[str, int], list] = {}
-        out: list[tuple] = []
-
-        def pop(lang: str, stack: list) -> None:
-            phrase, n, parts = stack.pop()
-            size = len(stack) + 1
-            if stack:
-                stack[-1][1] += n
-            if n >= min_count or parts > 1 and size < max_n:
-                out.append((lang, phrase[:-1], size, n))
-
-        def emit() -> pa.RecordBatch:
-            lang, phrase, size, n = zip(*out) if out else ((), (), (), ())
-            arrays = [pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(size, pa.int32()), pa.array(n, pa.int64())]
-            out.clear()
-            return pa.RecordBatch.from_arrays(arrays, ["lang", "phrase", "size", "n"])
-
-        for batch in batches:
-            for lang, part, parts, suffix, n in zip(*(c.to_pylist() for c in batch.columns)):
-                stack = stacks.setdefault((lang, part), [])
-                while stack and not suffix.startswith(stack[-1][0]):
-                    pop(lang, stack)
-                at = len(stack[-1][0]) if stack else 0
-                while at < len(suffix):
-                    at = suffix.index(" ", at) + 1
-                    stack.append([suffix[:at], 0, parts])
-                stack[-1][1] += n
-            yield emit()
-        for (lang, _), stack in stacks.items():
-            while stack:
-                pop(lang, stack)
-        yield emit()
-
-    found = dealt.mapInArrow(count, "lang string, phrase string, size int, n long")
+        for part, group in groupby((r for b in batches for r in zip(*(b.column(c) for c in ("part", "lang", "suffixes", "counts")))), key=lambda r: r[0].as_py()):
+            held: defaultdict[str, Counter] = defaultdict(Counter)
+            for _, lang, suffixes, counts in group:
+                found = held[lang.as_py()]
+                for s, n in zip(suffixes.as_py().split(b"\n"), np.frombuffer(counts.as_py(), "<u4").tolist()):
+                    found[s] = found.get(s, 0) + n
+            # A frequent word's shorter phrases go on into sums over its parts, so none of them may be dropped here.
+            keep = (lambda size, n: n >= min_count) if part < shared else (lambda size, n: n >= min_count or size < max_n)
+            for lang, found in held.items():
+                out = count_prefixes(sorted(found, reverse=True), found, keep)
+                if out:
+                    phrase, size, n = zip(*out)
+                    arrays = [pa.array([lang] * len(out), pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(size, pa.int32()), pa.array(n, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(arrays, ["lang", "phrase", "size", "n"])
+
+    dealt = _texts(docs).mapInArrow(deal, "part long, lang string, suffixes binary, counts binary")
+    found = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(count, "lang string, phrase string, size int, n long")
     return found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
 
 

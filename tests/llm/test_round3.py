@@ -108,15 +108,12 @@ def phrase_rows():
 def test_collocations_equal_brute_force(spark, phrase_rows, limits, max_n, min_count, top, monkeypatch):
     for k, v in limits.items():
         monkeypatch.setattr(collocations, k, v)
-    if limits:
-        monkeypatch.setattr(collocations, "shuffle_partitions", lambda spark: 1_000)
     got = collocations.collocations(docs_of(spark, phrase_rows), max_n, min_count, 50, top).collect()
     assert sorted(map(tuple, got)) == phrases_by_hand(phrase_rows, max_n, min_count, 50, top)
 
 
 def test_frequent_first_words_are_parted(spark, phrase_rows, monkeypatch):
     monkeypatch.setattr(collocations, "PART_WORDS", 50)
-    monkeypatch.setattr(collocations, "shuffle_partitions", lambda spark: 1_000)
     words = collocations.word_counts(docs_of(spark, phrase_rows))
     parts = {(r.lang, r.word): r.parts for r in collocations._frequent(words).collect()}
     assert parts["en", "the"] > 10
