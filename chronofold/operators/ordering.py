@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofold.sources.shared import settled
+
 
 def bounds(chapters: DataFrame, length: Column, by: str = "book_id", order: str = "revealed_at") -> DataFrame:
     """Adds the half-open range ``start, end`` of each chapter on its book's line of characters."""
@@ -46,3 +50,37 @@ def kept_results(used: DataFrame, by: str, at: str, key: str, *, most: int, hour
     group = Window.partitionBy(by)
     fresh = used.withColumn("_last", F.max(at).over(group)).where(F.col(at) > F.timestamp_add("HOUR", F.lit(-hours), F.col("_last")))
     return fresh.withColumn("_n", F.row_number().over(group.orderBy(F.desc(at), key))).where(F.col("_n") <= most).drop("_last", "_n")
+
+
+def numbered(rows: DataFrame, by: str, order: str) -> DataFrame:
+    """``rows`` with ``n``, from 1 within each ``by`` in ``order`` (whose values differ). Rows are dealt by range, numbered within their
+    task and moved by what the tasks before hold of the same key: a few counts, not the key's rows, meet in one place."""
+    dealt = settled(rows.repartitionByRange(by, order).withColumn("_task", F.spark_partition_id()))
+    held = dealt.groupBy(by, "_task").agg(F.count(F.lit(1)).alias("_held"))
+    before = F.coalesce(F.sum("_held").over(Window.partitionBy(by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.select(F.col(by).alias("_by"), F.col("_task").alias("_of"), before.alias("_before"))
+    here = dealt.withColumn("_n", F.row_number().over(Window.partitionBy(by, "_task").orderBy(order)))
+    joined = here.join(held, here[by].eqNullSafe(held["_by"]) & (F.col("_task") == F.col("_of")))
+    return joined.select(*rows.columns, (F.col("_n") + F.col("_before")).alias("n"))
+
+
+def multiset_digest(rows: DataFrame, value: str) -> DataFrame:
+    """``rows, digest``: two sums over 60 bits each of the values' SHA-256. Sums are made in the tasks, in any order; a value that is there twice counts twice."""
+    part = lambda at: F.sum(F.conv(F.substring(F.sha2(F.col(value), 256), at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.concat_ws("-", part(1), part(16)).alias("digest"))
+
+
+def pair_quality(clusters: DataFrame, floor: float) -> DataFrame:
+    """A clustering (``pred``) against another (``gold``) by pairs: ``tp, fp, fn, precision, recall, f1``, clusters that join several of the
+    other (``over_merged``) and such that are spread over several (``fragmented``), and whether f1 reaches ``floor``. Pairs are
+    counted from the sizes of the clusters and their intersections; no pair is formed."""
+    cells = settled(clusters.groupBy("gold", "pred").agg(F.count(F.lit(1)).alias("n")))
+    pairs = lambda df: df.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("v"))
+    size = lambda k: cells.groupBy(k).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
+    gold, pred = size("gold"), size("pred")
+    spread = lambda df: df.agg(F.count_if(F.col("parts") > 1).alias("v"))
+    named = {"tp": pairs(cells), "g": pairs(gold), "p": pairs(pred), "over_merged": spread(pred), "fragmented": spread(gold)}
+    one = reduce(lambda a, b: a.join(b), [df.withColumnRenamed("v", n) for n, df in named.items()])  # five single rows
+    one = one.withColumn("precision", F.try_divide("tp", "p")).withColumn("recall", F.try_divide("tp", "g"))
+    one = one.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    return one.select("tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("g") - F.col("tp")).alias("fn"), "precision", "recall", "f1", "over_merged", "fragmented", F.coalesce(F.col("f1") >= floor, F.lit(False)).alias("passed"))

@@ -125,3 +125,12 @@ def resolve_in_order(mentions: DataFrame, roster: DataFrame, *, book: str, order
         work = settled(work.unionByName(fresh.select(*columns)))
         out = found if out is None else out.unionByName(found)
     return out if out is not None else resolve(mentions, roster, scope=(book,))
+
+
+def coalesce_honorifics(entities: DataFrame) -> DataFrame:
+    """``old_id, new_id``: entities (``id, name``) of a title and one name, and the entity of that name alone they fold into.
+    A name that several bear alone folds nothing."""
+    t = entities.withColumn("t", F.split(X.normalise_fast(F.col("name")), " "))
+    single = t.where("size(t) = 1").groupBy(F.get("t", F.lit(0)).alias("k")).agg(F.min("id").alias("new_id"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    titled = t.where((F.size("t") == 2) & F.rtrim(F.get("t", F.lit(0)), F.lit(".")).isin(*X.FOLD_HONORIFICS)).select(F.col("id").alias("old_id"), F.get("t", F.lit(1)).alias("k"))
+    return titled.join(single.select("k", "new_id"), "k").select("old_id", "new_id")

@@ -23,6 +23,12 @@ def strict_bookmark(bookmark: object) -> int:
     return bookmark
 
 
+def bookmark_literal(value: Column) -> Column:
+    """The bookmark that a JSON value writes; null for anything but a whole number: fractions, strings, truth values, nulls,
+    numbers beyond a long."""
+    return F.when(value.rlike(r"^-?(?:0|[1-9][0-9]{0,17})$"), value.try_cast("long"))
+
+
 def effective_bookmark(requested: Column, stored: Column, *frontiers: Column) -> Column:
     """What a reader may see: the stored position held back by every frontier (the durable one, and for generated
     text the ingested one), lowered by what is asked for; null where less than 0 is asked for."""

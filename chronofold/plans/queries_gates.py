@@ -109,11 +109,16 @@ def scored(spark, sf):
     return G.score(recaps, G.content_of(read), names, future)
 
 
-@query("gate_binding")
+# Each passage's and document's first word does what its number says.
+VERB = "CASE {0} % 4 WHEN 0 THEN ' quietly married ' WHEN 1 THEN ' was at last murdered by ' WHEN 2 THEN ' and others escaped ' ELSE ' saw ' END"
+
+
+@query("gate_binding", ", c AS (SELECT item_id AS id, regexp_extract(text, '([\\p{L}\\p{M}]+)', 1) AS w, item_id % 4 AS v FROM benchmark), f AS (SELECT DISTINCT lower(regexp_extract(text, '([\\p{L}\\p{M}]+)', 1)) AS w, doc_id % 4 AS v FROM documents) "
+    "SELECT id, CASE v WHEN 0 THEN 'union' WHEN 1 THEN 'death' ELSE 'flight' END || ':' || lower(w) AS signature FROM c WHERE v < 3 AND regexp_matches(w, '^\\p{Lu}\\p{L}+$') AND NOT EXISTS (SELECT 1 FROM f WHERE f.w = lower(c.w) AND f.v = c.v)")
 def gate_binding(spark, sf):
-    claims = spark.createDataFrame([(1, "Ivan was seen when he died."), (2, "Maria at last married him."), (3, "Nobody knows.")], "id int, text string")
-    facts = spark.createDataFrame([("Later Maria quietly married.",)], "text string")
-    return G.unsupported(claims, facts).select("id", "signature")
+    """Events that passages tell of their first word, and no document does."""
+    told = lambda df, key: df.select(F.col(key).alias("id"), F.concat(F.regexp_extract("text", r"([\p{L}\p{M}]+)", 1), F.expr(VERB.format(key)), F.lit("someone")).alias("text"))
+    return G.unsupported(told(items(spark, sf), "item_id"), told(docs(spark, sf), "doc_id")).select("id", "signature")
 
 
 @query("gate_assert", SCORE + "SELECT recap_id, verdict <> 'hard' AS passed FROM sc")

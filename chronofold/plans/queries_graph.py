@@ -44,16 +44,17 @@ def er_resolve_chapter(spark, sf):
     return out.select("conv_id", F.col("mention_id").alias("turn"), "entity_id", "method", "warn")
 
 
-@query("er_coalesce_honorific", """, n AS (SELECT * FROM (VALUES ('e1', 'Father Zossima'), ('e2', 'Zossima'), ('e3', 'Brother Karamazov'), ('e4', 'Karamazov'), ('e5', 'Karamazov'), ('e6', 'Doctor Zossima')) v(id, name)),
-s AS (SELECT lower(name) AS k, min(id) AS id FROM n WHERE NOT contains(name, ' ') GROUP BY 1 HAVING count(*) = 1)
-SELECT n.id AS old_id, s.id AS new_id FROM n JOIN s ON s.k = lower(split_part(name, ' ', 2)) WHERE lower(split_part(name, ' ', 1)) IN ('father', 'elder', 'abbot', 'brother', 'mother', 'sister')""")
+@query("er_coalesce_honorific", r""", w AS (SELECT doc_id, regexp_extract(text, '([\p{L}\p{M}\p{N}]+)', 1) || CASE WHEN doc_id % 3 = 2 THEN CAST(doc_id % 50 AS VARCHAR) ELSE '' END AS w1 FROM documents),
+n AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Father ' || w1 WHEN 1 THEN 'Doctor ' || w1 WHEN 2 THEN w1 ELSE 'Brother  ' || w1 END AS name FROM w),
+s AS (SELECT lower(name) AS k, min(doc_id) AS id FROM n WHERE NOT contains(name, ' ') GROUP BY 1 HAVING count(*) = 1)
+SELECT n.doc_id AS old_id, s.id AS new_id FROM n JOIN s ON s.k = lower(regexp_extract(name, ' +(.*)$', 1)) WHERE doc_id % 4 IN (0, 3)""")
 def er_coalesce_honorific(spark, sf):
-    """A title and a name fold into the only bearer of that single name."""
-    n = spark.createDataFrame([("e1", "Father Zossima"), ("e2", "Zossima"), ("e3", "Brother Karamazov"), ("e4", "Karamazov"), ("e5", "Karamazov"), ("e6", "Doctor Zossima")], "id string, name string")
-    t = n.withColumn("t", F.split(F.lower("name"), r"\s+"))
-    single = t.where("size(t) = 1").groupBy(F.get("t", F.lit(0)).alias("k")).agg(F.min("id").alias("new_id"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    titled = t.where((F.size("t") == 2) & F.rtrim(F.get("t", F.lit(0)), F.lit(".")).isin(*X.FOLD_HONORIFICS)).select(F.col("id").alias("old_id"), F.get("t", F.lit(1)).alias("k"))
-    return titled.join(single, "k").select("old_id", "new_id")
+    """First words of documents as names, some with titles: a title and a name fold into the only bearer of that name."""
+    number = F.when(F.col("doc_id") % 3 == 2, (F.col("doc_id") % 50).cast("string")).otherwise("")
+    w = F.concat(F.regexp_extract("text", r"([\p{L}\p{M}\p{N}]+)", 1), number)
+    n = F.col("doc_id") % 4
+    name = F.when(n == 0, F.concat(F.lit("Father "), w)).when(n == 1, F.concat(F.lit("Doctor "), w)).when(n == 2, w).otherwise(F.concat(F.lit("Brother  "), w))
+    return R.coalesce_honorifics(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), name.alias("name")))
 
 
 @query("gr_shortest_path", VIS + """, u AS (SELECT src_entity AS a, dst_entity AS b FROM vr UNION SELECT dst_entity, src_entity FROM vr),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronofold.operators import ordering as O
 from chronofold.operators.vectors import index_changes
+from chronofold.operators.view import bookmark_literal
 from chronofold.plans.queries_views import BOOK, VIS, at, book, receipted
 from chronofold.plans.registry import query
 from chronofold.plans.standins import bind
@@ -75,11 +76,12 @@ def win_sample_rows(spark, sf):
     return kept.withColumn("m", F.row_number().over(Window.partitionBy("book_id").orderBy("n"))).where("m <= 6").select("chapter_key", "n")
 
 
-@query("win_excerpts", "SELECT doc_id, CASE WHEN length(text) <= 900 THEN text ELSE substring(text, 1, 300) || substring(text, length(text) // 2 - 149, 300) || right(text, 300) END AS excerpt FROM documents")
+@query("win_excerpts", "SELECT doc_id, CASE WHEN length(text) <= 7500 THEN text ELSE substring(text, 1, 2500) || substring(text, length(text) // 2 - 1249, 2500) || right(text, 2500) END AS excerpt FROM documents")
 def win_excerpts(spark, sf):
-    middle = F.expr("substring(text, cast(length(text) div 2 as int) - 149, 300)")
-    cut = F.concat(F.substring("text", 1, 300), middle, F.expr("right(text, 300)"))
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.when(F.length("text") <= 900, F.col("text")).otherwise(cut).alias("excerpt"))
+    """A text whole, or its beginning, middle and end of 2,500 characters each."""
+    middle = F.expr("substring(text, cast(length(text) div 2 as int) - 1249, 2500)")
+    cut = F.concat(F.left("text", F.lit(2_500)), middle, F.right("text", F.lit(2_500)))
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.when(F.length("text") <= 7_500, F.col("text")).otherwise(cut).alias("excerpt"))
 
 
 @query("win_passages", r""", n AS (SELECT doc_id, trim(regexp_replace(text, '[ \n\t\r]+', ' ', 'g')) AS t FROM documents),
@@ -126,8 +128,8 @@ def agg_grounding_rate(spark, sf):
 
 @query("win_event_order", "SELECT event_id, row_number() OVER (PARTITION BY revealed_at ORDER BY event_id) AS order_idx FROM events_")
 def win_event_order(spark, sf):
-    events = bind(spark, sf, "events_").groupBy("revealed_at").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
-    return events.select(F.posexplode("ids").alias("p", "event_id")).select("event_id", (F.col("p") + 1).cast("long").alias("order_idx"))
+    """Events numbered within their chapters by range, so that no chapter is one task."""
+    return O.numbered(bind(spark, sf, "events_").select("revealed_at", "event_id"), "revealed_at", "event_id").select("event_id", F.col("n").alias("order_idx"))
 
 
 @query("win_body_window", """, m AS (SELECT *, min(CASE WHEN char_len >= 1000 THEN revealed_at END) OVER (PARTITION BY book_id) AS lo, max(CASE WHEN char_len >= 1000 THEN revealed_at END) OVER (PARTITION BY book_id) AS hi FROM chapters)
@@ -277,11 +279,13 @@ def set_dedupe_marks(spark, sf):
     return O.latest(rows, ["mark_id"], F.desc("ts"), F.desc("event_id")).where("kind <> 'purchase'").select("mark_id", "k")
 
 
-@query("gate_read_text", VIS + """SELECT string_agg(substring(c.text, 1, 40), ' ' ORDER BY c.revealed_at, c.chapter_key) AS read_text FROM vc c""")
+@query("gate_read_text", VIS + """SELECT c.chapter_key, CAST(coalesce(sum(length(c.text) + 1) OVER (ORDER BY c.revealed_at, c.chapter_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at_, c.text FROM vc c""")
 def gate_read_text(spark, sf):
-    rows = book(spark, sf).chapters()
-    parts = F.array_sort(F.collect_list(F.struct("revealed_at", "chapter_key", F.substring("text", 1, 40).alias("t"))))
-    return rows.agg(F.array_join(F.transform(parts, lambda x: x["t"]), " ").alias("read_text"))
+    """What has been read of a book: its chapters in order, whole, each with the place where it begins in the joined text."""
+    rows = book(spark, sf).chapters().select("chapter_key", "revealed_at", "text", F.length("text").alias("n"))
+    place = F.coalesce(F.sum(F.col("n") + 1).over(Window.orderBy("revealed_at", "chapter_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.select("chapter_key", "revealed_at", "n").select("chapter_key", place.cast("long").alias("at_"))  # lengths only, of one book
+    return rows.join(starts, "chapter_key").select("chapter_key", "at_", "text")
 
 
 @query("agg_atom_hash", "SELECT book_id, substring(sha256(string_agg(CAST(revealed_at AS VARCHAR) || ':' || chapter_key || ':' || CAST(char_len AS VARCHAR), '|' ORDER BY revealed_at)), 1, 16) AS hash FROM chapters GROUP BY 1")
@@ -295,16 +299,16 @@ def agg_atom_hash(spark, sf):
  UNION ALL SELECT 'edges:' || CAST(edge_id AS VARCHAR) || ':' || coalesce(CAST(invalid_at AS VARCHAR), 'None') || ':' FROM vr
  UNION ALL SELECT 'events:' || CAST(event_id AS VARCHAR) || ':None:' || CAST(order_idx AS VARCHAR) FROM vt
  UNION ALL SELECT 'event_participants:' || CAST(p.event_id AS VARCHAR) || '-' || p.entity_id FROM vp p WHERE p.event_id IN (SELECT event_id FROM vt) AND p.entity_id IN (SELECT entity_id FROM ve))
-SELECT substring(sha256(string_agg(p, '|' ORDER BY p)), 1, 16) AS snapshot FROM parts""")
+SELECT count(*) AS facts, CAST(sum(CAST(('0x' || substring(sha256(p), 1, 15)) AS BIGINT)) AS VARCHAR) || '-' || CAST(sum(CAST(('0x' || substring(sha256(p), 16, 15)) AS BIGINT)) AS VARCHAR) AS snapshot FROM parts""")
 def agg_snapshot(spark, sf):
-    """A hash of all that is visible; equal facts give equal hashes, whatever the order they came in."""
+    """A digest of all that is visible: sums over the facts' hashes, so equal facts give equal digests in any order and no task holds them all."""
     v = at(spark, sf)
     s = lambda c: F.col(c).cast("string")
     parts = v.entities("faction").select(F.concat(F.lit("entities:"), "entity_id", F.lit(":None:")).alias("p"))
     parts = parts.unionByName(v.relationships().select(F.concat(F.lit("edges:"), s("edge_id"), F.lit(":"), F.coalesce(s("invalid_at"), F.lit("None")), F.lit(":")).alias("p")))
     parts = parts.unionByName(v.timeline().select(F.concat(F.lit("events:"), s("event_id"), F.lit(":None:"), s("order_idx")).alias("p")))
     parts = parts.unionByName(v.participants().select(F.concat(F.lit("event_participants:"), s("event_id"), F.lit("-"), "entity_id").alias("p")))
-    return parts.agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list("p")), "|"), 256), 1, 16).alias("snapshot"))
+    return O.multiset_digest(parts, "p").select(F.col("rows").alias("facts"), F.col("digest").alias("snapshot"))
 
 
 @query("agg_merge_extractions", "SELECT conv_id, string_agg(trim(text), ' ' ORDER BY turn) FILTER (WHERE trim(text) <> '') AS summary, count(*) AS parts FROM conversations GROUP BY 1")
@@ -341,31 +345,29 @@ def agg_max_chapter(spark, sf):
     return bind(spark, sf, "chapters").groupBy("book_id").agg(F.coalesce(F.max(live), F.lit(0)).alias("last"))
 
 
-@query("agg_resolution_quality", """, o AS (SELECT d.doc_id, l.quality AS gold, CASE WHEN length(d.text) % 3 = 0 THEN 1 ELSE l.toxic END AS pred FROM documents d JOIN labels l USING (doc_id))
-SELECT count(*) FILTER (WHERE a.gold = b.gold AND a.pred = b.pred) AS tp, count(*) FILTER (WHERE a.gold <> b.gold AND a.pred = b.pred) AS fp, count(*) FILTER (WHERE a.gold = b.gold AND a.pred <> b.pred) AS fn
-FROM o a JOIN o b ON a.doc_id < b.doc_id""")
+@query("agg_resolution_quality", """, o AS (SELECT d.doc_id, coalesce(d.lang, '') AS gold, CASE WHEN length(d.text) % 3 = 0 THEN 'x' || CAST(length(d.text) % 5 AS VARCHAR) ELSE d.lang || CAST(d.doc_id % 2 AS VARCHAR) END AS pred FROM documents d),
+q AS (SELECT count(*) FILTER (WHERE a.gold = b.gold AND a.pred = b.pred) AS tp, count(*) FILTER (WHERE a.gold <> b.gold AND a.pred = b.pred) AS fp, count(*) FILTER (WHERE a.gold = b.gold AND a.pred <> b.pred) AS fn
+FROM o a JOIN o b ON a.doc_id < b.doc_id AND (a.gold = b.gold OR a.pred = b.pred)), r AS (SELECT *, tp / (tp + fp) AS p, tp / (tp + fn) AS c FROM q)
+SELECT tp, fp, fn, CAST(round(1000000 * p) AS BIGINT) AS precision, CAST(round(1000000 * c) AS BIGINT) AS recall, CAST(round(1000000 * 2 * p * c / (p + c)) AS BIGINT) AS f1,
+ (SELECT count(*) FROM (SELECT pred FROM o GROUP BY 1 HAVING count(DISTINCT gold) > 1)) AS over_merged, (SELECT count(*) FROM (SELECT gold FROM o GROUP BY 1 HAVING count(DISTINCT pred) > 1)) AS fragmented, 2 * p * c / (p + c) >= 0.8 AS passed FROM r""")
 def agg_resolution_quality(spark, sf):
-    """Pairwise counts from cluster sizes alone: pairs within gold, within predicted and within both."""
-    d = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
-    rows = d.select(F.col("quality").alias("gold"), F.when(F.length("text") % 3 == 0, 1).otherwise(F.col("toxic")).alias("pred"))
-    pairs = lambda *k: rows.groupBy(*k).count().agg(F.coalesce(F.sum(F.expr("count * (count - 1) div 2")), F.lit(0)))
-    both, gold, pred = pairs("gold", "pred").toDF("tp"), pairs("gold").toDF("g"), pairs("pred").toDF("p")
-    return both.join(gold).join(pred).select("tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("g") - F.col("tp")).alias("fn"))
+    """Documents in clusters by guess and by language, scored by pairs from cluster sizes alone."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    guess = F.when(F.length("text") % 3 == 0, F.concat(F.lit("x"), (F.length("text") % 5).cast("string"))).otherwise(F.concat("lang", (F.col("doc_id") % 2).cast("string")))
+    s = O.pair_quality(d.select(F.coalesce("lang", F.lit("")).alias("gold"), guess.alias("pred")), 0.8)
+    micro = lambda c: F.round(1_000_000 * F.col(c)).cast("long").alias(c)
+    return s.select("tp", "fp", "fn", micro("precision"), micro("recall"), micro("f1"), "over_merged", "fragmented", "passed")
 
 
-@query("vis_guard", "SELECT * FROM (VALUES ('2.0', true), ('None', true), ('True', true), ('''3''', true), ('4', false)) v(bookmark, refused)")
-def vis_guard(spark, sf):
-    """What is no int is refused before a plan exists."""
-    from chronofold.operators.view import strict_bookmark
+# What clients send as a bookmark: a number, a string, a fraction, a truth value.
+SENT = """CASE event_id % 5 WHEN 0 THEN CAST(k AS VARCHAR) WHEN 1 THEN '"' || CAST(k AS VARCHAR) || '"' WHEN 2 THEN CAST(k AS VARCHAR) || '.0' WHEN 3 THEN 'true' END"""
 
-    def refused(value) -> bool:
-        try:
-            strict_bookmark(value)
-        except ValueError:
-            return True
-        return False
 
-    return spark.createDataFrame([(repr(v), refused(v)) for v in (2.0, None, True, "3", 4)], "bookmark string, refused boolean")
+@query("vis_guard", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN k END AS bookmark FROM reports")
+def vis_guard(spark, sf):
+    """What is no whole number is no bookmark."""
+    raw = bind(spark, sf, "reports").withColumn("sent", F.expr(SENT.replace("VARCHAR", "STRING")))
+    return raw.select("event_id", bookmark_literal(F.col("sent")).alias("bookmark"))
 
 
 @query("math_normalize", "SELECT chunk_id, CAST(round(1000000 * CAST(vec[1] AS DOUBLE) / sqrt(list_sum(list_transform(vec, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))) AS BIGINT) AS micro FROM chunks")
@@ -376,9 +378,10 @@ def math_normalize(spark, sf):
     return c.select("chunk_id", F.round(1_000_000 * F.get("vec", F.lit(0)).cast("double") / norm(F.col("vec"))).cast("long").alias("micro"))
 
 
-@query("date_now")
+@query("date_now", "SELECT event_id, ts > CAST(now() AS TIMESTAMP) AS ahead FROM reports")
 def date_now(spark, sf):
-    return spark.range(1).select((F.current_timestamp() > F.lit("2024-01-01").cast("timestamp")).alias("after_2024"))
+    """Reports that claim a time yet to come."""
+    return bind(spark, sf, "reports").select("event_id", (F.col("ts").cast("timestamp") > F.current_timestamp()).alias("ahead"))
 
 
 @query("st_worker_loop", "SELECT book_id, max(k) AS target FROM reports WHERE kind <> 'error' GROUP BY 1")
