@@ -6,6 +6,8 @@ A change row is ``(fact_id, op, at, recorded_at)`` with op ``assert``, ``end`` o
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,17 @@ def fold_changes(changes: DataFrame) -> DataFrame:
     )
 
 
+def retract_chapters(tables: dict[str, tuple[DataFrame, str]], retractions: DataFrame) -> DataFrame:
+    """``kind, id, retracted_at`` of all that goes with retracted chapters (``book_id, chapter_key, at``): of each table (its rows with
+    ``book_id, chapter_key, retracted_at``, and the column of its identifier) the rows that still stand. The earliest of a chapter's retractions counts."""
+    at = retractions.groupBy("book_id", "chapter_key").agg(F.min("at").alias("at"))
+    each = [
+        rows.where("retracted_at is null").join(at, ["book_id", "chapter_key"]).select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), F.col("at").alias("retracted_at"))
+        for kind, (rows, key) in tables.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), each)
+
+
 def supersede(versions: DataFrame, by: str, at: str = "at", order: str = "version_id") -> DataFrame:
     """Gap-free versions: each ends where the next of its key starts; empty ones vanish."""
     nxt = F.lead(at).over(Window.partitionBy(by).orderBy(at, order))

@@ -61,3 +61,22 @@ def expire(jobs: DataFrame, now: Column) -> DataFrame:
     gone = jobs.where(F.col("state").isin("leased", "running") & (F.col("lease_until") <= now))
     state = F.when(F.col("cancel_requested"), "cancelled").when(F.col("attempt_count") < F.col("max_attempts"), "pending").otherwise("failed")
     return gone.select("job_id", state.alias("state"))
+
+
+def usage(owners: DataFrame, held: DataFrame, ledger: DataFrame, holds: DataFrame) -> DataFrame:
+    """What each owner uses of its limits: ``books, bytes, jobs`` (see ``holdings``), ``spent`` and ``reserved`` (``owner_id, micro``); zeros for none."""
+    total = lambda df, name: df.groupBy("owner_id").agg(F.sum("micro").alias(name))
+    rows = owners.select("owner_id").join(held, "owner_id", "left").join(total(ledger, "spent"), "owner_id", "left").join(total(holds, "reserved"), "owner_id", "left")
+    return rows.fillna(0, ["books", "bytes", "jobs", "spent", "reserved"])
+
+
+def commits(claims: DataFrame, receipts: DataFrame, now: Column) -> DataFrame:
+    """``job_id, outcome`` of finished chapters (jobs with ``claim_token, claim_attempt`` and ``chapter_key, content_hash``): ``lost`` without the
+    lease, ``no-op`` where the same content has a receipt, ``changed`` where other content has one (an error, nothing is
+    rewritten), else ``append``."""
+    had = receipts.groupBy("chapter_key").agg(F.collect_set("content_hash").alias("_had"))
+    rows = claims.join(had, "chapter_key", "left")
+    outcome = (
+        F.when(~holds_lease(now), "lost").when(F.col("_had").isNull(), "append").when(F.array_contains("_had", F.col("content_hash")), "no-op").otherwise("changed")
+    )
+    return rows.select("job_id", outcome.alias("outcome"))

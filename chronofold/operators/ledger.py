@@ -39,3 +39,34 @@ def new_marks(marks: DataFrame, bookmarks: DataFrame, highlights: DataFrame) ->
 def migrations(pinned: str, current: str, parts: tuple[str, ...]) -> Column:
     """The parts of an identity (fields of two structs) that differ and have to be made anew, in order."""
     return F.array_compact(F.array(*[F.when(~F.col(f"{pinned}.{p}").eqNullSafe(F.col(f"{current}.{p}")), F.lit(p)) for p in parts]))
+
+
+def projected(requests: DataFrame, ledger: DataFrame, holds: DataFrame) -> DataFrame:
+    """``request_id, outcome``: what ledger, open reservations and a request make together against its book's ceilings: ``input``,
+    ``output`` or ``usd``, the first that is exceeded, else ``ok``. ``ledger`` and ``holds``: ``book_id, input_tokens, output_tokens,
+    micro``; ``requests`` has these, ``request_id`` and the ceilings ``max_input, max_output, max_micro`` (null: none)."""
+    amounts = ("input_tokens", "output_tokens", "micro")
+    total = lambda df: df.groupBy("book_id").agg(*[F.sum(a).alias(f"_{a}") for a in amounts])
+    used = ledger.select("book_id", *amounts).unionByName(holds.select("book_id", *amounts))
+    rows = requests.join(total(used), "book_id", "left")
+    under = lambda a, top: F.col(top).isNull() | (F.coalesce(F.col(f"_{a}"), F.lit(0)) + F.col(a) <= F.col(top))
+    checks = [(under(a, top), name) for a, top, name in zip(amounts, ("max_input", "max_output", "max_micro"), ("input", "output", "usd"))]
+    code = first_violation(*checks)
+    return rows.select("request_id", F.when(code == "admitted", "ok").otherwise(code).alias("outcome"))
+
+
+def pinned_first(asked: DataFrame, pins: DataFrame, order: list[str]) -> DataFrame:
+    """``book_id, pin, outcome``: a book's first request (``book_id, space``) pins its space where none is pinned (``pins``: ``book_id, space``):
+    ``pinned``; the space it has is ``kept``, another one a ``conflict``, which changes nothing."""
+    first = asked.groupBy("book_id").agg(F.min_by("space", F.struct(*order)).alias("asked"))
+    rows = first.join(pins.select("book_id", F.col("space").alias("had")), "book_id", "left")
+    outcome = F.when(F.col("had").isNull(), "pinned").when(F.col("had") == F.col("asked"), "kept").otherwise("conflict")
+    return rows.select("book_id", F.coalesce("had", "asked").alias("pin"), outcome.alias("outcome"))
+
+
+def repinned(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """``book_id, pin``: a new space (``book_id, space``) is taken only where no live row (``book_id, space, retracted_at``) is in another one;
+    null where it is refused."""
+    live = rows.where("retracted_at is null").select("book_id", F.col("space").alias("other"))
+    strangers = asked.join(live, "book_id").where(~F.col("other").eqNullSafe(F.col("space"))).select("book_id", F.lit(True).alias("refused")).distinct()
+    return asked.join(strangers, "book_id", "left").select("book_id", F.when(F.col("refused").isNull(), F.col("space")).alias("pin"))

@@ -26,14 +26,16 @@ def agg_cost_total(spark, sf):
     return reports(spark, sf).groupBy("book_id").agg(F.coalesce(F.sum("micro"), F.lit(0)).alias("micro"))
 
 
-@query("agg_cost_project", R + """, s AS (SELECT book_id, coalesce(CAST(sum(micro) FILTER (WHERE kind <> 'purchase') AS BIGINT), 0) AS spent, coalesce(CAST(sum(micro) FILTER (WHERE kind = 'purchase') AS BIGINT), 0) AS held, CAST(sum(k) AS BIGINT) AS tokens FROM l GROUP BY 1)
-SELECT book_id, spent + held + 1000000 <= 3000000000 AS usd_ok, tokens + 500 <= 3000 AS tokens_ok FROM s""")
+@query("agg_cost_project", R + """, s AS (SELECT book_id, coalesce(CAST(sum(micro) AS BIGINT), 0) AS m, CAST(sum(k) AS BIGINT) AS i FROM l GROUP BY 1)
+SELECT book_id AS request_id, CASE WHEN i + 200 > 3000 + book_id % 7 * 100 THEN 'input' WHEN 2 * i + 500 > 7000 THEN 'output' WHEN m + 1000000 > 3000000000 THEN 'usd' ELSE 'ok' END AS outcome FROM s""")
 def agg_cost_project(spark, sf):
-    """Ledger, open reservations and the request against two ceilings."""
-    hold = F.col("kind") == "purchase"
-    part = lambda c: F.coalesce(F.sum(F.when(c, F.col("micro"))), F.lit(0))
-    s = reports(spark, sf).groupBy("book_id").agg(part(~hold).alias("spent"), part(hold).alias("held"), F.sum("k").alias("tokens"))
-    return s.select("book_id", (F.col("spent") + F.col("held") + 1_000_000 <= 3_000_000_000).alias("usd_ok"), (F.col("tokens") + 500 <= 3_000).alias("tokens_ok"))
+    """Ledger, open reservations and one request a book against three ceilings."""
+    r = reports(spark, sf).select("book_id", "kind", F.col("k").alias("input_tokens"), (F.col("k") * 2).alias("output_tokens"), "micro")
+    asked = r.select("book_id").distinct().select(
+        "book_id", F.col("book_id").alias("request_id"), F.lit(200).alias("input_tokens"), F.lit(500).alias("output_tokens"), F.lit(1_000_000).alias("micro"),
+        (3_000 + F.col("book_id") % 7 * 100).alias("max_input"), F.lit(7_000).alias("max_output"), F.lit(3_000_000_000).alias("max_micro"),
+    )
+    return L.projected(asked, r.where("kind <> 'purchase'"), r.where("kind = 'purchase'"))
 
 
 @query("agg_cost_dedup", "SELECT book_id, k, min(event_id) AS entry_id, CASE WHEN count(DISTINCT kind) > 1 THEN 'conflict' ELSE 'kept' END AS outcome FROM reports GROUP BY 1, 2")
@@ -48,11 +50,12 @@ def agg_cost_list(spark, sf):
     return rows.join(total, "book_id").select("event_id", "micro", "book_micro", "book_tokens")
 
 
-@query("agg_limits", ", u AS (SELECT o_custkey, o_orderstatus, (SELECT 1) AS one, l.q FROM orders LEFT JOIN (SELECT l_orderkey, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey) SELECT c_custkey AS owner_id, count(*) FILTER (WHERE o_orderstatus <> 'F') AS books, coalesce(CAST(sum(q) FILTER (WHERE o_orderstatus <> 'F') AS BIGINT), 0) AS bytes, count(*) FILTER (WHERE o_orderstatus = 'P') AS jobs FROM customer LEFT JOIN u ON o_custkey = c_custkey GROUP BY 1")
+@query("agg_limits", R + ", u AS (SELECT o_custkey, o_orderstatus, (SELECT 1) AS one, l.q FROM orders LEFT JOIN (SELECT l_orderkey, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey) SELECT c_custkey AS owner_id, coalesce((SELECT CAST(sum(micro) AS BIGINT) FROM l WHERE kind <> 'purchase' AND l.book_id = c_custkey), 0) AS spent, coalesce((SELECT CAST(sum(micro) AS BIGINT) FROM l WHERE kind = 'purchase' AND l.book_id = c_custkey), 0) AS reserved, count(*) FILTER (WHERE o_orderstatus <> 'F') AS books, coalesce(CAST(sum(q) FILTER (WHERE o_orderstatus <> 'F') AS BIGINT), 0) AS bytes, count(*) FILTER (WHERE o_orderstatus = 'P') AS jobs FROM customer LEFT JOIN u ON o_custkey = c_custkey GROUP BY 1")
 def agg_limits(spark, sf):
-    """What every owner holds: orders as books with their bytes, pending ones as active jobs."""
+    """What every owner uses: orders as books with their bytes, pending ones as active jobs, reports as spend and reservations."""
     books, sources, jobs, owners = library(spark, sf)
-    return owners.select("owner_id").join(J.holdings(books, sources, jobs), "owner_id", "left").fillna(0, ["books", "bytes", "jobs"])
+    r = reports(spark, sf).select(F.col("book_id").alias("owner_id"), "kind", "micro")
+    return J.usage(owners, J.holdings(books, sources, jobs), r.where("kind <> 'purchase'"), r.where("kind = 'purchase'"))
 
 
 @query("agg_job_progress", "SELECT book_id, count(*) AS total, count(*) FILTER (WHERE r) AS done FROM (SELECT c.book_id, r.chapter_key IS NOT NULL AS r FROM chapters c LEFT JOIN receipts r ON r.book_id = c.book_id AND r.chapter_key = c.chapter_key) x GROUP BY 1")
@@ -88,16 +91,21 @@ def cost_finalize(spark, sf):
     return latest.withColumn("progress", F.max("k").over(Window.partitionBy("book_id")))
 
 
-@query("dml_pin_first", "SELECT book_id, arg_min(kind, (ts, event_id)) AS pin FROM reports GROUP BY 1".replace("arg_min(kind, (ts, event_id))", "(list(kind ORDER BY ts, event_id))[1]"))
+@query("dml_pin_first", ", f AS (SELECT book_id, (list(kind ORDER BY ts, event_id))[1] AS asked, CASE book_id % 3 WHEN 0 THEN 'view' WHEN 1 THEN 'click' END AS had FROM reports GROUP BY 1) SELECT book_id, coalesce(had, asked) AS pin, CASE WHEN had IS NULL THEN 'pinned' WHEN had = asked THEN 'kept' ELSE 'conflict' END AS outcome FROM f")
 def dml_pin_first(spark, sf):
-    return reports(spark, sf).groupBy("book_id").agg(F.min_by("kind", F.struct("ts", "event_id")).alias("pin"))
+    """The first report's kind as a book's space; two thirds of the books have one already."""
+    r = reports(spark, sf)
+    had = F.when(F.col("book_id") % 3 == 0, "view").when(F.col("book_id") % 3 == 1, "click")
+    pins = r.select("book_id").distinct().withColumn("space", had).where("space is not null")
+    return L.pinned_first(r.select("book_id", F.col("kind").alias("space"), "ts", "event_id"), pins, ["ts", "event_id"])
 
 
-@query("dml_repin", "SELECT book_id, CASE WHEN count(*) FILTER (WHERE k > 97) = 0 THEN (list(kind ORDER BY ts DESC, event_id DESC))[1] END AS pin FROM reports GROUP BY 1")
+@query("dml_repin", ", n AS (SELECT book_id, (list(kind ORDER BY ts DESC, event_id DESC))[1] AS space FROM reports GROUP BY 1) SELECT n.book_id, CASE WHEN NOT EXISTS (SELECT 1 FROM reports r WHERE r.book_id = n.book_id AND r.k >= 95 AND r.kind <> n.space) THEN space END AS pin FROM n")
 def dml_repin(spark, sf):
-    """Overwritten only where no live row is in another space."""
-    newest = F.max_by("kind", F.struct("ts", "event_id"))
-    return reports(spark, sf).groupBy("book_id").agg(F.when(F.count_if(F.col("k") > 97) == 0, newest).alias("pin"))
+    """The last report's kind as a new space; reports of 95 and more are the rows that live."""
+    r = reports(spark, sf).withColumn("retracted_at", F.when(F.col("k") < 95, F.col("ts")))
+    asked = r.groupBy("book_id").agg(F.max_by("kind", F.struct("ts", "event_id")).alias("space"))
+    return L.repinned(asked, r.select("book_id", F.col("kind").alias("space"), "retracted_at"))
 
 
 @query("dml_add_chunk", "SELECT chunk_id, CASE WHEN model <> 'model-1' THEN 'wrong model' WHEN len(vec) <> dimension THEN 'wrong dimension' ELSE 'added' END AS outcome FROM chunks")
@@ -216,13 +224,14 @@ def st_lease(spark, sf):
     return J.expire(jobs(spark, sf), F.lit(NOW).cast("timestamp"))
 
 
-@query("job_commit", JOBS + """SELECT job_id, CASE WHEN state = 'pending' OR token = 4 OR NOT held THEN 'lost' WHEN job_id % 3 = 0 THEN 'no-op' ELSE 'append' END AS outcome FROM j""")
+@query("job_commit", JOBS + """SELECT job_id, CASE WHEN state = 'pending' OR token = 4 OR NOT held THEN 'lost' WHEN job_id % 3 = 0 THEN 'no-op' WHEN job_id % 3 = 1 AND job_id % 7 = 0 THEN 'changed' ELSE 'append' END AS outcome FROM j""")
 def job_commit(spark, sf):
-    """A chapter's commit by its lease holder only; one that a receipt shows already is nothing."""
+    """A chapter's commit by its lease holder only; the same content again is nothing, other content is an error."""
     j = jobs(spark, sf).withColumn("claim_token", F.when(F.col("token") == 4, -1).otherwise(F.col("token"))).withColumn("claim_attempt", F.col("attempt_count"))
-    done = j.where("job_id % 3 = 0").select("job_id", F.lit(True).alias("done"))
-    outcome = F.when(~J.holds_lease(F.lit(NOW).cast("timestamp")), "lost").when(F.col("done"), "no-op").otherwise("append")
-    return j.join(done, "job_id", "left").select("job_id", outcome.alias("outcome"))
+    key = F.col("job_id").cast("string")
+    done = j.where("job_id % 3 = 0").select(key.alias("chapter_key"), F.lit("h").alias("content_hash"))
+    other = j.where("job_id % 3 = 1 and job_id % 7 = 0").select(key.alias("chapter_key"), F.lit("other").alias("content_hash"))
+    return J.commits(j.withColumn("chapter_key", key).withColumn("content_hash", F.lit("h")), done.unionByName(other), F.lit(NOW).cast("timestamp"))
 
 
 @query("dml_limits_update", "SELECT event_id, coalesce(CASE WHEN k % 3 = 0 THEN k END, 10) AS max_books, coalesce(CASE WHEN k % 4 = 0 THEN k END, 20) AS max_jobs FROM reports")

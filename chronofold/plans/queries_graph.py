@@ -177,11 +177,20 @@ FOLD = CHANGES + 'SELECT fact_id, min("at") FILTER (WHERE op = \'assert\') AS re
 
 
 @query("bt_end", FOLD)
-@query("bt_retract", FOLD)
 def bt_end(spark, sf):
     return K.fold_changes(changes(spark, sf))
 
 
+@query("bt_retract", """, r AS (SELECT book_id, chapter_key, TIMESTAMP '2024-05-01 00:00:00' AS t FROM receipts WHERE content_hash = 'stale')
+SELECT 'chapter' AS kind, c.chapter_key AS id, t AS retracted_at FROM chapters c JOIN r ON r.book_id = c.book_id AND r.chapter_key = c.chapter_key WHERE c.retracted_at IS NULL
+UNION ALL SELECT 'summary', CAST(s.summary_id AS VARCHAR), t FROM summaries s JOIN r ON r.book_id = s.book_id AND r.chapter_key = s.chapter_key WHERE s.retracted_at IS NULL""")
+def bt_retract(spark, sf):
+    """Chapters whose receipt is stale are retracted, and all that hangs on them with them."""
+    at = F.lit("2024-05-01 00:00:00").cast("timestamp").alias("at")
+    gone = bind(spark, sf, "receipts").where("content_hash = 'stale'").select("book_id", "chapter_key", at)
+    return K.retract_chapters({"chapter": (bind(spark, sf, "chapters"), "chapter_key"), "summary": (bind(spark, sf, "summaries"), "summary_id")}, gone)
+
+
 SUPER = "SELECT state_id, entity_id, revealed_at, invalid_at FROM states WHERE invalid_at IS NULL OR invalid_at > revealed_at"
 
 

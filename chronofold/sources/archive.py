@@ -18,12 +18,21 @@ def manifest(chapters: DataFrame) -> DataFrame:
 
 
 def read_manifest(manifests: DataFrame) -> DataFrame:
-    """Atoms again; a book whose hash or run of ordinals does not hold is refused (left out, ``ok`` false)."""
+    """Atoms again, ``book_id, revealed_at, chapter_key, char_len``, of the books whose hash and run of ordinals hold; ``refused_manifests`` has the others."""
+    return _parsed(manifests).where("ok").select("book_id", F.inline("m.atoms"))
+
+
+def refused_manifests(manifests: DataFrame) -> DataFrame:
+    """``book_id`` of the manifests that are not what they say."""
+    return _parsed(manifests).where("not ok").select("book_id")
+
+
+def _parsed(manifests: DataFrame) -> DataFrame:
     parsed = manifests.withColumn("m", F.from_json("manifest", "atoms array<struct<revealed_at:int,chapter_key:string,char_len:bigint>>"))
     line = F.transform("m.atoms", lambda a: F.concat_ws(":", a["revealed_at"].cast("string"), a["chapter_key"], a["char_len"].cast("string")))
     whole = F.forall(F.transform("m.atoms", lambda a, i: a["revealed_at"] == i + 1), lambda x: x)
     ok = (F.substring(F.sha2(F.array_join(line, "|"), 256), 1, 16) == F.col("hash")) & whole
-    return parsed.select("book_id", ok.alias("ok"), F.inline("m.atoms"))
+    return parsed.select("book_id", F.coalesce(ok, F.lit(False)).alias("ok"), "m")
 
 
 def export_rows(df: DataFrame, key: str) -> DataFrame:
@@ -32,6 +41,41 @@ def export_rows(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key), F.to_json(F.struct(*[v.alias(c) for v, (c, _) in zip(values, df.dtypes)])).alias("row"))
 
 
+def records(rows: DataFrame, column: str, schema: str) -> DataFrame:
+    """A JSON array of objects as rows with the object's fields; other fields are left out, an empty or null array has no row."""
+    return rows.withColumn("_r", F.explode(F.from_json(column, f"array<struct<{', '.join(f'{c.split()[0]}:{c.split()[1]}' for c in schema.split(', '))}>>"))).select("*", "_r.*").drop("_r", column)
+
+
+FORMAT, VERSION = "portable-story", 6  # fixed values: what an export says of itself
+
+
+def export_bundle(tables: dict[str, tuple[DataFrame, str]]) -> tuple[DataFrame, DataFrame]:
+    """Rows of several tables (each with its key) as ``name, row``, and the manifest ``format, version, name, rows, size, digest``
+    that binds them: how many rows, how many bytes, and an order-free digest."""
+    each = [export_rows(df, key).select(F.lit(name).alias("name"), "row") for name, (df, key) in tables.items()]
+    rows = reduce(lambda a, b: a.unionByName(b), each)
+    return rows, _bound(rows).select(F.lit(FORMAT).alias("format"), F.lit(VERSION).alias("version"), "name", "rows", "size", "digest")
+
+
+def _bound(rows: DataFrame) -> DataFrame:
+    part = lambda at: F.sum(F.conv(F.substring(F.sha2("row", 256), at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return rows.groupBy("name").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("row")).alias("size"), F.concat_ws("-", part(1), part(16)).alias("digest"))
+
+
+def import_bundle(rows: DataFrame, manifest: DataFrame, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """The tables of a bundle whose manifest holds. Refused: another format or version, other tables than ``schemas``, rows that
+    the manifest does not bind."""
+    if manifest.where(~(F.col("format").eqNullSafe(F.lit(FORMAT)) & F.col("version").eqNullSafe(F.lit(VERSION)))).limit(1).count():
+        raise ArchiveError("another format or version")
+    if sorted(r["name"] for r in manifest.select("name").collect()) != sorted(schemas):  # a row per table
+        raise ArchiveError("other tables than the version has")
+    found = _bound(rows).select("name", F.struct("rows", "size", "digest").alias("found"))
+    said = manifest.select("name", F.struct("rows", "size", "digest").alias("said"))
+    if said.join(found, "name", "full").where(~F.col("said").eqNullSafe(F.col("found"))).where("not (found is null and said.rows = 0)").limit(1).count():
+        raise ArchiveError("the rows are not those of the manifest")
+    return {n: import_rows(rows.where(F.col("name") == n), s) for n, s in schemas.items()}
+
+
 def import_rows(rows: DataFrame, schema: str) -> DataFrame:
     return rows.select(F.from_json("row", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
