@@ -12,7 +12,7 @@ from functools import reduce
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{M}\p{N}]+"
@@ -186,3 +186,15 @@ def search(docs: DataFrame, query: str, *, key: str, limit: int, text: str = "te
     rows = docs.withColumn("_w", text_words(F.col(text))).where(matches(F.col("_w"), groups))
     top = rows.withColumn("score", rank_cover_density(F.col("_w"), groups)).orderBy(F.desc("score"), key).limit(limit)
     return top.withColumn("headline", headline(F.col("_w"), groups, **shape)).drop("_w")
+
+
+def sources(ranked: DataFrame, *, key: str, limit: int = 6, most: int = 2_000, text: str = "text") -> DataFrame:
+    """``n, key, passage, score``: the first ``limit`` different passages of ``ranked`` (rows with ``score``), blanks collapsed and cut to ``most``
+    characters, numbered from 1; blank ones are left out, of equal ones the best (then the least ``key``) counts. Only digests and the
+    passages' cuts are shuffled."""
+    plain = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "))
+    rows = ranked.select(key, "score", plain.alias("_t")).where("_t <> ''")
+    best = F.min(F.struct((-F.col("score")).alias("s"), F.col(key).alias("k"), F.left("_t", F.lit(most)).alias("passage"))).alias("b")
+    top = rows.groupBy(F.sha2("_t", 256)).agg(best).select("b.*").orderBy("s", "k").limit(limit)
+    place = F.row_number().over(Window.orderBy("s", "k"))  # of ``limit`` rows
+    return top.select(place.cast("long").alias("n"), F.col("k").alias(key), "passage", (-F.col("s")).alias("score"))

@@ -113,6 +113,16 @@ def score(recaps: DataFrame, facts: DataFrame, names: DataFrame, future: DataFra
     return rows.select("recap_id", "future_names", "future_themes", "forward", "hard", "soft", verdict.alias("verdict"))
 
 
+def reveal_stamps(names: DataFrame, seen: DataFrame) -> DataFrame:
+    """``owner, stamp, first_at, verdict`` of names (``owner, name, revealed_at``) against where their words were first read (``word,
+    first_at``): a name is read where the first of its words written as names is. ``early`` if it is revealed before
+    that, ``unread`` if none is ever read, else ``ok``."""
+    t = names.select("owner", F.col("revealed_at").alias("stamp"), F.explode_outer(F.filter(X.tokens(F.col("name")), lambda t: t["proper"])).alias("t"))
+    rows = t.select("owner", "stamp", F.col("t.raw").alias("word")).join(seen, "word", "left").groupBy("owner", "stamp").agg(F.min("first_at").alias("first_at"))
+    verdict = F.when(F.col("first_at").isNull(), "unread").when(F.col("stamp") < F.col("first_at"), "early").otherwise("ok")
+    return rows.select("owner", "stamp", "first_at", verdict.alias("verdict"))
+
+
 def assert_clean(verdicts: DataFrame) -> None:
     if verdicts.where("verdict = 'hard'").limit(1).count():
         raise LeakError("generated text is not grounded in what may be known")

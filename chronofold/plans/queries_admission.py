@@ -255,13 +255,20 @@ def rel_safe_swap(spark, sf):
 
 
 @query("tree_toc_label", ", t AS (SELECT doc_id, source || '/' || lang AS path FROM documents) SELECT path, min(doc_id) AS first_atom FROM t GROUP BY 1")
-@query("tree_toc_lookup", ", t AS (SELECT doc_id, source || '/' || lang AS path FROM documents) SELECT path, min(doc_id) AS first_atom FROM t GROUP BY 1")
 def tree_toc_label(spark, sf):
     """The first atom below each node of a flattened tree."""
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.concat_ws("/", "source", "lang").alias("path"))
     return d.groupBy("path").agg(F.min("doc_id").alias("first_atom"))
 
 
+@query("tree_toc_lookup", ", t AS (SELECT doc_id, source || '/' || lang AS path FROM documents) SELECT doc_id, path, min(doc_id) OVER (PARTITION BY path) AS first_atom, doc_id = min(doc_id) OVER (PARTITION BY path) AS opens FROM t")
+def tree_toc_lookup(spark, sf):
+    """Every atom's node of the flattened tree, and whether it is the one that opens it."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.concat_ws("/", "source", "lang").alias("path"))
+    first = d.groupBy("path").agg(F.min("doc_id").alias("first_atom"))
+    return d.join(first, "path").select("doc_id", "path", "first_atom", (F.col("doc_id") == F.col("first_atom")).alias("opens"))
+
+
 @query("snk_retention", ", n AS (SELECT event_id, row_number() OVER (PARTITION BY book_id ORDER BY ts DESC, event_id DESC) AS n, max(ts) OVER (PARTITION BY book_id) AS newest FROM reports) SELECT event_id FROM n WHERE n > 5 AND newest <= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 12 HOUR")
 def snk_retention(spark, sf):
     """Reports as archives: what a keep-the-newest-five policy removes of the books that are due."""

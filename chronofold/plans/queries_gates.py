@@ -146,6 +146,18 @@ def ask_validate(spark, sf):
     return G.citations(claims, sources)
 
 
+@query("gate_reveal_correct", r""", rw AS (SELECT w AS word, min(revealed_at) AS first_at FROM (SELECT revealed_at, unnest(""" + W.format("lower(text)") + r""") AS w FROM chapters) z GROUP BY 1),
+tn AS (SELECT chapter_key, revealed_at - CASE doc_id % 5 WHEN 0 THEN 2 ELSE 0 END AS stamp, list_filter(""" + W.format("title") + ", lambda w: length(w) >= 2 AND " + PROPER.format("w") + """) AS ws FROM chapters),
+tx AS (SELECT chapter_key, stamp, min(first_at) AS first_at FROM tn LEFT JOIN rw ON list_contains(list_transform(ws, lambda w: lower(w)), word) GROUP BY 1, 2)
+SELECT chapter_key AS owner, CAST(stamp AS INT) AS stamp, first_at, CASE WHEN first_at IS NULL THEN 'unread' WHEN stamp < first_at THEN 'early' ELSE 'ok' END AS verdict FROM tx""")
+def gate_reveal_correct(spark, sf):
+    """Titles as names, some stamped two chapters too early, against the chapters in which their words are first read."""
+    c = bind(spark, sf, "chapters")
+    seen = c.select("revealed_at", F.explode(F.array_distinct(X.words(F.lower("text")))).alias("word")).groupBy("word").agg(F.min("revealed_at").alias("first_at"))
+    stamp = F.col("revealed_at") - F.when(F.col("doc_id") % 5 == 0, 2).otherwise(0)
+    return G.reveal_stamps(c.select(F.col("chapter_key").alias("owner"), F.col("title").alias("name"), stamp.alias("revealed_at")), seen)
+
+
 @query("gate_labels", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2")
 def gate_labels(spark, sf):
     """Review labels as a confusion table."""

@@ -117,8 +117,6 @@ def win_floor_cum(spark, sf):
 
 @query("agg_grounding_rate", FIRST + """, s AS (SELECT chapter_key, revealed_at, unnest(regexp_extract_all(lower(title), '[\\p{L}\\p{M}\\p{N}]+')) AS tok FROM chapters WHERE book_id = 'src0')
 SELECT chapter_key, count(*) AS n, count(*) FILTER (WHERE first_at <= s.revealed_at) AS grounded FROM s LEFT JOIN f ON f.tok = s.tok GROUP BY 1""".replace("\\\\", "\\"))
-@query("gate_reveal_correct", FIRST + """, s AS (SELECT chapter_key, revealed_at, unnest(regexp_extract_all(lower(title), '[\\p{L}\\p{M}\\p{N}]+')) AS tok FROM chapters WHERE book_id = 'src0')
-SELECT chapter_key, count(*) AS n, count(*) FILTER (WHERE first_at <= s.revealed_at) AS grounded FROM s LEFT JOIN f ON f.tok = s.tok GROUP BY 1""".replace("\\\\", "\\"))
 def agg_grounding_rate(spark, sf):
     tok = F.explode(F.regexp_extract_all(F.lower("title"), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))).alias("tok")
     s = bind(spark, sf, "chapters").where(F.col("book_id") == BOOK).select("chapter_key", "revealed_at", tok)
@@ -188,12 +186,18 @@ def date_ttl(spark, sf):
 
 
 @query("st_high_water", "SELECT book_id, max(k) AS bookmark FROM reports GROUP BY 1")
-@query("st_progress_max", "SELECT book_id, max(k) AS bookmark FROM reports GROUP BY 1")
 def st_high_water(spark, sf):
     """The batch twin of ``chronofold.streaming.position.high_water``."""
     return bind(spark, sf, "reports").groupBy("book_id").agg(F.max("k").alias("bookmark"))
 
 
+@query("st_progress_max", "SELECT event_id, max(k) OVER (PARTITION BY book_id, kind ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS progress, k < max(k) OVER (PARTITION BY book_id, kind ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS behind FROM reports")
+def st_progress_max(spark, sf):
+    """Progress after each report of a job (a book and kind): it only rises, a report behind it changes nothing."""
+    upto = F.max("k").over(Window.partitionBy("book_id", "kind").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    return bind(spark, sf, "reports").select("event_id", upto.alias("progress"), (F.col("k") < upto).alias("behind"))
+
+
 @query("st_reset_epoch", """, e AS (SELECT *, sum(CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM reports)
 SELECT book_id, CAST(epoch AS BIGINT) AS epoch, coalesce(max(k) FILTER (WHERE kind <> 'purchase'), 0) AS bookmark FROM e GROUP BY 1, 2""")
 def st_reset_epoch(spark, sf):

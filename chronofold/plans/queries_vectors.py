@@ -79,16 +79,6 @@ def topk_pgvector(spark, sf):
     return out
 
 
-@query("topk_ask_sources", ", m AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS t FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS d FROM m) SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id, left(t, 200) AS t FROM n WHERE d = 1 AND t <> '' ORDER BY doc_id LIMIT 6")
-def topk_ask_sources(spark, sf):
-    """The first six distinct, non-blank passages of a ranked list, numbered anew."""
-    t = F.trim(F.regexp_replace("text", r"[ \t\n\r\f]+", " "))
-    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", t.alias("t")).where("t <> ''")
-    # Only a digest and the first 200 characters are shuffled.
-    first = rows.groupBy(F.sha2("t", 256)).agg(F.min(F.struct("doc_id", F.left("t", F.lit(200)).alias("t"))).alias("f")).select("f.*").orderBy("doc_id").limit(6)
-    return first.select(F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("n"), "doc_id", F.left("t", F.lit(200)).alias("t"))
-
-
 def fts_sql(where: str, terms: tuple[str, str]) -> str:
     """SQL of a search for two words: covers end at hits at which the older of the two last places moves on."""
     x, y = terms
@@ -159,6 +149,16 @@ def topk_fts_ask(spark, sf):
     return found.select("doc_id", "headline")
 
 
+@query("topk_ask_sources", DOCS + r""", m AS (SELECT d.doc_id, score, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM f JOIN documents d ON d.doc_id = f.id), o AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, doc_id) AS d FROM m WHERE t <> '')
+SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS n, doc_id, left(t, 2000) AS passage FROM o WHERE d = 1 ORDER BY score DESC, doc_id LIMIT 6""")
+def topk_ask_sources(spark, sf):
+    """The six best different passages for a question, numbered to be cited."""
+    groups = T.parse_web("the tion")
+    rows = spark.read.parquet(f"{sf}/documents.parquet").withColumn("w", T.text_words(F.col("text"))).where(T.matches(F.col("w"), groups))
+    ranked = rows.select("doc_id", "text", T.rank_cover_density(F.col("w"), groups).alias("score"))
+    return T.sources(ranked, key="doc_id").select("n", "doc_id", "passage")
+
+
 EMBED = ", m AS (SELECT vec_id AS mention, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0), p AS (SELECT mention, vec_id, " + DOT.format("embedding", "qv") + " / (sqrt(" + DOT.format("embedding", "embedding") + ") * sqrt(" + DOT.format("qv", "qv") + ")) AS score FROM m JOIN embeddings e ON vec_id <> mention), r AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, vec_id) AS n, lead(score) OVER (PARTITION BY mention ORDER BY score DESC, vec_id) AS second FROM p WHERE isfinite(score)) "
 
 
