@@ -186,10 +186,23 @@ def honorific_key(form: Column) -> Column:
     return F.when(one & (F.size(proper_tokens(F.get(tokens, F.lit(1)))) == 1), F.get(tokens, F.lit(1)))
 
 
+# Labels that mean the same.
+SYNONYMS = {
+    "father-child": ("father of", "father son"),
+    "mother-child": ("mother of", "mother son", "mother daughter"),
+    "siblings": ("brother of", "sister of", "brothers", "sisters", "sibling", "siblings"),
+}
+
+
 def label_key(label: Column) -> Column:
-    """Relationship labels that mean the same get one key."""
-    plain = F.regexp_replace(F.lower(label), r"\b(relationship|relation|tie)s?\b", " ")
-    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
+    """Relationship labels that mean the same get one key: lower case, the words relationship, relation and tie left out, ASCII
+    letters and digits only, synonyms as one."""
+    plain = F.regexp_replace(F.lower(label), r"\b(?:relationship|relation|tie)\b", " ")
+    plain = F.trim(F.regexp_replace(plain, r"[^a-z0-9]+", " "))
+    out = plain
+    for key, same in SYNONYMS.items():
+        out = F.when(plain.isin(*same), key).otherwise(out)
+    return out
 
 
 def href_norm(href: Column) -> Column:

@@ -129,11 +129,11 @@ def assert_clean(verdicts: DataFrame) -> None:
 
 
 def signatures(text: Column) -> Column:
-    """(family, role) signatures: a name, within six words after it a verb of a family."""
+    """Signatures ``family:name``: a name and, within six words after it that are no names, a verb of a family."""
     families = (("death", "died|killed|murdered|slain"), ("union", "married|wed|engaged"), ("flight", "fled|escaped|left"))
 
     def told(family: str, verbs: str) -> Column:
-        names = F.regexp_extract_all(text, F.lit(rf"\b(\p{{Lu}}\p{{L}}+)(?:\s+\S+){{0,6}}?\s+(?:{verbs})\b"), F.lit(1))
+        names = F.regexp_extract_all(text, F.lit(rf"\b(\p{{Lu}}\p{{L}}+)(?:\s+(?!\p{{Lu}})\S+){{0,6}}?\s+(?:{verbs})\b"), F.lit(1))
         return F.transform(names, lambda n: F.concat_ws(":", F.lit(family), F.lower(n)))
 
     found = [told(family, verbs) for family, verbs in families]

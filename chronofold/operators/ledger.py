@@ -70,3 +70,24 @@ def repinned(asked: DataFrame, rows: DataFrame) -> DataFrame:
     live = rows.where("retracted_at is null").select("book_id", F.col("space").alias("other"))
     strangers = asked.join(live, "book_id").where(~F.col("other").eqNullSafe(F.col("space"))).select("book_id", F.lit(True).alias("refused")).distinct()
     return asked.join(strangers, "book_id", "left").select("book_id", F.when(F.col("refused").isNull(), F.col("space")).alias("pin"))
+
+
+# The limits that may be changed.
+LIMITS = (
+    "max_upload_bytes", "max_library_bytes", "max_books", "max_active_jobs", "requests_per_window", "request_window_seconds",
+    "max_provider_concurrency", "max_spend_usd",
+)
+
+
+def updated_limits(limits: DataFrame, updates: DataFrame) -> DataFrame:
+    """``limits`` (``owner_id`` and columns of ``LIMITS``) after ``updates`` (``owner_id, field, value, at``; the last of a field counts), with ``outcome``:
+    ``updated``, ``refused`` where any field is none of ``LIMITS`` (nothing of it is taken), ``unchanged`` without an update; and rows
+    of nulls, ``unknown``, for owners without limits."""
+    last = updates.groupBy("owner_id", "field").agg(F.max_by("value", "at").alias("value"))
+    given = last.groupBy("owner_id").agg(
+        F.bool_or(~F.col("field").isin(*LIMITS)).alias("_bad"), *[F.max(F.when(F.col("field") == c, F.col("value"))).alias(f"_{c}") for c in limits.columns if c in LIMITS]
+    )
+    rows = limits.withColumn("_known", F.lit(True)).join(given, "owner_id", "full")
+    outcome = F.when(F.col("_known").isNull(), "unknown").when(F.col("_bad").isNull(), "unchanged").when(F.col("_bad"), "refused").otherwise("updated")
+    take = lambda c: F.when((F.col("outcome") == "updated") & F.col(f"_{c}").isNotNull(), F.col(f"_{c}").cast(dict(limits.dtypes)[c])).otherwise(F.col(c)).alias(c)
+    return rows.withColumn("outcome", outcome).select("owner_id", *[take(c) for c in limits.columns if c in LIMITS], "outcome")

@@ -84,3 +84,12 @@ def pair_quality(clusters: DataFrame, floor: float) -> DataFrame:
     one = one.withColumn("precision", F.try_divide("tp", "p")).withColumn("recall", F.try_divide("tp", "g"))
     one = one.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     return one.select("tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("g") - F.col("tp")).alias("fn"), "precision", "recall", "f1", "over_merged", "fragmented", F.coalesce(F.col("f1") >= floor, F.lit(False)).alias("passed"))
+
+
+def multiset_difference(planned: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
+    """``planned, found`` (numbers of rows), ``lost`` and ``extra``: rows of either side, by their ``columns``, that the other has not as often. One
+    grouping of both sides; equal tables give zeros in both directions."""
+    side = lambda df, a, b: df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).select(*columns, (F.col("n") * a).alias("p"), (F.col("n") * b).alias("f"))
+    both = side(planned, 1, 0).unionByName(side(found, 0, 1)).groupBy(*columns).agg(F.sum("p").alias("p"), F.sum("f").alias("f"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return both.agg(total(F.col("p")).alias("planned"), total(F.col("f")).alias("found"), total(F.greatest(F.col("p") - F.col("f"), F.lit(0))).alias("lost"), total(F.greatest(F.col("f") - F.col("p"), F.lit(0))).alias("extra"))

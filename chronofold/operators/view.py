@@ -9,6 +9,8 @@ broadcasts or shuffles by size.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,3 +160,25 @@ class BookmarkView:
         for p in parts[1:]:
             out = out.unionByName(p)
         return out.distinct()
+
+
+EMPTY_ROSTER = "(none yet — this is the first chapter)"  # fixed value
+
+
+def roster_text(roster: DataFrame, chapters: DataFrame, by: str = "revealed_at") -> DataFrame:
+    """``by, roster``: the cast that each of ``chapters`` (``by``) brings in, a line each (name, type, other names), or the fixed empty text. ``roster``:
+    ``by, entity_id, canonical_name, type, aliases``."""
+    aka = F.when(F.size(F.coalesce("aliases", F.array().cast("array<string>"))) > 0, F.concat(F.lit(" (aka "), F.array_join("aliases", ", "), F.lit(")"))).otherwise("")
+    line = F.concat(F.lit("- "), "canonical_name", F.lit(" ["), "type", F.lit("]"), aka)
+    lines = roster.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("entity_id", line.alias("line")))).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
+    return chapters.select(by).distinct().join(lines, by, "left").select(by, F.coalesce(text, F.lit(EMPTY_ROSTER)).alias("roster"))
+
+
+def chapters_with(needle: str, chapters: DataFrame, *texts: DataFrame) -> DataFrame:
+    """The ``chapters`` (``revealed_at, title``) that hold ``needle``, in any case, in their title or in one of ``texts`` (``revealed_at, text``: summaries, new
+    names, events). A blank needle holds everywhere."""
+    wanted = needle.strip().lower()
+    all_ = reduce(DataFrame.unionByName, [chapters.select("revealed_at", F.col("title").alias("text")), *[t.select("revealed_at", "text") for t in texts]])
+    hit = all_.where(F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lit(wanted))).select("revealed_at").distinct()
+    return chapters.join(hit, "revealed_at", "left_semi") if wanted else chapters

@@ -234,10 +234,16 @@ def job_commit(spark, sf):
     return J.commits(j.withColumn("chapter_key", key).withColumn("content_hash", F.lit("h")), done.unionByName(other), F.lit(NOW).cast("timestamp"))
 
 
-@query("dml_limits_update", "SELECT event_id, coalesce(CASE WHEN k % 3 = 0 THEN k END, 10) AS max_books, coalesce(CASE WHEN k % 4 = 0 THEN k END, 20) AS max_jobs FROM reports")
+@query("dml_limits_update", """, u AS (SELECT book_id AS owner_id, CASE k % 10 WHEN 0 THEN 'colour' ELSE CASE k % 2 WHEN 1 THEN 'max_books' ELSE 'max_active_jobs' END END AS field, k AS value, ts, event_id FROM reports WHERE k % 10 <> 0 OR k > 80),
+g AS (SELECT owner_id, bool_or(field = 'colour') AS bad, (list(value ORDER BY ts DESC, event_id DESC) FILTER (WHERE field = 'max_books'))[1] AS b, (list(value ORDER BY ts DESC, event_id DESC) FILTER (WHERE field = 'max_active_jobs'))[1] AS j FROM u GROUP BY 1)
+SELECT coalesce(c_custkey, owner_id) AS owner_id, CASE WHEN c_custkey IS NOT NULL THEN CASE WHEN NOT coalesce(bad, true) THEN coalesce(b, 10) ELSE 10 END END AS max_books, CASE WHEN c_custkey IS NOT NULL THEN CASE WHEN NOT coalesce(bad, true) THEN coalesce(j, 20) ELSE 20 END END AS max_active_jobs,
+ CASE WHEN c_custkey IS NULL THEN 'unknown' WHEN bad IS NULL THEN 'unchanged' WHEN bad THEN 'refused' ELSE 'updated' END AS outcome FROM customer FULL JOIN g ON owner_id = c_custkey""")
 def dml_limits_update(spark, sf):
-    given = lambda n: F.when(F.col("k") % n == 0, F.col("k"))
-    return reports(spark, sf).select("event_id", F.coalesce(given(3), F.lit(10)).alias("max_books"), F.coalesce(given(4), F.lit(20)).alias("max_jobs"))
+    """Reports as changes of their user's limits; one of a field that may not be changed refuses them all."""
+    limits = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("owner_id"), F.lit(10).cast("long").alias("max_books"), F.lit(20).cast("long").alias("max_active_jobs"))
+    field = F.when(F.col("k") % 10 == 0, "colour").when(F.col("k") % 2 == 1, "max_books").otherwise("max_active_jobs")
+    sent = reports(spark, sf).where("k % 10 <> 0 or k > 80")
+    return L.updated_limits(limits, sent.select(F.col("book_id").alias("owner_id"), field.alias("field"), F.col("k").alias("value"), F.struct("ts", "event_id").alias("at")))
 
 
 @query("dml_audit_purge", "SELECT event_id FROM reports WHERE ts >= TIMESTAMP '2024-01-20 00:00:00'")

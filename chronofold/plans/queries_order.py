@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from chronofold.functions import text as X
 from chronofold.operators import ordering as O
 from chronofold.operators.vectors import index_changes
 from chronofold.operators.view import bookmark_literal
@@ -148,12 +149,20 @@ def win_dedupe_first(spark, sf):
 
 
 @query("win_storythread_label", VIS + """SELECT least(src_entity, dst_entity) AS a, greatest(src_entity, dst_entity) AS b, lower(label) AS label_key, min(revealed_at) AS first_at FROM vr GROUP BY 1, 2, 3""")
-@query("agg_register", VIS + """SELECT least(src_entity, dst_entity) AS a, greatest(src_entity, dst_entity) AS b, lower(label) AS label_key, min(revealed_at) AS first_at FROM vr GROUP BY 1, 2, 3""")
 def win_storythread_label(spark, sf):
     rows = at(spark, sf).relationships()
     return rows.groupBy(F.least("src_entity", "dst_entity").alias("a"), F.greatest("src_entity", "dst_entity").alias("b"), F.lower("label").alias("label_key")).agg(F.min("revealed_at").alias("first_at"))
 
 
+@query("agg_register", VIS + r""", k AS (SELECT src_entity, dst_entity, rel_type, revealed_at, edge_id, trim(regexp_replace(lower(rel_type), '[^a-z0-9]+', ' ', 'g')) AS label_key FROM vr)
+SELECT src_entity, dst_entity, label_key, min(revealed_at) AS first_at, (list(rel_type ORDER BY revealed_at, edge_id))[1] AS text FROM k GROUP BY 1, 2, 3""")
+def agg_register(spark, sf):
+    """Statements of one person about another: directed, one per label, with its first wording."""
+    rows = at(spark, sf).relationships().withColumn("label_key", X.label_key(F.col("rel_type")))
+    first = F.min_by("rel_type", F.struct("revealed_at", "edge_id"))
+    return rows.groupBy("src_entity", "dst_entity", "label_key").agg(F.min("revealed_at").alias("first_at"), first.alias("text"))
+
+
 @query("agg_connections", VIS + """, x AS (SELECT dst_entity AS other, rel_type, min(revealed_at) AS m FROM vr WHERE src_entity IN (SELECT entity_id FROM ve WHERE type = 'character') GROUP BY 1, 2)
 SELECT other, count(*) AS statements, min(m) AS first_at, max(m) AS last_at FROM x GROUP BY 1""")
 def agg_connections(spark, sf):
@@ -328,14 +337,13 @@ def agg_file_counts(spark, sf):
     return bind(spark, sf, "chapters").withColumn("anchors", n).select("chapter_key", "anchors", F.greatest(F.lit(1), F.expr("char_len div anchors")).alias("share"))
 
 
-@query("agg_archive_check", """, x AS (SELECT revealed_at, invalid_at, retracted_at FROM entities), y AS (SELECT revealed_at, invalid_at, retracted_at FROM entities WHERE entity_id <> 'c1')
-SELECT (SELECT count(*) FROM x) AS planned, (SELECT count(*) FROM y) AS found, (SELECT count(*) FROM (SELECT * FROM x EXCEPT ALL SELECT * FROM y)) AS lost""")
+@query("agg_archive_check", """, x AS (SELECT revealed_at, invalid_at, retracted_at FROM entities), y AS (SELECT CASE WHEN entity_id = 's1' THEN 999 ELSE revealed_at END AS revealed_at, invalid_at, retracted_at FROM entities WHERE entity_id <> 'c1')
+SELECT (SELECT count(*) FROM x) AS planned, (SELECT count(*) FROM y) AS found, (SELECT count(*) FROM (SELECT * FROM x EXCEPT ALL SELECT * FROM y)) AS lost, (SELECT count(*) FROM (SELECT * FROM y EXCEPT ALL SELECT * FROM x)) AS extra""")
 def agg_archive_check(spark, sf):
+    """A plan against what was found: one entity missing, one with another time."""
     x = bind(spark, sf, "entities")
-    y = x.where("entity_id <> 'c1'").select("revealed_at", "invalid_at", "retracted_at")
-    x = x.select("revealed_at", "invalid_at", "retracted_at")
-    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return n(x, "planned").join(n(y, "found")).join(n(x.exceptAll(y), "lost"))
+    y = x.where("entity_id <> 'c1'").withColumn("revealed_at", F.when(F.col("entity_id") == "s1", 999).otherwise(F.col("revealed_at")))
+    return O.multiset_difference(x, y, ["revealed_at", "invalid_at", "retracted_at"])
 
 
 @query("agg_receipts", VIS + ", rc AS (SELECT c.chapter_key, c.book_id, c.revealed_at FROM chapters c JOIN receipts r ON r.book_id = c.book_id AND r.chapter_key = c.chapter_key AND r.ordinal = c.revealed_at AND r.content_hash = c.content_hash WHERE c.retracted_at IS NULL) SELECT book_id, count(*) AS receipts FROM rc WHERE revealed_at <= 24 GROUP BY 1")

@@ -180,10 +180,12 @@ def str_honorific(spark, sf):
     return names(spark, sf).select("form", X.honorific_key(F.col("form")).alias("k"))
 
 
-@query("str_label_key", r"SELECT DISTINCT o_orderpriority AS label, trim(regexp_replace(regexp_replace(lower(o_orderpriority || ' Relation'), '\b(relationship|relation|tie)s?\b', ' ', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')) AS k FROM orders")
+LABEL = "CASE o_orderkey % 6 WHEN 0 THEN 'Father of' WHEN 1 THEN 'the SISTERS relation' WHEN 2 THEN 'mother (daughter) tie' WHEN 3 THEN 'Geschwister ü' WHEN 4 THEN 'brothers ties' ELSE o_orderpriority || ' Relationship' END"
+
+
+@query("str_label_key", r", n AS (SELECT o_orderkey, trim(regexp_replace(regexp_replace(lower(" + LABEL + r"), '\b(relationship|relation|tie)\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS k FROM orders) SELECT o_orderkey, CASE WHEN k IN ('father of', 'father son') THEN 'father-child' WHEN k IN ('mother of', 'mother son', 'mother daughter') THEN 'mother-child' WHEN k IN ('brother of', 'sister of', 'brothers', 'sisters', 'sibling', 'siblings') THEN 'siblings' ELSE k END AS k FROM n")
 def str_label_key(spark, sf):
-    rows = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderpriority").alias("label")).distinct()
-    return rows.select("label", X.label_key(F.concat("label", F.lit(" Relation"))).alias("k"))
+    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", X.label_key(F.expr(LABEL)).alias("k"))
 
 
 @query("str_wrap_names")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronofold.operators import view as V
-from chronofold.operators.view import effective_bookmark
+from chronofold.operators.view import effective_bookmark, chapters_with, roster_text
 from chronofold.plans.registry import query
 from chronofold.plans.standins import bind
 
@@ -131,13 +131,14 @@ def flt_register(spark, sf):
     return rows.where(q("src_entity") | q("dst_entity") | q("label") | q("rel_type", "x")).select("edge_id", "revealed_at").orderBy(F.desc("revealed_at"), "edge_id")
 
 
-@query("flt_chapter_query", VIS + """SELECT c.chapter_key FROM vc c LEFT JOIN vs s ON s.chapter_key = c.chapter_key AND s.kind = 'chapter'
-  WHERE contains(lower(c.title), 'th') OR contains(lower(coalesce(s.body, '')), 'ing')""")
+@query("flt_chapter_query", VIS + """, n AS (SELECT revealed_at, title AS t FROM vc UNION ALL SELECT revealed_at, body FROM vs WHERE kind = 'chapter' UNION ALL SELECT revealed_at, canonical_name FROM ve UNION ALL SELECT revealed_at, summary FROM vt)
+SELECT chapter_key FROM vc WHERE revealed_at IN (SELECT revealed_at FROM n WHERE contains(lower(t), '0071'))""")
 def flt_chapter_query(spark, sf):
-    v = book(spark, sf)
-    s = v.rows("summaries").where("kind = 'chapter'").select("chapter_key", "body")
-    rows = v.chapters().join(s, "chapter_key", "left")
-    return rows.where(F.contains(F.lower("title"), F.lit("th")) | F.contains(F.lower(F.coalesce("body", F.lit(""))), F.lit("ing"))).select("chapter_key")
+    """The chapters whose title, summary, new names or events hold a text."""
+    v, everyone = book(spark, sf), at(spark, sf)
+    named = lambda df, c: df.select("revealed_at", F.col(c).alias("text"))
+    found = chapters_with(" 0071", v.chapters(), named(v.rows("summaries").where("kind = 'chapter'"), "body"), named(everyone.entities(), "canonical_name"), named(everyone.timeline(), "summary"))
+    return found.select("chapter_key")
 
 
 @query("flt_jump_guard", """SELECT event_id, k > greatest(coalesce(max(k) OVER (PARTITION BY book_id ORDER BY ts, event_id
@@ -395,12 +396,9 @@ def er_roster(spark, sf):
     return at(spark, sf, BM - 1).graph().select("entity_id", "canonical_name", "type", F.array_join("aliases", "|").alias("aliases"))
 
 
-@query("agg_roster_text", VIS + """SELECT string_agg('- ' || canonical_name || ' [' || type || ']' || coalesce(' (aka ' ||
- (SELECT string_agg(DISTINCT surface, ', ' ORDER BY surface) FROM va WHERE va.entity_id = ve.entity_id) || ')', ''), chr(10) ORDER BY revealed_at, entity_id) AS roster
- FROM ve WHERE type = 'character' AND revealed_at <= 2""")
+@query("agg_roster_text", VIS + """, l AS (SELECT revealed_at, entity_id, '- ' || canonical_name || ' [' || type || ']' || coalesce(' (aka ' || (SELECT string_agg(DISTINCT surface, ', ' ORDER BY surface) FROM va WHERE va.entity_id = ve.entity_id) || ')', '') AS line FROM ve WHERE type = 'character'),
+c AS (SELECT DISTINCT revealed_at FROM chapters WHERE revealed_at <= 24) SELECT c.revealed_at, coalesce(string_agg(line, chr(10) ORDER BY entity_id), '(none yet — this is the first chapter)') AS roster FROM c LEFT JOIN l ON l.revealed_at = c.revealed_at GROUP BY 1""")
 def agg_roster_text(spark, sf):
-    rows = at(spark, sf).graph().where("type = 'character' and revealed_at <= 2")
-    aka = F.when(F.size(F.coalesce("aliases", F.array().cast("array<string>"))) > 0, F.concat(F.lit(" (aka "), F.array_join("aliases", ", "), F.lit(")"))).otherwise("")
-    line = F.concat(F.lit("- "), "canonical_name", F.lit(" ["), "type", F.lit("]"), aka)
-    lines = F.array_sort(F.collect_list(F.struct("revealed_at", "entity_id", line.alias("line"))))
-    return rows.agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("roster"))
+    """The characters that each chapter brings in, as lines of a prompt."""
+    rows = at(spark, sf).graph().where("type = 'character'")
+    return roster_text(rows, bind(spark, sf, "chapters").where(F.col("revealed_at") <= BM))
\ No newline at end of file

@@ -6,12 +6,15 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from chronofold.functions import text as X
 from chronofold.operators import facts as K
+from chronofold.operators import fulltext as T
+from chronofold.operators import gates as G
 from chronofold.operators import jobs as J
 from chronofold.operators import ledger as L
 from chronofold.operators import ordering as O
 from chronofold.operators import resolve as R
-from chronofold.operators.view import bookmark_literal
+from chronofold.operators.view import EMPTY_ROSTER, bookmark_literal, chapters_with, roster_text
 from chronofold.sources import archive as A
 
 USE = "book_id int, input_tokens long, output_tokens long, micro long"
@@ -119,3 +122,54 @@ def test_honorifics_fold_into_the_only_bearer(spark):
     names = ["Father Zossima", "zossima", "Brother Karamazov", "Karamazov", "KARAMAZOV", "Doctor Zossima", "Elder  Zossima", "Father", None, "Mother Superior Zossima"]
     df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id int, name string")
     assert sorted(tuple(r) for r in R.coalesce_honorifics(df).collect()) == [(0, 1), (6, 1)]
+
+
+def test_limits_change_by_allowed_fields_only(spark):
+    df = spark.createDataFrame
+    limits = df([(1, 10, 1.5), (2, 10, 1.5), (3, 10, None)], "owner_id int, max_books long, max_spend_usd double")
+    sent = df([(1, "max_books", 5.0, 1), (1, "max_books", 7.0, 2), (2, "max_books", 5.0, 1), (2, "owner_id", 9.0, 1), (4, "max_books", 1.0, 1)], "owner_id int, field string, value double, at int")
+    got = {r.owner_id: (r.max_books, r.max_spend_usd, r.outcome) for r in L.updated_limits(limits, sent).collect()}
+    assert got == {1: (7, 1.5, "updated"), 2: (10, 1.5, "refused"), 3: (10, None, "unchanged"), 4: (None, None, "unknown")}
+
+
+def test_labels_that_mean_the_same(spark):
+    labels = {"Father of": "father-child", "father–son relationship": "father-child", "Mother / daughter": "mother-child", "SIBLINGS tie": "siblings", "ties": "ties", "owes money to": "owes money to", "": "", None: None}
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "i int, s string").select("i", X.label_key(F.col("s")).alias("k")).orderBy("i")
+    assert [r.k for r in df.collect()] == list(labels.values())
+
+
+def test_differences_in_both_directions(spark):
+    df = lambda *rows: spark.createDataFrame(list(rows), "a int, b int")
+    assert tuple(O.multiset_difference(df((1, 1), (1, 1), (2, None)), df((1, 1), (2, None), (3, 3), (3, 3)), ["a", "b"]).first()) == (3, 4, 1, 2)
+    assert tuple(O.multiset_difference(df(), df(), ["a", "b"]).first()) == (0, 0, 0, 0)
+
+
+def test_rosters_and_chapter_search(spark):
+    df = spark.createDataFrame
+    roster = df([(2, "b", "Ann", "person", ["Annie", "Miss A"]), (2, "a", "Bo", "dog", []), (3, "c", "Cy", "person", None)], "revealed_at int, entity_id string, canonical_name string, type string, aliases array<string>")
+    chapters = df([(i, f"Title {i}") for i in (1, 2, 3)], "revealed_at int, title string")
+    assert {r.revealed_at: r.roster for r in roster_text(roster, chapters).collect()} == {1: EMPTY_ROSTER, 2: "- Bo [dog]\n- Ann [person] (aka Annie, Miss A)", 3: "- Cy [person]"}
+    names = roster.select("revealed_at", F.col("canonical_name").alias("text"))
+    events = df([(1, "A fire"), (3, None)], "revealed_at int, text string")
+    find = lambda needle: sorted(r.revealed_at for r in chapters_with(needle, chapters, names, events).collect())
+    assert (find("ann"), find(" FIRE "), find("title 3"), find("  "), find("zz")) == ([2], [1], [3], [1, 2, 3], [])
+
+
+def test_reveal_stamps(spark):
+    df = spark.createDataFrame
+    seen = df([("ivan", 3), ("zossima", 5)], "word string, first_at int")
+    names = df([("a", "Ivan", 3), ("b", "Father Zossima", 4), ("c", "Nobody", 1), ("d", "Ivan Zossima", 2), ("e", None, 1)], "owner string, name string, revealed_at int")
+    assert {r.owner: (r.first_at, r.verdict) for r in G.reveal_stamps(names, seen).collect()} == {"a": (3, "ok"), "b": (5, "early"), "c": (None, "unread"), "d": (3, "early"), "e": (None, "unread")}
+
+
+def test_sources_are_different_and_ranked(spark):
+    rows = [(1, "a  b", 1.0), (2, "a b", 2.0), (3, " ", 9.0), (4, None, 9.0), (5, "x" * 3_000, 2.0), (6, "x" * 3_000 + "y", 0.5), (7, "c", 0.1)]
+    got = T.sources(spark.createDataFrame(rows, "k int, text string, score double"), key="k", limit=3).orderBy("n").collect()
+    assert [(r.n, r.k, len(r.passage)) for r in got] == [(1, 2, 3), (2, 5, 2_000), (3, 6, 2_000)]
+
+
+def test_bindings_name_their_family(spark):
+    text = lambda t: spark.createDataFrame([(1, t)], "id int, text string")
+    got = lambda claim, fact: {r.signature for r in G.unsupported(text(claim), text(fact)).collect()}
+    assert got("Ivan was murdered and Maria married him", "Maria at last married") == {"death:ivan"}
+    assert got("Ivan married", "Ivan died") == {"union:ivan"}
