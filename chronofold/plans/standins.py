@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+NUMBERS = "SELECT doc_id AS n_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS revealed_at FROM {documents}"
 RETRACTED = "TIMESTAMP '2024-01-01 00:00:00'"
 
 STANDINS: dict[str, str] = {
@@ -67,27 +68,23 @@ SELECT p_partkey AS theme_id, p_brand AS name, p_type AS description, CAST(1 + p
        CASE WHEN p_partkey % 6 = 0 THEN CAST(11 + p_partkey % 80 AS INT) END AS invalid_at,
        CASE WHEN p_partkey % 31 = 0 THEN {RETRACTED} END AS retracted_at
 FROM {{part}}""",
+    # Chapters are numbered over narrow rows; the texts join their numbers.
     "chapters": f"""
-SELECT source AS book_id, 'd' || CAST(doc_id AS STRING) AS chapter_key, doc_id,
-       CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS revealed_at,
+SELECT source AS book_id, 'd' || CAST(doc_id AS STRING) AS chapter_key, doc_id, revealed_at,
        substring(text, 1, 24) AS title, text, lang AS content_language, n_chars AS char_len,
        substring(sha256(text), 1, 16) AS content_hash, CASE WHEN doc_id % 19 = 0 THEN {RETRACTED} END AS retracted_at
-FROM {{documents}}""",
-    "receipts": """
-SELECT book_id, chapter_key, ordinal, content_hash FROM (
-  SELECT source AS book_id, 'd' || CAST(doc_id AS STRING) AS chapter_key, doc_id,
-         CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS ordinal,
-         CASE WHEN doc_id % 23 = 0 THEN 'stale' ELSE substring(sha256(text), 1, 16) END AS content_hash
-  FROM {documents}) all_of_them WHERE doc_id % 37 <> 0""",
+FROM {{documents}} JOIN ({NUMBERS}) numbers ON n_id = doc_id""",
+    "receipts": f"""
+SELECT source AS book_id, 'd' || CAST(doc_id AS STRING) AS chapter_key, revealed_at AS ordinal,
+       CASE WHEN doc_id % 23 = 0 THEN 'stale' ELSE substring(sha256(text), 1, 16) END AS content_hash
+FROM {{documents}} JOIN ({NUMBERS}) numbers ON n_id = doc_id WHERE doc_id % 37 <> 0""",
     "summaries": f"""
 SELECT doc_id AS summary_id, source AS book_id, 'd' || CAST(doc_id AS STRING) AS chapter_key, 'chapter' AS kind,
-       substring(text, 1, 60) AS body, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS revealed_at,
-       CASE WHEN doc_id % 41 = 0 THEN {RETRACTED} END AS retracted_at
-FROM {{documents}}
+       substring(text, 1, 60) AS body, revealed_at, CASE WHEN doc_id % 41 = 0 THEN {RETRACTED} END AS retracted_at
+FROM {{documents}} JOIN ({NUMBERS}) numbers ON n_id = doc_id
 UNION ALL
-SELECT doc_id + 1000000000, source, 'd' || CAST(doc_id AS STRING), 'rolling-recap', substring(text, 5, 60),
-       CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT), CAST(NULL AS TIMESTAMP)
-FROM {{documents}}""",
+SELECT doc_id + 1000000000, source, 'd' || CAST(doc_id AS STRING), 'rolling-recap', substring(text, 5, 60), revealed_at, CAST(NULL AS TIMESTAMP)
+FROM {{documents}} JOIN ({NUMBERS}) numbers ON n_id = doc_id""",
     "chunks": f"""
 SELECT vec_id AS chunk_id, 'k' || CAST(label AS STRING) || '-' || CAST(vec_id AS STRING) AS chapter_key, embedding AS vec, label + 1 AS revealed_at,
        'model-' || CAST(vec_id % 2 AS STRING) AS model, 64 AS dimension,
