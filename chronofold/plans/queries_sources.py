@@ -134,7 +134,8 @@ def snk_restore(spark, sf):
     return measured(spark, target)
 
 
-@query("st_stream_high_water")
+@query("st_stream_high_water", """, e AS (SELECT *, sum(CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM reports),
+m AS (SELECT book_id, max(epoch) AS epoch FROM e GROUP BY 1) SELECT m.book_id, CAST(m.epoch AS BIGINT) AS epoch, coalesce(max(k) FILTER (WHERE kind <> 'purchase'), 0) AS bookmark FROM m JOIN e ON e.book_id = m.book_id AND e.epoch = m.epoch GROUP BY 1, 2""")
 def st_stream_high_water(spark, sf):
     """The stream's last state of each book; ``st_reset_epoch`` is its batch twin."""
     from chronofold.streaming import position as P
@@ -143,7 +144,10 @@ def st_stream_high_water(spark, sf):
     return out.groupBy("book_id").agg(F.max(F.struct("epoch", "bookmark")).alias("s")).select("book_id", "s.epoch", "s.bookmark")
 
 
-@query("st_rate_window")
+@query("st_rate_window", """, g AS (SELECT book_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, row_number() OVER (PARTITION BY book_id ORDER BY ts, event_id) AS rn FROM reports),
+f AS (SELECT DISTINCT book_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, CAST(-1 AS BIGINT) AS began, CAST(0 AS BIGINT) AS used FROM reports
+UNION ALL SELECT g.book_id, g.rn, g.event_id, CASE WHEN began < 0 OR s - began >= 86400 THEN s ELSE began END, CASE WHEN began < 0 OR s - began >= 86400 THEN 1 ELSE used + 1 END FROM f JOIN g ON g.book_id = f.book_id AND g.rn = f.rn + 1)
+SELECT event_id, used <= 3 AS allowed FROM f WHERE rn > 0""", recursive=True)
 def st_rate_window(spark, sf):
     from chronofold.streaming import position as P
 

