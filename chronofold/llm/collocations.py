@@ -30,8 +30,8 @@ names. Arithmetic is in decimals of 38 digits (counts below 10^16); beyond that
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Mapping
-from itertools import chain, groupby
+from collections.abc import Iterable, Iterator, Mapping
+from itertools import chain, groupby, islice
 from zlib import crc32
 
 import numpy as np
@@ -59,16 +59,17 @@ def pieces(text: bytes) -> Iterator[list[bytes]]:
             yield words
 
 
-def _counts(batches: Iterator[pa.RecordBatch], of_piece) -> Iterator[dict[str, Counter]]:
-    """By language how often ``of_piece`` gives what it gives of each piece's words, in bounded portions."""
+def _counts(batches: Iterator[pa.RecordBatch], of_pieces) -> Iterator[dict[str, Counter]]:
+    """By language how often ``of_pieces`` gives what it gives of pieces, in bounded portions: of whole texts where these are short."""
     held: dict[str, Counter] = {}
     size = 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            for words in pieces(text.as_py()):
+            whole = pieces(text.as_py())
+            while some := list(islice(whole, HELD // 8)):
                 found = held.setdefault(lang, Counter())
                 before = len(found)
-                found.update(of_piece(words))
+                found.update(of_pieces(some))
                 size += len(found) - before
                 if size > HELD:
                     yield held
@@ -85,7 +86,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """``lang, phrase`` (a word) and ``n``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _counts(batches, lambda words: words):
+        for held in _counts(batches, chain.from_iterable):
             for lang, found in held.items():
                 arrays = [pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, ["lang", "phrase", "n"])
@@ -94,9 +95,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _suffixes(max_n: int):
-    def of(words: list[bytes]) -> list[bytes]:
-        last = len(words) - max_n
-        return [b" ".join(words[i : i + max_n]) + b" " for i in range(last + 1)] + [b" ".join(words[i:]) + b" " for i in range(max(0, last + 1), len(words))]
+    def of(pieces_: Iterable[list[bytes]]) -> list[bytes]:
+        out = []
+        for words in pieces_:
+            ended = [w + b" " for w in words]
+            out += map(b"".join, zip(*(ended[k:] for k in range(max_n))))
+            out += [b"".join(ended[-k:]) for k in range(1, min(max_n, len(ended) + 1))]  # the piece's last suffixes are shorter
+        return out
 
     return of
 
@@ -121,23 +126,28 @@ def _parted(rows: DataFrame, frequent: DataFrame, word: Column) -> DataFrame:
     return joined.withColumn("parts", F.coalesce("parts", F.lit(1))).drop("_lang", "word")
 
 
-def count_prefixes(suffixes: list[bytes], counts: Mapping[bytes, int], keep) -> list[tuple[bytes, int, int]]:
-    """``(phrase, size, n)`` of all prefixes that ``keep(size, n)``; ``suffixes`` are in descending order, each word ends with a space."""
-    out, prefixes, sums = [], [], []
-    for s in chain(suffixes, (b"",)):  # the last one empties the stack
-        while prefixes and not (s and s.startswith(prefixes[-1])):
-            phrase, n = prefixes.pop(), sums.pop()
-            if sums:
-                sums[-1] += n
-            if keep(len(prefixes) + 1, n):
-                out.append((phrase[:-1], len(prefixes) + 1, n))
-        at = len(prefixes[-1]) if prefixes else 0
-        while at < len(s):
-            at = s.index(b" ", at) + 1
-            prefixes.append(s[:at])
-            sums.append(0)
-        if s:
-            sums[-1] += counts[s]
+def count_prefixes(suffixes: list[bytes], counts: Mapping[bytes, int], max_n: int, min_count: int, partial: bool = False) -> list[tuple[bytes, int, int]]:
+    """``(phrase, size, n)`` of all prefixes found ``min_count`` times; with ``partial`` of all that are shorter than ``max_n`` too.
+    ``suffixes`` are in descending order, each word ends with a space. The stack is the last suffix's words and a sum for each."""
+    out: list[tuple[bytes, int, int]] = []
+    below = max_n if partial else 0
+    stack: list[bytes] = []
+    sums = [0] * (max_n + 1)
+    for s in chain(suffixes, (b" ",)):  # the last one is no suffix's prefix and empties the stack
+        words = s[:-1].split(b" ")
+        same = 0
+        for a, b in zip(stack, words):
+            if a != b:
+                break
+            same += 1
+        for size in range(len(stack), same, -1):
+            n = sums[size]
+            sums[size] = 0
+            sums[size - 1] += n
+            if n >= min_count or size < below:
+                out.append((b" ".join(stack[:size]), size, n))
+        stack = words
+        sums[len(words)] += counts.get(s, 0)
     return out
 
 
@@ -157,7 +167,7 @@ def phrase_counts(docs: DataFrame, words: DataFrame, max_n: int = MAX_N, min_cou
                 known: dict[bytes, int] = {}
                 start = crc32(lang.encode())
                 for s in found:
-                    first = s[: s.index(b" ")]
+                    first = s.partition(b" ")[0]
                     if (at := known.get(first)) is None:
                         at = known[first] = -1 if (lang, first) in parts_of else crc32(first, start) % shared
                     if at < 0:
@@ -165,7 +175,7 @@ def phrase_counts(docs: DataFrame, words: DataFrame, max_n: int = MAX_N, min_cou
                     dealt[at].append(s)
                 for at, some in dealt.items():
                     some.sort(reverse=True)
-                    rows.append((at, lang, b"\n".join(some), np.array([found[s] for s in some], "<u4").tobytes()))
+                    rows.append((at, lang, b"\n".join(some), np.fromiter(map(found.__getitem__, some), "<u4", len(some)).tobytes()))
             if rows:
                 kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["part", "lang", "suffixes", "counts"])
@@ -177,10 +187,9 @@ def phrase_counts(docs: DataFrame, words: DataFrame, max_n: int = MAX_N, min_cou
                 found = held[lang.as_py()]
                 for s, n in zip(suffixes.as_py().split(b"\n"), np.frombuffer(counts.as_py(), "<u4").tolist()):
                     found[s] = found.get(s, 0) + n
-            # A frequent word's shorter phrases go on into sums over its parts, so none of them may be dropped here.
-            keep = (lambda size, n: n >= min_count) if part < shared else (lambda size, n: n >= min_count or size < max_n)
             for lang, found in held.items():
-                out = count_prefixes(sorted(found, reverse=True), found, keep)
+                # A frequent word's shorter phrases go on into sums over its parts, so none of them may be dropped here.
+                out = count_prefixes(sorted(found, reverse=True), found, max_n, min_count, partial=part >= shared)
                 if out:
                     phrase, size, n = zip(*out)
                     arrays = [pa.array([lang] * len(out), pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(size, pa.int32()), pa.array(n, pa.int64())]
