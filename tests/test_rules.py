@@ -173,3 +173,14 @@ def test_bindings_name_their_family(spark):
     got = lambda claim, fact: {r.signature for r in G.unsupported(text(claim), text(fact)).collect()}
     assert got("Ivan was murdered and Maria married him", "Maria at last married") == {"death:ivan"}
     assert got("Ivan married", "Ivan died") == {"union:ivan"}
+
+
+@pytest.mark.parametrize("fact,held", [("das was at last murdered by someone", True), ("Es. das was murdered", True), ("all das was murdered", False), ("was murdered", False)])
+def test_a_fact_may_begin_with_its_name_written_small(spark, fact, held):
+    text = lambda t: spark.createDataFrame([(1, t)], "id int, text string")
+    assert (G.unsupported(text("Das was at last murdered by someone"), text(fact)).count() == 0) == held
+
+
+def test_a_mark_before_a_name_is_of_its_word(spark):
+    text = spark.createDataFrame([("\u0301Das was murdered",)], "text string")
+    assert text.select(G.signatures(F.col("text")).alias("s")).first()["s"] == []
