@@ -111,6 +111,9 @@ def publish(spark: SparkSession, root: str, version: str) -> None:
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(beside, target, renames)
 
 
+FILE_ROWS = 100_000  # a file is read whole for its digest
+
+
 def digests(spark: SparkSession, folder: str) -> DataFrame:
     """``name, found``: the SHA-256 of each data file below a version's folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(folder)
@@ -121,10 +124,11 @@ def _stage(spark: SparkSession, root: str, tables: dict[str, DataFrame], after)
     version = uuid.uuid4().hex
     folder = f"{root}/versions/{version}"
     for name, rows in tables.items():
-        rows.write.parquet(f"{folder}/{name}")
+        rows.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{folder}/{name}")
         after(f"table {name}")
     inventory = digests(spark, folder).withColumnRenamed("found", "sha256")
-    inventory.coalesce(1).write.json(f"{folder}/inventory")  # JSON, so that it is no data file itself
+    # JSON, so that it is no data file itself; a row a file is shuffled, as one task would read all files otherwise.
+    inventory.repartition(1).write.json(f"{folder}/inventory")
     after("inventory")
     return version
 

@@ -150,3 +150,11 @@ def test_ingest_writes_receipts_last(spark, sf, tmp_path):
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "f")).count() == spark.read.parquet(f"{sf}/events.parquet").count()
     assert spark.read.parquet(str(tmp_path / "r")).count() == 1
+
+
+def test_a_table_is_written_in_files_of_bounded_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(A, "FILE_ROWS", 2)
+    A.backup({"t": spark.range(5).coalesce(1)}, str(tmp_path / "a"))
+    folder = A.current(spark, str(tmp_path / "a"))
+    assert A.digests(spark, folder).count() == 3 and spark.read.json(f"{folder}/inventory").count() == 3
+    assert A.read(spark, str(tmp_path / "a"), "t").count() == 5
