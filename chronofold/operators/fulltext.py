@@ -62,6 +62,18 @@ def matches(w: Column, groups: list[list[Unit]]) -> Column:
     return reduce(lambda a, b: a | b, each, F.lit(False))
 
 
+def text_matches(text: Column, groups: list[list[Unit]]) -> Column:
+    """``matches`` of the words of a text, without an array of them: words between single blanks, made once a text."""
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+", " "), F.lit(" "))
+
+    def told(s: Column) -> Column:
+        has = lambda u: s.contains(f" {' '.join(u.words)} ")
+        each = [reduce(lambda a, b: a & b, [has(u) if u.wanted else ~has(u) for u in g]) for g in groups]
+        return reduce(lambda a, b: a | b, each, F.lit(False))
+
+    return F.exists(F.array(spaced), told)
+
+
 def _wanted(groups: list[list[Unit]]) -> list[Unit]:
     return list(dict.fromkeys(u for g in groups for u in g if u.wanted))
 

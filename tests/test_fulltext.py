@@ -90,3 +90,12 @@ def test_headline(spark):
     assert "[a] y [b]" in got[1] and len(got[1].split()) == 36 and got[2].endswith("x [b] [a] [b]") and got[3] == "[none]"
     two = {r.id: r.headline for r in T.search(docs.withColumn("text", F.repeat("text", 2)), "a b", key="id", limit=5, count=2, least=5, most=10, marks=("", "")).collect()}
     assert [p.count("a y b") for p in two[1].split(" ... ")] == [1, 1] and all(len(p.split()) == 10 for p in two[1].split(" ... "))
+
+
+def test_texts_match_as_their_words_do(spark):
+    texts = ["Of the", "of  the!", "often the", "die", "die, edly", "x-of-the-y edly", "", None, "Die Ärzte of", "of of the"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for q in ('"of the" or die -edly', "the -of", "", "-die", '"die ärzte" of'):
+        groups = T.parse_web(q)
+        rows = df.select(T.text_matches(F.col("text"), groups).alias("a"), T.matches(T.text_words(F.col("text")), groups).alias("b")).collect()
+        assert [r.a for r in rows] == [r.b for r in rows]
