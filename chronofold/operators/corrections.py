@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofold.sources.shared import settled
 
 def live(at: int) -> Column:
     return F.col("retracted_at").isNull() & (F.col("revealed_at") < at) & (F.col("invalid_at").isNull() | (F.col("invalid_at") > at))
@@ -43,11 +44,12 @@ def split(entities: DataFrame, aliases: DataFrame, edges: DataFrame, participant
         raise ValueError("the source is not live")
     if parts.limit(2).count() < 2 or _one(parts.where(~F.col("type").eqNullSafe(source[0]["type"]) | (F.trim("canonical_name") == "") | F.col("canonical_name").isNull())):
         raise ValueError("a split needs two named parts or more of the source's type")
-    mine = edges.where(live(at) & ((F.col("src_entity") == entity_id) | (F.col("dst_entity") == entity_id)))
+    # What hangs on one identity is small and read several times.
+    mine = settled(edges.where(live(at) & ((F.col("src_entity") == entity_id) | (F.col("dst_entity") == entity_id))))
     if _one(mine.where("src_entity = dst_entity")):
         raise ValueError("an edge of the source to itself cannot be dealt out")
-    names = aliases.where((F.col("entity_id") == entity_id) & F.col("retracted_at").isNull() & (F.col("revealed_at") < at))
-    events = participants.where((F.col("entity_id") == entity_id) & (F.col("revealed_at") < at)).select("event_id").distinct()
+    names = settled(aliases.where((F.col("entity_id") == entity_id) & F.col("retracted_at").isNull() & (F.col("revealed_at") < at)))
+    events = settled(participants.where((F.col("entity_id") == entity_id) & (F.col("revealed_at") < at)).select("event_id").distinct())
     for what, ids, given in (
         ("aliases", names.select(F.col("alias_id").alias("id")), alias_map),
         ("edges", mine.select(F.col("edge_id").alias("id")), edge_map),
