@@ -113,6 +113,20 @@ def _row(df: DataFrame, kind: str, **given: Column) -> DataFrame:
     return df.select(*[given.get(c, none).cast("int" if c == "until" else "string").alias(c) for c in ROW])
 
 
+def _edges(story: Story, to: DataFrame, at: int) -> DataFrame:
+    """The edges of the sources ``to`` (``source, target`` and more), each once: ``src_to`` and ``dst_to`` hold what ``to`` has of its ends."""
+    ends = story.entities.where(_seen(at)).select("entity_id").distinct()
+    who = ends.join(to.withColumnRenamed("source", "entity_id").select("entity_id", F.struct(*[c for c in to.columns if c != "source"]).alias("to")), "entity_id", "left")
+    edges = story.edges.where(_seen(at)).select("edge_id", "src_entity", "dst_entity", "rel_type", "label", "invalid_at")
+    for c in ("src", "dst"):
+        edges = edges.join(who.select(F.col("entity_id").alias(f"{c}_entity"), F.col("to").alias(f"{c}_to")), f"{c}_entity")
+    return edges.where("src_to is not null or dst_to is not null")
+
+
+def _moved(c: str) -> Column:
+    return F.coalesce(f"{c}_to.target", f"{c}_entity")
+
+
 def inventory(story: Story, remap: DataFrame, at: int) -> DataFrame:
     """All that hangs on the sources of ``remap`` (``old_id, new_id``) at ``at``: ``kind, source, target, id, text, label,
     src, dst, until``, a row each. An edge is one row per source at its ends, already led to the targets; of
@@ -122,19 +136,13 @@ def inventory(story: Story, remap: DataFrame, at: int) -> DataFrame:
     own = _row(of(story.entities.where(live(at))), "entity", id=F.col("entity_id"), text=F.col("canonical_name"), label=F.col("type"))
     names = _row(of(story.aliases.where(_seen(at, False))), "alias", id=F.col("alias_id"), text=F.col("surface"))
 
-    ends = story.entities.where(_seen(at)).select("entity_id")
-    edges = story.edges.where(_seen(at))
-    for c in ("src", "dst"):
-        edges = edges.join(ends.withColumnRenamed("entity_id", f"{c}_entity"), f"{c}_entity", "left_semi")
-        edges = edges.join(to.select(F.col("source").alias(f"{c}_entity"), F.col("target").alias(f"{c}_to")), f"{c}_entity", "left")
-    edges = edges.where("src_to is not null or dst_to is not null")
-    touched = F.array_compact(F.array(*[F.when(F.col(f"{c}_to").isNotNull(), F.struct(F.col(f"{c}_entity").alias("source"), F.col(f"{c}_to").alias("target"))) for c in ("src", "dst")]))
+    edges = _edges(story, to, at)
+    touched = F.array_compact(F.array(*[F.when(F.col(f"{c}_to").isNotNull(), F.struct(F.col(f"{c}_entity").alias("source"), F.col(f"{c}_to.target").alias("target"))) for c in ("src", "dst")]))
     edges = edges.select("*", F.explode(F.array_distinct(touched)).alias("own")).select("*", "own.source", "own.target")
-    moved = {c: F.coalesce(f"{c}_to", f"{c}_entity") for c in ("src", "dst")}
-    relations = _row(edges, "edge", id=F.col("edge_id"), text=F.col("rel_type"), label=F.col("label"), until=F.col("invalid_at"), **moved)
+    relations = _row(edges, "edge", id=F.col("edge_id"), text=F.col("rel_type"), label=F.col("label"), until=F.col("invalid_at"), src=_moved("src"), dst=_moved("dst"))
 
     shown = story.events.where(_seen(at)).select("event_id")
-    people = of(story.participants.where(F.col("revealed_at") <= at).join(shown, "event_id", "left_semi"))
+    people = of(story.participants.where(F.col("revealed_at") <= at)).join(shown, "event_id", "left_semi")
     roles = _row(people, "participant", id=F.col("event_id"), text=F.col("role"))
 
     newest = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("revealed_at"), F.desc("state_id")))
@@ -161,13 +169,14 @@ def correct(story: Story, remap: DataFrame, at: int, *, roles: DataFrame | None
     no source has.
     """
     df = remap.sparkSession.createDataFrame
+    remap = settled(remap.select("old_id", "new_id", "new_name"))
     found = story.entities.where(live(at)).select(F.col("entity_id").alias("old_id"), "canonical_name", "type")
     _refuse(remap.join(found, "old_id", "left_anti").select("old_id"), "a source is not live")
     _refuse(remap.groupBy("old_id").count().where("count > 1").select("old_id"), "a source has two targets")
-    of = remap.join(found, "old_id").groupBy("new_id").agg(
+    of = settled(remap.join(found, "old_id").groupBy("new_id").agg(
         F.count(F.lit(1)).alias("sources"), F.count_distinct("type").alias("types"), F.first("type").alias("type"), F.count_distinct(F.trim("new_name")).alias("names"),
         F.trim(F.first("new_name", True)).alias("name"), F.first(F.lower(F.trim("canonical_name"))).alias("had"),
-    )
+    ))
     _refuse(of.where("coalesce(name, '') = '' or names > 1").select("new_id"), "a target needs one name")
     _refuse(of.where("types > 1").select("new_id"), "sources of different types")
     _refuse(of.where((F.col("sources") == 1) & (F.col("had") == F.lower("name"))).select("new_id"), "the name is the one it had")
@@ -177,8 +186,8 @@ def correct(story: Story, remap: DataFrame, at: int, *, roles: DataFrame | None
     told = rows.where("kind = 'participant'").groupBy("target", F.col("id").alias("event_id")).agg(
         F.array_sort(F.collect_set("text")).alias("roles"), F.bool_or("merge").alias("merge")
     )
+    told = settled(told.join(roles, ["target", "event_id"], "left"))
     _refuse(roles.join(told, ["target", "event_id"], "left_anti").select("event_id"), "a role for an unknown event")
-    told = told.join(roles, ["target", "event_id"], "left")
     _refuse(told.where(F.col("merge") & F.col("role").isNull() & (F.size("roles") > 1)).select("event_id"), "an event has conflicting roles")
     played = told.select("target", "event_id", F.explode(F.when(F.col("role").isNotNull(), F.array("role")).otherwise(F.col("roles"))).alias("role"))
 
@@ -196,7 +205,11 @@ def correct(story: Story, remap: DataFrame, at: int, *, roles: DataFrame | None
     spelt = spelt.groupBy("target", F.lower("text").alias("key")).agg(first.alias("f"))
     out = out.unionByName(log(spelt, "add", "alias", id=F.col("f.id"), text=F.col("f.text")))
     # An edge between two targets is one edge; a merge's equal edges are one too.
-    moved = rows.where("kind = 'edge'").groupBy("id", "src", "dst", "text", "label", "until").agg(F.bool_or("merge").alias("merge"), F.min("target").alias("target"))
+    to = remap.join(of.select("new_id", (F.col("sources") > 1).alias("merge")), "new_id").select(F.col("old_id").alias("source"), F.col("new_id").alias("target"), "merge")
+    moved = _edges(story, to, at).select(
+        F.col("edge_id").cast("string").alias("id"), _moved("src").alias("src"), _moved("dst").alias("dst"), F.col("rel_type").alias("text"), F.col("label").cast("string").alias("label"), F.col("invalid_at").cast("int").alias("until"),
+        (F.coalesce("src_to.merge", F.lit(False)) | F.coalesce("dst_to.merge", F.lit(False))).alias("merge"), F.least("src_to.target", "dst_to.target").alias("target"),
+    )
     moved = moved.where(~F.col("merge") | (F.col("src") != F.col("dst")))
     moved = moved.groupBy("src", "dst", "text", "label", "until", F.when(F.col("merge"), "").otherwise(F.col("id")).alias("apart")).agg(F.min("id").alias("id"), F.min("target").alias("target"))
     out = out.unionByName(log(moved, "add", "edge", **{c: F.col(c) for c in ("id", "text", "label", "src", "dst", "until")}))

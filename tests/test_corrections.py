@@ -107,3 +107,13 @@ def test_refused_corrections(spark, story, rows, roles):
     roles = roles and spark.createDataFrame(roles, "target string, event_id long, role string")
     with pytest.raises(ValueError):
         C.correct(story, remap_of(spark, *rows), 5, roles=roles)
+
+
+def test_an_edge_between_two_sources_is_one_row(spark):
+    df = spark.createDataFrame
+    times = "revealed_at int, invalid_at int, retracted_at timestamp"
+    entities = df([(c, 1, None, None) for c in "abc"], "entity_id string, " + times)
+    edges = df([(1, "a", "b", "r", "l", 1, None, None), (2, "a", "c", "r", "l", 1, None, None), (3, "c", "c", "r", "l", 1, None, None)], "edge_id long, src_entity string, dst_entity string, rel_type string, label string, " + times)
+    story = C.Story(entities, None, edges, None, None, None)
+    to = df([("a", "n"), ("b", "m")], "source string, target string")
+    assert sorted((r.edge_id, r.s, r.d) for r in C._edges(story, to, 9).select("edge_id", C._moved("src").alias("s"), C._moved("dst").alias("d")).collect()) == [(1, "n", "m"), (2, "n", "c")]
