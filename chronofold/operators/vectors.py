@@ -1,11 +1,14 @@
 """Exact vector search that filters before it ranks.
 
 Similarities are JVM-side expressions in double precision; a top-k is a total order and
-a limit, which Spark plans as per-task heaps and one merge. No index, no approximation.
+a limit, which Spark plans as per-task heaps and one merge. Many queries at once are compared in
+blocks by numpy, with the same scores. No index, no approximation.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,26 +102,91 @@ def sure(score: Column, second: Column, threshold: float = 0.82, margin: float =
     return (score >= threshold) & (score - F.coalesce(second, F.lit(0.0)) >= margin)
 
 
-def nearest_of_blocks(rows: DataFrame, asked: DataFrame, block: int = 256) -> DataFrame:
+def nearest_of_blocks(rows: DataFrame, asked: DataFrame, part: int = 8_192, block: int = 8_192) -> DataFrame:
     """Per query of ``asked`` (``mention, qv``) its nearest row (``candidate, embedding``), ``score`` and
     ``second``, the next best score; a row is no candidate of itself, ties go to the least candidate.
 
-    The queries are dealt by hash into blocks of about ``block``; each row meets each block once, and only the two best of a
-    query and a part of the rows (``candidate`` modulo the shuffle partitions) are kept before they are merged."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks_ = max(1, -(-asked.count() // block))
-    packed = asked.withColumn("b", F.pmod(F.xxhash64("mention"), F.lit(blocks_))).groupBy("b").agg(F.collect_list(F.struct("mention", "qv")).alias("qs"))
-    blocks = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("candidate"), F.lit(parts)).cast("int")).join(blocks, "part")
-    each = dealt.select("candidate", "embedding", "part", F.explode("qs").alias("q")).where(F.col("candidate") != F.col("q.mention"))
-    scored = each.select(F.col("q.mention").alias("mention"), "part", "candidate", cosine(F.col("embedding"), F.col("q.qv")).alias("score")).where("score is not null")
-    top = lambda df, keys: df.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "candidate"))).where("n <= 2")
-    best = top(top(scored, ["mention", "part"]).drop("n"), ["mention"])
+    Rows are dealt by hash into parts of about ``part`` and queries into blocks of about ``block``; each part meets each block
+    in a task of bounded size, which gives on the two best of each query only. Every row is compared with every query, so the work is the product
+    of their numbers."""
+    spark = rows.sparkSession
+    rows, asked = rows.where("candidate is not null and embedding is not null"), asked.where("mention is not null and qv is not null")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // part))
+    blocks = max(1, -(-asked.count() // block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    left = rows.select("candidate", "embedding", dealt("candidate", parts).alias("p"), every(blocks).alias("b")).repartition(parts, "p", "b")
+    right = asked.select("mention", "qv", dealt("mention", blocks).alias("b"), every(parts).alias("p")).repartition(parts, "p", "b")
+    kinds = ", ".join(f"{c} {t}" for c, t in [*asked.select("mention").dtypes, *rows.select("candidate").dtypes])
+    each = left.groupBy("p", "b").cogroup(right.groupBy("p", "b")).applyInPandas(lambda r, q: _two_best(r, q), f"{kinds}, score double")
+    n = F.row_number().over(Window.partitionBy("mention").orderBy(F.desc("score"), "candidate"))
+    best = each.withColumn("n", n).where("n <= 2")
     return best.groupBy("mention").agg(
         F.max(F.when(F.col("n") == 1, F.col("candidate"))).alias("candidate"), F.max(F.when(F.col("n") == 1, F.col("score"))).alias("score"), F.max(F.when(F.col("n") == 2, F.col("score"))).alias("second")
     )
 
 
+def _two_best(rows: pd.DataFrame, asked: pd.DataFrame, lanes: int = 512) -> pd.DataFrame:
+    """``mention, candidate, score`` of each query's two best rows. Products in single precision say which rows may be
+    among them; these are scored as ``cosine`` does, value by value in double precision."""
+    found = [pd.DataFrame({"mention": asked["mention"][:0], "candidate": rows["candidate"][:0], "score": np.zeros(0)})]
+    for width in set(rows["embedding"].map(len)) & set(asked["qv"].map(len)) - {0}:
+        ids, vec, size = _vectors(rows["candidate"], rows["embedding"], width)
+        mentions, qv, q_size = _vectors(asked["mention"], asked["qv"], width)
+        if not len(ids) or not len(mentions):
+            continue
+        some = _told_apart(ids, vec)
+        ids, vec, size = ids[some], vec[some], size[some]
+        unit, q_unit = ((x / n[:, None]).astype(np.float32) for x, n in ((vec, size), (qv, q_size)))
+        margin = (width + 4) * 2.0**-22  # twice what two products of unit vectors can lose
+        first, last = np.searchsorted(ids, mentions), np.searchsorted(ids, mentions, "right")
+        for i in range(0, len(mentions), lanes):
+            near = q_unit[i : i + lanes] @ unit.T
+            for k in np.flatnonzero(first[i : i + lanes] < last[i : i + lanes]).tolist():
+                near[k, first[i + k] : last[i + k]] = -np.inf  # itself
+            lane = np.arange(len(near))
+            best = near.argmax(1)
+            top = near[lane, best]
+            near[lane, best] = -np.inf
+            least = np.maximum(near.max(1) - margin, -2)  # a cosine is never as small
+            near[lane, best] = top
+            q, r = np.nonzero(near >= least[:, None])
+            q += i
+            score = np.zeros(len(q))
+            for j in range(width):
+                score += vec[r, j] * qv[q, j]
+            score /= size[r] * q_size[q]
+            order = np.lexsort((r, -score, q))  # rows are sorted by candidate
+            q, r, score = q[order], r[order], score[order]
+            two = np.ones(len(q), bool)
+            two[2:] = q[2:] != q[:-2]
+            found.append(pd.DataFrame({"mention": mentions[q[two]], "candidate": ids[r[two]], "score": score[two]}))
+    return pd.concat(found, ignore_index=True)
+
+
+def _vectors(ids: pd.Series, vectors: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Identifiers in order, vectors of so many values, and their lengths; only those that have a direction."""
+    some = (vectors.map(len) == width).to_numpy()
+    ids, vec = ids[some].to_numpy(), np.stack(vectors[some].to_list()).astype(np.float64)
+    size = np.zeros(len(vec))
+    with np.errstate(all="ignore"):
+        for j in range(width):
+            size += vec[:, j] * vec[:, j]
+        size = np.sqrt(size)
+        ok = np.flatnonzero((size > 0) & (size < np.inf))
+    ok = ok[np.argsort(ids[ok], kind="stable")]
+    return ids[ok], vec[ok], size[ok]
+
+
+def _told_apart(ids: np.ndarray, vec: np.ndarray) -> np.ndarray:
+    """Of rows that are sorted by identifier, without those that are among no query's two best: of equal vectors two rows each of the
+    least three identifiers stay, as a query may leave out one."""
+    same = np.unique(vec.view(f"V{vec.shape[1] * 8}").ravel(), return_inverse=True)[1]
+    t = pd.DataFrame({"same": same, "id": ids})
+    nth = (~t.duplicated()).groupby(t["same"]).cumsum()
+    return np.flatnonzero((nth <= 3) & (t.groupby(["same", "id"]).cumcount() < 2))
+
+
 def lexical(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``key, bucket, weight``: words and character trigrams by their MD5's low byte, scaled to unit length. A text without
     either has no row; one of two characters has no trigram."""

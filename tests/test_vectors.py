@@ -52,3 +52,24 @@ def test_short_texts_have_no_grams_of_their_own(spark):
     bucket = lambda g: hashlib.md5(g.encode()).digest()[-1]
     want = {2: {"a"}, 4: {"ab"}, 5: {"abc"}, 6: {"abcd", "abc", "bcd"}}
     assert {i: sorted(b) for i, b in got.items()} == {i: sorted({bucket(g) for g in gs}) for i, gs in want.items()}
+
+
+def test_nearest_of_blocks_equals_every_pair(spark):
+    r = random.Random(9)
+    nan, inf = float("nan"), float("inf")
+    made = lambda w: [r.choice([-1.0, 0.0, 0.5, 1.0]) + r.choice([0.0, r.random()]) for _ in range(w)]
+    rows = [(i, made(8)) for i in range(400)] + [(i, made(3)) for i in range(400, 430)]
+    rows += [(i, rows[0][1]) for i in range(430, 600)] + [(i, [2 * x for x in rows[5][1]]) for i in range(600, 640)]
+    rows += [(0, rows[0][1]), (0, rows[0][1]), (700, [0.0] * 8), (701, [nan] * 8), (702, [inf] + [1.0] * 7), (703, None), (704, []), (705, [1.0] * 5), (None, rows[1][1]), (706, [1.0, None] * 4), (707, [1e-40, 3e38] * 4)]
+    c = spark.createDataFrame(rows, "candidate long, embedding array<float>").repartition(3)
+    asked = c.where("candidate % 5 = 0 or candidate > 690").select(F.col("candidate").alias("mention"), F.col("embedding").alias("qv"))
+    near = V.nearest_of_blocks(c, asked, 64, 50)
+    each = asked.join(c, F.col("candidate") != F.col("mention")).select("mention", "candidate", V.cosine(F.col("embedding"), F.col("qv")).alias("score")).where("score is not null")
+    want = {}
+    for m, x, s in sorted(map(tuple, each.collect()), key=lambda t: (t[0], -t[2], t[1])):
+        want.setdefault(m, []).append((x, s))
+    want = {m: (*t[0], t[1][1] if len(t) > 1 else None) for m, t in want.items()}
+    assert {x.mention: (x.candidate, x.score, x.second) for x in near.collect()} == want and len(want) > 100
+    assert V.nearest_of_blocks(c.limit(0), asked).count() == 0 == V.nearest_of_blocks(c, asked.limit(0)).count()
+    # No row a pair: rows and queries meet in tasks.
+    assert "FlatMapCoGroupsInPandas" in near._jdf.queryExecution().toString()
