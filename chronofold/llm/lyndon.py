@@ -24,6 +24,17 @@ def _ragged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.repeat(end - np.cumsum(size), size) + np.arange(size.sum())
 
 
+def _runs(change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of a sequence that changes behind the places where ``change`` is set."""
+    edge = np.flatnonzero(change) + 1
+    start = np.zeros(len(edge) + 1, np.int64)
+    start[1:] = edge
+    size = np.empty(len(start), np.int64)
+    size[:-1] = edge
+    size[-1] = len(change) + 1
+    return start, size - start
+
+
 def lyndon_groups(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start of each suffix's group and pointer to its previous smaller suffix, over ``text`` (strings x
     length), positions counted over the flattened array."""
@@ -64,8 +75,8 @@ def lyndon_groups(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         old = group[p]
         by = np.lexsort((times, old))
         p, times, old = p[by], times[by], old[by]
-        new_old = np.flatnonzero(np.r_[True, old[1:] != old[:-1]])
-        moved = np.diff(np.r_[new_old, len(p)])
+        other = old[1:] != old[:-1]
+        new_old, moved = _runs(other)
         g = old[new_old]
         tail = end[g] - moved
         places = _ragged(tail, end[g])
@@ -80,8 +91,7 @@ def lyndon_groups(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rank[out] = hole
         order[places] = p
         rank[p] = places
-        run = np.flatnonzero(np.r_[True, (old[1:] != old[:-1]) | (times[1:] != times[:-1])])
-        size = np.diff(np.r_[run, len(p)])
+        run, size = _runs(other | (times[1:] != times[:-1]))
         end[g] = tail
         end[places[run]] = places[run] + size
         group[p] = np.repeat(places[run], size)

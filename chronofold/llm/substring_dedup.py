@@ -15,7 +15,7 @@ is removed. Texts are cut into UTF-8 bytes; matches never cross documents.
 3. Suffix arrays. In a group, windows are taken by ranges of the anchor's offset. All
    windows of a range share a core; contexts with equal cores make strings of the bytes
    left of the core, the core as one symbol, and the bytes right of it, which are sorted
-   by the linear Lyndon grouping (``lyndon.py``). Windows that are neighbours in that order
+   by the linear Lyndon grouping (``lyndon.py``), several sets with a core symbol each in a string. Windows that are neighbours in that order
    and agree in full are repeated. A context that occurs twice repeats all its windows. A
    set of more than ``MOST`` strings is halved by offset, down to single windows, whose
    core is all of them, so the work stays in proportion to the input.
@@ -49,7 +49,8 @@ PARTS = 8
 STEP = -(-OFFSETS // PARTS)
 MOST = 64
 SYMBOLS = 1_000_000
-AT_ONCE = 32_768
+AT_ONCE = 65_536
+STRINGS = (4, 16, MOST)  # contexts a string, for sets of at most so many
 FILTER_BITS = 1 << 27
 HOT_PER_PARTITION = 16
 HOT_LEAST = 4_096
@@ -119,15 +120,27 @@ class Contexts:
 
     def __init__(self, rows: np.ndarray, la: np.ndarray, ra: np.ndarray):
         self.rows, self.la, self.ra = rows, la, ra
-        self.prefix = np.zeros((len(rows), WIDTH + 1), np.uint64)
-        for j in range(WIDTH):
-            self.prefix[:, j + 1] = (self.prefix[:, j] + rows[:, j].astype(np.uint64) + np.uint64(1)) * MIX[1]
+        self.columns = np.ascontiguousarray(rows.T)
+        self.sums = {0: np.zeros(len(rows), np.uint64)}  # of the bytes before a column
+        for j in sorted({j for a, b in ranges() for j in (LEFT - a, LEFT - (b - 1), LEFT + LENGTH - b + 1, LEFT + LENGTH - a)}):
+            self.prefix(j)
         self.power = np.array([pow(int(MIX[1]), j, 1 << 64) for j in range(WIDTH + 1)], np.uint64)
 
+    def prefix(self, end: int) -> np.ndarray:
+        if end not in self.sums:
+            start = max(j for j in self.sums if j < end)
+            h = self.sums[start].copy()
+            for j in range(start, end):
+                h += self.columns[j]
+                h += np.uint64(1)
+                h *= MIX[1]
+            self.sums[end] = h
+        return self.sums[end]
+
     def hash(self, who: np.ndarray, start: int, end: int) -> np.ndarray:
         """Of the bytes from ``start`` up to ``end``, counted from the anchor."""
         s, e = LEFT + start, LEFT + end
-        h = self.prefix[who, e] - self.prefix[who, s] * self.power[e - s]
+        h = self.prefix(e)[who] - self.prefix(s)[who] * self.power[e - s]
         h ^= h >> np.uint64(29)
         return h * MIX[2]
 
@@ -202,7 +215,7 @@ def repeated(c: Contexts, group: np.ndarray, n: np.ndarray, tasks: list[tuple[np
         np.minimum.at(low, who[ok], np.broadcast_to(a, ok.shape)[ok])
         np.maximum.at(high, who[ok], np.broadcast_to(b, ok.shape)[ok])
 
-    sets: dict[tuple[int, int], list] = {}  # by width of the range and number of contexts
+    sets: dict[int, list] = {}  # by width of the range
     while tasks:
         who, a, b = tasks.pop()
         who = who[c.has(who, a, b)]
@@ -228,16 +241,15 @@ def repeated(c: Contexts, group: np.ndarray, n: np.ndarray, tasks: list[tuple[np
             rest = members[np.repeat(large, size)]
             middle = (a + b) // 2
             tasks += [(rest, a, middle), (rest, middle, b)]
-        for k in np.unique(count[sort & (count <= MOST)]):
-            heads = start[sort & (count == k)][:, None] + np.arange(k)[None, :]
-            sets.setdefault((b - a, int(k)), []).append((members[head[heads]], np.full(len(heads), a), head[heads], size[heads], members))
-    for (w, k), parts in sets.items():
-        heads, at = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
-        lanes = max(1, SYMBOLS // (2 * w * k))
-        hits = [agreeing(c, heads[i : i + lanes], at[i : i + lanes], w) for i in range(0, len(heads), lanes)]
-        hit_low, hit_high = (np.concatenate([h[i] for h in hits]) for i in (0, 1))
+        small = np.flatnonzero(sort & (count <= MOST))
+        if len(small):
+            heads = _ragged(start[small], start[small] + count[small])
+            sets.setdefault(b - a, []).append((count[small], members[head[heads]], np.full(len(heads), a), head[heads], size[heads], members))
+    for w, parts in sets.items():
+        count, heads, at = (np.concatenate([x[i] for x in parts]) for i in range(3))
+        hit_low, hit_high = sorted_sets(c, count, heads, at, w)
         done = 0
-        for _, _, begin, reach, members in parts:
+        for _, _, _, begin, reach, members in parts:
             of = slice(done, done + len(begin))
             done += len(begin)
             some = hit_high[of] >= 0
@@ -248,19 +260,57 @@ def repeated(c: Contexts, group: np.ndarray, n: np.ndarray, tasks: list[tuple[np
     return low, high
 
 
-def agreeing(c: Contexts, heads: np.ndarray, a: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """For sets of contexts with a common core (sets x contexts): the least and greatest offset of the
-    windows that another context of the set has too. A set's offsets are ``a .. a + w - 1``."""
+def sorted_sets(c: Contexts, count: np.ndarray, heads: np.ndarray, a: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """``agreeing`` for sets of ``count`` contexts each, one set after another. Strings hold several sets, as many as
+    fit, so that all have the same length and many are sorted at once."""
+    low, high = np.full(len(heads), LENGTH), np.full(len(heads), -1)
+    begin = np.cumsum(count) - count
+    least = 0
+    for most in STRINGS:
+        some = np.flatnonzero((count > least) & (count <= most))
+        some = some[np.argsort(-count[some], kind="stable")]
+        least = most
+        string, place, number, used, sets_there = [], [], [], most, 0
+        lane = -1
+        for k in count[some].tolist():
+            if used + k > most:
+                lane, used, sets_there = lane + 1, 0, 0
+            string.append(lane)
+            place.append(used)
+            number.append(sets_there)
+            used += k
+            sets_there += 1
+        size, string, place, number = count[some], np.array(string, np.int64), np.array(place, np.int64), np.array(number, np.int64)
+        lanes = max(1, SYMBOLS // (2 * w * most))
+        for i in range(0, lane + 1, lanes):
+            own = (string >= i) & (string < i + lanes)
+            where = _ragged(begin[some[own]], begin[some[own]] + size[own])
+            first = (string[own] - i) * most + place[own]
+            slot = _ragged(first, first + size[own])
+            n = int(string[own].max()) - i + 1
+            # Places that are left over hold some context, each as a set of its own, in which nothing repeats.
+            held, offset = np.full(n * most, heads[where[0]]), np.full(n * most, a[where[0]])
+            mark = np.tile(np.arange(most), n) + most
+            held[slot], offset[slot], mark[slot] = heads[where], a[where], np.repeat(number[own], size[own])
+            got = agreeing(c, held.reshape(n, most), offset, mark, w)
+            low[where], high[where] = got[0][slot], got[1][slot]
+    return low, high
+
+
+def agreeing(c: Contexts, heads: np.ndarray, a: np.ndarray, mark: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """For strings of contexts (strings x contexts): the least and greatest offset of the windows that another
+    context of the set has too. Contexts with the same ``mark`` (below twice MOST) are a set and have a common core; a context's offsets are
+    ``a .. a + w - 1``."""
     lanes, k = heads.shape
-    who, b = heads.ravel(), np.repeat(a, k) + w
-    core, byte = MOST + 2, MOST + 3
+    who, b = heads.ravel(), a + w
+    core, byte = MOST + 2, 3 * MOST + 2
     sep = np.tile(np.arange(1, k + 1), lanes)
     text = np.zeros((lanes * k, 2 * w), np.int64)
     j = np.arange(w - 1)
     here = j[None, :] >= (b - 1 - c.la[who])[:, None]
     left = c.rows[who[:, None], (LEFT - (b - 1))[:, None] + j]
     text[:, : w - 1] = np.where(here, left.astype(np.int64) + byte, sep[:, None])
-    text[:, w - 1] = core
+    text[:, w - 1] = core + mark
     here = (LENGTH - b + 1)[:, None] + j < c.ra[who][:, None]
     right = c.rows[who[:, None], (LEFT + LENGTH - b + 1)[:, None] + j]
     text[:, w : 2 * w - 1] = np.where(here, right.astype(np.int64) + byte, sep[:, None])
@@ -287,7 +337,7 @@ def agreeing(c: Contexts, heads: np.ndarray, a: np.ndarray, w: int) -> tuple[np.
     low, high = np.full(lanes * k, LENGTH), np.full(lanes * k, -1)
     np.minimum.at(low, member[inside], offset[inside])
     np.maximum.at(high, member[inside], offset[inside])
-    return low.reshape(lanes, k), high.reshape(lanes, k)
+    return low, high
 
 
 def _key(docs: DataFrame):

@@ -107,3 +107,26 @@ def test_rows_are_told_apart_by_identifier_and_text(spark, monkeypatch):
     rows = [x for i, x in enumerate(rows) if x[0] is not None and x[0] not in {y[0] for y in rows[:i]}]
     df = spark.createDataFrame(rows, SCHEMA)
     assert sorted((tuple(r) for r in S.remove_repeats(df).collect()), key=str) == brute(rows)
+
+
+def test_sets_of_many_sizes_share_strings(monkeypatch):
+    """Groups of 2 to 20 near contexts: few sorts, and exactly the windows that another context of the group has."""
+    r = np.random.default_rng(4)
+    rows, group = [], []
+    for k in range(2, 21):
+        one = r.integers(97, 123, S.WIDTH).astype(np.uint8)
+        for _ in range(k):
+            other = one.copy()
+            for at in r.choice(np.r_[: S.LEFT, S.LEFT + S.GRAM : S.WIDTH], 6):
+                other[at] = r.integers(65, 70)
+            rows.append(other)
+            group.append(k)
+    rows, group = np.array(rows), np.array(group)
+    sorts, real = [], S.suffix_arrays
+    monkeypatch.setattr(S, "suffix_arrays", lambda text: sorts.append(text.shape) or real(text))
+    c = S.Contexts(rows, np.full(len(rows), S.LEFT), np.full(len(rows), S.LENGTH))
+    low, high = S.repeated(c, group, np.ones(len(rows), np.int64), [(np.arange(len(rows)), a, b) for a, b in S.ranges()])
+    for i in range(len(rows)):
+        same = [o for o in range(S.OFFSETS) if any((rows[j, S.LEFT - o : S.WIDTH - o] == rows[i, S.LEFT - o : S.WIDTH - o]).all() for j in np.flatnonzero(group == group[i]) if j != i)]
+        assert (low[i], high[i]) == ((min(same), max(same)) if same else (S.LENGTH, -1))
+    assert 0 < len(sorts) <= len({b - a for a, b in S.ranges()}) * len(S.STRINGS) and (high >= 0).any()
