@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from chronofold.functions import text as X
@@ -166,15 +165,12 @@ def seg_flags(spark, sf):
 def bound(spark, sf):
     """Conversations as books: every other one with a navigation document in place of the older table, its later turns below its first."""
 
-    def bind_one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("turn")
-        conv = int(pdf["conv_id"].iloc[0])
-        docs = [(f"c{i}.xhtml", f"Chapter {i + 1}", f"Chapter {i + 1}", t, *(["frontmatter chapter"] if i == 1 else [])) for i, t in enumerate(pdf["text"])]
+    def bind_one(conv, texts: list[str]) -> bytes:
+        docs = [(f"c{i}.xhtml", f"Chapter {i + 1}", f"Chapter {i + 1}", t, *(["frontmatter chapter"] if i == 1 else [])) for i, t in enumerate(texts)]
         below = [(f"c{i}.xhtml#s{i}", f"Chapter {i + 1}", []) for i in range(1, len(docs))]
-        content = E.write(docs, f"Book {conv}", guide=["c0.xhtml"] if conv % 3 == 0 else [], nav="nav.xhtml" if conv % 2 else None, toc=[("c0.xhtml", "Chapter 1", below)])
-        return pd.DataFrame({"path": [f"book{conv}"], "content": [content]})
+        return E.write(docs, f"Book {conv}", guide=["c0.xhtml"] if conv % 3 == 0 else [], nav="nav.xhtml" if conv % 2 else None, toc=[("c0.xhtml", "Chapter 1", below)])
 
-    return spark.read.parquet(f"{sf}/conversations.parquet").groupBy("conv_id").applyInPandas(bind_one, "path string, content binary")
+    return E.bind(spark.read.parquet(f"{sf}/conversations.parquet"), bind_one)
 
 
 TURNS = ", b AS (SELECT conv_id, 'book' || CAST(conv_id AS VARCHAR) AS path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS turns FROM conversations) "

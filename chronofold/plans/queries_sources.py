@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from chronofold.plans.registry import query
@@ -19,12 +18,10 @@ BOOKS = ", b AS (SELECT 'book' || CAST(conv_id AS VARCHAR) AS path, text, row_nu
 def books(spark, sf):
     """Conversations bound as EPUB files, one each, a chapter a turn; so books stay small and their number grows."""
 
-    def bind_one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("turn")
-        docs = [(f"c{i}.xhtml", f"Chapter {i + 1}", f"Chapter {i + 1}", t) for i, t in enumerate(pdf["text"])]
-        return pd.DataFrame({"path": [f"book{pdf['conv_id'].iloc[0]}"], "content": [E.write(docs)]})
+    def bind_one(conv, texts: list[str]) -> bytes:
+        return E.write([(f"c{i}.xhtml", f"Chapter {i + 1}", f"Chapter {i + 1}", t) for i, t in enumerate(texts)])
 
-    return spark.read.parquet(f"{sf}/conversations.parquet").groupBy("conv_id").applyInPandas(bind_one, "path string, content binary")
+    return E.bind(spark.read.parquet(f"{sf}/conversations.parquet"), bind_one)
 
 
 @query("src_epub", BOOKS + "SELECT path, position, length(regexp_replace(text, '\\s', '', 'g')) AS letters FROM b")
@@ -44,18 +41,16 @@ def src_drm_check(spark, sf):
     is not there, with an unsafe name, cut off. Refused ones become error rows."""
     listed = '<encryption><EncryptedData><EncryptionMethod Algorithm="{0}"/><CipherData><CipherReference URI="{1}"/></CipherData></EncryptedData></encryption>'
 
-    def bind_one(pdf: pd.DataFrame) -> pd.DataFrame:
-        conv = int(pdf["conv_id"].iloc[0])
+    def bind_one(conv, texts: list[str]) -> bytes:
         font = {"OPS/a.otf": "x", "META-INF/encryption.xml": listed.format(E.FONT_ALGORITHMS[0], "OPS/a.otf")}
         more = {
             1: font, 2: {"META-INF/encryption.xml": listed.format("http://www.w3.org/2001/04/xmlenc#aes128-cbc", "OPS/c.xhtml")},
             3: {"META-INF/Encryption.xml": listed.format(E.FONT_ALGORITHMS[1], "OPS/b.otf")}, 4: {"../evil": "x"},
         }.get(conv % 6)
-        book = E.write([("c.xhtml", "One", "One", pdf["text"].iloc[0])], more=more)
-        return pd.DataFrame({"path": [f"book{conv}"], "content": [book[:-30] if conv % 6 == 5 else book]})
+        book = E.write([("c.xhtml", "One", "One", texts[0])], more=more)
+        return book[:-30] if conv % 6 == 5 else book
 
-    books_ = spark.read.parquet(f"{sf}/conversations.parquet").groupBy("conv_id").applyInPandas(bind_one, "path string, content binary")
-    return E.read(books_).select("path", "error")
+    return E.read(E.bind(spark.read.parquet(f"{sf}/conversations.parquet"), bind_one)).select("path", "error")
 
 
 HASH = "SELECT book_id, substring(sha256(string_agg(CAST(revealed_at AS VARCHAR) || ':' || chapter_key || ':' || CAST(char_len AS VARCHAR), '|' ORDER BY revealed_at)), 1, 16) AS hash FROM chapters GROUP BY 1"

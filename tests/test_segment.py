@@ -88,3 +88,16 @@ def test_broken_packages_are_error_rows(spark):
     assert got["fine"] is None and got["cut"] and got["none"]
     assert {r.path for r in E.toc(files).collect()} == {"fine"}
     assert E.type_tokens('<html><body><section epub:type="Chapter"><article epub:type="bodymatter x"><section epub:type="appendix"></section></article></section></body></html>') == ["chapter", "bodymatter", "x"]
+
+
+def test_books_are_bound_and_read_a_few_at_a_time(spark):
+    """A worker gets no batch of thousands of books."""
+    turns = spark.createDataFrame([(c, t, f"text {c} {t} <&>") for c in range(250) for t in (2, 0, 1)] + [(900, None, "last"), (900, 4, "first")], "conv_id long, turn long, text string")
+    files = E.bind(turns.repartition(2), lambda conv, texts: E.write([(f"c{i}.xhtml", "L", "H", t) for i, t in enumerate(texts)], f"Book {conv}"))
+    read = E.read(files)
+    got = {(x.path, x.position): (x.title, x.text) for x in read.collect()}
+    want = {(f"book{c}", t + 1): (f"Book {c}", f"H\ntext {c} {t} <&>") for c in range(250) for t in range(3)}
+    assert got == want | {("book900", 1): ("Book 900", "H\nfirst"), ("book900", 2): ("Book 900", "H\nlast")}
+    for out in (read, E.toc(files), E.packages(files)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "InPandas" not in plan and "ArrowEvalPython" not in plan
